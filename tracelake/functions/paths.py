@@ -33,7 +33,7 @@ def normalize_path(raw: Column, root: str = PROJECT_ROOT) -> Column:
     below_root = (joined == root) | joined.startswith(root + "/")
     root_segments = F.array(*[F.lit(s) for s in root.strip("/").split("/")])
     full = F.when(absolute, segments).otherwise(F.concat(root_segments, segments))
-    resolved = F.concat(
+    walked = F.concat(
         F.lit("/"),
         F.array_join(
             F.aggregate(
@@ -46,10 +46,14 @@ def normalize_path(raw: Column, root: str = PROJECT_ROOT) -> Column:
             "/",
         ),
     )
+    # Most paths are clean already and skip the walk over their segments.
+    clean = value.startswith(root + "/") & ~value.rlike(r"/\.{0,2}(?:/|\z)")
+    resolved = F.when(clean, value).otherwise(walked)
     inside = (resolved == root) | resolved.startswith(root + "/")
     outside = F.concat(F.lit("Path outside project root: "), raw)
     error = (
         F.when(raw.isNull() | (value == ""), F.lit("Path cannot be empty"))
+        .when(clean, F.lit(None).cast("string"))
         .when(absolute & (double | ~below_root), outside)
         .when(~inside, outside)
     )

@@ -11,6 +11,7 @@ from tracelake.functions.locals import locals_text
 from tracelake.functions.predicates import in_function
 from tracelake.functions.text import exception_text, prompt_sections
 from tracelake.operators.frames import block_index
+from tracelake.operators.skew import hot_keys
 from tracelake.operators.source import INSTANCE, with_source_context
 from tracelake.schemas import TRACE_KEY, WITH_RUNTIME, WITHOUT_RUNTIME
 
@@ -50,7 +51,8 @@ def frame_blocks(
     file_keys: Sequence[str] = INSTANCE,
 ) -> DataFrame:
     """One text block per frame: place, source context and locals."""
-    shown = with_source_context(block_index(frames, keys), files, around, file_keys)
+    hot = hot_keys(frames, [*file_keys, "file"])
+    shown = with_source_context(block_index(frames, keys), files, around, file_keys, hot=hot)
     text = F.concat(
         F.lit("Block "),
         F.col("block_index").cast("string"),

@@ -7,20 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ROWS_PER_TASK = 1 << 20
+# At most this many keys are broadcast, however large the data is. A key beyond
+# them holds less than a thousandth of the rows.
+MAX_HOT_KEYS = 1024
+MAX_SALTS = 4096
 
-def hot_keys(df: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
-    """Keys with more than one task's share of the rows, and how many tasks they need.
 
-    A key is hot when it holds more than ``1 / parts`` of all rows, so there are
-    fewer than ``parts`` of them, however large the data is.
+def hot_keys(df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The largest keys with more rows than a task should take, and how many tasks to use.
+
+    The count is a partial aggregate over the key columns alone. The order is
+    total, so every use of the result sees the same keys.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
-    return (
-        counts.withColumn("_share", F.col("_rows") * parts / total)
-        .where(F.col("_share") > 1)
-        .select(*on, F.ceil("_share").cast("int").alias("_fan"))
-    )
+    largest = counts.where(F.col("_rows") > rows_per_task).orderBy(F.desc("_rows"), *on).limit(MAX_HOT_KEYS)
+    salts = F.least(F.ceil(F.col("_rows") / rows_per_task), F.lit(MAX_SALTS)).cast("int")
+    return largest.select(*on, salts.alias("_salts"))
 
 
 def salted_join(
@@ -29,28 +32,21 @@ def salted_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    parts: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join with the hot keys of ``left`` spread over several tasks.
 
     Rows of a hot key get a salt from the ``spread`` columns, and only the right
     rows of such keys are repeated, once per salt. Every left row meets each of
     its right rows exactly once, so the result is that of the plain join.
-    ``how`` is ``left`` or ``inner``.
+    ``hot`` may bring the keys from a cheaper table than ``left``; which keys it
+    names does not change the result. ``how`` is ``left`` or ``inner``.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Fewer than ``parts`` rows, see hot_keys, which bounds what is broadcast.
-    hot = F.broadcast(hot_keys(left.select(*on), on, parts))
-    salted = (
-        left.join(hot, list(on), "left")
-        .withColumn("_salt", F.when(F.col("_fan").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_fan"))))
-        .drop("_fan")
-    )
-    repeated = (
-        right.join(hot, list(on), "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan") - 1, F.lit(0)))))
-        .drop("_fan")
-    )
-    return salted.join(repeated.withColumn("_salt", F.col("_salt").cast("bigint")), [*on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(left.select(*on), on) if hot is None else hot)
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
+    salted = left.join(hot, list(on), "left").withColumn("_salt", salt).drop("_salts")
+    repeats = F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))
+    repeated = right.join(hot, list(on), "left").withColumn("_salt", F.explode(repeats)).drop("_salts")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

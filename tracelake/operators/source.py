@@ -33,7 +33,11 @@ def source_lines(files: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
 
 
 def join_source(
-    frames: DataFrame, files: DataFrame, keys: Sequence[str] = INSTANCE, spread: Sequence[str] = ("pos",)
+    frames: DataFrame,
+    files: DataFrame,
+    keys: Sequence[str] = INSTANCE,
+    spread: Sequence[str] = ("pos",),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Frames with the ``lines`` of their file, null where the file is not known.
 
@@ -41,7 +45,7 @@ def join_source(
     to is spread over tasks.
     """
     right = split_files(files, keys).withColumnRenamed("path", "file")
-    return salted_join(frames, right, [*keys, "file"], spread, how="left")
+    return salted_join(frames, right, [*keys, "file"], spread, "left", hot)
 
 
 def with_source_context(
@@ -51,22 +55,27 @@ def with_source_context(
     keys: Sequence[str] = INSTANCE,
     line: str = "line",
     spread: Sequence[str] = ("pos",),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Frames with the source lines around them."""
-    joined = join_source(frames, files, keys, spread)
+    joined = join_source(frames, files, keys, spread, hot)
     return joined.withColumn("context", source_context(F.col("lines"), F.col(line), around)).drop("lines")
 
 
 def testcase_source(
-    focus: DataFrame, files: DataFrame, around: int = 25, keys: Sequence[str] = INSTANCE, spread: Sequence[str] = ()
+    focus: DataFrame, files: DataFrame, around: int = 25, keys: Sequence[str] = INSTANCE
 ) -> DataFrame:
     """The test of each trace with the source around its focus line.
 
-    ``focus`` holds ``test_file`` (null where a trace has none) and ``focus_line``.
+    ``focus`` holds ``test_file`` (null where a trace has none) and ``focus_line``,
+    one row per trace, so a plain join does.
     """
     wanted = focus.withColumnRenamed("test_file", "file")
-    shown = with_source_context(wanted, files, around, keys, "focus_line", spread or [c for c in focus.columns if c not in ("test_file", "focus_line")])
-    return shown.withColumn(
+    right = split_files(files, keys).withColumnRenamed("path", "file")
+    shown = wanted.join(right, [*keys, "file"], "left").withColumn(
+        "context", source_context(F.col("lines"), F.col("focus_line"), around)
+    )
+    return shown.drop("lines").withColumn(
         "testcase_source",
         F.when(F.col("file").isNull(), F.lit(NO_TESTCASE)).otherwise(
             F.concat(F.lit("Test file: "), F.col("file"), F.lit("\n"), F.col("context"))
@@ -150,28 +159,26 @@ def search_requests(
     """Hits for a table of (request, keys, symbol); literal search.
 
     A line and a symbol meet only if the line holds the symbol's first letters,
-    an equality that Spark can join on; the full test follows in the join. The
-    lines, far the larger side, are spread where one start is very common.
+    an equality that Spark can join on. The grams of a line travel without its
+    text, which only meets the candidates again for the full test.
     """
     symbol = strip(F.col("symbol"))
     asked = requests.where(symbol != "").select(
         request_key, *keys, symbol.alias("symbol"), F.substring(symbol, 1, GRAM).alias("gram")
     )
-    line = F.col("line")
-    starts = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1))), lambda i: F.substring(line, i, F.lit(GRAM))
-    )
+    lines = source_lines(files.where(F.col("path").endswith(".py")), keys).where(F.col("line") != "")
+    grams = F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?=(.{{1,{GRAM}}}))"), F.lit(1)))
     # Symbols shorter than a gram need the shorter starts as well.
-    short = F.transform(starts, lambda g: F.substring(g, 1, GRAM - 1))
-    single = F.transform(starts, lambda g: F.substring(g, 1, 1))
-    grams = F.array_distinct(F.concat(starts, short, single))
-    lines = source_lines(files.where(F.col("path").endswith(".py")), keys).where(line != "")
-    tokens = lines.select(*keys, "path", "line_no", "line", F.explode(grams).alias("gram"))
-    wanted_grams = asked.select(*keys, "gram").distinct()
-    candidates = tokens.join(wanted_grams, [*keys, "gram"], "left_semi")
-    joined = salted_join(candidates, asked, [*keys, "gram"], ["path", "line_no"], how="inner")
-    return joined.where(F.col("line").contains(F.col("symbol"))).select(
-        request_key, *keys, "symbol", "path", "line_no", _hit().alias("hit")
+    starts = F.transform(grams, lambda g: F.array(g, *[F.substring(g, 1, n) for n in range(1, GRAM)]))
+    tokens = lines.select(
+        *keys, "path", "line_no", F.explode(F.array_distinct(F.flatten(starts))).alias("gram")
+    )
+    wanted = tokens.join(asked.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi")
+    candidates = wanted.join(asked, [*keys, "gram"]).drop("gram")
+    return (
+        lines.join(candidates, [*keys, "path", "line_no"])
+        .where(F.col("line").contains(F.col("symbol")))
+        .select(request_key, *keys, "symbol", "path", "line_no", _hit().alias("hit"))
     )
 
 
