@@ -86,9 +86,9 @@ def test_previous_value_over_ranges(table, spark, bits):
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_join_equals_the_plain_join(spark, table, how):
     right = spark.createDataFrame([("/testbed/a.py", 1), ("/testbed/a.py", 2), ("/x/c.py", 3)], "file string, v int")
-    hot = skew.hot_keys(table, ["file"], rows_per_task=20)
+    hot = skew.hot_keys(skew.key_counts(table, ["file"]), ["file"], rows_per_task=20)
     assert all(r._salts > 1 for r in hot.collect())
-    got = skew.salted_join(table, right, ["file"], ["pos"], how, hot)
+    got = skew.salted_join(table, right, ["file"], ["pos"], how, rows_per_task=20)
     want = table.join(right, "file", how)
     key = lambda r: repr(tuple(r))
     assert sorted(got.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)

@@ -51,21 +51,24 @@ def parse_outcome(text: Column) -> Column:
     ``expected failures=n`` adds to the failures.
     """
     text = F.coalesce(text, F.lit(""))
-    failed = text.rlike(FAILED_LINE) | text.rlike(FAILED_TALLY)
-    status = F.when(failed, "failed").when(text.rlike(OK_LINE), "passed").otherwise("unknown")
-
-    counts = F.transform(
-        F.regexp_extract_all(text, F.lit(COUNTED), F.lit(1)), lambda n: n.try_cast("bigint")
-    )
-    counted = F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n))
-    tally = F.nullif(F.regexp_extract(text, FIRST_TALLY, 1), F.lit("")).try_cast("bigint")
+    # A plain substring test is far cheaper than a pattern and spares most of them.
+    says_failed, says_ok, tallies = text.contains("FAILED"), text.contains("OK"), text.contains("failed")
+    failed = (says_failed & text.rlike(FAILED_LINE)) | (tallies & text.rlike(FAILED_TALLY))
+    passed = says_ok & text.rlike(OK_LINE)
+    status = F.when(failed, "failed").when(passed, "passed").otherwise("unknown")
+
+    counts = F.transform(F.regexp_extract_all(text, F.lit(COUNTED), F.lit(1)), lambda n: n.try_cast("bigint"))
+    # The sum of an empty list is null.
+    total = F.aggregate(counts, F.lit(None).cast("bigint"), lambda a, n: F.coalesce(a, F.lit(0)) + n)
+    counted = F.when(text.contains("failures=") | text.contains("errors="), total)
+    tally = F.when(tallies, _number(text, FIRST_TALLY))
     # greatest skips nulls, so a single known count stands
     failures = F.when(status == "passed", F.lit(0).cast("bigint")).otherwise(F.greatest(counted, tally))
 
-    ran = F.nullif(F.regexp_extract(text, RAN_TESTS, 1), F.lit("")).try_cast("bigint")
-    summary = F.coalesce(
-        *[F.nullif(F.regexp_extract(text, pattern, 0), F.lit("")) for pattern in SUMMARY_LINES], F.lit("")
-    )
+    ran = F.when(text.contains("Ran"), _number(text, RAN_TESTS))
+    guards = (says_failed, says_ok, tallies | text.contains("passed"))
+    found = [F.when(g, F.nullif(F.regexp_extract(text, p, 0), F.lit(""))) for g, p in zip(guards, SUMMARY_LINES)]
+    summary = F.coalesce(*found, F.lit(""))
     return F.struct(
         status.alias("status"),
         failures.alias("failure_count"),
@@ -74,6 +77,10 @@ def parse_outcome(text: Column) -> Column:
     )
 
 
+def _number(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("bigint")
+
+
 def run_outcome(patch: Column, success: Column, error: Column, output: Column) -> Column:
     """Outcome of a variant run, with ``run_skipped`` when its tests did not run."""
     no_patch = strip(F.coalesce(patch, F.lit(""))) == ""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import LINE_BREAK, strip
+from tracelake.functions.text import strip, unix_lines
 
 # The patterns of a unified diff. (?d) keeps \n as the only line end.
 FENCED_BLOCK = r"(?Us)```(?:diff)?\s*\n(.*?)```"
@@ -40,7 +40,7 @@ def parse_diff(text: Column, strict: bool = False) -> Column:
     header say, so a deleted line that starts with ``-- `` stays a line and a
     ``diff --git`` line does not join the hunk before it.
     """
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), LINE_BREAK, "\n")
+    plain = unix_lines(F.coalesce(text, F.lit("")))
     blocks = F.filter(
         F.split(plain, PAIRED_FILE_STARTS if strict else FILE_STARTS), lambda b: b.startswith("--- ")
     )

@@ -50,7 +50,9 @@ def serialize_locals(values: Column, cutoff: int = DEFAULT_CUTOFF) -> Column:
     """Each value JSON-encoded and cut to ``cutoff`` characters; no map gives an empty one."""
     if cutoff < 0:
         raise ValueError("cutoff must be >= 0")
-    escaped = F.transform_values(values, lambda _, v: _short_escapes(v))
+    # A character never gets shorter, so what is beyond the cutoff in the value is
+    # beyond it in the result too, and need not be encoded.
+    escaped = F.transform_values(values, lambda _, v: _short_escapes(F.left(v, F.lit(cutoff))))
     cut = F.transform_values(
         escaped, lambda _, v: F.left(F.coalesce(_close(v, ascii_only=True), F.lit("null")), F.lit(cutoff))
     )

@@ -30,7 +30,6 @@ def normalize_path(raw: Column, root: str = PROJECT_ROOT) -> Column:
     # Exactly two leading slashes name another root.
     double = value.rlike("^//(?!/)")
     joined = F.concat(F.lit("/"), F.array_join(segments, "/"))
-    below_root = (joined == root) | joined.startswith(root + "/")
     root_segments = F.array(*[F.lit(s) for s in root.strip("/").split("/")])
     full = F.when(absolute, segments).otherwise(F.concat(root_segments, segments))
     walked = F.concat(
@@ -46,17 +45,21 @@ def normalize_path(raw: Column, root: str = PROJECT_ROOT) -> Column:
             "/",
         ),
     )
-    # Most paths are clean already and skip the walk over their segments.
-    clean = value.startswith(root + "/") & ~value.rlike(r"/\.{0,2}(?:/|\z)")
-    resolved = F.when(clean, value).otherwise(walked)
-    inside = (resolved == root) | resolved.startswith(root + "/")
+    # Most paths have no segment to drop or resolve and skip the walk over them.
+    plain = ~value.rlike(r"(?:\A|/)\.{1,2}(?:/|\z)|//|/\z")
+    direct = F.when(absolute, value).otherwise(F.concat(F.lit(root + "/"), value))
+
+    def inside(path: Column) -> Column:
+        return (path == root) | path.startswith(root + "/")
+
     outside = F.concat(F.lit("Path outside project root: "), raw)
     error = (
         F.when(raw.isNull() | (value == ""), F.lit("Path cannot be empty"))
-        .when(clean, F.lit(None).cast("string"))
-        .when(absolute & (double | ~below_root), outside)
-        .when(~inside, outside)
+        .when(plain, F.when(~inside(direct), outside))
+        .when(absolute & (double | ~inside(joined)), outside)
+        .when(~inside(walked), outside)
     )
+    resolved = F.when(plain, direct).otherwise(walked)
     return F.struct(F.when(error.isNull(), resolved).alias("path"), error.alias("error"))
 
 

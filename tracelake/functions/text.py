@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The line boundaries and blanks of a Unicode text.
 LINE_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])"
+RARE_BREAK = r"[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
     "           "
@@ -29,11 +30,18 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(BLANKS))
 
 
+def unix_lines(text: Column) -> Column:
+    """The text with ``\\n`` as its only line break. Most texts have no other and pass as they are."""
+    return F.when(text.rlike(RARE_BREAK), F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text; a final line break does not open another line."""
     no_lines = F.array().cast("array<string>")
-    body = F.regexp_replace(text, LINE_BREAK + r"\z", "")
-    return F.when(text == "", no_lines).otherwise(F.split(body, LINE_BREAK))
+    # A split at a single plain character needs no regular expression.
+    return F.when(text == "", no_lines).otherwise(
+        F.split(F.regexp_replace(unix_lines(text), "\n\\z", ""), "\n")
+    )
 
 
 def numbered_range(lines: Column, start: Column | int, end: Column | int) -> Column:

@@ -29,7 +29,11 @@ def parse_patches(patches: DataFrame, column: str = "patch", strict: bool = Fals
 
 def explode_hunks(patches: DataFrame, keys: Sequence[str], column: str = "patch", strict: bool = False) -> DataFrame:
     """One row per hunk, numbered inside file and patch."""
-    files = parse_patches(patches, column, strict).select(*keys, F.posexplode("files").alias("file_no", "f"))
+    parsed = patches.select(*keys, parse_diff(F.col(column), strict).alias("_files"))
+    # Exploding an expression keeps Spark from testing its size in a filter of its
+    # own, which would parse every patch again.
+    sound = F.when(diff_error(F.col("_files")).isNull(), F.col("_files"))
+    files = parsed.select(*keys, F.posexplode(sound).alias("file_no", "f"))
     hunks = files.select(*keys, "file_no", F.col("f.path").alias("path"), F.posexplode("f.hunks").alias("hunk_no", "h"))
     return hunks.select(*keys, "file_no", "path", "hunk_no", "h.*")
 

@@ -14,37 +14,47 @@ MAX_HOT_KEYS = 1024
 MAX_SALTS = 4096
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows per key: a partial aggregate over the key columns alone."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def hot_keys(counts: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """The largest keys with more rows than a task should take, and how many tasks to use.
 
-    The count is a partial aggregate over the key columns alone. The order is
-    total, so every use of the result sees the same keys.
+    The order is total, so every use of the result sees the same keys.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     largest = counts.where(F.col("_rows") > rows_per_task).orderBy(F.desc("_rows"), *on).limit(MAX_HOT_KEYS)
     salts = F.least(F.ceil(F.col("_rows") / rows_per_task), F.lit(MAX_SALTS)).cast("int")
     return largest.select(*on, salts.alias("_salts"))
 
 
+def used_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """All keys; the test keeps the count in the plan, so that Spark counts only once."""
+    return counts.where(F.col("_rows") > 0).select(*on)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    hot: DataFrame | None = None,
+    counts: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join with the hot keys of ``left`` spread over several tasks.
 
     Rows of a hot key get a salt from the ``spread`` columns, and only the right
     rows of such keys are repeated, once per salt. Every left row meets each of
     its right rows exactly once, so the result is that of the plain join.
-    ``hot`` may bring the keys from a cheaper table than ``left``; which keys it
-    names does not change the result. ``how`` is ``left`` or ``inner``.
+    ``counts`` may bring the key counts of a cheaper table than ``left``; which
+    keys are hot does not change the result. ``how`` is ``left`` or ``inner``.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    hot = F.broadcast(hot_keys(left.select(*on), on) if hot is None else hot)
+    counts = key_counts(left, on) if counts is None else counts
+    hot = F.broadcast(hot_keys(counts, on, rows_per_task))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
     salted = left.join(hot, list(on), "left").withColumn("_salt", salt).drop("_salts")
     repeats = F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))

@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.paths import PROJECT_ROOT, normalize_path, relative_to_root, tree_entries
 from tracelake.functions.text import numbered_range, source_context, split_lines, strip
-from tracelake.operators.skew import salted_join
+from tracelake.operators.skew import key_counts, salted_join, used_keys
 
 INSTANCE = ("instance_id",)
 NO_TESTCASE = "<testcase source not available from collected frames>"
 GRAM = 3
 
 
-def split_files(files: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
+def split_files(files: DataFrame, keys: Sequence[str] = INSTANCE, path: str = "path") -> DataFrame:
     """Files with their text split once into an array of lines."""
-    return files.select(*keys, "path", split_lines(F.col("content")).alias("lines"))
+    return files.select(*keys, path, split_lines(F.col("content")).alias("lines"))
 
 
 def source_lines(files: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
@@ -37,15 +37,18 @@ def join_source(
     files: DataFrame,
     keys: Sequence[str] = INSTANCE,
     spread: Sequence[str] = ("pos",),
-    hot: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Frames with the ``lines`` of their file, null where the file is not known.
 
-    The text is split before the join, and a file that very many frames point
-    to is spread over tasks.
+    Only files that a frame points to are moved, each split once before it is
+    joined, and a file that very many frames point to is spread over tasks.
     """
-    right = split_files(files, keys).withColumnRenamed("path", "file")
-    return salted_join(frames, right, [*keys, "file"], spread, "left", hot)
+    on = [*keys, "file"]
+    counts = key_counts(frames, on) if counts is None else counts
+    texts = files.withColumnRenamed("path", "file").join(used_keys(counts, on), on, "left_semi")
+    right = split_files(texts, keys, "file")
+    return salted_join(frames, right, on, spread, "left", counts)
 
 
 def with_source_context(
@@ -55,10 +58,10 @@ def with_source_context(
     keys: Sequence[str] = INSTANCE,
     line: str = "line",
     spread: Sequence[str] = ("pos",),
-    hot: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Frames with the source lines around them."""
-    joined = join_source(frames, files, keys, spread, hot)
+    joined = join_source(frames, files, keys, spread, counts)
     return joined.withColumn("context", source_context(F.col("lines"), F.col(line), around)).drop("lines")
 
 
@@ -71,8 +74,9 @@ def testcase_source(
     one row per trace, so a plain join does.
     """
     wanted = focus.withColumnRenamed("test_file", "file")
-    right = split_files(files, keys).withColumnRenamed("path", "file")
-    shown = wanted.join(right, [*keys, "file"], "left").withColumn(
+    on = [*keys, "file"]
+    texts = files.withColumnRenamed("path", "file").join(wanted.select(*on).distinct(), on, "left_semi")
+    shown = wanted.join(split_files(texts, keys, "file"), on, "left").withColumn(
         "context", source_context(F.col("lines"), F.col("focus_line"), around)
     )
     return shown.drop("lines").withColumn(
@@ -98,27 +102,38 @@ def open_ranges(
     Each request gets a status, and its numbered lines or the reason why not.
     """
     raw = strip(F.coalesce(F.col("path").cast("string"), F.lit("")))
-    start, end = F.col("start_line").try_cast("int"), F.col("end_line").try_cast("int")
-    place = normalize_path(F.col("path").cast("string"))
+    # The place is a column of its own, so that it is worked out once per request.
+    placed = requests.select(
+        request_key,
+        *keys,
+        raw.alias("_asked"),
+        F.col("start_line").try_cast("int").alias("_start"),
+        F.col("end_line").try_cast("int").alias("_end"),
+        normalize_path(F.col("path").cast("string")).alias("_place"),
+    )
+    start, end = F.col("_start"), F.col("_end")
     problem = (
-        F.when(raw == "", F.lit("Missing argument: path"))
+        F.when(F.col("_asked") == "", F.lit("Missing argument: path"))
         .when(start.isNull(), F.lit("start_line must be an integer"))
         .when(start < 1, F.lit("start_line must be >= 1"))
         .when(end.isNull(), F.lit("end_line must be an integer"))
         .when(end < 1, F.lit("end_line must be >= 1"))
         .when(end < start, F.lit("end_line must be >= start_line"))
-        .otherwise(place["error"])
+        .otherwise(F.col("_place.error"))
     )
-    checked = requests.select(
+    checked = placed.select(
         request_key,
         *keys,
-        raw.alias("_asked"),
-        start.alias("_start"),
-        end.alias("_end"),
+        "_asked",
+        "_start",
+        "_end",
         problem.alias("_problem"),
-        F.when(problem.isNull(), place["path"]).alias("path"),
+        F.when(problem.isNull(), F.col("_place.path")).alias("path"),
     )
-    joined = salted_join(checked, split_files(files, keys), [*keys, "path"], [request_key], how="left")
+    on = [*keys, "path"]
+    counts = key_counts(checked, on)
+    texts = files.join(used_keys(counts, on), on, "left_semi")
+    joined = salted_join(checked, split_files(texts, keys), on, [request_key], "left", counts)
     error = F.coalesce(
         F.col("_problem"), F.when(F.col("lines").isNull(), F.concat(F.lit("File not found: "), F.col("_asked")))
     )
@@ -158,23 +173,37 @@ def search_requests(
 ) -> DataFrame:
     """Hits for a table of (request, keys, symbol); literal search.
 
-    A line and a symbol meet only if the line holds the symbol's first letters,
-    an equality that Spark can join on. The grams of a line travel without its
-    text, which only meets the candidates again for the full test.
+    A symbol is sought by its longest part without a blank, which must lie in
+    one word of a line. Every distinct word is matched once, by an equi-join on
+    the first letters of that part, and only lines with a matching word are
+    tested in full.
     """
     symbol = strip(F.col("symbol"))
-    asked = requests.where(symbol != "").select(
-        request_key, *keys, symbol.alias("symbol"), F.substring(symbol, 1, GRAM).alias("gram")
+    part = F.aggregate(
+        F.split(symbol, " "), F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)
+    )
+    asked = (
+        requests.where(symbol != "")
+        .select(request_key, *keys, symbol.alias("symbol"), part.alias("part"))
+        .withColumn("gram", F.substring("part", 1, GRAM))
     )
     lines = source_lines(files.where(F.col("path").endswith(".py")), keys).where(F.col("line") != "")
-    grams = F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?=(.{{1,{GRAM}}}))"), F.lit(1)))
-    # Symbols shorter than a gram need the shorter starts as well.
-    starts = F.transform(grams, lambda g: F.array(g, *[F.substring(g, 1, n) for n in range(1, GRAM)]))
-    tokens = lines.select(
-        *keys, "path", "line_no", F.explode(F.array_distinct(F.flatten(starts))).alias("gram")
+    words = lines.select(*keys, "path", "line_no", F.explode(F.array_distinct(F.split("line", " "))).alias("word"))
+    vocabulary = words.select(*keys, "word").where(F.col("word") != "").distinct()
+    # Parts shorter than a gram need the shorter starts as well.
+    starts = F.transform(
+        F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1)),
+        lambda g: F.array(g, *[F.substring(g, 1, n) for n in range(1, GRAM)]),
+    )
+    grams = vocabulary.select(*keys, "word", F.explode(F.array_distinct(F.flatten(starts))).alias("gram"))
+    matches = (
+        grams.join(asked, [*keys, "gram"])
+        .where(F.col("word").contains(F.col("part")))
+        .select(request_key, *keys, "symbol", "word")
+    )
+    candidates = (
+        words.join(matches, [*keys, "word"]).select(request_key, *keys, "symbol", "path", "line_no").distinct()
     )
-    wanted = tokens.join(asked.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi")
-    candidates = wanted.join(asked, [*keys, "gram"]).drop("gram")
     return (
         lines.join(candidates, [*keys, "path", "line_no"])
         .where(F.col("line").contains(F.col("symbol")))

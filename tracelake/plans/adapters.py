@@ -6,6 +6,8 @@ checks the results. All of them keep every row of their table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ SELECT CASE doc_id WHEN 0 THEN '/testbed/tests/test_core.py' WHEN 1 THEN '/testb
                 CASE WHEN doc_id % 4 = 3 THEN '.txt' ELSE '.py' END) END AS path, text AS content
 FROM {documents}""",
     "test_outputs": """
-SELECT o_orderkey AS instance_id, v.variant AS variant, o_orderdate AS recorded_at,
-  CASE CAST((o_orderkey + v.k) % 8 AS INT)
+SELECT o_orderkey AS instance_id, variant, o_orderdate AS recorded_at,
+  CASE CAST((o_orderkey + k) % 8 AS INT)
     WHEN 0 THEN concat('Ran 12 tests in 0.1s', chr(10), chr(10), 'OK')
     WHEN 1 THEN concat('Ran 9 tests in 0.1s', chr(10), 'FAILED (failures=', CAST(o_orderkey % 3 + 1 AS STRING), ', errors=1)')
     WHEN 2 THEN concat('FAIL: test_a', chr(10), '==== ', CAST(o_orderkey % 5 AS STRING), ' failed, 3 passed in 0.2s ====')
@@ -49,12 +51,11 @@ SELECT o_orderkey AS instance_id, v.variant AS variant, o_orderdate AS recorded_
     WHEN 5 THEN 'Traceback (most recent call last):'
     WHEN 6 THEN concat('ERROR: x', chr(10), 'FAILED (errors=2)', chr(10), '7 failed')
     ELSE '' END AS output,
-  CASE WHEN v.variant = 'baseline' THEN NULL
-    ELSE CASE CAST((o_orderkey + v.k) % 11 AS INT) WHEN 0 THEN 'Patch Apply Failed: all strategies failed'
+  CASE WHEN variant = 'baseline' THEN NULL
+    ELSE CASE CAST((o_orderkey + k) % 11 AS INT) WHEN 0 THEN 'Patch Apply Failed: all strategies failed'
       WHEN 1 THEN 'No unified diff could be extracted from model response.' WHEN 2 THEN 'Error code: 401 - Unauthorized'
       WHEN 3 THEN 'Test execution timed out after 60s' END END AS run_error
-FROM {orders} CROSS JOIN (SELECT 'baseline' AS variant, 0 AS k UNION ALL SELECT 'without_runtime', 3
-  UNION ALL SELECT 'with_runtime', 5) v""",
+FROM {order_variants}""",
     "eval_scripts": """
 SELECT p_partkey AS instance_id, p_brand AS brand,
   CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'PyTest -rA tests/' WHEN 1 THEN './tests/runtests.py --verbosity 2'
@@ -116,14 +117,30 @@ FROM {events}""",
 }
 
 
+# The runs of each order: variant and a number that varies its log.
+RUN_VARIANTS = (("baseline", 0), ("without_runtime", 3), ("with_runtime", 5))
+
+
+def order_variants(orders: DataFrame) -> DataFrame:
+    """Orders, once per variant."""
+    variants = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(k).alias("k")) for v, k in RUN_VARIANTS])
+    return orders.select("o_orderkey", "o_orderdate", F.inline(variants))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of the model over the tables in ``sf_dir``."""
-    sql = VIEWS[name]
+    return over(spark, VIEWS[name], lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def over(spark: SparkSession, sql: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """A view's SQL over tables that ``read`` gives, which may be streams."""
     for table in TABLES:
         if "{" + table + "}" in sql:
-            alias = f"tracelake_{table}"
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(alias)
-            sql = sql.replace("{" + table + "}", alias)
+            read(table).createOrReplaceTempView(f"tracelake_{table}")
+            sql = sql.replace("{" + table + "}", f"tracelake_{table}")
+    if "{order_variants}" in sql:
+        order_variants(read("orders")).createOrReplaceTempView("tracelake_order_variants")
+        sql = sql.replace("{order_variants}", "tracelake_order_variants")
     return spark.sql(sql)
 
 
@@ -145,9 +162,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("tool_calls", calls).drop("call_id", "call_name", "call_arguments")
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(outputs: DataFrame) -> DataFrame:
     """Variant runs: log, error, success and patch. A run without a diff has no patch."""
-    outputs = view(spark, sf_dir, "test_outputs")
     no_patch = F.col("run_error").startswith("No unified diff")
     return outputs.select(
         F.lit("run").alias("run_id"),
@@ -168,5 +184,7 @@ def with_views(names: list[str], select: str) -> str:
         sql = VIEWS[name]
         for table in TABLES:
             sql = sql.replace("{" + table + "}", table)
+        listed = " UNION ALL ".join(f"SELECT '{v}' AS variant, {k} AS k" for v, k in RUN_VARIANTS)
+        sql = sql.replace("{order_variants}", f"(SELECT * FROM orders, ({listed}))")
         ctes.append(f"{name} AS ({sql})")
     return "WITH " + ",\n".join(ctes) + "\n" + select if ctes else select

@@ -245,7 +245,7 @@ def parse_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes.outcomes(adapters.runs(spark, d))
+    return outcomes.outcomes(adapters.runs(adapters.view(spark, d, "test_outputs")))
 
 
 @query
@@ -773,23 +773,19 @@ def document_frames(spark: SparkSession, d: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------
 
 
+def _arriving(spark: SparkSession, d: str) -> Callable[[str], DataFrame]:
+    """Reads a table as a stream of its files."""
+
+    def read(table: str) -> DataFrame:
+        schema = spark.read.parquet(f"{d}/{table}.parquet").schema
+        return spark.readStream.schema(schema).parquet(f"{d}/{table}*.parquet")
+
+    return read
+
+
 def _order_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The runs of the test tables as they arrive: a stream over the orders files."""
-    schema = spark.read.parquet(f"{d}/orders.parquet").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{d}/orders*.parquet")
-    arriving.createOrReplaceTempView("tracelake_arriving_orders")
-    sql = adapters.VIEWS["test_outputs"].replace("{orders}", "tracelake_arriving_orders")
-    no_patch = F.coalesce(F.col("run_error").startswith("No unified diff"), F.lit(False))
-    return spark.sql(sql).select(
-        F.lit("run").alias("run_id"),
-        "instance_id",
-        "variant",
-        "recorded_at",
-        "output",
-        F.col("run_error").alias("error"),
-        F.col("run_error").isNull().alias("success"),
-        F.when(no_patch, "").otherwise("--- a/f.py").alias("patch"),
-    )
+    """The runs as they arrive."""
+    return adapters.runs(adapters.over(spark, adapters.VIEWS["test_outputs"], _arriving(spark, d)))
 
 
 @query
@@ -816,9 +812,6 @@ def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
 def stream_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames of arriving tracer events."""
     path = work_folder(spark, "stream-frames")
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
-    arriving.createOrReplaceTempView("tracelake_arriving_events")
-    events = spark.sql(adapters.VIEWS["trace_events"].replace("{events}", "tracelake_arriving_events"))
+    events = adapters.over(spark, adapters.VIEWS["trace_events"], _arriving(spark, d))
     jobs.write_stream(frames.assemble_traces(events, KEY), f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("trace_id", "kind", "pos", "file", "line", "func")

@@ -34,21 +34,18 @@ def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_DOCUMENT
     return read.drop("content").unionByName(large.drop("content"))
 
 
-def _elements(value: Column) -> Column:
-    """The elements of a JSON array, or null for a text that is not one."""
-    return F.from_json(value, T.ArrayType(T.VariantType()))
+def _parsed(value: Column) -> Column:
+    """The document as VARIANT, null if it is not JSON in UTF-8."""
+    return F.when(F.is_valid_utf8(value), F.try_parse_json(value))
 
 
-def document_problem(value: Column) -> Column:
+def document_problem(value: Column, parsed: Column) -> Column:
     """Why a trace document cannot be read, or null."""
     return (
         F.when(value.isNull(), F.lit("Trace file too large to parse as one document"))
         .when(~F.is_valid_utf8(value), F.lit("Invalid JSON in trace file: not UTF-8"))
-        .when(F.try_parse_json(value).isNull(), F.lit("Invalid JSON in trace file"))
-        .when(
-            ~F.schema_of_variant(F.try_parse_json(value)).startswith("ARRAY"),
-            F.lit("Invalid trace format: expected list"),
-        )
+        .when(parsed.isNull(), F.lit("Invalid JSON in trace file"))
+        .when(~F.schema_of_variant(parsed).startswith("ARRAY"), F.lit("Invalid trace format: expected list"))
     )
 
 
@@ -62,9 +59,10 @@ def parse_traces(documents: DataFrame, strict: bool = True) -> DataFrame:
     """
     value = F.col("value") if strict else F.make_valid_utf8(F.col("value"))
     rest = [c for c in documents.columns if c != "value"]
-    readable = documents.where(document_problem(F.col("value")).isNull()) if strict else documents
+    # Null, and so without rows, for anything but a list.
+    elements = F.try_variant_get(_parsed(value), "$", "array<variant>")
     traces = (
-        readable.select(*rest, F.posexplode(_elements(value)).alias("trace_pos", "_t"))
+        documents.select(*rest, F.posexplode(elements).alias("trace_pos", "_t"))
         .where(is_object(F.col("_t")))
         .select(
             *rest,
@@ -103,8 +101,9 @@ def _no_frames() -> Column:
 
 def trace_errors(documents: DataFrame, key: str = "instance_id") -> DataFrame:
     """One row per document that cannot be read, or has a trace with a bad frame."""
-    problem = document_problem(F.col("value"))
-    broken = documents.withColumn("error_message", problem).where("error_message is not null").select(key, "error_message")
+    parsed = documents.select(key, "value", _parsed(F.col("value")).alias("_v"))
+    problem = document_problem(F.col("value"), F.col("_v"))
+    broken = parsed.select(key, problem.alias("error_message")).where("error_message is not null")
     bad = (
         parse_traces(documents.select(key, "value"))
         .where("error is not null")
