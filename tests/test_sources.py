@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import metrics, outcomes
+from tracelake.plans import comparison
 from tracelake.sources import readers, writers
 
 GOOD = {"nodeid": "t", "exc_type": "E", "message": "m", "frames": [{"file": "a.py", "line": "12", "func": "f", "locals": {"k": "1"}}],
@@ -150,3 +151,14 @@ def test_dataset_tables(spark, tmp_path):
     assert readers.read_predictions(spark, f"{tmp_path}/p.jsonl").count() == 2
     (tmp_path / "p.json").write_text('[{"instance_id": "a"},\n {"instance_id": "b"}]')
     assert readers.read_predictions(spark, f"{tmp_path}/p.json").count() == 2
+
+
+def test_ingest_writes_traces_frames_and_errors(spark, base, tmp_path):
+    comparison.ingest_traces(spark, base, str(tmp_path))
+    frames = spark.read.parquet(f"{tmp_path}/frames").collect()
+    assert sorted((r.instance_id, r.trace_pos, r.kind, r.pos, r.line) for r in frames) == [
+        ("two", 0, "frames", 0, 12),
+        ("two", 0, "step_frames", 0, 1),
+    ]
+    errors = {r.instance_id for r in spark.read.json(f"{tmp_path}/errors").collect()}
+    assert errors == {"cut", "object", "bad_frame"}

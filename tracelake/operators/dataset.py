@@ -18,7 +18,8 @@ def select_instances(
 ) -> DataFrame:
     """Instances among the given ids, if any are given, and outside the given repositories."""
     if isinstance(ids, DataFrame):
-        instances = instances.join(ids.select(INSTANCE), INSTANCE, "left_semi")
+        # Distinct first: repeated ids are dropped before anything is shuffled.
+        instances = instances.join(ids.select(INSTANCE).distinct(), INSTANCE, "left_semi")
     elif ids:
         instances = instances.where(F.col(INSTANCE).isin(*ids))
     return instances.where(not_in_repos(exclude_repos)) if exclude_repos else instances
@@ -31,7 +32,7 @@ def exclude_repo_table(instances: DataFrame, repos: DataFrame) -> DataFrame:
     prefix test an equality for ids of the form ``owner__name-number``.
     """
     prefix = F.regexp_extract(INSTANCE, r"^(.*)-[^-]*$", 1)
-    excluded = repos.select(F.replace("repo", F.lit("/"), F.lit("__")).alias("_prefix"))
+    excluded = repos.select(F.replace("repo", F.lit("/"), F.lit("__")).alias("_prefix")).distinct()
     return instances.withColumn("_prefix", prefix).join(excluded, "_prefix", "left_anti").drop("_prefix")
 
 
@@ -48,7 +49,7 @@ def match_predictions(instances: DataFrame, predictions: DataFrame, order: str =
 
 def missing_predictions(instances: DataFrame, predictions: DataFrame) -> DataFrame:
     """Instances that have no prediction."""
-    return instances.join(predictions.select(INSTANCE), INSTANCE, "left_anti")
+    return instances.join(predictions.select(INSTANCE).distinct(), INSTANCE, "left_anti")
 
 
 def detect_framework(specs: DataFrame, cache: DataFrame | None = None, script: str = "eval_script") -> DataFrame:

@@ -29,6 +29,9 @@ CONTEXT_FILES = 4
 UNKNOWN = "<unknown>"
 EVENT_KINDS = {"call": "exec_path", "line": "step_frames", "return": "frames"}
 
+# Positions stay far below this power of two.
+BRANCH_BITS = 48
+
 # Up to this limit Spark keeps only the leading rows of a group before it shuffles.
 _WINDOW_LIMIT = 1000
 
@@ -355,13 +358,12 @@ def exception_histogram(traces: DataFrame, order: str = "trace_pos") -> DataFram
 def trace_context_frames(frames: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
     """Traceback and execution path as one list, the traceback first.
 
-    ``ord`` sorts the list: the branch, then the position in the branch.
+    ``ord`` sorts the list: the branch in its upper bits, then the position. One
+    number, so that aggregates over it stay hash aggregates.
     """
+    branch = F.when(F.col("kind") == "frames", 0).otherwise(1).cast("bigint")
     return frames.where(F.col("kind").isin("frames", "exec_path")).select(
-        *keys,
-        F.struct(F.when(F.col("kind") == "frames", 0).otherwise(1).alias("branch"), F.col("pos")).alias("ord"),
-        "file",
-        "line",
+        *keys, (F.shiftleft(branch, BRANCH_BITS) + F.col("pos")).alias("ord"), "file", "line"
     )
 
 

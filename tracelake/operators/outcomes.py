@@ -23,41 +23,27 @@ def outcomes(runs: DataFrame) -> DataFrame:
     return judged.select(*runs.columns, "_o.*")
 
 
-def with_baseline(results: DataFrame, columns: Sequence[str], keys: Sequence[str] = RUN_KEY) -> DataFrame:
-    """Variant rows with the baseline's ``columns`` of their instance, prefixed ``baseline_``.
+def verdicts(results: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:
+    """The verdict of each variant run against the baseline of its instance.
 
     One aggregate per instance instead of a self-join: the rows of an instance
-    are folded into one row per variant on the map side, then unfolded.
+    are folded into one row on the map side, with only the columns a verdict
+    takes, and unfolded after the shuffle.
     """
-    rest = [c for c in results.columns if c not in keys]
-    row = F.struct(*rest)
+    row = F.struct("status", "failure_count", "run_skipped")
     folded = results.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("variant") == name, row)).alias(name)
-            for name in (BASELINE, *VARIANTS)
-        ]
-    )
-    unfolded = folded.select(
-        *keys,
-        *[F.col(BASELINE)[c].alias(f"baseline_{c}") for c in columns],
-        F.explode(F.array_compact(F.array(*VARIANTS))).alias("_row"),
+        *[F.max(F.when(F.col("variant") == name, row)).alias(name) for name in (BASELINE, *VARIANTS)]
     )
-    return unfolded.select(*keys, *[f"baseline_{c}" for c in columns], "_row.*")
+    base = F.col(BASELINE)
 
+    def judged(name: str) -> Column:
+        part = F.col(name)
+        result = verdict(
+            base["status"], base["failure_count"], part["status"], part["failure_count"], part["run_skipped"]
+        )
+        return F.when(part.isNotNull(), F.struct(F.lit(name).alias("variant"), part["status"].alias("status"), result.alias("verdict")))
 
-def verdicts(results: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:
-    """The verdict of each variant run against the baseline of its instance."""
-    paired = with_baseline(results, ("status", "failure_count"), keys)
-    return paired.withColumn(
-        "verdict",
-        verdict(
-            F.col("baseline_status"),
-            F.col("baseline_failure_count"),
-            F.col("status"),
-            F.col("failure_count"),
-            F.col("run_skipped"),
-        ),
-    )
+    return folded.select(*keys, F.inline(F.array_compact(F.array(*[judged(v) for v in VARIANTS]))))
 
 
 def normalize_records(results: DataFrame, missing_status: Column | None = None) -> DataFrame:

@@ -135,24 +135,22 @@ def resolve_patches(messages: DataFrame, keys: Sequence[str] = SESSION) -> DataF
     a diff, or an ``apply_patch`` call with a patch; else the last reply that
     holds a diff; else an empty text.
     """
-    replies = messages.where(F.col("role") == "assistant")
+    reply = F.col("role") == "assistant"
     no_calls = F.coalesce(F.size("tool_calls"), F.lit(0)) < 1
     submitted = F.transform(
-        F.filter(
-            F.coalesce("tool_calls", F.array().cast(messages.schema["tool_calls"].dataType)),
-            lambda c: strip(F.coalesce(c["name"], F.lit(""))) == APPLY_PATCH,
-        ),
+        F.filter("tool_calls", lambda c: strip(F.coalesce(c["name"], F.lit(""))) == APPLY_PATCH),
         lambda c: strip(
             F.coalesce(F.try_variant_get(F.try_parse_json(c["arguments"]), "$.patch", "string"), F.lit(""))
         ),
     )
     first = F.get(F.filter(submitted, lambda p: p != ""), F.lit(0))
-    per_turn = replies.select(
+    found = F.nullif(extract_diff(F.coalesce("content", F.lit(""))), F.lit(""))
+    per_turn = messages.select(
         *keys,
         "turn",
         no_calls.alias("_plain"),
-        F.nullif(extract_diff(F.coalesce("content", F.lit(""))), F.lit("")).alias("_found"),
-        F.concat(first, F.lit("\n")).alias("_submitted"),
+        F.when(reply, found).alias("_found"),
+        F.when(reply, F.concat(first, F.lit("\n"))).alias("_submitted"),
     )
     final = F.when(F.col("_plain"), F.col("_found")).otherwise(F.col("_submitted"))
     # A null order is skipped, so both pick among the turns that hold a patch.
@@ -160,10 +158,7 @@ def resolve_patches(messages: DataFrame, keys: Sequence[str] = SESSION) -> DataF
         F.min_by("_final", F.when(F.col("_final").isNotNull(), F.col("turn"))).alias("_ending"),
         F.max_by("_found", F.when(F.col("_found").isNotNull(), F.col("turn"))).alias("_last"),
     )
-    sessions = messages.select(*keys).distinct()
-    return sessions.join(chosen, list(keys), "left").select(
-        *keys, F.coalesce("_ending", "_last", F.lit("")).alias("patch")
-    )
+    return chosen.select(*keys, F.coalesce("_ending", "_last", F.lit("")).alias("patch"))
 
 
 def session_stats(messages: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:

@@ -285,7 +285,7 @@ check(
 check(
     "file_line_map",
     ["used_files"],
-    "SELECT l.trace_id, l.file, l.line, u.branch AS file_branch, u.pos AS file_pos, l.branch, l.pos "
+    "SELECT l.trace_id, l.file, l.line, u.branch * 281474976710656 + u.pos AS file_pos, l.branch * 281474976710656 + l.pos AS ord "
     "FROM listed l JOIN used_files u ON l.trace_id = u.trace_id AND l.file = u.file",
 )
 check(
@@ -356,6 +356,13 @@ RUN_METRICS = (
     "FROM variant_totals v JOIN count_texts c ON v.variant = c.variant JOIN reason_texts r ON v.variant = r.variant"
 )
 check("run_metrics", ["variant_totals", "count_texts", "reason_texts"], RUN_METRICS)
+check("evaluated_metrics", ["variant_totals", "count_texts", "reason_texts"], RUN_METRICS)
+check(
+    "evaluated_runs",
+    ["pairs", "reasons"],
+    "SELECT p.instance_id, p.variant, r.status, p.verdict, r.failure_reason, r.raw_error_excerpt FROM pairs p "
+    "JOIN reasons r ON p.instance_id = r.instance_id AND p.variant = r.variant",
+)
 check("stored_index_metrics", ["variant_totals", "count_texts", "reason_texts"], RUN_METRICS)
 check(
     "collection_summary",

@@ -14,7 +14,7 @@ from tracelake.functions.classify import classify_framework, parse_outcome
 from tracelake.functions.paths import normalize_path
 from tracelake.functions.predicates import failing_tests_only, testbed_only
 from tracelake.operators import dataset, frames, metrics, outcomes, patches, render, source, transcripts
-from tracelake.plans import adapters
+from tracelake.plans import adapters, comparison
 from tracelake.session import work_folder
 from tracelake.sources import readers, writers
 from tracelake.streaming import jobs
@@ -166,15 +166,7 @@ def exception_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query
 def file_line_map(spark: SparkSession, d: str) -> DataFrame:
     listed = frames.file_line_map(frames.trace_context_frames(_frames(spark, d), KEY), KEY, "ord")
-    return listed.select(
-        "trace_id",
-        "file",
-        "line",
-        F.col("file_pos.branch").alias("file_branch"),
-        F.col("file_pos.pos").alias("file_pos"),
-        F.col("ord.branch").alias("branch"),
-        F.col("ord.pos").alias("pos"),
-    )
+    return listed.select("trace_id", "file", "line", "file_pos", "ord")
 
 
 def _used_files(spark: SparkSession, d: str) -> DataFrame:
@@ -706,26 +698,42 @@ def exception_texts(spark: SparkSession, d: str) -> DataFrame:
     return traces.select("trace_id", text.exception_text(F.col("exc_type"), F.col("message")).alias("exception"))
 
 
+TEXTS = comparison.PromptTexts(INTRO, INSTRUCTIONS, RUNTIME, PATCH_FORMAT)
+
+
 @query
 def comparison_prompts(spark: SparkSession, d: str) -> DataFrame:
     traces = adapters.view(spark, d, "traces").select("trace_id", "nodeid", "exc_type", "message")
-    paths = render.exec_path_text(_exec_path(spark, d), KEY)
-    focus = traces.select("trace_id").join(_focus(spark, d), list(KEY), "left")
-    tests = source.testcase_source(focus, _files(spark, d), 25, ()).select("trace_id", "testcase_source")
-    summary = text.failure_summary(F.col("nodeid"), F.col("exc_type"), F.col("message"), F.lit(""), F.lit(True))
-    instances = (
-        traces.join(paths, list(KEY), "left").join(tests, list(KEY)).withColumn("failure_summary", summary)
+    prompts = comparison.comparison_prompts(
+        traces, _frames(spark, d), _files(spark, d), TEXTS, keys=KEY, file_keys=()
     )
-    return render.build_prompts(instances, INTRO, INSTRUCTIONS, RUNTIME).select("trace_id", "variant", "prompt")
+    return prompts.select("trace_id", "variant", "prompt")
 
 
 @query
 def debug_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Prompts with the rendered frames, one row per page of frames."""
-    pages = render.render_frames(_traceback(spark, d), _files(spark, d), KEY, 2, ())
-    traces = adapters.view(spark, d, "traces").join(pages, list(KEY)).withColumnRenamed("text", "runtime_trace")
-    texts = {"intro": INTRO, "instructions": INSTRUCTIONS, "patch_format": PATCH_FORMAT}
-    return render.build_debug_prompts(traces, texts).select("trace_id", "page", "prompt")
+    options = comparison.ComparisonOptions(context_lines=2)
+    prompts = comparison.debug_prompts(
+        adapters.view(spark, d, "traces"), _frames(spark, d), _files(spark, d), TEXTS, options, KEY, ()
+    )
+    return prompts.select("trace_id", "page", "prompt")
+
+
+@query
+def evaluated_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evaluation job: verdicts next to the records they belong to."""
+    runs = adapters.runs(adapters.view(spark, d, "test_outputs"))
+    result = comparison.evaluate(runs, _header(spark, runs), work_folder(spark, "evaluation"))
+    records = result.records.select("run_id", "instance_id", "variant", "failure_reason", "raw_error_excerpt")
+    return result.verdicts.join(records, ["run_id", "instance_id", "variant"]).drop("run_id")
+
+
+@query
+def evaluated_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of the whole evaluation job."""
+    runs = adapters.runs(adapters.view(spark, d, "test_outputs"))
+    return _flat_metrics(comparison.evaluate(runs, _header(spark, runs), work_folder(spark, "evaluation")).metrics)
 
 
 # --- documents ---------------------------------------------------------------------------
