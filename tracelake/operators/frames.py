@@ -32,8 +32,8 @@ EVENT_KINDS = {"call": "exec_path", "line": "step_frames", "return": "frames"}
 # Positions stay far below this power of two.
 BRANCH_BITS = 48
 
-# Up to this limit Spark keeps only the leading rows of a group before it shuffles.
-_WINDOW_LIMIT = 1000
+# Up to this limit, 1000 by default, Spark keeps only the leading rows of a group before it shuffles.
+WINDOW_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 # --- projections -----------------------------------------------------------
@@ -128,14 +128,22 @@ def nest_frames(frames: DataFrame, keys: Sequence[str] = TRACE_KEY, page_frames:
     A trace of up to one page is one row; a longer one is several, so that no
     row grows with the trace. An empty ``meta`` is left out as null.
     """
-    entry = F.struct(
-        "pos", "file", "line", "func", "locals", F.when(F.size("meta") > 0, F.col("meta")).alias("meta")
-    )
-    by_position = F.array_sort(
-        F.collect_list(entry), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+    # Maps have no order, so they travel as entries; positions decide the order.
+    row = F.struct(
+        "pos", "file", "line", "func", F.map_entries("locals").alias("locals"), F.map_entries("meta").alias("meta")
     )
+
+    def entry(r: Column) -> Column:
+        return F.struct(
+            r["file"].alias("file"),
+            r["line"].alias("line"),
+            r["func"].alias("func"),
+            F.map_from_entries(r["locals"]).alias("locals"),
+            F.when(F.size(r["meta"]) > 0, F.map_from_entries(r["meta"])).alias("meta"),
+        )
+
     return frames.groupBy(*keys, "kind", F.floor(F.col("pos") / page_frames).alias("page")).agg(
-        F.transform(by_position, lambda f: f.dropFields("pos")).alias("frames")
+        F.transform(F.array_sort(F.collect_list(row)), entry).alias("frames")
     )
 
 
@@ -201,7 +209,7 @@ def cap_frames(
     """The first ``n`` frames of each trace."""
     if n < 0:
         raise ValueError("n must be >= 0")
-    if n > _WINDOW_LIMIT:
+    if n > int(frames.sparkSession.conf.get(WINDOW_LIMIT_SETTING, "1000")):
         return leading_rows(frames, keys, order, n)
     first = Window.partitionBy(*keys).orderBy(order)
     return frames.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_n")

@@ -20,6 +20,8 @@ def build_session(app: str = "tracelake", cores: str = "*", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Lets the default cap on step frames drop rows before the shuffle.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "2000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
