@@ -50,8 +50,11 @@ def test_search_requests_equals_brute_force(spark, files):
         for n, line in enumerate(content.splitlines())
         if s.strip() and fi == i and path.endswith(".py") and s.strip() in line
     )
-    got = source.search_requests(files, requests).collect()
-    assert sorted((r.request_id, r.path, r.line_no) for r in got) == want
+    hits = source.search_requests(files, requests)
+    assert sorted((r.request_id, r.path, r.line_no) for r in hits.collect()) == want
+    status = {r.request_id: (r.status, r.error, r.hits) for r in source.search_status(requests, source.symbol_hits(files, requests)).collect()}
+    assert status[5] == ("error", "Missing argument: symbol", 0)
+    assert status[4] == ("ok", None, 0) and status[2][2] == len([w for w in want if w[0] == 2])
 
 
 def test_open_ranges(spark, files):
@@ -148,7 +151,8 @@ def test_metrics(spark, results):
     assert (without.success_rate, without.failure_rate) == (0.5, 0.5)
     assert without.status_counts == {"passed": 1, "failed": 1} and without.failure_reason_counts == {"test_timeout": 1}
     assert got["r"].with_runtime.failure_reason_counts == {"no_patch_generated": 1, "patch_apply_failed": 1}
-    assert got["empty"].with_runtime is None
+    empty = got["empty"].with_runtime
+    assert (empty.total_instances, empty.success_rate, empty.status_counts) == (0, 0.0, {})
     long = {r.variant: r for r in metrics.variant_metrics(records).collect()}
     assert long["without_runtime"].success_rate == 0.5
 

@@ -96,8 +96,19 @@ def run_metrics(
         .groupBy(*keys)
         .agg(*[F.any_value(F.when(F.col("variant") == v, F.col("metrics")), True).alias(v) for v in VARIANTS])
     )
+    # A run without records has zero counts, not nulls.
+    none = F.struct(
+        F.lit(0).cast("bigint").alias("total_instances"),
+        F.lit(0).cast("bigint").alias("success_count"),
+        F.lit(0).cast("bigint").alias("failure_count"),
+        F.lit(0.0).alias("success_rate"),
+        F.lit(0.0).alias("failure_rate"),
+        F.create_map().cast("map<string,bigint>").alias("status_counts"),
+        F.create_map().cast("map<string,bigint>").alias("failure_reason_counts"),
+    )
     kept = [c for c in ("run_id", "dataset", "split", "model", "created_at", "completed_at") if c in headers.columns]
-    return headers.select(*kept).join(wide, list(keys), "left")
+    joined = headers.select(*kept).join(wide, list(keys), "left")
+    return joined.select(*kept, *[F.coalesce(v, none).alias(v) for v in VARIANTS])
 
 
 def _count_map(name: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,10 @@ from tracelake.functions.classify import classify_failure_reason, run_outcome, v
 from tracelake.functions.text import excerpt, first_non_empty, utc_iso
 from tracelake.schemas import BASELINE, RUN_KEY, VARIANTS, WITH_RUNTIME, WITHOUT_RUNTIME
 
+# Where a run left its artifacts, as far as they are known.
+BASELINE_PATHS = ("trace_path", "test_output_path")
+VARIANT_PATHS = ("prompt_path", "response_path", "patch_path", "test_output_path")
+
 
 def outcomes(runs: DataFrame) -> DataFrame:
     """Runs (patch, success, error, output) with their outcome columns.
@@ -70,9 +74,9 @@ def normalize_records(results: DataFrame, missing_status: Column | None = None)
 def build_records(results: DataFrame, keys: Sequence[str] = RUN_KEY, recorded_at: Column | None = None) -> DataFrame:
     """One row per instance: the baseline record, a map of variant records and the time."""
     fields = ("status", "failure_count", "ran_tests", "summary_line", "failure_reason", "raw_error_excerpt")
-    record = F.struct(*fields)
 
     def of(name: str) -> Column:
+        record = F.struct(*fields, *_known(results, BASELINE_PATHS if name == BASELINE else VARIANT_PATHS))
         return F.max(F.when(F.col("variant") == name, record))
 
     return normalize_records(results).groupBy(*keys).agg(
@@ -88,6 +92,8 @@ def report_results(reports: DataFrame) -> DataFrame:
 
     A missing section still gives a row, as the record of an instance must.
     """
+    known = {name: reports.schema[name].dataType.names for name in (BASELINE, *VARIANTS)}
+
     def section(name: str) -> Column:
         part = F.col(name)
         return F.struct(
@@ -98,7 +104,10 @@ def report_results(reports: DataFrame) -> DataFrame:
             part["outcome"]["summary_line"].alias("summary_line"),
             part["run_result"]["error"].alias("error"),
             part["run_result"]["traceback"].alias("traceback"),
-            part["test_output_path"].alias("test_output_path"),
+            *[
+                (part[path] if path in known[name] else F.lit(None).cast("string")).alias(path)
+                for path in dict.fromkeys(BASELINE_PATHS + VARIANT_PATHS)
+            ],
         )
 
     keep = [c for c in ("run_id", "instance_id", "framework") if c in reports.columns]
@@ -121,8 +130,9 @@ def build_reports(
     """
     outcome = F.struct("status", "failure_count", "ran_tests", "summary_line")
     run = F.struct("success", F.col("instance_id").cast("string").alias("instance_id"), "framework", "error")
+    paths = _known(results, dict.fromkeys(BASELINE_PATHS + VARIANT_PATHS))
     row = F.struct(
-        outcome.alias("outcome"), run.alias("run_result"), "run_skipped", "patch", "framework", "has_trace"
+        outcome.alias("outcome"), run.alias("run_result"), "run_skipped", "patch", "framework", "has_trace", *paths
     )
 
     def of(name: str) -> Column:
@@ -136,6 +146,7 @@ def build_reports(
             part["run_skipped"].alias("run_skipped"),
             part["run_result"].alias("run_result"),
             part["outcome"].alias("outcome"),
+            *[part[path].alias(path) for path in _known(results, VARIANT_PATHS)],
         )
 
     def verdict_of(name: str) -> Column:
@@ -158,6 +169,7 @@ def build_reports(
             base["run_result"].alias("run_result"),
             F.when(base["has_trace"], 1).otherwise(0).alias("trace_count"),
             base["outcome"].alias("outcome"),
+            *[base[path].alias(path) for path in _known(results, BASELINE_PATHS)],
         ).alias(BASELINE),
         *[variant_report(name).alias(name) for name in VARIANTS],
         F.create_map(
@@ -175,6 +187,10 @@ def build_reports(
     )
 
 
+def _known(df: DataFrame, names: Iterable[str]) -> list[str]:
+    return [name for name in names if name in df.columns]
+
+
 def split_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Successful and failed runs; a missing flag is a failure."""
     ok = F.coalesce("success", F.lit(False))

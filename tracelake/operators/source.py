@@ -168,23 +168,23 @@ def search_symbol(
     )
 
 
-def search_requests(
-    files: DataFrame, requests: DataFrame, keys: Sequence[str] = INSTANCE, request_key: str = "request_id"
-) -> DataFrame:
-    """Hits for a table of (request, keys, symbol); literal search.
+def symbol_hits(files: DataFrame, symbols: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
+    """Lines of ``.py`` files that hold a symbol of a table of (keys, symbol); literal search.
 
-    A symbol is sought by its longest part without a blank, which must lie in
-    one word of a line. Every distinct word is matched once, by an equi-join on
-    the first letters of that part, and only lines with a matching word are
-    tested in full.
+    Each symbol is searched once, however often it is listed. It is sought by
+    its longest part without a blank, which must lie in one word of a line.
+    Every distinct word is matched once, by an equi-join on the first letters of
+    that part, and only lines with a matching word are tested in full.
     """
     symbol = strip(F.col("symbol"))
     part = F.aggregate(
-        F.split(symbol, " "), F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)
+        F.split("symbol", " "), F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)
     )
     asked = (
-        requests.where(symbol != "")
-        .select(request_key, *keys, symbol.alias("symbol"), part.alias("part"))
+        symbols.where(symbol != "")
+        .select(*keys, symbol.alias("symbol"))
+        .distinct()
+        .withColumn("part", part)
         .withColumn("gram", F.substring("part", 1, GRAM))
     )
     lines = source_lines(files.where(F.col("path").endswith(".py")), keys).where(F.col("line") != "")
@@ -199,15 +199,46 @@ def search_requests(
     matches = (
         grams.join(asked, [*keys, "gram"])
         .where(F.col("word").contains(F.col("part")))
-        .select(request_key, *keys, "symbol", "word")
-    )
-    candidates = (
-        words.join(matches, [*keys, "word"]).select(request_key, *keys, "symbol", "path", "line_no").distinct()
+        .select(*keys, "symbol", "word")
     )
+    candidates = words.join(matches, [*keys, "word"]).select(*keys, "symbol", "path", "line_no").distinct()
     return (
         lines.join(candidates, [*keys, "path", "line_no"])
         .where(F.col("line").contains(F.col("symbol")))
-        .select(request_key, *keys, "symbol", "path", "line_no", _hit().alias("hit"))
+        .select(*keys, "symbol", "path", "line_no", _hit().alias("hit"))
+    )
+
+
+def search_requests(
+    files: DataFrame, requests: DataFrame, keys: Sequence[str] = INSTANCE, request_key: str = "request_id"
+) -> DataFrame:
+    """Hits for a table of (request, keys, symbol), one row per request and hit."""
+    asked = requests.select(request_key, *keys, strip(F.col("symbol")).alias("symbol"))
+    return salted_join(
+        symbol_hits(files, requests, keys), asked, [*keys, "symbol"], ["path", "line_no"], how="inner"
+    ).select(request_key, *keys, "symbol", "path", "line_no", "hit")
+
+
+def search_status(
+    requests: DataFrame, hits: DataFrame, keys: Sequence[str] = INSTANCE, request_key: str = "request_id"
+) -> DataFrame:
+    """Each request with its status and number of hits, from the hits of ``symbol_hits``.
+
+    No hits are ok, a blank symbol is not. Hits are counted per symbol before
+    they meet the requests.
+    """
+    counts = hits.groupBy(*keys, F.col("symbol").alias("_symbol")).agg(F.count(F.lit(1)).alias("hits"))
+    asked = requests.select(
+        request_key, *keys, "symbol", strip(F.coalesce("symbol", F.lit(""))).alias("_symbol")
+    )
+    blank = F.col("_symbol") == ""
+    return asked.join(counts, [*keys, "_symbol"], "left").select(
+        request_key,
+        *keys,
+        "symbol",
+        F.when(blank, "error").otherwise("ok").alias("status"),
+        F.when(blank, F.lit("Missing argument: symbol")).alias("error"),
+        F.coalesce("hits", F.lit(0)).alias("hits"),
     )
 
 

@@ -460,6 +460,15 @@ check(
     "SELECT item_id AS request_id, string_split(text, ' ')[1] AS symbol, path, CAST(i AS INT) AS line_no FROM split_source, "
     "unnest(range(1, len(lines) + 1)) AS u(i), benchmark WHERE ends_with(path, '.py') AND contains(lines[i], string_split(text, ' ')[1])",
 )
+check(
+    "search_statuses",
+    ["split_source"],
+    "SELECT c.conv_id * 1000 + c.turn AS request_id, CASE WHEN role = 'system' THEN ' ' ELSE role END AS symbol, "
+    "CASE WHEN role = 'system' THEN 'error' ELSE 'ok' END AS status, CASE WHEN role = 'system' THEN 'Missing argument: symbol' END AS error, "
+    "CASE WHEN role = 'system' THEN 0 ELSE n END AS hits FROM conversations c JOIN (SELECT word, count(path) AS n FROM "
+    "(SELECT DISTINCT role AS word FROM conversations) LEFT JOIN (SELECT path, unnest(lines) AS line FROM split_source WHERE ends_with(path, '.py')) "
+    "ON contains(line, word) GROUP BY word) w ON c.role = w.word",
+)
 check(
     "project_tree",
     ["source_files"],
@@ -696,5 +705,10 @@ check(
     ["reasons"],
     "SELECT instance_id, variant, status, failure_count, failure_reason, raw_error_excerpt FROM reasons",
 )
+check(
+    "stream_report_records",
+    ["reasons"],
+    "SELECT instance_id, variant, status, failure_count, failure_reason FROM reasons",
+)
 check("stream_metrics", ["variant_totals"], "SELECT * FROM variant_totals")
 check("stream_frames", ["frames"], "SELECT trace_id, kind, pos, file, line, func FROM frames")

@@ -530,6 +530,18 @@ def search_requests(spark: SparkSession, d: str) -> DataFrame:
     return source.search_requests(_files(spark, d), requests, ()).select("request_id", "symbol", "path", "line_no")
 
 
+@query
+def search_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Searches for the conversations' roles and for blanks, with their hit counts."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    requests = turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.when(F.col("role") == "system", " ").otherwise(F.col("role")).alias("symbol"),
+    )
+    hits = source.symbol_hits(_files(spark, d), requests, ())
+    return source.search_status(requests, hits, ())
+
+
 @query
 def project_tree(spark: SparkSession, d: str) -> DataFrame:
     return source.project_tree(_files(spark, d), ())
@@ -806,6 +818,18 @@ def stream_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def stream_report_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of reports that arrive as files."""
+    path = work_folder(spark, "stream-reports")
+    writers.write_reports(outcomes.build_reports(_report_input(spark, d)), f"{path}/reports")
+    arriving = spark.readStream.schema(schemas.REPORT).json(f"{path}/reports/run_id=*")
+    jobs.write_stream(jobs.report_stream(arriving), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(
+        F.col("instance_id").cast("bigint").alias("instance_id"), "variant", "status", "failure_count", "failure_reason"
+    )
+
+
 @query
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
     path = work_folder(spark, "stream-metrics")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracelake.operators.outcomes import normalize_records, outcomes
+from tracelake.operators.outcomes import normalize_records, outcomes, report_results
 
 RECORD_KEY = ("run_id", "instance_id", "variant")
 
@@ -18,6 +18,11 @@ def record_stream(runs: DataFrame) -> DataFrame:
     return normalize_records(outcomes(runs)).drop("output", "patch")
 
 
+def report_stream(reports: DataFrame) -> DataFrame:
+    """Arriving comparison reports as index records, three rows per report."""
+    return normalize_records(report_results(reports))
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a Parquet table, taking what has arrived and then ending."""
     return (
