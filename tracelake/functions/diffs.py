@@ -17,10 +17,11 @@ DIFF_START = r"(?s)(?:\A|\n)((?:diff --git |--- ).*)"
 FILE_STARTS = r"(?md)(?=^--- )"
 PAIRED_FILE_STARTS = r"(?md)(?=^--- [^\n]*\n\+\+\+ )"
 BARE_FENCE = r"(?md)^```$"
-FILE_HEADER = r"\A--- ([^\n]*)\n\+\+\+ ([^\n]*)"
+NEW_FILE_LINE = r"\A--- [^\n]*\n(\+\+\+ [^\n]*)"
+ODD_PATH = r"(?:\A|/)\.?(?:/|\z)"
 HUNK_FOLLOWS = r"\A[^\n]*\n[^\n]*\n@@"
 HUNK_STARTS = r"(?md)(?=^@@)"
-HUNK_HEADER = r"\A@@ -([0-9]+),?([0-9]*) \+([0-9]+),?([0-9]*) @@"
+HUNK_HEADER = r"(?s)\A@@ -([0-9]+),?([0-9]*) \+([0-9]+),?([0-9]*) @@.*"
 
 
 def extract_diff(text: Column) -> Column:
@@ -41,16 +42,25 @@ def parse_diff(text: Column, strict: bool = False) -> Column:
     ``diff --git`` line does not join the hunk before it.
     """
     plain = unix_lines(F.coalesce(text, F.lit("")))
-    blocks = F.filter(
-        F.split(plain, PAIRED_FILE_STARTS if strict else FILE_STARTS), lambda b: b.startswith("--- ")
-    )
+    parts = F.split(plain, PAIRED_FILE_STARTS if strict else FILE_STARTS)
+    some = F.when(plain.contains("--- "), parts).otherwise(F.array().cast("array<string>"))
+    blocks = F.filter(some, lambda b: b.startswith("--- "))
     if not strict:
         blocks = F.transform(blocks, lambda b: F.get(F.split(b, BARE_FENCE, 2), F.lit(0)))
-    # Each transform binds one intermediate, so that it is computed once per block.
-    with_hunks = F.transform(
-        blocks, lambda b: F.struct(b.alias("text"), F.transform(_hunk_texts(b), lambda h: _hunk(h, strict)).alias("hunks"))
+    # Each transform binds what the next one uses, so that it is worked out once.
+    named = F.transform(
+        blocks, lambda b: F.struct(b.alias("text"), F.regexp_extract(b, NEW_FILE_LINE, 1).alias("new"))
+    )
+    read = F.transform(
+        named,
+        lambda b: F.struct(
+            b["text"].alias("text"),
+            b["new"].alias("new"),
+            strip(F.substring(b["new"], 5, 2**30)).alias("path"),
+            _hunks(b["text"], strict).alias("hunks"),
+        ),
     )
-    return F.transform(with_hunks, _file)
+    return F.transform(read, _file)
 
 
 def diff_error(files: Column) -> Column:
@@ -58,28 +68,39 @@ def diff_error(files: Column) -> Column:
     return F.get(F.filter(F.transform(files, lambda f: f["error"]), lambda e: e.isNotNull()), F.lit(0))
 
 
-def _hunk_texts(block: Column) -> Column:
-    return F.filter(
-        F.when(block.rlike(HUNK_FOLLOWS), F.split(block, HUNK_STARTS)).otherwise(F.array().cast("array<string>")),
-        lambda h: h.startswith("@@"),
+def _hunks(block: Column, strict: bool) -> Column:
+    none = F.array().cast("array<string>")
+    texts = F.filter(
+        F.when(block.rlike(HUNK_FOLLOWS), F.split(block, HUNK_STARTS)).otherwise(none), lambda h: h.startswith("@@")
+    )
+    cut = F.transform(texts, lambda h: F.split(F.regexp_replace(h, r"\n\z", ""), "\n"))
+    # A header that does not match stays as it is, and its first field is no number.
+    numbered = F.transform(
+        cut,
+        lambda lines: F.struct(
+            lines.alias("lines"),
+            F.split(F.regexp_replace(F.get(lines, F.lit(0)), HUNK_HEADER, "$1,$2,$3,$4"), ",").alias("n"),
+        ),
     )
+    return F.transform(numbered, lambda h: _hunk(h["lines"], h["n"], strict))
 
 
-def _hunk(text: Column, strict: bool) -> Column:
-    def number(group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, HUNK_HEADER, group), F.lit("")).try_cast("bigint")
+def _hunk(lines: Column, numbers: Column, strict: bool) -> Column:
+    def number(i: int) -> Column:
+        # Only digits are cast: a cast that fails is costly.
+        text = F.get(numbers, F.lit(i))
+        return F.when((F.size(numbers) == 4) & (text != ""), text.try_cast("bigint"))
 
     one = F.lit(1).cast("bigint")
-    old_len, new_len = F.coalesce(number(2), one), F.coalesce(number(4), one)
-    all_lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
-    lines = F.slice(all_lines, 2, F.greatest(F.size(all_lines) - 1, F.lit(0)))
+    old_len, new_len = F.coalesce(number(1), one), F.coalesce(number(3), one)
+    body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     return F.struct(
-        number(1).alias("old_start"),
+        number(0).alias("old_start"),
         old_len.alias("old_len"),
-        number(3).alias("new_start"),
+        number(2).alias("new_start"),
         new_len.alias("new_len"),
-        (_take_by_lengths(lines, old_len, new_len) if strict else lines).alias("lines"),
-        F.when(~text.rlike(HUNK_HEADER), F.get(all_lines, F.lit(0))).alias("bad_header"),
+        (_take_by_lengths(body, old_len, new_len) if strict else body).alias("lines"),
+        F.when(number(0).isNull(), F.get(lines, F.lit(0))).alias("bad_header"),
     )
 
 
@@ -87,10 +108,11 @@ def _file(block: Column) -> Column:
     bad = F.get(F.filter(F.transform(block["hunks"], lambda h: h["bad_header"]), lambda h: h.isNotNull()), F.lit(0))
     old_path = strip(F.regexp_extract(block["text"], r"\A--- ([^\n]*)", 1))
     error = F.when(
-        ~block["text"].rlike(FILE_HEADER), F.concat(F.lit("invalid diff: missing +++ after '"), old_path, F.lit("'"))
-    ).when(bad.isNotNull(), F.concat(F.lit("bad hunk header: '"), bad, F.lit("'")))
+        block["new"] == "", F.concat(F.lit("invalid diff: missing +++ after '"), old_path, F.lit("'"))
+    ).otherwise(F.concat(F.lit("bad hunk header: '"), bad, F.lit("'")))
+    path = block["path"]
     return F.struct(
-        _clean_path(strip(F.regexp_extract(block["text"], FILE_HEADER, 2))).alias("path"),
+        F.when(path.rlike(ODD_PATH), _clean_path(path)).otherwise(path).alias("path"),
         F.transform(block["hunks"], lambda h: h.dropFields("bad_header")).alias("hunks"),
         error.alias("error"),
     )
