@@ -142,12 +142,16 @@ def tool_result(name: Column, status: Column, output: Column, max_chars: int | N
 
 
 def utc_iso(at: Column | None = None) -> Column:
-    """ISO-8601 text of a timestamp; the session zone must be UTC."""
-    return F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    """ISO-8601 text of a timestamp, in UTC whatever the session zone."""
+    return F.date_format(_utc(at), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
 def run_stamp(at: Column | None = None) -> Column:
-    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd'T'HHmmss'Z'")
+    return F.date_format(_utc(at), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def _utc(at: Column | None) -> Column:
+    return F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone())
 
 
 def _int(value: Column | int) -> Column:
