@@ -10,6 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import connect, difference  # noqa: E402
+from tracelake.plans.oracles import ORACLES  # noqa: E402
+from tracelake.plans.queries import QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +19,14 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf_dir, con, name):
     assert difference(entry.queries()[name](spark, sf_dir), con, entry.oracle_sql()[name]) is None
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
