@@ -23,6 +23,8 @@ BUCKET_BITS = 15
 DIMENSIONS = 16
 GRAMS = (2, 3)
 EPOCHS, BATCH, RATE = 4, 32, 0.5
+# A small sample is gone through more often, up to so many steps.
+LEAST_STEPS = 300
 # Rows a fit learns from, and the characters that a text of theirs may have.
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 20_000
@@ -108,10 +110,11 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
     bags = Bags(texts)
     known = [(*bags.buckets(n), names.index(label)) for n, label in enumerate(labels) if bags.total(n)]
     learned = [b for n, b in enumerate(known) if n % CALIBRATE] or known
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(learned))))
+    for epoch in range(epochs if learned else 0):
         order = rng.permutation(len(learned))
         for start in range(0, len(order), BATCH):
-            rate = RATE * (1 - (epoch + start / len(order)) / EPOCHS)
+            rate = RATE * (1 - (epoch + start / len(order)) / epochs)
             batch = [learned[i] for i in order[start : start + BATCH]]
             ids, part = np.concatenate([b[0] for b in batch]), np.concatenate([b[1] for b in batch])
             sizes = np.array([len(b[0]) for b in batch])
@@ -162,9 +165,6 @@ def fit(labelled: DataFrame, text: str, label: str, key: list[str], sample_rows:
     """
     usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
     rows = bounded_sample(usable.select(*{*key, text, label}), sample_rows, key).select(text, label).collect()
-    if not rows:
-        empty = np.zeros((1, DIMENSIONS), np.float32)
-        return LanguageModel([], empty, np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 

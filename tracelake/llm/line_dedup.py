@@ -105,10 +105,12 @@ class LineRuns:
         return self.merged(self.runs()).where(F.col("docs") >= min_docs).select(*LINE, "keeper")
 
 
-def batch_bounds(ids: DataFrame, batches: int) -> list:
+def batch_bounds(lines: DataFrame, batches: int) -> list:
     """Ids that cut the documents into about equal batches, highest first."""
-    shares = [1 - n / batches for n in range(1, batches)]
-    return sorted({b for b in ids.approxQuantile("doc", shares, 0.01) if b is not None}, reverse=True)
+    if batches < 2:
+        return []
+    shares = [n / batches for n in range(1, batches)]
+    return sorted(set(lines.agg(F.percentile_approx("doc", shares)).first()[0] or ()), reverse=True)
 
 
 def dedup_lines(
@@ -130,7 +132,7 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     lines = written(spark, long_lines(docs, doc_id, text, min_chars), "lines")
-    bounds = batch_bounds(lines.where("doc is not null").select(F.col("doc").cast("double")), batches)
+    bounds = batch_bounds(lines, batches)
     runs = LineRuns(spark)
     above = None
     for bound in [*bounds, None]:

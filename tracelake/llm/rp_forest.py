@@ -104,7 +104,7 @@ def grow(sample: np.ndarray, trees: int, leaf_rows: int = LEAF_ROWS, seed: int =
                 stack += [(rows[~right], node, 0), (rows[right], node, 1)]
     width = sample.shape[1] if sample.ndim == 2 else 0
     return Forest(
-        np.array(normals).reshape(-1, width), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, leaves
+        np.array(normals).reshape(len(normals), width), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, leaves
     )
 
 
@@ -144,9 +144,9 @@ def entries(plain: DataFrame, k: int) -> DataFrame:
 
     No other copy can be among the ``k`` nearest of any query, as the smaller ids come first and one may be its own.
     """
-    ranked = plain.withColumn("_rank", F.row_number().over(Window.partitionBy("vec").orderBy("id")))
+    ranked = plain.distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("vec").orderBy("id")))
     few = ranked.where(F.col("_rank") <= k + 1)
-    return few.groupBy("vec").agg(F.min("id").alias("key"), F.array_distinct(F.sort_array(F.collect_list("id"))).alias("ids"))
+    return few.groupBy("vec").agg(F.min("id").alias("key"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
