@@ -302,3 +302,9 @@ def test_assembled_diff_parses_to_the_same_hunks(spark):
     (again,) = evaluate(spark, [diff], lambda c: diffs.parse_diff(c, strict=True))
     assert [h for f in once for h in f.hunks] == [h for f in again for h in f.hunks]
     assert diff.startswith("diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n") and diff.endswith("\n")
+
+
+def test_captured_unittest(spark):
+    rows = [("error", "tb"), ("failure", "tb"), ("subtest", "tb"), ("subtest", None), ("success", None), (None, "tb")]
+    df = spark.createDataFrame(rows, "event string, traceback string")
+    assert df.where(predicates.captured_unittest(F.col("event"), F.col("traceback"))).count() == 3

@@ -81,12 +81,24 @@ def test_testcase_source_without_a_test(spark, files):
         "Test file: /testbed/pkg/a.py\n1 -> : def f():"]
 
 
-def test_rendered_frames_in_pages(spark, files):
+def test_rendered_frames_in_parts(spark, files):
     rows = [("t", "i1", p, "/testbed/pkg/a.py", 2, "f", {"k": "é"}) for p in (0, 5, 9)]
     frames = spark.createDataFrame(rows, "trace string, instance_id string, pos long, file string, line int, func string, locals map<string,string>")
-    pages = render.render_frames(frames, files, ("trace", "instance_id"), 1, page_blocks=2).orderBy("page").collect()
+    parts = render.render_frames(frames, files, ("trace", "instance_id"), 1).orderBy("ordinal").collect()
     block = "Block {}:\nFile: /testbed/pkg/a.py\nFunction name: f\nLine: 2\nContext:\n1    : def f():\n2 -> :     return g.x(1)\nLocals: {{\n  \"k\": \"é\"\n}}"
-    assert [r.text for r in pages] == [block.format(0) + "\n\n" + block.format(1), block.format(2)]
+    assert [r.ordinal for r in parts] == [0, 1, 2]
+    assert "".join(r.text for r in parts) == "\n\n".join(block.format(n) for n in range(3))
+
+
+def test_debug_prompts_have_one_text_for_every_trace(spark):
+    traces = spark.createDataFrame([(1, "E", "m"), (2, None, "n")], "t int, exc_type string, message string")
+    parts = spark.createDataFrame([(1, n, f"b{n}") for n in range(600)] + [(3, 0, "x")], "t int, ordinal long, text string")
+    texts = {"intro": "I", "instructions": "J", "patch_format": "P"}
+    rows = render.build_debug_prompts(traces, parts, texts, ("t",)).orderBy("t", "ordinal").collect()
+    whole = {t: "".join(r.text for r in rows if r.t == t) for t in (1, 2)}
+    assert [r.ordinal for r in rows if r.t == 1] == list(range(602)) and {r.t for r in rows} == {1, 2}
+    text = "<intro>\nI\n</intro>\n\n<exception>\nType: {}\nMessage: {}\n</exception>\n\n<runtime_trace>\n{}\n</runtime_trace>\n\n<instructions>\nJ\n</instructions>\n\n<patch_format>\nP\n</patch_format>"
+    assert whole == {1: text.format("E", "m", "".join(f"b{n}" for n in range(600))), 2: text.format("", "n", "")}
 
 
 @pytest.fixture(scope="module")
@@ -113,6 +125,44 @@ def test_verdicts(results):
         ("b", "without_runtime"): "unknown", ("b", "with_runtime"): "not_run"}
 
 
+def test_the_latest_delivery_of_a_run_counts(results):
+    at = F.when(F.col("status") == "unknown", F.lit("2024-01-02")).otherwise(F.lit("2024-01-01")).cast("timestamp")
+    again = results.where("variant = 'without_runtime'").withColumn("status", F.lit("unknown"))
+    twice = results.unionByName(again).withColumn("recorded_at", at)
+    early = results.unionByName(again.withColumn("recorded_at", F.lit("2023-01-01").cast("timestamp")), allowMissingColumns=True)
+    early = early.withColumn("recorded_at", F.coalesce("recorded_at", F.lit("2024-01-01").cast("timestamp")))
+    for df, want in ((twice, "unknown"), (early, "passed")):
+        got = {r.variant: r.status for r in outcomes.verdicts(df).where("instance_id = 'a'").collect()}
+        assert got["without_runtime"] == want
+        assert outcomes.build_records(df).where("instance_id = 'a'").first().variants["without_runtime"].status == want
+        assert outcomes.build_reports(df).where("instance_id = 'a'").first().without_runtime.outcome.status == want
+
+
+def test_headers_begin_and_end(spark):
+    runs = spark.createDataFrame([("r", "d", "s", "m", 3)], "run_id string, dataset string, split string, model string, total_instances long")
+    header = outcomes.init_headers(runs, F.timestamp_seconds(F.lit(0)))
+    assert header.first().asDict() == {
+        "schema_version": 1, "run_id": "r", "dataset": "d", "split": "s", "model": "m",
+        "created_at": "1970-01-01T00:00:00.000000+00:00", "completed_at": None, "total_instances": 3}
+    assert outcomes.complete_headers(header).first().completed_at is not None
+
+
+def test_report_runs_keep_what_is_known(results):
+    known = results.withColumns({"runtime": F.lit(1.5), "traceback": F.lit("tb"), "trace_path": F.lit("/t"), "num_failures": F.lit(2)})
+    run = outcomes.build_reports(known).where("instance_id = 'a'").first().with_runtime.run_result
+    assert (run.runtime, run.traceback, run.trace_path, run.num_failures) == (1.5, "tb", "/t", 2)
+    fields = results.withColumns({"artifact_report_path": F.lit("/r")})
+    record = outcomes.build_records(fields).first()
+    assert (record.framework, record.artifact_report_path) == ("pytest", "/r")
+
+
+def test_metrics_scan_the_records_once(results):
+    records = outcomes.normalize_records(results).where("variant <> 'baseline'")
+    headers = results.select("run_id").distinct()
+    plan = metrics.run_metrics(records, headers)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_records_default_a_missing_status(spark):
     rows = [("a", "baseline", None, None, None), ("a", "with_runtime", None, None, " trace ")]
     df = spark.createDataFrame(rows, "instance_id string, variant string, status string, error string, traceback string")
@@ -176,6 +226,12 @@ def test_dataset_joins(spark):
     assert dataset.select_instances(instances).count() == 3
     repos = spark.createDataFrame([("django/django",)], "repo string")
     assert dataset.exclude_repo_table(instances, repos).count() == 2
+    # Both forms test the beginning of an id, wherever its number starts.
+    ids = spark.createDataFrame([("psf__requests-1",), ("psf__requests-html-2",), ("psf__black-1",), (None,)], "instance_id string")
+    for names in (["psf/requests"], ["psf/req", "x/y"], ["psf/black-1"], ["nobody/none"]):
+        table = dataset.exclude_repo_table(ids.dropna(), spark.createDataFrame([(n,) for n in names], "repo string"))
+        listed = dataset.select_instances(ids.dropna(), exclude_repos=names)
+        assert sorted(table.collect()) == sorted(listed.collect())
 
 
 def test_framework_cache_wins(spark):
@@ -201,7 +257,7 @@ def message(session, turn, role, content, calls=None, answer=None, variant="with
     return (session, turn, role, content, calls, answer, variant)
 
 
-def test_transcript_text_and_pages(spark):
+def test_transcript_text_in_parts(spark):
     rows = [
         message("s", 0, "user", "hi"),
         message("s", 1, "assistant", "", [("c1", "open_file", '{"path": "a"}'), ("c2", "x", None)]),
@@ -209,9 +265,8 @@ def test_transcript_text_and_pages(spark):
     ]
     df = spark.createDataFrame(rows, MESSAGE)
     whole = '=== user ===\nhi\n\n=== assistant ===\n[tool_call id=c1 name=open_file]\n{"path": "a"}\n[tool_call id=c2 name=x]\n\n\n=== tool ===\nout  \n\n[tool_call_id=c1]\n'
-    assert [r.text for r in transcripts.render_transcripts(df).collect()] == [whole]
-    pages = transcripts.render_transcripts(df, page_turns=2).orderBy("page").collect()
-    assert "\n".join(r.text for r in pages) == whole
+    parts = transcripts.render_transcripts(df).orderBy("ordinal").collect()
+    assert [r.ordinal for r in parts] == [0, 1, 2] and "".join(r.text for r in parts) == whole
 
 
 def test_resolved_patches(spark):

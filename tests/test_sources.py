@@ -21,7 +21,13 @@ def base(tmp_path_factory):
         "cut": '[{"a": ',
         "object": '{"nodeid": "o"}',
         "empty": "[]",
-        "bad_frame": json.dumps([{"frames": [{"file": "a.py", "func": "f", "line": 1}, {"file": "a.py", "func": "f"}]}]),
+        "bad_frame": json.dumps([GOOD, {"frames": [{"file": "a.py", "func": "f", "line": 1}, {"file": "a.py", "func": "f"}]}]),
+        "no_list": json.dumps([{"frames": {"x": 1}}]),
+        "long_line": json.dumps([{"frames": [{"file": "a.py", "func": "f", "line": 1 << 40}]}]),
+        "odd_locals": json.dumps([{"frames": {}, "exec_path": [{"file": "a.py", "func": "f", "line": 1, "locals": 3}]}]),
+        "no_bytes": "",
+        "indented": json.dumps([{**GOOD, "nodeid": f"t{n}", "message": "a\n  },\nb"} if n % 3 else n for n in range(30)], indent=2),
+        "cut_late": json.dumps([GOOD, GOOD, GOOD], indent=2)[:-9],
     }
     for name, text in content.items():
         (root / name).mkdir()
@@ -33,7 +39,14 @@ def base(tmp_path_factory):
 
 
 def test_strict_traces_keep_their_position(spark, base):
-    got = readers.read_traces(spark, base).where("error is null").orderBy("trace_pos").collect()
+    every = readers.sound_traces(readers.read_traces(spark, base))
+    indented = every.where("instance_id = 'indented'").orderBy("trace_pos").collect()
+    assert [(r.trace_pos, r.nodeid) for r in indented] == [(n, f"t{n}") for n in range(30) if n % 3]
+    (call,) = every.where("instance_id = 'odd_locals'").first().exec_path
+    assert (call.file, call.locals) == ("a.py", {})
+    got = every.where("instance_id not in ('indented', 'odd_locals')").orderBy("instance_id", "trace_pos").collect()
+    # One bad frame fails the whole instance, one bad piece the whole file.
+    assert {r.instance_id for r in got} == {"two"}
     assert [(r.instance_id, r.trace_pos, r.nodeid) for r in got] == [("two", 0, "t"), ("two", 2, "second")]
     (frame,) = got[0].frames
     assert (frame.file, frame.line, frame.func, frame.locals, frame.meta) == ("a.py", 12, "f", {"k": "1"}, {})
@@ -48,25 +61,41 @@ def test_errors_name_every_bad_document(spark, base):
         "cut": "Invalid JSON in trace file",
         "object": "Invalid trace format: expected list",
         "bad_frame": "frame without line",
+        "no_list": "frames of a trace is no list",
+        "long_line": "line of a frame is too large",
+        "cut_late": "Invalid JSON in trace file",
     }
+    instances = spark.createDataFrame([("two",), ("gone",)], "instance_id string")
+    absent = readers.read_trace_errors(spark, base, instances).where("error_message like 'Trace file not created%'").collect()
+    assert [r.instance_id for r in absent] == ["gone"] and absent[0].error_message.startswith(f"Trace file not created: {base}/gone/auto_debug.json. ")
 
 
 def test_lenient_traces_give_no_errors(spark, base):
     got = readers.read_traces(spark, base, strict=False).collect()
-    assert sorted((r.instance_id, r.trace_pos) for r in got) == [("bad_frame", 0), ("two", 0), ("two", 2)]
-    bad = next(r for r in got if r.instance_id == "bad_frame")
+    found = sorted((r.instance_id, r.trace_pos) for r in got if r.instance_id in ("bad_frame", "two"))
+    assert found == [("bad_frame", 0), ("bad_frame", 1), ("two", 0), ("two", 2)]
+    bad = next(r for r in got if r.instance_id == "bad_frame" and r.trace_pos == 1)
     assert [f.line for f in bad.frames] == [1, 1]
 
 
-def test_large_documents_are_named(spark, base):
-    documents = readers.read_documents(spark, f"{base}/*/auto_debug.json", max_bytes=12)
-    errors = {r.instance_id: r.error_message for r in readers.trace_errors(documents.drop("length", "path")).collect()}
-    assert errors["two"] == "Trace file too large to parse as one document" and "empty" not in errors
+def test_blocks_of_one_file_make_one_list(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    traces = [{"nodeid": f"t{n}", "message": "m" * (n % 50)} for n in range(4000)]
+    (tmp_path / "x" / "auto_debug.json").write_text(json.dumps(traces, indent=2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = spark.read.option("lineSep", readers.ELEMENT_END).text(f"{tmp_path}/*/auto_debug.json")
+        assert lines.rdd.getNumPartitions() > 5
+        got = readers.read_traces(spark, str(tmp_path)).orderBy("trace_pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.trace_pos, r.nodeid) for r in got] == [(n, f"t{n}") for n in range(4000)]
 
 
 def test_lists_and_logs(spark, base):
     names = {r.instance_id for r in readers.list_instances(spark, base).collect()}
-    assert names == {"two", "cut", "object", "empty", "bad_frame", "log_only"}
+    assert {"two", "cut", "object", "empty", "bad_frame", "log_only"} <= names
     instances = spark.createDataFrame([("two",), ("log_only",)], "instance_id string")
     found = {r.instance_id: r.trace_exists for r in readers.trace_exists(spark, base, instances).collect()}
     assert found == {"two": True, "log_only": False}
@@ -76,7 +105,8 @@ def test_lists_and_logs(spark, base):
 
 def test_source_tree(spark, base):
     tree = readers.read_source_tree(spark, base).where("path like '%.py'").collect()
-    assert [(r.instance_id, r.path, r.content) for r in tree] == [("log_only", "/testbed/project/pkg/a.py", "x�")]
+    assert [(r.instance_id, r.path, r.content) for r in tree] == [("log_only", "/testbed/pkg/a.py", "x�")]
+    assert readers.read_source_tree(spark, base).count() == 1
 
 
 def test_framework_cache(spark, tmp_path):
@@ -98,7 +128,13 @@ def test_reports_become_records(spark, tmp_path):
     for name, status in (("a", "passed"), ("b", "failed")):
         (tmp_path / name).mkdir()
         (tmp_path / name / "comparison_report.json").write_text(json.dumps(report(name, status), indent=2))
+    for name, text in (("c", json.dumps(report("c", "passed"))[:-30]), ("d", "{}")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "comparison_report.json").write_text(text)
+    bad = readers.report_errors(spark, f"{tmp_path}/*/comparison_report.json").collect()
+    assert {r.path.split("/")[-2]: r.error_message for r in bad} == {"c": "Invalid JSON in report", "d": "Report without instance"}
     reports = readers.read_reports(spark, f"{tmp_path}/*/comparison_report.json")
+    assert reports.count() == 2
     got = {(r.instance_id, r.variant): (r.status, r.failure_reason) for r in outcomes.normalize_records(outcomes.report_results(reports)).collect()}
     assert got[("a", "with_runtime")] == ("passed", None) and got[("b", "with_runtime")] == ("failed", "tests_failed")
     assert got[("a", "without_runtime")] == ("not_run", "not_run") and got[("b", "baseline")] == ("failed", "tests_failed")
@@ -127,9 +163,13 @@ def test_run_index_table_keeps_the_completed_header(spark, tmp_path):
     records = spark.createDataFrame([("r", "a")], "run_id string, instance_id string")
     open_header = spark.createDataFrame([("r", "d", None)], "run_id string, dataset string, completed_at string")
     writers.write_run_index(records, open_header, path)
-    writers.write_run_index(records.withColumn("instance_id", F.lit("b")), open_header.withColumn("completed_at", F.lit("t")), path)
-    assert spark.read.parquet(f"{path}/records").count() == 2
-    assert [tuple(r) for r in writers.latest_headers(spark.read.parquet(f"{path}/headers")).collect()] == [("r", "t", "d")]
+    # Other runs stay, and the same run is written in place of what it had.
+    writers.write_run_index(records.withColumn("run_id", F.lit("s")), open_header.withColumn("run_id", F.lit("s")), path)
+    both = records.unionByName(records.withColumn("instance_id", F.lit("b")))
+    for _ in range(2):
+        writers.write_run_index(both, open_header.withColumn("completed_at", F.lit("t")), path)
+    assert spark.read.parquet(f"{path}/records").groupBy("run_id").count().orderBy("run_id").collect() == [("r", 2), ("s", 1)]
+    assert [tuple(r) for r in writers.latest_headers(spark.read.parquet(f"{path}/headers")).where("run_id = 'r'").collect()] == [("r", "t", "d")]
 
 
 def test_tables_are_written(spark, tmp_path):
@@ -154,11 +194,14 @@ def test_dataset_tables(spark, tmp_path):
 
 
 def test_ingest_writes_traces_frames_and_errors(spark, base, tmp_path):
-    comparison.ingest_traces(spark, base, str(tmp_path))
+    # The second run changes nothing.
+    for _ in range(2):
+        comparison.ingest_traces(spark, base, str(tmp_path), spark.createDataFrame([("gone",)], "instance_id string"))
     frames = spark.read.parquet(f"{tmp_path}/frames").collect()
-    assert sorted((r.instance_id, r.trace_pos, r.kind, r.pos, r.line) for r in frames) == [
+    assert sorted((r.instance_id, r.trace_pos, r.kind, r.pos, r.line) for r in frames if r.instance_id == "two") == [
         ("two", 0, "frames", 0, 12),
         ("two", 0, "step_frames", 0, 1),
     ]
-    errors = {r.instance_id for r in spark.read.json(f"{tmp_path}/errors").collect()}
-    assert errors == {"cut", "object", "bad_frame"}
+    assert not [r for r in frames if r.instance_id == "bad_frame"]
+    errors = sorted(r.instance_id for r in spark.read.json(f"{tmp_path}/errors").collect())
+    assert errors == sorted(["cut", "object", "bad_frame", "no_list", "long_line", "cut_late", "gone"])

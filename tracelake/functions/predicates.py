@@ -60,6 +60,11 @@ def failing_tests_only(phase: Column, outcome: Column) -> Column:
     return (phase == "call") & (outcome != "passed")
 
 
+def captured_unittest(event: Column, traceback: Column) -> Column:
+    """Events of a unittest run that capture a failure: an error, a failure or a failing subtest with a traceback."""
+    return event.isin("error", "failure", "subtest") & traceback.isNotNull()
+
+
 def has_frames(frames: Column) -> Column:
     return F.coalesce(F.size(frames), F.lit(0)) > 0
 

@@ -28,18 +28,20 @@ def select_instances(
 def exclude_repo_table(instances: DataFrame, repos: DataFrame) -> DataFrame:
     """Instances outside a table of repositories (column ``repo``, ``owner/name``).
 
-    The repository of an instance id ends at its last dash, which makes the
-    prefix test an equality for ids of the form ``owner__name-number``.
+    Like the list form, an instance is out if its id starts with a repository's name. An id's beginnings are joined by
+    equality, so the cost is that of the ids' lengths, not of the number of repositories.
     """
-    prefix = F.regexp_extract(INSTANCE, r"^(.*)-[^-]*$", 1)
-    excluded = repos.select(F.replace("repo", F.lit("/"), F.lit("__")).alias("_prefix")).distinct()
-    return instances.withColumn("_prefix", prefix).join(excluded, "_prefix", "left_anti").drop("_prefix")
+    excluded = repos.select(F.replace("repo", F.lit("/"), F.lit("__")).alias("_start")).dropna().distinct()
+    beginnings = F.transform(F.sequence(F.lit(0), F.length(INSTANCE)), lambda n: F.left(F.col(INSTANCE), n))
+    ids = instances.select(INSTANCE).distinct()
+    out = ids.select(INSTANCE, F.explode(beginnings).alias("_start")).join(excluded, "_start", "left_semi")
+    return instances.join(out.select(INSTANCE).distinct(), INSTANCE, "left_anti")
 
 
 def latest_predictions(predictions: DataFrame, order: str = "ord", key: str = INSTANCE) -> DataFrame:
-    """The last prediction of each instance."""
-    rest = [c for c in predictions.columns if c not in (key, order)]
-    return predictions.groupBy(key).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest])
+    """The last prediction of each instance. The order is found first, without the texts."""
+    last = predictions.groupBy(key).agg(F.max(order).alias(order))
+    return predictions.join(last, [key, order], "left_semi").dropDuplicates([key])
 
 
 def match_predictions(instances: DataFrame, predictions: DataFrame, order: str = "ord") -> DataFrame:

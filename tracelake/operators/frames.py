@@ -32,33 +32,32 @@ EVENT_KINDS = {"call": "exec_path", "line": "step_frames", "return": "frames"}
 # Positions stay far below this power of two.
 BRANCH_BITS = 48
 
-# Up to this limit, 1000 by default, Spark keeps only the leading rows of a group before it shuffles.
-WINDOW_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
-
 
 # --- projections -----------------------------------------------------------
 
 
-def strict_frame(raw: Column) -> Column:
+def strict_frame(raw: Column, with_locals: bool = True) -> Column:
     """``struct(file, line, func, locals, meta, error)`` of a VARIANT frame.
 
-    File, line and func are required; a quoted number is a line.
+    File, line and func are required; a quoted number is a line. Without
+    locals these are empty, whatever the frame holds there.
     """
     file = F.try_variant_get(raw, "$.file", "string")
     line = F.try_variant_get(raw, "$.line", "int")
     func = F.try_variant_get(raw, "$.func", "string")
     error = F.coalesce(
         F.when(file.isNull(), F.lit("frame without file")),
+        F.when(line.isNull() & F.try_variant_get(raw, "$.line", "decimal(38,0)").isNotNull(), F.lit("line of a frame is too large")),
         F.when(line.isNull(), F.lit("frame without line")),
         F.when(func.isNull(), F.lit("frame without func")),
-        _map_error(raw, "locals"),
+        _map_error(raw, "locals") if with_locals else F.lit(None).cast("string"),
         _map_error(raw, "meta"),
     )
     return F.struct(
         file.alias("file"),
         line.alias("line"),
         func.alias("func"),
-        _map_or_empty(raw, "locals").alias("locals"),
+        (_map_or_empty(raw, "locals") if with_locals else F.create_map().cast("map<string,string>")).alias("locals"),
         _map_or_empty(raw, "meta").alias("meta"),
         error.alias("error"),
     )
@@ -122,29 +121,17 @@ def explode_frames(
     return traces.select(*keys, F.inline(rows))
 
 
-def nest_frames(frames: DataFrame, keys: Sequence[str] = TRACE_KEY, page_frames: int = 4096) -> DataFrame:
-    """Frames back to ordered arrays, in pages of ``page_frames`` positions.
+def nest_frames(frames: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
+    """Frames as the elements of their arrays: one row per frame with its index in ``ordinal``.
 
-    A trace of up to one page is one row; a longer one is several, so that no
-    row grows with the trace. An empty ``meta`` is left out as null.
+    The rows of a trace and kind in order are its array, for a trace of any length. An empty ``meta`` is left out as
+    null. ``pos`` only has to sort the frames; the index has no gaps.
     """
-    # Maps have no order, so they travel as entries; positions decide the order.
-    row = F.struct(
-        "pos", "file", "line", "func", F.map_entries("locals").alias("locals"), F.map_entries("meta").alias("meta")
-    )
-
-    def entry(r: Column) -> Column:
-        return F.struct(
-            r["file"].alias("file"),
-            r["line"].alias("line"),
-            r["func"].alias("func"),
-            F.map_from_entries(r["locals"]).alias("locals"),
-            F.when(F.size(r["meta"]) > 0, F.map_from_entries(r["meta"])).alias("meta"),
-        )
-
-    return frames.groupBy(*keys, "kind", F.floor(F.col("pos") / page_frames).alias("page")).agg(
-        F.transform(F.array_sort(F.collect_list(row)), entry).alias("frames")
+    entry = F.struct(
+        "file", "line", "func", "locals", F.when(F.size("meta") > 0, F.col("meta")).alias("meta")
     )
+    numbered = sequence_number(frames, [*keys, "kind"], "pos", "ordinal")
+    return numbered.select(*keys, "kind", "ordinal", entry.alias("frame"))
 
 
 def project_exec_path(frames: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
@@ -206,13 +193,13 @@ def dedup_frames(
 def cap_frames(
     frames: DataFrame, n: int, keys: Sequence[str] = TRACE_KEY, order: str = "pos"
 ) -> DataFrame:
-    """The first ``n`` frames of each trace."""
+    """The first ``n`` frames of each trace, for any ``n`` in one way: see ``leading_rows``.
+
+    ``order`` must be a whole number, unique in a trace and not null.
+    """
     if n < 0:
         raise ValueError("n must be >= 0")
-    if n > int(frames.sparkSession.conf.get(WINDOW_LIMIT_SETTING, "1000")):
-        return leading_rows(frames, keys, order, n)
-    first = Window.partitionBy(*keys).orderBy(order)
-    return frames.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_n")
+    return leading_rows(frames, keys, order, n)
 
 
 def frame_pipeline(
@@ -235,15 +222,9 @@ def traceback_pipeline(
 
 
 def exec_path_pipeline(
-    frames: DataFrame, keys: Sequence[str] = TRACE_KEY, limit: int = EXEC_PATH_LIMIT, single_shuffle: bool = False
+    frames: DataFrame, keys: Sequence[str] = TRACE_KEY, limit: int = EXEC_PATH_LIMIT
 ) -> DataFrame:
-    """Functions called in the project, each once, in the order of their first call.
-
-    ``single_shuffle`` moves the frames by trace first, which serves both later
-    steps: better for many small traces, unsafe when one trace is very large.
-    """
-    if single_shuffle:
-        frames = frames.repartition(*keys)
+    """Functions called in the project, each once, in the order of their first call."""
     steps = [
         testbed_only(),
         not_conftest(),
@@ -270,11 +251,17 @@ def step_frames_pipeline(
     return frame_pipeline(frames, steps, cutoff)
 
 
-def apply_trace_pipelines(frames: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
+def apply_trace_pipelines(
+    frames: DataFrame,
+    keys: Sequence[str] = TRACE_KEY,
+    limit: int = EXEC_PATH_LIMIT,
+    cutoff: int = DEFAULT_CUTOFF,
+    stdlib_paths: Sequence[str] = (),
+) -> DataFrame:
     """Filtered traceback and execution path; step frames pass unchanged."""
     kind = F.col("kind")
-    traceback = traceback_pipeline(frames.where(kind == "frames"))
-    path = exec_path_pipeline(frames.where(kind == "exec_path"), keys).withColumn("kind", F.lit("exec_path"))
+    traceback = traceback_pipeline(frames.where(kind == "frames"), stdlib_paths, cutoff)
+    path = exec_path_pipeline(frames.where(kind == "exec_path"), keys, limit).withColumn("kind", F.lit("exec_path"))
     steps = frames.where(kind == "step_frames")
     return traceback.unionByName(path, allowMissingColumns=True).unionByName(steps)
 

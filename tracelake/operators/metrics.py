@@ -59,7 +59,7 @@ def run_metrics(
     """Run header with the metrics of both variants and the two count maps.
 
     One pass over the records: they are counted by variant, status and reason,
-    and everything else is built from those few counts per run.
+    and the few counts of a run are folded into its row together with its header.
     """
     reason = F.coalesce(F.nullif(F.col("failure_reason"), F.lit("")), F.lit("unknown"))
     counts = records.groupBy(
@@ -68,52 +68,40 @@ def run_metrics(
         F.coalesce("status", F.lit("unknown")).alias("status"),
         F.when(~F.col("status").eqNullSafe("passed"), reason).alias("reason"),
     ).agg(F.count(F.lit(1)).alias("n"))
-    by_status = counts.groupBy(*keys, "variant", "status").agg(F.sum("n").alias("n"))
-    by_reason = counts.where("reason is not null").groupBy(*keys, "variant", "reason").agg(F.sum("n").alias("n"))
-    status_map = by_status.groupBy(*keys, "variant").agg(
-        F.sum("n").alias("total_instances"),
-        F.sum(F.when(F.col("status") == "passed", F.col("n")).otherwise(0)).alias("success_count"),
-        _count_map("status").alias("status_counts"),
-    )
-    reason_map = by_reason.groupBy(*keys, "variant").agg(_count_map("reason").alias("failure_reason_counts"))
-    failures = F.col("total_instances") - F.col("success_count")
-    long = status_map.join(reason_map, [*keys, "variant"], "left").select(
-        *keys,
-        "variant",
-        "total_instances",
-        "success_count",
-        failures.alias("failure_count"),
-        _rate(F.col("success_count"), F.col("total_instances")).alias("success_rate"),
-        _rate(failures, F.col("total_instances")).alias("failure_rate"),
-        "status_counts",
-        F.coalesce("failure_reason_counts", F.create_map().cast("map<string,bigint>")).alias(
-            "failure_reason_counts"
-        ),
-    )
-    fields = [c for c in long.columns if c not in (*keys, "variant")]
-    wide = (
-        long.withColumn("metrics", F.struct(*fields))
-        .groupBy(*keys)
-        .agg(*[F.any_value(F.when(F.col("variant") == v, F.col("metrics")), True).alias(v) for v in VARIANTS])
+    folded = counts.groupBy(*keys).agg(F.collect_list(F.struct("variant", "status", "reason", "n")).alias("_counts"))
+    kept = [c for c in ("run_id", "dataset", "split", "model", "created_at", "completed_at") if c in headers.columns]
+    # A run has one header and one row of counts, which meet in a group: no join.
+    head = headers.select(*keys, F.struct(*kept).alias("_header"))
+    met = head.unionByName(folded, allowMissingColumns=True).groupBy(*keys).agg(
+        F.first("_header", ignorenulls=True).alias("_header"), F.first("_counts", ignorenulls=True).alias("_counts")
     )
-    # A run without records has zero counts, not nulls.
-    none = F.struct(
-        F.lit(0).cast("bigint").alias("total_instances"),
-        F.lit(0).cast("bigint").alias("success_count"),
-        F.lit(0).cast("bigint").alias("failure_count"),
-        F.lit(0.0).alias("success_rate"),
-        F.lit(0.0).alias("failure_rate"),
-        F.create_map().cast("map<string,bigint>").alias("status_counts"),
-        F.create_map().cast("map<string,bigint>").alias("failure_reason_counts"),
+    every = F.coalesce("_counts", F.array().cast(folded.schema["_counts"].dataType))
+    return met.where("_header is not null").select(
+        "_header.*", *[_metrics(F.filter(every, lambda c: c["variant"] == v)).alias(v) for v in VARIANTS]
     )
-    kept = [c for c in ("run_id", "dataset", "split", "model", "created_at", "completed_at") if c in headers.columns]
-    joined = headers.select(*kept).join(wide, list(keys), "left")
-    return joined.select(*kept, *[F.coalesce(v, none).alias(v) for v in VARIANTS])
 
 
-def _count_map(name: str) -> Column:
-    """A map from each value to its count. There are a handful of values per group."""
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "n"))))
+def _metrics(counts: Column) -> Column:
+    """The metrics of one variant from its counts; zero counts without any."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("bigint"), lambda n, c: n + c["n"])
+
+    def count_map(field: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.array_compact(F.transform(counts, lambda c: c[field]))))
+        entry = lambda name: F.struct(name, total(F.filter(counts, lambda c: c[field] == name)))
+        return F.map_from_entries(F.transform(names, entry))
+
+    every, success = total(counts), total(F.filter(counts, lambda c: c["status"] == "passed"))
+    return F.struct(
+        every.alias("total_instances"),
+        success.alias("success_count"),
+        (every - success).alias("failure_count"),
+        _rate(success, every).alias("success_rate"),
+        _rate(every - success, every).alias("failure_rate"),
+        count_map("status").alias("status_counts"),
+        count_map("reason").alias("failure_reason_counts"),
+    )
 
 
 def collection_summary(runs: DataFrame, keys: Sequence[str] = ("framework",)) -> DataFrame:

@@ -18,16 +18,17 @@ RANGE_BITS = 16
 
 
 def sequence_number(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, bits: int = RANGE_BITS
+    df: DataFrame, keys: Sequence[str], order: str, name: str, bits: int = RANGE_BITS, total: str | None = None
 ) -> DataFrame:
-    """Add ``name``: the 0-based position of each row inside its group."""
+    """Add ``name``: the 0-based position of each row inside its group, and ``total``: the rows of the group."""
     ranged = df.withColumn("_range", F.shiftright(F.col(order).cast("bigint"), bits))
     within = Window.partitionBy(*keys, "_range").orderBy(order)
     numbered = ranged.withColumn("_within", F.row_number().over(within))
+    added = [F.col("_total").alias(total)] if total else []
     return (
         numbered.join(_rows_before(ranged, keys), [*keys, "_range"])
         .withColumn(name, (F.col("_before") + F.col("_within") - 1).cast("bigint"))
-        .select(*df.columns, name)
+        .select(*df.columns, name, *added)
     )
 
 
@@ -73,5 +74,10 @@ def _rows_before(ranged: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         ranged.groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            *keys,
+            "_range",
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_rows").over(Window.partitionBy(*keys)).alias("_total"),
+        )
     )

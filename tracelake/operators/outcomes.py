@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.classify import classify_failure_reason, run_outcome, verdict
 from tracelake.functions.text import excerpt, first_non_empty, utc_iso
-from tracelake.schemas import BASELINE, RUN_KEY, VARIANTS, WITH_RUNTIME, WITHOUT_RUNTIME
+from tracelake.schemas import BASELINE, RUN_KEY, STATUSES, VARIANTS, WITH_RUNTIME, WITHOUT_RUNTIME
 
 # Where a run left its artifacts, as far as they are known.
 BASELINE_PATHS = ("trace_path", "test_output_path")
 VARIANT_PATHS = ("prompt_path", "response_path", "patch_path", "test_output_path")
+RECORD_FIELDS = ("framework", "artifact_report_path")
+SCHEMA_VERSION = 1
+STATUS_BITS = 3
 
 
 def outcomes(runs: DataFrame) -> DataFrame:
@@ -27,25 +30,49 @@ def outcomes(runs: DataFrame) -> DataFrame:
     return judged.select(*runs.columns, "_o.*")
 
 
+def _run_order(results: DataFrame) -> Column:
+    """A number that is highest on the latest run: by ``recorded_at``, and by status among equals."""
+    code = F.coalesce(F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")), F.lit(0)).cast("bigint")
+    if "recorded_at" not in results.columns:
+        return code
+    at = F.coalesce(F.unix_micros(F.col("recorded_at").cast("timestamp")), F.lit(0))
+    return F.shiftleft(at, STATUS_BITS) + code
+
+
 def verdicts(results: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:
     """The verdict of each variant run against the baseline of its instance.
 
     One aggregate per instance instead of a self-join: the rows of an instance
-    are folded into one row on the map side, with only the columns a verdict
-    takes, and unfolded after the shuffle.
+    are folded into one row on the map side, and unfolded after the shuffle. Its
+    buffers are numbers, so it is a hash aggregate. Of a run that was delivered
+    more than once the latest counts, by ``recorded_at`` if there is one.
     """
-    row = F.struct("status", "failure_count", "run_skipped")
-    folded = results.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("variant") == name, row)).alias(name) for name in (BASELINE, *VARIANTS)]
-    )
-    base = F.col(BASELINE)
+    ordered = results.withColumn("_order", _run_order(results))
+
+    def latest(name: str) -> list[Column]:
+        at = F.when(F.col("variant") == name, F.col("_order"))
+        return [
+            F.max(at).alias(f"_{name}_order"),
+            F.max_by("failure_count", at).alias(f"_{name}_failures"),
+            F.max_by("run_skipped", at).alias(f"_{name}_skipped"),
+        ]
+
+    def status(name: str) -> Column:
+        code = F.col(f"_{name}_order").bitwiseAND((1 << STATUS_BITS) - 1).cast("int")
+        return F.get(F.array(*map(F.lit, STATUSES)), code - 1)
+
+    folded = ordered.groupBy(*keys).agg(*[c for name in (BASELINE, *VARIANTS) for c in latest(name)])
 
     def judged(name: str) -> Column:
-        part = F.col(name)
         result = verdict(
-            base["status"], base["failure_count"], part["status"], part["failure_count"], part["run_skipped"]
+            status(BASELINE),
+            F.col(f"_{BASELINE}_failures"),
+            status(name),
+            F.col(f"_{name}_failures"),
+            F.col(f"_{name}_skipped"),
         )
-        return F.when(part.isNotNull(), F.struct(F.lit(name).alias("variant"), part["status"].alias("status"), result.alias("verdict")))
+        row = F.struct(F.lit(name).alias("variant"), status(name).alias("status"), result.alias("verdict"))
+        return F.when(F.col(f"_{name}_order").isNotNull(), row)
 
     return folded.select(*keys, F.inline(F.array_compact(F.array(*[judged(v) for v in VARIANTS]))))
 
@@ -72,14 +99,20 @@ def normalize_records(results: DataFrame, missing_status: Column | None = None)
 
 
 def build_records(results: DataFrame, keys: Sequence[str] = RUN_KEY, recorded_at: Column | None = None) -> DataFrame:
-    """One row per instance: the baseline record, a map of variant records and the time."""
+    """One row per instance: the baseline record, a map of variant records and the time.
+
+    ``framework`` and ``artifact_report_path`` go into the record where they are known. Of a run that was delivered more
+    than once the latest counts.
+    """
+    order = _run_order(results)
     fields = ("status", "failure_count", "ran_tests", "summary_line", "failure_reason", "raw_error_excerpt")
 
     def of(name: str) -> Column:
         record = F.struct(*fields, *_known(results, BASELINE_PATHS if name == BASELINE else VARIANT_PATHS))
-        return F.max(F.when(F.col("variant") == name, record))
+        return F.max_by(record, F.when(F.col("variant") == name, F.col("_order")))
 
-    return normalize_records(results).groupBy(*keys).agg(
+    return normalize_records(results.withColumn("_order", order)).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in _known(results, RECORD_FIELDS)],
         of(BASELINE).alias("baseline"),
         F.create_map(
             F.lit(WITHOUT_RUNTIME), of(WITHOUT_RUNTIME), F.lit(WITH_RUNTIME), of(WITH_RUNTIME)
@@ -129,14 +162,21 @@ def build_reports(
     ``framework`` and, on the baseline, ``has_trace`` and the reference patch.
     """
     outcome = F.struct("status", "failure_count", "ran_tests", "summary_line")
-    run = F.struct("success", F.col("instance_id").cast("string").alias("instance_id"), "framework", "error")
+    run = F.struct(
+        "success",
+        F.col("instance_id").cast("string").alias("instance_id"),
+        "framework",
+        *_known(results, ("trace_path", "num_failures", "runtime")),
+        "error",
+        *_known(results, ("traceback", "test_output_path")),
+    )
     paths = _known(results, dict.fromkeys(BASELINE_PATHS + VARIANT_PATHS))
     row = F.struct(
         outcome.alias("outcome"), run.alias("run_result"), "run_skipped", "patch", "framework", "has_trace", *paths
     )
 
     def of(name: str) -> Column:
-        return F.max(F.when(F.col("variant") == name, row))
+        return F.max_by(row, F.when(F.col("variant") == name, F.col("_order")))
 
     def variant_report(name: str) -> Column:
         part = F.col(f"_{name}")
@@ -159,7 +199,8 @@ def build_reports(
             part["run_skipped"],
         )
 
-    folded = results.groupBy(*keys).agg(*[of(name).alias(f"_{name}") for name in (BASELINE, *VARIANTS)])
+    ordered = results.withColumn("_order", _run_order(results))
+    folded = ordered.groupBy(*keys).agg(*[of(name).alias(f"_{name}") for name in (BASELINE, *VARIANTS)])
     base = F.col(f"_{BASELINE}")
     return folded.select(
         *keys,
@@ -191,6 +232,23 @@ def _known(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [name for name in names if name in df.columns]
 
 
+def init_headers(runs: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """Headers of runs that begin, from a row per run: dataset, split, model, paths and number of instances."""
+    return runs.select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        *[F.col(c) for c in ("run_id", "dataset", "split", "model")],
+        *_known(runs, ("predictions_path",)),
+        utc_iso(created_at).alias("created_at"),
+        F.lit(None).cast("string").alias("completed_at"),
+        *_known(runs, ("log_path", "total_instances")),
+    )
+
+
+def complete_headers(headers: DataFrame, completed_at: Column | None = None) -> DataFrame:
+    """Headers of runs that are done."""
+    return headers.withColumn("completed_at", utc_iso(completed_at))
+
+
 def split_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Successful and failed runs; a missing flag is a failure."""
     ok = F.coalesce("success", F.lit(False))

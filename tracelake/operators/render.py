@@ -10,35 +10,36 @@ from pyspark.sql import functions as F
 from tracelake.functions.locals import locals_text
 from tracelake.functions.predicates import in_function
 from tracelake.functions.text import exception_text, prompt_sections
-from tracelake.operators.frames import block_index
+from tracelake.operators.frames import EXEC_PATH_LIMIT, block_index, exec_path_pipeline
 from tracelake.operators.skew import key_counts
 from tracelake.operators.source import INSTANCE, with_source_context
 from tracelake.schemas import TRACE_KEY, WITH_RUNTIME, WITHOUT_RUNTIME
 
 EXEC_PATH_HEADER = "## Execution path (functions called during test)"
 OMITTED = "intentionally omitted"
-PAGE_BLOCKS = 256
 
 
-def exec_path_text(frames: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
-    """The execution path of each trace as one text.
+def exec_path_text(calls: DataFrame, keys: Sequence[str] = TRACE_KEY, limit: int = EXEC_PATH_LIMIT) -> DataFrame:
+    """The execution path of each trace as one text, of at most ``limit`` functions.
 
-    For a path that went through ``exec_path_pipeline``, which bounds its length.
+    Takes the calls as they were recorded; the bound on a text's length is part of the operator.
     """
     line = F.concat(
         F.lit("  "), "file", F.lit(":"), F.col("line").cast("string"), F.lit(" in "), "func", F.lit("()")
     )
     rows = F.array_sort(F.collect_list(F.struct("pos", line.alias("text"))))
-    return frames.groupBy(*keys).agg(
+    return exec_path_pipeline(calls, keys, limit).groupBy(*keys).agg(
         F.concat(
             F.lit(EXEC_PATH_HEADER + "\n"), F.array_join(F.transform(rows, lambda r: r["text"]), "\n")
         ).alias("execution_path")
     )
 
 
-def execution_traces(traces: DataFrame, frames: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
+def execution_traces(
+    traces: DataFrame, calls: DataFrame, keys: Sequence[str] = TRACE_KEY, limit: int = EXEC_PATH_LIMIT
+) -> DataFrame:
     """Every trace with its execution path, empty where it has none."""
-    return traces.join(exec_path_text(frames, keys), list(keys), "left").withColumn(
+    return traces.join(exec_path_text(calls, keys, limit), list(keys), "left").withColumn(
         "execution_path", F.coalesce("execution_path", F.lit(""))
     )
 
@@ -70,16 +71,13 @@ def frame_blocks(
     return shown.select(*keys, "block_index", text.alias("block"))
 
 
-def join_blocks(blocks: DataFrame, keys: Sequence[str] = TRACE_KEY, page_blocks: int = PAGE_BLOCKS) -> DataFrame:
-    """Blocks as texts, a blank line apart, in pages of ``page_blocks``.
+def join_blocks(blocks: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
+    """Blocks as the parts of one text: (keys, ordinal, text), a blank line apart.
 
-    Most traces are one page; joining the pages in order, a blank line apart,
-    gives the whole text of a longer one. No row grows with the trace.
+    The texts of a trace in order, put together, are its whole text; no row grows with the trace.
     """
-    rows = F.array_sort(F.collect_list(F.struct("block_index", "block")))
-    return blocks.groupBy(*keys, F.floor(F.col("block_index") / page_blocks).alias("page")).agg(
-        F.array_join(F.transform(rows, lambda r: r["block"]), "\n\n").alias("text")
-    )
+    text = F.when(F.col("block_index") == 0, F.col("block")).otherwise(F.concat(F.lit("\n\n"), "block"))
+    return blocks.select(*keys, F.col("block_index").alias("ordinal"), text.alias("text"))
 
 
 def render_frames(
@@ -88,10 +86,9 @@ def render_frames(
     keys: Sequence[str] = TRACE_KEY,
     around: int = 8,
     file_keys: Sequence[str] = INSTANCE,
-    page_blocks: int = PAGE_BLOCKS,
 ) -> DataFrame:
-    """The frames of each trace as text, in pages."""
-    return join_blocks(frame_blocks(frames, files, keys, around, file_keys), keys, page_blocks)
+    """The frames of each trace as the parts of its text."""
+    return join_blocks(frame_blocks(frames, files, keys, around, file_keys), keys)
 
 
 def granular_frames(
@@ -102,22 +99,17 @@ def granular_frames(
     keys: Sequence[str] = TRACE_KEY,
     around: int = 8,
     file_keys: Sequence[str] = INSTANCE,
-    page_blocks: int = PAGE_BLOCKS,
 ) -> DataFrame:
-    """The step frames inside one function per trace, as text in pages, or a note that there are none."""
+    """The step frames inside one function per trace, as the parts of a text, or a note that there are none."""
     name = function.strip()
     if not name:
         raise ValueError("Missing argument: function_name")
-    found = render_frames(step_frames.where(in_function(name)), files, keys, around, file_keys, page_blocks)
-    return (
-        traces.select(*keys)
-        .join(found, list(keys), "left")
-        .select(
-            *keys,
-            F.coalesce("page", F.lit(0)).alias("page"),
-            F.coalesce("text", F.lit(f"No step frames found for function: {name}")).alias("text"),
-        )
-    )
+    wanted = step_frames.where(in_function(name)).join(traces.select(*keys).distinct(), list(keys), "left_semi")
+    found = render_frames(wanted, files, keys, around, file_keys)
+    with_frames = wanted.select(*keys).distinct()
+    note = F.lit(f"No step frames found for function: {name}")
+    without = traces.select(*keys).join(with_frames, list(keys), "left_anti")
+    return found.unionByName(without.withColumns({"ordinal": F.lit(0).cast("bigint"), "text": note}))
 
 
 def build_prompts(instances: DataFrame, intro: str, instructions: str, runtime_specific: str) -> DataFrame:
@@ -148,16 +140,32 @@ def build_prompts(instances: DataFrame, intro: str, instructions: str, runtime_s
     return per_variant.withColumn("prompt", prompt_sections(sections))
 
 
-def build_debug_prompts(traces: DataFrame, texts: Mapping[str, str]) -> DataFrame:
-    """The debugging prompt of each trace from its rendered frames in ``runtime_trace``.
+def build_debug_prompts(
+    traces: DataFrame, frame_texts: DataFrame, texts: Mapping[str, str], keys: Sequence[str] = TRACE_KEY
+) -> DataFrame:
+    """The debugging prompt of each trace as the parts of one text: (keys, ordinal, text).
 
-    ``texts`` gives the fixed sections ``intro``, ``instructions`` and ``patch_format``.
+    The first part holds the sections before the frames, then come the parts of ``frame_texts``, and the last part holds
+    what follows. A trace without frames has an empty section. ``texts`` gives the fixed sections ``intro``,
+    ``instructions`` and ``patch_format``.
     """
-    sections = [
-        ("intro", F.lit(texts["intro"])),
-        ("exception", exception_text(F.col("exc_type"), F.col("message"))),
-        ("runtime_trace", F.col("runtime_trace")),
-        ("instructions", F.lit(texts["instructions"])),
-        ("patch_format", F.lit(texts["patch_format"])),
-    ]
-    return traces.withColumn("prompt", prompt_sections(sections))
+    before = prompt_sections(
+        [("intro", F.lit(texts["intro"])), ("exception", exception_text(F.col("exc_type"), F.col("message")))]
+    )
+    after = prompt_sections(
+        [("instructions", F.lit(texts["instructions"])), ("patch_format", F.lit(texts["patch_format"]))]
+    )
+    shown = frame_texts.join(traces.select(*keys).distinct(), list(keys), "left_semi")
+    counts = shown.groupBy(*keys).agg(F.count(F.lit(1)).alias("_parts"))
+    head = traces.select(
+        *keys,
+        F.lit(0).cast("bigint").alias("ordinal"),
+        F.concat(before, F.lit("\n\n<runtime_trace>\n")).alias("text"),
+    )
+    body = shown.select(*keys, (F.col("ordinal") + 1).alias("ordinal"), "text")
+    tail = traces.join(counts, list(keys), "left").select(
+        *keys,
+        (F.coalesce("_parts", F.lit(0)) + 1).alias("ordinal"),
+        F.concat(F.lit("\n</runtime_trace>\n\n"), after).alias("text"),
+    )
+    return head.unionByName(body).unionByName(tail)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1 << 20
-# At most this many keys are broadcast, however large the data is. A key beyond
-# them holds less than a thousandth of the rows.
-MAX_HOT_KEYS = 1024
-MAX_SALTS = 4096
+# A key below this share of all rows is never hot, so fewer keys than its inverse can be, however large the data is.
+HOT_SHARE = 1 / 65536
+NULL_SALTS = 65536
 
 
 def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -20,13 +21,17 @@ def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(counts: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The largest keys with more rows than a task should take, and how many tasks to use.
+    """The keys with more rows than a task should take, and how many tasks to use.
 
-    The order is total, so every use of the result sees the same keys.
+    A task should take ``rows_per_task`` rows, or ``HOT_SHARE`` of all rows if that is more. That bounds the number of
+    hot keys by arithmetic, so their table can be broadcast and none is left out.
     """
-    largest = counts.where(F.col("_rows") > rows_per_task).orderBy(F.desc("_rows"), *on).limit(MAX_HOT_KEYS)
-    salts = F.least(F.ceil(F.col("_rows") / rows_per_task), F.lit(MAX_SALTS)).cast("int")
-    return largest.select(*on, salts.alias("_salts"))
+    share = F.ceil(counts.agg(F.sum("_rows")).scalar() * HOT_SHARE)
+    bound = F.greatest(F.lit(rows_per_task), share)
+    known = counts.dropna(subset=list(on)).withColumn("_bound", bound)
+    return known.where(F.col("_rows") > F.col("_bound")).select(
+        *on, F.ceil(F.col("_rows") / F.col("_bound")).cast("int").alias("_salts")
+    )
 
 
 def used_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -47,7 +52,8 @@ def salted_join(
 
     Rows of a hot key get a salt from the ``spread`` columns, and only the right
     rows of such keys are repeated, once per salt. Every left row meets each of
-    its right rows exactly once, so the result is that of the plain join.
+    its right rows exactly once, so the result is that of the plain join. Rows
+    with a null key meet nothing and are spread over all tasks.
     ``counts`` may bring the key counts of a cheaper table than ``left``; which
     keys are hot does not change the result. ``how`` is ``left`` or ``inner``.
     """
@@ -55,8 +61,11 @@ def salted_join(
         raise ValueError("how must be left or inner")
     counts = key_counts(left, on) if counts is None else counts
     hot = F.broadcast(hot_keys(counts, on, rows_per_task))
-    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
+    spreading = F.xxhash64(*spread)
+    no_key = reduce(or_, [F.col(c).isNull() for c in on])
+    salts = F.when(no_key, F.lit(NULL_SALTS)).otherwise(F.col("_salts"))
+    salt = F.coalesce(F.pmod(spreading, salts), F.lit(0)).cast("int")
     salted = left.join(hot, list(on), "left").withColumn("_salt", salt).drop("_salts")
     repeats = F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))
-    repeated = right.join(hot, list(on), "left").withColumn("_salt", F.explode(repeats)).drop("_salts")
+    repeated = right.dropna(subset=list(on)).join(hot, list(on), "left").withColumn("_salt", F.explode(repeats)).drop("_salts")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

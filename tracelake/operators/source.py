@@ -70,13 +70,13 @@ def testcase_source(
 ) -> DataFrame:
     """The test of each trace with the source around its focus line.
 
-    ``focus`` holds ``test_file`` (null where a trace has none) and ``focus_line``,
-    one row per trace, so a plain join does.
+    ``focus`` holds ``test_file`` (null where a trace has none) and ``focus_line``.
+    Very many traces may share one test file, or have none.
     """
     wanted = focus.withColumnRenamed("test_file", "file")
     on = [*keys, "file"]
-    texts = files.withColumnRenamed("path", "file").join(wanted.select(*on).distinct(), on, "left_semi")
-    shown = wanted.join(split_files(texts, keys, "file"), on, "left").withColumn(
+    spread = [c for c in wanted.columns if c not in on]
+    shown = join_source(wanted, files, keys, spread).withColumn(
         "context", source_context(F.col("lines"), F.col("focus_line"), around)
     )
     return shown.drop("lines").withColumn(
@@ -232,7 +232,7 @@ def search_status(
         request_key, *keys, "symbol", strip(F.coalesce("symbol", F.lit(""))).alias("_symbol")
     )
     blank = F.col("_symbol") == ""
-    return asked.join(counts, [*keys, "_symbol"], "left").select(
+    return salted_join(asked, counts, [*keys, "_symbol"], [request_key], "left").select(
         request_key,
         *keys,
         "symbol",

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.diffs import extract_diff
 from tracelake.functions.text import rstrip, strip
-from tracelake.operators.skew import salted_join
+from tracelake.operators.ordinals import sequence_number
 from tracelake.schemas import WITH_RUNTIME
 
 SESSION = ("session_id",)
-PAGE_TURNS = 256
 
 # The tools of each variant.
 PROJECT_TOOLS = ("print_project_tree", "open_file", "search_symbol", "apply_patch")
@@ -55,27 +54,16 @@ def message_text(role: Column, content: Column, tool_calls: Column, tool_call_id
     return F.array_join(parts, "\n")
 
 
-def render_transcripts(
-    messages: DataFrame, keys: Sequence[str] = SESSION, page_turns: int = PAGE_TURNS
-) -> DataFrame:
-    """Each session as text, in pages of ``page_turns`` turns.
+def render_transcripts(messages: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
+    """Each session as the parts of one text: (keys, ordinal, text), one part per message.
 
-    Sessions of up to one page are one row. The pages of a longer one, a line
-    break apart, give its whole text; only its last page is stripped at the end.
+    The parts in order, put together, are the whole text, whatever its length. Only the last one is stripped at its end.
     """
     text = message_text(F.col("role"), F.col("content"), F.col("tool_calls"), F.col("tool_call_id"))
-    rows = F.array_sort(F.collect_list(F.struct("turn", text.alias("text"))))
-    pages = messages.groupBy(*keys, F.floor(F.col("turn") / page_turns).alias("page")).agg(
-        F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text")
-    )
-    ends = messages.groupBy(*keys).agg(F.floor(F.max("turn") / page_turns).alias("_last"))
-    return salted_join(pages, ends, keys, spread=["page"], how="inner").select(
-        *keys,
-        "page",
-        F.when(F.col("page") == F.col("_last"), F.concat(rstrip(F.col("text")), F.lit("\n")))
-        .otherwise(F.col("text"))
-        .alias("text"),
-    )
+    numbered = sequence_number(messages, keys, "turn", "ordinal", total="_total")
+    last = F.col("ordinal") == F.col("_total") - 1
+    part = F.concat(F.when(last, rstrip(text)).otherwise(text), F.lit("\n"))
+    return numbered.select(*keys, "ordinal", part.alias("text"))
 
 
 def parse_tool_calls(messages: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:

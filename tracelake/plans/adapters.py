@@ -70,7 +70,7 @@ FROM {customer}""",
 SELECT concat(CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'django__django-' WHEN 1 THEN 'sympy__sympy-'
     ELSE 'pallets__flask-' END, CAST(o_custkey AS STRING)) AS instance_id, o_orderkey AS ord,
   concat('--- a/f.py', chr(10), '+++ b/f.py', chr(10), '@@ -', CAST(o_orderkey AS STRING), ' +1,2 @@', chr(10), '-x', chr(10), '+y') AS model_patch
-FROM {orders} WHERE o_orderstatus = 'F'""",
+FROM {orders}""",
     "patches": """
 SELECT o_orderkey AS patch_id, CASE CAST(o_orderkey % 5 AS INT)
   WHEN 0 THEN concat('--- a/f.py', chr(10), '+++ b/f.py', chr(10), '@@ -', CAST(o_orderkey AS STRING), ' +1,2 @@', chr(10), '-x', chr(10), '+y')

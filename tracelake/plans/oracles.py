@@ -107,9 +107,9 @@ SELECT instance_id, brand, CASE WHEN contains(s, 'pytest') OR contains(s, 'py.te
   WHEN contains(s, 'unittest') THEN 'unittest' ELSE 'unknown' END AS framework
 FROM (SELECT *, lower(eval_script) AS s FROM eval_scripts)""",
     "collection": """
-SELECT j.instance_id, coalesce(f.framework, 'unknown') AS framework, j.success, j.run_error AS error,
+SELECT j.instance_id, j.variant, coalesce(f.framework, 'unknown') AS framework, j.success, j.run_error AS error,
   coalesce(j.failure_count, 0) AS num_failures
-FROM judged j LEFT JOIN frameworks f ON j.instance_id = f.instance_id WHERE j.variant = 'with_runtime'""",
+FROM judged j LEFT JOIN frameworks f ON j.instance_id = f.instance_id""",
     "chosen": """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY ord) AS r FROM traces) WHERE r = 1""",
     "hunk_rows": """
@@ -123,7 +123,8 @@ SELECT *, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN concat('--- a/f', t
   chr(10), ' a', chr(10), '+', role, chr(10)) ELSE '' END AS diff FROM messages""",
     "calls": """
 SELECT session_id, turn, variant, call_id AS tool_call_id, trim(call_name) AS name,
-  CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw ->> '$.path' END AS path_argument,
+  CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN array_to_string(list_sort(list_transform(json_keys(raw),
+    lambda k: concat(k, '=', json_extract_string(raw, concat('$.', k))))), ',') END AS arguments,
   CASE WHEN trim(call_name) = '' THEN 'Missing function name' WHEN NOT json_valid(raw) THEN 'Function arguments are not valid JSON'
     WHEN json_type(raw) <> 'OBJECT' THEN 'Function arguments must be an object' END AS problem
 FROM (SELECT *, coalesce(nullif(call_arguments, ''), '{}') AS raw FROM messages WHERE call_id IS NOT NULL)""",
@@ -249,8 +250,8 @@ check(
 check(
     "frame_pages",
     ["frames"],
-    "SELECT trace_id, kind, CAST(floor(pos / 4096) AS BIGINT) AS page, count(*) AS n, "
-    "string_agg(concat(file, ':', line, ':', func), chr(10) ORDER BY pos) AS places FROM frames GROUP BY 1, 2, 3",
+    "SELECT trace_id, kind, row_number() OVER (PARTITION BY trace_id, kind ORDER BY pos) - 1 AS ordinal, "
+    "concat(file, ':', line, ':', func) AS place, true AS no_meta FROM frames",
 )
 check(
     "block_index",
@@ -334,7 +335,8 @@ check(
 check(
     "index_records",
     ["reasons"],
-    "SELECT b.instance_id, '1970-01-01T00:00:00.000000+00:00' AS recorded_at, b.status AS baseline_status, w.status AS without_status, "
+    "SELECT b.instance_id, 'pytest' AS framework, concat('/reports/', b.instance_id) AS artifact_report_path, "
+    "'1970-01-01T00:00:00.000000+00:00' AS recorded_at, b.status AS baseline_status, w.status AS without_status, "
     "w.failure_reason AS without_reason, r.status AS with_status, r.failure_reason AS with_reason FROM reasons b "
     "JOIN reasons w ON w.instance_id = b.instance_id AND w.variant = 'without_runtime' "
     "JOIN reasons r ON r.instance_id = b.instance_id AND r.variant = 'with_runtime' WHERE b.variant = 'baseline'",
@@ -370,7 +372,7 @@ check(
     "SELECT framework, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, "
     "CAST(coalesce(sum(num_failures) FILTER (success), 0) AS BIGINT) AS failures_captured FROM collection GROUP BY 1",
 )
-check("failed_runs", ["collection"], "SELECT instance_id, framework, error FROM collection WHERE NOT success")
+check("failed_runs", ["collection"], "SELECT instance_id, variant, framework, error FROM collection WHERE NOT success")
 check(
     "run_errors",
     ["collection"],
@@ -379,8 +381,8 @@ check(
 check(
     "run_result_records",
     ["collection"],
-    "SELECT instance_id, concat('{\"success\":', success, ',\"instance_id\":', instance_id, "
-    "CASE WHEN error IS NULL THEN '' ELSE concat(',\"error\":', to_json(error)) END, '}') AS record FROM collection",
+    "SELECT instance_id, concat('{\"success\":', success, ',\"instance_id\":', instance_id, ',\"framework\":\"', framework, "
+    "'\",\"trace_path\":\"/runs/', instance_id, '\",\"num_failures\":', num_failures, CASE WHEN error IS NULL THEN '' ELSE concat(',\"error\":', to_json(error)) END, '}') AS record FROM collection",
 )
 FAILURE_LINES = (
     "array_to_string(list_filter(string_split(output, chr(10)), lambda x: contains(x, 'ERROR:') OR contains(x, 'FAIL:') "
@@ -457,8 +459,11 @@ check(
 check(
     "search_requests",
     ["split_source"],
-    "SELECT item_id AS request_id, string_split(text, ' ')[1] AS symbol, path, CAST(i AS INT) AS line_no FROM split_source, "
-    "unnest(range(1, len(lines) + 1)) AS u(i), benchmark WHERE ends_with(path, '.py') AND contains(lines[i], string_split(text, ' ')[1])",
+    "SELECT item_id AS request_id, symbol, path, CAST(i AS INT) AS line_no FROM split_source, "
+    "unnest(range(1, len(lines) + 1)) AS u(i), (SELECT item_id, word AS symbol FROM (SELECT item_id, w[n] AS word, "
+    "row_number() OVER (PARTITION BY item_id ORDER BY length(w[n]) DESC, n) AS r FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS n "
+    "FROM (SELECT item_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM benchmark))) WHERE r = 1) "
+    "WHERE ends_with(path, '.py') AND contains(lines[i], symbol)",
 )
 check(
     "search_statuses",
@@ -532,18 +537,16 @@ check(
     "replace(lines, chr(10) || 'diff', chr(10) || ' diff')), chr(10) ORDER BY hunk_no) AS body FROM hunk_rows GROUP BY 1, 2, 3) GROUP BY 1) d "
     "ON p.patch_id = d.patch_id",
 )
-check(
-    "render_transcripts",
-    ["message_texts"],
-    "SELECT session_id, CAST(0 AS BIGINT) AS page, concat(rtrim(string_agg(text, chr(10) ORDER BY turn), concat(' ', chr(9), chr(10), chr(13))), chr(10)) AS text "
-    "FROM message_texts GROUP BY 1",
+SESSION_PARTS = (
+    "SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS ordinal, concat(CASE WHEN turn = max(turn) OVER "
+    "(PARTITION BY session_id) THEN rtrim(text, concat(' ', chr(9), chr(10), chr(13))) ELSE text END, chr(10)) AS text FROM message_texts"
 )
+check("render_transcripts", ["message_texts"], SESSION_PARTS)
 check(
     "transcript_pages",
     ["message_texts"],
-    "SELECT session_id, page, CASE WHEN page = max(page) OVER (PARTITION BY session_id) "
-    "THEN concat(rtrim(text, concat(' ', chr(9), chr(10), chr(13))), chr(10)) ELSE text END AS text FROM "
-    "(SELECT session_id, turn // 3 AS page, string_agg(text, chr(10) ORDER BY turn) AS text FROM message_texts GROUP BY 1, 2)",
+    "SELECT session_id, count(*) AS parts, CAST(length(rtrim(string_agg(text, chr(10) ORDER BY turn), concat(' ', chr(9), chr(10), chr(13)))) + 1 AS BIGINT) "
+    "AS chars FROM message_texts GROUP BY 1",
 )
 check(
     "resolve_patches",
@@ -557,7 +560,7 @@ check(
 check(
     "tool_calls",
     ["calls"],
-    "SELECT session_id, turn, variant, tool_call_id, name, path_argument, error, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status "
+    "SELECT session_id, turn, variant, tool_call_id, name, arguments, error, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status "
     "FROM (SELECT *, coalesce(problem, CASE WHEN name IN ('open_file', 'search_symbol', 'apply_patch') OR (variant = 'with_runtime' AND name = 'get_frames') "
     "THEN NULL ELSE concat('Unknown tool ''', name, '''') END) AS error FROM calls)",
 )
@@ -598,18 +601,18 @@ check(
     "SELECT t.trace_id, coalesce(e.execution_path, '') AS execution_path FROM traces t LEFT JOIN path_text e ON t.trace_id = e.trace_id",
     {"path_text": PATH_TEXT},
 )
-PAGES = "SELECT trace_id, block_index // {n} AS page, string_agg(block, chr(10) || chr(10) ORDER BY block_index) AS text FROM blocks GROUP BY 1, 2"
+PARTS = "SELECT trace_id, block_index AS ordinal, concat(CASE WHEN block_index = 0 THEN '' ELSE chr(10) || chr(10) END, block) AS text FROM blocks"
 check(
     "render_frames",
     ["traceback", "split_source"],
-    PAGES.format(n=256),
+    PARTS,
     {"kept": "SELECT * REPLACE (concat('\"', k, '\"') AS k) FROM traceback", "blocks": blocks("kept", 2)},
 )
 check(
     "granular_frames",
     ["traces", "frames", "split_source"],
-    "SELECT t.trace_id, coalesce(p.page, 0) AS page, coalesce(p.text, "
-    f"'No step frames found for function: {FUNCTION}') AS text FROM traces t LEFT JOIN ({PAGES.format(n=4)}) p ON t.trace_id = p.trace_id",
+    "SELECT t.trace_id, coalesce(p.ordinal, 0) AS ordinal, coalesce(p.text, "
+    f"'No step frames found for function: {FUNCTION}') AS text FROM traces t LEFT JOIN ({PARTS}) p ON t.trace_id = p.trace_id",
     {"inside": f"SELECT * FROM frames WHERE kind = 'step_frames' AND func = '{FUNCTION}'", "blocks": blocks("inside", 1)},
 )
 check(
@@ -654,20 +657,52 @@ check(
     "LEFT JOIN path_text e ON t.trace_id = e.trace_id LEFT JOIN focus f ON t.trace_id = f.trace_id LEFT JOIN split_source s ON f.test_file = s.path",
     {"path_text": PATH_TEXT},
 )
+# The log of an instance tells what failed where it has no trace.
+LOG_SUMMARY = f"coalesce(nullif({FAILURE_LINES}, ''), '<no failure details available>')"
+check(
+    "chosen_prompts",
+    ["chosen", "test_outputs", "exec_path", "focus", "split_source"],
+    "SELECT o.instance_id, v.variant, "
+    + sections(
+        [
+            ("intro", f"'{INTRO}'"),
+            ("instructions", f"'{INSTRUCTIONS}'"),
+            ("runtime_specific", runtime_only(f"'{RUNTIME}'")),
+            (
+                "failure_summary",
+                "CASE WHEN t.trace_id IS NULL THEN " + LOG_SUMMARY + " ELSE concat('1. ', t.nodeid, ' -> ', "
+                "coalesce(t.exc_type, '<unknown exception>'), ': ', t.message) END",
+            ),
+            (
+                "testcase_source",
+                "CASE WHEN f.test_file IS NULL THEN '<testcase source not available from collected frames>' " f"ELSE {TESTCASE} END",
+            ),
+            ("exception_type", "coalesce(t.exc_type, 'TestFailure')"),
+            ("exception_body", "coalesce(t.message, 'See failure summary')"),
+            ("execution_path", runtime_only("coalesce(e.execution_path, '')")),
+        ]
+    )
+    + " AS prompt FROM test_outputs o CROSS JOIN (SELECT unnest(['without_runtime', 'with_runtime']) AS variant) v "
+    "LEFT JOIN chosen t ON o.instance_id = t.instance_id LEFT JOIN path_text e ON t.trace_id = e.trace_id "
+    "LEFT JOIN focus f ON t.trace_id = f.trace_id LEFT JOIN split_source s ON f.test_file = s.path WHERE o.variant = 'baseline'",
+    {"path_text": PATH_TEXT},
+)
+# The prompt of every trace, with or without frames, cut before and after its blocks.
 check(
     "debug_prompts",
     ["traces", "traceback", "split_source"],
-    "SELECT t.trace_id, p.page, "
+    "SELECT trace_id, 0 AS ordinal, concat("
     + sections(
         [
             ("intro", f"'{INTRO}'"),
-            ("exception", "concat('Type: ', coalesce(t.exc_type, ''), chr(10), 'Message: ', t.message)"),
-            ("runtime_trace", "p.text"),
-            ("instructions", f"'{INSTRUCTIONS}'"),
-            ("patch_format", f"'{PATCH_FORMAT}'"),
+            ("exception", "concat('Type: ', coalesce(exc_type, ''), chr(10), 'Message: ', message)"),
         ]
     )
-    + f" AS prompt FROM traces t JOIN ({PAGES.format(n=256)}) p ON t.trace_id = p.trace_id",
+    + ", chr(10), chr(10), '<runtime_trace>', chr(10)) AS text FROM traces "
+    f"UNION ALL SELECT p.trace_id, p.ordinal + 1, p.text FROM ({PARTS}) p JOIN traces t ON t.trace_id = p.trace_id "
+    "UNION ALL SELECT t.trace_id, coalesce(n, 0) + 1, concat(chr(10), '</runtime_trace>', chr(10), chr(10), "
+    + sections([("instructions", f"'{INSTRUCTIONS}'"), ("patch_format", f"'{PATCH_FORMAT}'")])
+    + ") FROM traces t LEFT JOIN (SELECT trace_id, count(*) AS n FROM blocks GROUP BY 1) b ON b.trace_id = t.trace_id",
     {"kept": "SELECT * REPLACE (concat('\"', k, '\"') AS k) FROM traceback", "blocks": blocks("kept", 2)},
 )
 

@@ -121,12 +121,10 @@ def dedup_by_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def frame_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Frames nested back into arrays, in pages of positions."""
+    """Frames as the elements of their arrays."""
     nested = frames.nest_frames(_frames(spark, d).withColumn("meta", F.create_map().cast("map<string,string>")), KEY)
-    place = F.transform("frames", lambda f: F.concat_ws(":", f["file"], f["line"].cast("string"), f["func"]))
-    return nested.select(
-        "trace_id", "kind", "page", F.size("frames").cast("bigint").alias("n"), F.array_join(place, "\n").alias("places")
-    )
+    place = F.concat_ws(":", "frame.file", F.col("frame.line").cast("string"), "frame.func")
+    return nested.select("trace_id", "kind", "ordinal", place.alias("place"), F.col("frame.meta").isNull().alias("no_meta"))
 
 
 @query
@@ -249,7 +247,9 @@ def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    results = _outcomes(spark, d).select("instance_id", "variant", "status", "failure_count", "run_skipped")
+    results = _outcomes(spark, d).select(
+        "instance_id", "variant", "recorded_at", "status", "failure_count", "run_skipped"
+    )
     return outcomes.verdicts(results, ("instance_id",)).select("instance_id", "variant", "verdict")
 
 
@@ -268,7 +268,10 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index_records(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes.build_records(_outcomes(spark, d), recorded_at=F.timestamp_seconds(F.lit(0)))
+    results = _outcomes(spark, d).withColumns(
+        {"framework": F.lit("pytest"), "artifact_report_path": F.concat(F.lit("/reports/"), F.col("instance_id").cast("string"))}
+    )
+    return outcomes.build_records(results, recorded_at=F.timestamp_seconds(F.lit(0)))
 
 
 @query
@@ -276,6 +279,8 @@ def index_records(spark: SparkSession, d: str) -> DataFrame:
     """One record per instance, its nested parts side by side."""
     return _index_records(spark, d).select(
         "instance_id",
+        "framework",
+        "artifact_report_path",
         "recorded_at",
         F.col("baseline.status").alias("baseline_status"),
         F.col("variants")["without_runtime"]["status"].alias("without_status"),
@@ -346,9 +351,10 @@ def _collection(spark: SparkSession, d: str) -> DataFrame:
     scripts = adapters.view(spark, d, "eval_scripts").select(
         "instance_id", classify_framework(F.col("eval_script")).alias("framework")
     )
-    runs = _outcomes(spark, d).where(F.col("variant") == "with_runtime")
+    runs = _outcomes(spark, d)
     return runs.join(scripts, "instance_id", "left").select(
         "instance_id",
+        "variant",
         F.coalesce("framework", F.lit("unknown")).alias("framework"),
         "success",
         "error",
@@ -364,19 +370,27 @@ def collection_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def failed_runs(spark: SparkSession, d: str) -> DataFrame:
     _, failed = outcomes.split_runs(_collection(spark, d))
-    return failed.select("instance_id", "framework", "error")
+    return failed.select("instance_id", "variant", "framework", "error")
 
 
 @query
 def run_errors(spark: SparkSession, d: str) -> DataFrame:
-    rows = _outcomes(spark, d).where(F.col("variant") == "with_runtime")
+    rows = _outcomes(spark, d)
     return outcomes.error_records(rows, F.lit("RunError"), F.col("error"))
 
 
 @query
 def run_result_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = _outcomes(spark, d).where(F.col("variant") == "with_runtime")
-    return outcomes.run_result_records(rows.select("success", "instance_id", "error", F.array().alias("traces")))
+    rows = _collection(spark, d).select(
+        "success",
+        "instance_id",
+        "framework",
+        F.concat(F.lit("/runs/"), F.col("instance_id").cast("string")).alias("trace_path"),
+        "num_failures",
+        "error",
+        F.array("variant").alias("traces"),
+    )
+    return outcomes.run_result_records(rows)
 
 
 @query
@@ -524,9 +538,11 @@ def search_symbol(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Searches for the first word of every benchmark text."""
+    """Searches for the longest word of every benchmark text, the first of equals."""
     items = spark.read.parquet(f"{d}/benchmark.parquet")
-    requests = items.select(F.col("item_id").alias("request_id"), F.split("text", " ")[0].alias("symbol"))
+    longer = lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)
+    word = F.aggregate(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), F.lit(""), longer)
+    requests = items.select(F.col("item_id").alias("request_id"), word.alias("symbol"))
     return source.search_requests(_files(spark, d), requests, ()).select("request_id", "symbol", "path", "line_no")
 
 
@@ -634,8 +650,11 @@ def render_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transcript_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions in pages of three turns."""
-    return transcripts.render_transcripts(adapters.messages(spark, d), page_turns=3)
+    """The parts and the length of each session's text."""
+    parts = transcripts.render_transcripts(adapters.messages(spark, d))
+    return parts.groupBy("session_id").agg(
+        (F.max("ordinal") + 1).alias("parts"), F.sum(F.length("text")).alias("chars")
+    )
 
 
 @query
@@ -652,7 +671,9 @@ def tool_calls(spark: SparkSession, d: str) -> DataFrame:
         "variant",
         "tool_call_id",
         "name",
-        F.col("arguments")["path"].alias("path_argument"),
+        F.array_join(
+            F.array_sort(F.transform(F.map_entries("arguments"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ","
+        ).alias("arguments"),
         "error",
         "status",
     )
@@ -678,9 +699,10 @@ def tool_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tool_result_texts(spark: SparkSession, d: str) -> DataFrame:
     messages = spark.read.parquet(f"{d}/conversations.parquet")
-    return messages.select(
-        "conv_id", "turn", text.tool_result(F.lit("open_file"), F.col("role"), F.col("text"), 20000).alias("result")
+    answers = messages.select(
+        "conv_id", "turn", F.lit("open_file").alias("name"), F.col("role").alias("status"), F.col("text").alias("output")
     )
+    return comparison.tool_results(answers).select("conv_id", "turn", "result")
 
 
 # --- prompts ---------------------------------------------------------------------------
@@ -689,7 +711,7 @@ def tool_result_texts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def execution_traces(spark: SparkSession, d: str) -> DataFrame:
     traces = adapters.view(spark, d, "traces").select("trace_id")
-    return render.execution_traces(traces, _exec_path(spark, d), KEY)
+    return render.execution_traces(traces, _of_kind(spark, d, "exec_path"), KEY)
 
 
 @query
@@ -701,7 +723,7 @@ def render_frames(spark: SparkSession, d: str) -> DataFrame:
 def granular_frames(spark: SparkSession, d: str) -> DataFrame:
     traces = adapters.view(spark, d, "traces")
     steps = _of_kind(spark, d, "step_frames")
-    return render.granular_frames(traces, steps, _files(spark, d), FUNCTION, KEY, 1, (), page_blocks=4)
+    return render.granular_frames(traces, steps, _files(spark, d), FUNCTION, KEY, 1, ())
 
 
 @query
@@ -713,6 +735,18 @@ def exception_texts(spark: SparkSession, d: str) -> DataFrame:
 TEXTS = comparison.PromptTexts(INTRO, INSTRUCTIONS, RUNTIME, PATCH_FORMAT)
 
 
+@query
+def chosen_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """One prompt per instance and variant: of its chosen trace, or of its log where it has none."""
+    logs = adapters.view(spark, d, "test_outputs").where(F.col("variant") == schemas.BASELINE)
+    traces = adapters.view(spark, d, "traces")
+    chosen = comparison.chosen_traces(logs.select("instance_id", "output"), traces, ("instance_id",), "ord")
+    prompts = comparison.comparison_prompts(
+        chosen, _frames(spark, d), _files(spark, d), TEXTS, keys=KEY, file_keys=()
+    )
+    return prompts.select("instance_id", "variant", "prompt")
+
+
 @query
 def comparison_prompts(spark: SparkSession, d: str) -> DataFrame:
     traces = adapters.view(spark, d, "traces").select("trace_id", "nodeid", "exc_type", "message")
@@ -724,12 +758,12 @@ def comparison_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def debug_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts with the rendered frames, one row per page of frames."""
+    """Prompts with the rendered frames, as the parts of one text."""
     options = comparison.ComparisonOptions(context_lines=2)
     prompts = comparison.debug_prompts(
         adapters.view(spark, d, "traces"), _frames(spark, d), _files(spark, d), TEXTS, options, KEY, ()
     )
-    return prompts.select("trace_id", "page", "prompt")
+    return prompts.select("trace_id", "ordinal", "text")
 
 
 @query
@@ -769,7 +803,7 @@ def _flat_traces(traces: DataFrame) -> DataFrame:
 def strict_traces(spark: SparkSession, d: str) -> DataFrame:
     """Traces of well-formed documents, those with a bad frame left out."""
     parsed = readers.parse_traces(adapters.view(spark, d, "trace_documents"))
-    return _flat_traces(parsed.where("error is null"))
+    return _flat_traces(readers.sound_traces(parsed))
 
 
 @query
@@ -834,10 +868,9 @@ def stream_report_records(spark: SparkSession, d: str) -> DataFrame:
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
     path = work_folder(spark, "stream-metrics")
     arriving = jobs.record_stream(_order_stream(spark, d)).where(F.col("variant") != schemas.BASELINE)
-    counts = jobs.running_counts(arriving.withColumn("recorded_at", F.current_timestamp()))
-    jobs.write_counts(counts, f"{path}/out", f"{path}/state").awaitTermination()
-    latest = jobs.latest_counts(spark.read.parquet(f"{path}/out"))
-    return _round_rates(jobs.metrics_of_counts(latest, ()))
+    jobs.write_stream(arriving, f"{path}/out", f"{path}/state").awaitTermination()
+    counts = jobs.record_counts(spark.read.parquet(f"{path}/out"))
+    return _round_rates(jobs.metrics_of_counts(counts, ()))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -20,8 +21,6 @@ def build_session(app: str = "tracelake", cores: str = "*", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # Lets the default cap on step frames drop rows before the shuffle.
-        .config("spark.sql.optimizer.windowGroupLimitThreshold", "2000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
@@ -32,14 +31,20 @@ def build_session(app: str = "tracelake", cores: str = "*", shuffle_partitions:
     return spark
 
 
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+@lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tracelake-")
 
-    Only a local-mode session without that setting gets a temporary folder.
+
+def work_folder(spark: SparkSession, label: str, base: str | None = None) -> str:
+    """A new folder under ``base``, or under ``spark.checkpoint.dir``, which all executors share.
+
+    Only a local-mode session without that setting gets a temporary folder, one
+    for the whole process.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="tracelake-")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

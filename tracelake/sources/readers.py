@@ -1,37 +1,69 @@
 """Readers. Bad files become rows of an errors table; they never stop a job.
 
-Whole-file sources use the binary reader, so that a file's length can be tested
-before its content is read. ``instance_id`` comes from the folder of a file.
+``instance_id`` comes from the folder of a file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake import schemas
 from tracelake.operators.frames import is_object, lenient_frame, strict_frame
+from tracelake.operators.ordinals import sequence_number
 
-# The largest text that one VARIANT value takes with a safe margin.
-MAX_DOCUMENT_BYTES = 100 * 1024 * 1024
-# File names of the artifact layout.
+# File names of the artifact layout, and the folder of a project snapshot.
 TRACE_FILE, TEST_OUTPUT_FILE = "auto_debug.json", "test_output.txt"
+PROJECT_FOLDER = "project"
+# Trace files are written with two blanks per level, so this text ends each element of their list but the last: line
+# breaks inside of strings are escaped.
+ELEMENT_END = "\n  },\n"
+# Elements that a piece of a file can have are numbered below this power of two.
+PIECE_BITS = 20
+NO_TRACE_FILE = "Tests may not have failed, or trace collection did not activate."
 
 
-def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Files as (path, instance_id, length, value), ``value`` null above ``max_bytes``.
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Files as (path, instance_id, length, value)."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(
+        "path",
+        F.element_at(F.split("path", "/"), -2).alias("instance_id"),
+        "length",
+        F.col("content").cast("string").alias("value"),
+    )
+
 
-    The length test is part of two scans, so the content of a file that is too
-    large is never read.
+def read_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Trace files in pieces of whole elements: (path, instance_id, piece, pieces, value).
+
+    A file that is written with line breaks comes in one piece per element, and is read in as many tasks as it has
+    blocks, so its size does not matter. Any other file is one piece. Pieces count from 0 in the order of the file.
     """
-    files = spark.read.format("binaryFile").load(path)
-    named = files.select(
-        "path", F.element_at(F.split("path", "/"), -2).alias("instance_id"), "length", "content"
+    lines = spark.read.option("lineSep", ELEMENT_END).text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+        "value",
+    )
+    inside = Window.partitionBy("path", "_block").orderBy("_id")
+    blocks = lines.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(
+        "path",
+        "_block",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy("path")).alias("pieces"),
+    )
+    numbered = lines.withColumn("_place", F.row_number().over(inside) - 1).join(starts, ["path", "_block"])
+    return numbered.select(
+        "path",
+        F.element_at(F.split("path", "/"), -2).alias("instance_id"),
+        (F.col("_before") + F.col("_place")).alias("piece"),
+        "pieces",
+        "value",
     )
-    read = named.where(F.col("length") <= max_bytes).withColumn("value", F.col("content").cast("string"))
-    large = named.where(F.col("length") > max_bytes).withColumn("value", F.lit(None).cast("string"))
-    return read.drop("content").unionByName(large.drop("content"))
 
 
 def _parsed(value: Column) -> Column:
@@ -42,13 +74,48 @@ def _parsed(value: Column) -> Column:
 def document_problem(value: Column, parsed: Column) -> Column:
     """Why a trace document cannot be read, or null."""
     return (
-        F.when(value.isNull(), F.lit("Trace file too large to parse as one document"))
+        F.when(value.isNull(), F.lit("Invalid JSON in trace file"))
         .when(~F.is_valid_utf8(value), F.lit("Invalid JSON in trace file: not UTF-8"))
         .when(parsed.isNull(), F.lit("Invalid JSON in trace file"))
         .when(~F.schema_of_variant(parsed).startswith("ARRAY"), F.lit("Invalid trace format: expected list"))
     )
 
 
+def _piece_text(value: Column) -> Column:
+    """A piece as a JSON list of its elements. The only piece of a file is the file."""
+    first, last = F.col("piece") == 0, F.col("piece") == F.col("pieces") - 1
+    opened = F.when(first & ~last & value.rlike(r"\A\s*\["), F.regexp_replace(value, r"\A\s*\[", "")).otherwise(value)
+    # The separator took the end of the element with it.
+    closed = F.when(last, F.regexp_replace(opened, r"\]\s*\z", "")).otherwise(F.concat(opened, F.lit("\n  }")))
+    return F.when(F.col("pieces") == 1, value).otherwise(F.concat(F.lit("["), closed, F.lit("]")))
+
+
+def parse_elements(documents: DataFrame, strict: bool = True) -> DataFrame:
+    """Documents or pieces as one row per element: ``trace_pos`` and ``_t``, or ``_problem`` if it cannot be read.
+
+    In one parse. A document of several pieces is numbered through; all of it is unreadable if one piece is.
+    """
+    pieces = "pieces" in documents.columns
+    if pieces:
+        documents = documents.withColumn("value", _piece_text(F.col("value")))
+    value = F.col("value") if strict else F.make_valid_utf8(F.col("value"))
+    rest = [c for c in documents.columns if c != "value"]
+    read = documents.select(*rest, value.alias("_value"), _parsed(value).alias("_v"))
+    elements = F.try_variant_get("_v", "$", "array<variant>")
+    rows = read.select(
+        *rest,
+        document_problem(F.col("_value"), F.col("_v")).alias("_problem"),
+        F.posexplode_outer(elements).alias("trace_pos", "_t"),
+    )
+    if not pieces:
+        return rows
+    order = F.shiftleft(F.col("piece").cast("bigint"), PIECE_BITS) + F.coalesce("trace_pos", F.lit(0))
+    numbered = sequence_number(
+        rows.withColumn("_order", order).drop("trace_pos"), ["path"], "_order", "trace_pos", bits=2 * PIECE_BITS
+    )
+    return numbered.drop("_order", "piece", "pieces", "path").withColumn("trace_pos", F.col("trace_pos").cast("int"))
+
+
 def parse_traces(documents: DataFrame, strict: bool = True) -> DataFrame:
     """Trace documents as one row per trace, with its position in the document.
 
@@ -57,28 +124,28 @@ def parse_traces(documents: DataFrame, strict: bool = True) -> DataFrame:
     on its trace, in the lenient form it gets defaults or, if it is no object,
     is left out. Documents that cannot be read give no rows, see ``trace_errors``.
     """
-    value = F.col("value") if strict else F.make_valid_utf8(F.col("value"))
-    rest = [c for c in documents.columns if c != "value"]
-    # Null, and so without rows, for anything but a list.
-    elements = F.try_variant_get(_parsed(value), "$", "array<variant>")
-    traces = (
-        documents.select(*rest, F.posexplode(elements).alias("trace_pos", "_t"))
-        .where(is_object(F.col("_t")))
-        .select(
-            *rest,
-            "trace_pos",
-            *[F.try_variant_get("_t", f"$.{c}", "string").alias(c) for c in ("nodeid", "exc_type", "message")],
-            *[F.try_variant_get("_t", f"$.{c}", "array<variant>").alias(c) for c in schemas.FRAME_KINDS],
-        )
+    return typed_traces(parse_elements(documents, strict), strict).where("_problem is null").drop("_problem")
+
+
+def typed_traces(elements: DataFrame, strict: bool = True) -> DataFrame:
+    """The elements that are traces with their typed columns, and the rows of documents that cannot be read."""
+    rest = [c for c in elements.columns if c not in ("trace_pos", "_t", "_problem")]
+    traces = elements.where(is_object(F.col("_t")) | F.col("_problem").isNotNull()).select(
+        *rest,
+        "trace_pos",
+        "_problem",
+        *[F.try_variant_get("_t", f"$.{c}", "string").alias(c) for c in ("nodeid", "exc_type", "message")],
+        *[F.try_variant_get("_t", f"$.{c}", "array<variant>").alias(c) for c in schemas.FRAME_KINDS],
+        *[_no_list("_t", c).alias(f"_no_list_{c}") for c in ("frames", "exec_path")],
     )
     if not strict:
         for kind in schemas.FRAME_KINDS:
             present = F.filter(F.transform(kind, lenient_frame), lambda f: f.isNotNull())
             traces = traces.withColumn(kind, F.coalesce(present, _no_frames()))
-        return traces
-    # Only the two arrays that are filtered later must hold well-formed frames.
-    for kind in ("frames", "exec_path"):
-        traces = traces.withColumn(kind, F.transform(kind, strict_frame))
+        return traces.drop("_no_list_frames", "_no_list_exec_path")
+    # Only the two arrays that are filtered later must hold well-formed frames. Calls are taken without their locals.
+    traces = traces.withColumn("frames", F.transform("frames", lambda f: strict_frame(f)))
+    traces = traces.withColumn("exec_path", F.transform("exec_path", _call_frame))
     checked = F.filter(
         F.transform(
             F.concat(*[F.coalesce(k, F.array().cast(traces.schema[k].dataType)) for k in ("frames", "exec_path")]),
@@ -86,7 +153,8 @@ def parse_traces(documents: DataFrame, strict: bool = True) -> DataFrame:
         ),
         lambda e: e.isNotNull(),
     )
-    traces = traces.withColumn("error", F.get(checked, F.lit(0)))
+    error = F.coalesce("_problem", "_no_list_frames", "_no_list_exec_path", F.get(checked, F.lit(0)))
+    traces = traces.withColumn("error", error).drop("_no_list_frames", "_no_list_exec_path")
     for kind in ("frames", "exec_path"):
         traces = traces.withColumn(
             kind, F.coalesce(F.transform(kind, lambda f: f.dropFields("error")), _no_frames())
@@ -95,31 +163,77 @@ def parse_traces(documents: DataFrame, strict: bool = True) -> DataFrame:
     return traces.withColumn("step_frames", F.coalesce(steps, _no_frames()))
 
 
+def _no_list(trace: str, field: str) -> Column:
+    """Why the frames of a trace cannot be gone through, or null. Nothing, zero and empty values count as no frames."""
+    value = F.try_variant_get(trace, f"$.{field}", "variant")
+    empty = F.to_json(value).isin("null", "false", "0", "0.0", '""', "{}")
+    return F.when(
+        value.isNotNull() & ~F.schema_of_variant(value).startswith("ARRAY") & ~empty,
+        F.lit(f"{field} of a trace is no list"),
+    )
+
+
+def sound_traces(traces: DataFrame, key: str = "instance_id") -> DataFrame:
+    """The traces of documents without an error: one bad frame fails the whole instance."""
+    bad = traces.where("error is not null").select(key).distinct()
+    return traces.where("error is null").join(bad, key, "left_anti").select(*traces.columns)
+
+
+def _call_frame(raw: Column) -> Column:
+    return strict_frame(raw, with_locals=False)
+
+
 def _no_frames() -> Column:
     return F.array().cast(T.ArrayType(schemas.FRAME))
 
 
 def trace_errors(documents: DataFrame, key: str = "instance_id") -> DataFrame:
     """One row per document that cannot be read, or has a trace with a bad frame."""
-    parsed = documents.select(key, "value", _parsed(F.col("value")).alias("_v"))
-    problem = document_problem(F.col("value"), F.col("_v"))
-    broken = parsed.select(key, problem.alias("error_message")).where("error_message is not null")
-    bad = (
-        parse_traces(documents.select(key, "value"))
-        .where("error is not null")
+    columns = [c for c in (key, "value", "path", "piece", "pieces") if c in documents.columns]
+    return errors_of(typed_traces(parse_elements(documents.select(*columns))), key)
+
+
+def errors_of(traces: DataFrame, key: str = "instance_id") -> DataFrame:
+    """The first error of each document, from traces with their errors."""
+    return (
+        traces.where("error is not null")
         .groupBy(key)
-        .agg(F.min_by("error", "trace_pos").alias("error_message"))
+        .agg(F.min_by("error", F.coalesce("trace_pos", F.lit(-1))).alias("error_message"))
+        .select(key, F.lit("TraceCollectionError").alias("error_type"), "error_message")
     )
-    return broken.unionByName(bad).select(key, F.lit("TraceCollectionError").alias("error_type"), "error_message")
 
 
 def read_traces(spark: SparkSession, base: str, strict: bool = True) -> DataFrame:
-    """Traces of all instances below ``base``, one trace file per instance folder."""
-    return parse_traces(read_documents(spark, f"{base}/*/{TRACE_FILE}").drop("length", "path"), strict)
+    """Traces of all instances below ``base``, one trace file of any size per instance folder.
+
+    In the strict form a file that cannot be read in one place gives no traces.
+    """
+    pieces = read_pieces(spark, f"{base}/*/{TRACE_FILE}")
+    if not strict:
+        return parse_traces(pieces, strict)
+    traces = typed_traces(parse_elements(pieces))
+    broken = traces.where("_problem is not null").select("instance_id").distinct()
+    sound = traces.where("_problem is null").drop("_problem")
+    return sound.join(broken, "instance_id", "left_anti").select(*sound.columns)
+
 
+def read_trace_errors(spark: SparkSession, base: str, instances: DataFrame | None = None) -> DataFrame:
+    """Instances whose trace file cannot be used; with ``instances``, also those that have none.
 
-def read_trace_errors(spark: SparkSession, base: str) -> DataFrame:
-    return trace_errors(read_documents(spark, f"{base}/*/{TRACE_FILE}"))
+    Spark does not list files without a byte, so these count as none.
+    """
+    errors = trace_errors(read_pieces(spark, f"{base}/*/{TRACE_FILE}"))
+    return errors if instances is None else errors.unionByName(absent_files(spark, base, instances))
+
+
+def absent_files(spark: SparkSession, base: str, instances: DataFrame) -> DataFrame:
+    """Errors of instances without a trace file."""
+    path = F.concat(F.lit(base.rstrip("/") + "/"), F.col("instance_id"), F.lit(f"/{TRACE_FILE}"))
+    message = F.concat(F.lit("Trace file not created: "), path, F.lit(f". {NO_TRACE_FILE}"))
+    absent = trace_exists(spark, base, instances.select("instance_id").distinct()).where("not trace_exists")
+    return absent.select(
+        "instance_id", F.lit("TraceCollectionError").alias("error_type"), message.alias("error_message")
+    )
 
 
 def list_instances(spark: SparkSession, base: str) -> DataFrame:
@@ -152,24 +266,45 @@ def read_test_outputs(spark: SparkSession, base: str, instances: DataFrame) -> D
 
 
 def read_source_tree(spark: SparkSession, base: str, root: str = "/testbed") -> DataFrame:
-    """A project snapshot per instance folder as (instance_id, path, content).
+    """The project snapshot of each instance folder as (instance_id, path, content).
 
-    Paths are put below ``root``; the file at ``<base>/<instance>/a/b.py``
-    becomes ``<root>/a/b.py``.
+    Paths are put below ``root``: the file at ``<base>/<instance>/project/a/b.py`` becomes ``<root>/a/b.py``. Other
+    artifacts of the folder are no part of the project.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     inside = F.substring_index(F.col("path"), base.rstrip("/") + "/", -1)
-    instance = F.split(inside, "/")[0]
-    return files.select(
-        instance.alias("instance_id"),
-        F.concat(F.lit(root), F.substring(inside, F.length(instance) + 1, F.length(inside))).alias("path"),
+    parts = F.split(inside, "/")
+    return files.where(F.get(parts, F.lit(1)) == PROJECT_FOLDER).select(
+        parts[0].alias("instance_id"),
+        F.concat_ws("/", F.lit(root), F.array_join(F.slice(parts, 3, F.size(parts)), "/")).alias("path"),
         _text(F.col("content")).alias("content"),
     )
 
 
+def _reports(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    corrupt = T.StructField("_corrupt_record", T.StringType())
+    schema = T.StructType([*schemas.REPORT.fields, corrupt])
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+
 def read_reports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Comparison reports: one document per file, or one per line of a written table."""
-    return spark.read.schema(schemas.REPORT).option("multiLine", multi_line).json(path)
+    """Comparison reports: one document per file, or one per line of a written table.
+
+    Documents that are cut, or name no instance, are no reports, see ``report_errors``.
+    """
+    reports = _reports(spark, path, multi_line)
+    return reports.where("_corrupt_record is null and instance_id is not null").drop("_corrupt_record")
+
+
+def report_errors(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The files with documents that are no reports."""
+    reports = _reports(spark, path, multi_line).withColumn("path", F.col("_metadata.file_path"))
+    message = F.when(F.col("_corrupt_record").isNotNull(), "Invalid JSON in report").when(
+        F.col("instance_id").isNull(), "Report without instance"
+    )
+    return reports.select("path", F.lit("ReportError").alias("error_type"), message.alias("error_message")).where(
+        "error_message is not null"
+    )
 
 
 def read_run_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 
 def write_run_index(records: DataFrame, header: DataFrame, path: str) -> None:
-    """Append records, by run, to the index table and the run's header to its own.
+    """Write the records and the header of runs to the index tables, in place of what these runs had.
 
-    A run that is not finished has no ``completed_at``; a later header row
-    completes it, see ``latest_headers``.
+    Other runs keep their rows, and writing a run again changes nothing. A run
+    that is not finished has no ``completed_at``; see ``outcomes.complete_headers``.
     """
-    records.write.partitionBy("run_id").mode("append").parquet(f"{path}/records")
-    header.write.mode("append").parquet(f"{path}/headers")
+    for rows, name in ((records, "records"), (header, "headers")):
+        rows.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(
+            f"{path}/{name}"
+        )
 
 
 def latest_headers(headers: DataFrame) -> DataFrame:
@@ -31,7 +33,8 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 
 def write_errors(errors: DataFrame, path: str) -> None:
-    errors.write.mode("append").json(path)
+    """The errors of a job, in place of those of an earlier run of it."""
+    errors.write.mode("overwrite").json(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
