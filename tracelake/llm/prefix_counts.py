@@ -21,6 +21,8 @@ from tracelake.llm.scanning import PATTERN, Scanner, adapted_pattern, cuts, ever
 from tracelake.llm.shared import slices
 
 PAIRS_KEPT = 1 << 20
+# So few pairs are merged one by one.
+FEW = 8
 HASH_STEP = np.uint64(0x100000001B3)
 LOW_BITS = np.uint64(0x7FFFFFFFFFFFFFFF)
 
@@ -57,7 +59,8 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         merges = [(bytes(letters[c] for c in a), bytes(letters[c] for c in b)) for a, b in merges]
-        self.merger = Merger({m: rank for rank, m in reversed(list(enumerate(merges)))}.get)
+        ranks = {m: rank for rank, m in reversed(list(enumerate(merges)))}
+        self.merger = Merger(lambda a, b: ranks.get((a, b)))
         pairs = {}
         for rank, (a, b) in enumerate(merges):
             pairs.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
@@ -98,13 +101,12 @@ class PrefixCounter:
         """Whether two tokens, merged on their own, stay the two; worked out once for each pair."""
         if len(self.together) > PAIRS_KEPT:
             self.together.clear()
-        values, back = np.unique(codes, return_inverse=True)
-        known = self.together
-        new = [c for c in values.tolist() if c not in known]
+        known, asked = self.together, codes.tolist()
+        new = set(asked).difference(known)
         short, kept = [], []
         for c in new:
             a, b = self.token[c >> 20], self.token[c & 0xFFFFF]
-            if len(a) + len(b) <= SHORT:
+            if len(a) + len(b) <= SHORT and len(new) > FEW:
                 short.append(a + b)
                 kept.append(c)
             else:
@@ -113,7 +115,7 @@ class PrefixCounter:
             rows, sizes = self.many.merge(short)
             same = (sizes == 2) & ((rows[:, 0] << 20 | rows[:, 1]) == np.array(kept, np.int64))
             known.update(zip(kept, same.tolist()))
-        return np.fromiter(map(known.__getitem__, values.tolist()), bool, len(values))[back]
+        return np.fromiter(map(known.__getitem__, asked), bool, len(asked))
 
     def count_prefixes(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Per piece the counts of its prefixes of 1, 2, ... bytes."""
@@ -139,23 +141,26 @@ class PrefixCounter:
             ids = self.by_hash.get((value & LOW_BITS).astype(np.int64).reshape(-1), -1).reshape(value.shape)
             for start in range(width - size + 1):
                 ends[start + size].append((start, ids[:, start]))
+        for found in ends:
+            found.reverse()
         last = np.full((rows, width + 1), -1, np.int64)
         counts = np.zeros((rows, width + 1), np.int32)
         for end in range(1, width + 1):
-            live = sizes >= end
-            found_rows, found_ids, found_starts = [], [], []
+            open_ = np.flatnonzero(sizes >= end)
+            # The longest token that ends here is the right one most often.
             for start, ids in ends[end]:
-                good = np.flatnonzero(live & (ids >= 0))
-                found_rows.append(good)
-                found_ids.append(ids[good])
-                found_starts.append(np.full(len(good), start))
-            row, token, start = map(np.concatenate, (found_rows, found_ids, found_starts))
-            before = last[row, start]
-            right = start == 0
-            right[~right] = self._go_together(before[~right] << 20 | token[~right])
-            row, token, start = row[right], token[right], start[right]
-            last[row, end] = token
-            counts[row, end] = counts[row, start] + 1
+                rows_here = open_[ids[open_] >= 0]
+                if not rows_here.size:
+                    continue
+                token = ids[rows_here]
+                if start:
+                    right = self._go_together(last[rows_here, start] << 20 | token)
+                    rows_here, token = rows_here[right], token[right]
+                last[rows_here, end] = token
+                counts[rows_here, end] = counts[rows_here, start] + 1
+                open_ = open_[last[open_, end] < 0]
+                if not open_.size:
+                    break
         return counts
 
     def _long_prefixes(self, data: bytes) -> np.ndarray:
