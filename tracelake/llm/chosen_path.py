@@ -6,15 +6,17 @@ token there names, so two sets stay together with their similarity. Nodes of up
 larger ones branch on. At a similarity of 3/4 a pair survives a level with probability 13/16, and after three levels
 with 0.6, so twelve trees miss about two in 100,000 pairs; ``TREES`` sets the recall.
 
-Near copies of one document would stay together for many levels. So the sets of every first node are compared with the
-smallest set in it before: sets that are linked to the same one are already in one component, and a node whose sets are
-all of one component is done. Every link is confirmed on the full sets.
+Near copies of one document would stay together for many levels. So the sets of a first node, and of every node that is
+large, are compared with one set in it before it branches. What these links connect is one component already: its
+sets are not compared with each other, and a node whose sets are all of one component is done. Every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,11 @@ PERCENT = 75
 TREES = 12
 # Places of the signature that trees branch on, and places that sketches are compared on.
 BRANCH_PLACES, SKETCH_PLACES = 64, 128
-# Nodes of up to so many sets are compared in full; after so many levels larger ones are too, in blocks.
+# Nodes with up to so many sets outside their largest component are compared in full; after so many levels larger ones
+# are too, in blocks.
 LEAF, LEVELS = 32, 10
+# Up to this level large nodes are compared with about so many of their sets first.
+FIRSTS_LEVEL, FIRSTS = 1, 8
 # Sketches have to agree on so many percent less than the similarity asked for: four standard deviations of the
 # estimate.
 SKETCH_SLACK = 15
@@ -158,12 +163,12 @@ def next_nodes(rows: DataFrame) -> DataFrame:
     child = [F.xxhash64("node", p, token_at(p)) for p in places]
     two = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.lit(3)) == 0
     children = F.array_distinct(F.when(two, F.array(*child)).otherwise(F.array(child[0])))
-    return rows.select(F.explode(children).alias("node"), *KEY, "l1", "l2")
+    return rows.select(F.explode(children).alias("node"), *KEY)
 
 
-def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
+def agreeing(pairs: DataFrame, percent: int, slack: int = SKETCH_SLACK) -> DataFrame:
     """The pairs (a1, a2, b1, b2) whose sketches agree nearly enough, and whose sizes allow the similarity."""
-    least = (percent - SKETCH_SLACK) / 100
+    least = (percent - slack) / 100
     sized = pairs.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     names = ["a1", "a2", "b1", "b2"]
 
@@ -189,14 +194,41 @@ def _renamed(sets: DataFrame, side: str) -> DataFrame:
 
 
 def near_the_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of each set in a node with the smallest set in it."""
-    first = nodes.groupBy("node").agg(
-        F.count(F.lit(1)).alias("_sets"), F.min("s1").alias("b1"), F.min_by("s2", "s1").alias("b2")
+    """Candidate pairs of each set in a node with a few first sets in it, if they are of different components.
+
+    They only save comparisons later, so sketches have to agree in full. The first is the smallest set in a small node,
+    so that a pair is met in many nodes and confirmed once. In a large node a hash chooses about ``FIRSTS`` sets, others
+    in each node: stars around many sets soon make one component of those that are one.
+    """
+    smallest = nodes.where(F.col("_sets") <= LEAF).groupBy("node").agg(F.min("s1").alias("s1"))
+    chosen = (F.col("_sets") > LEAF) & (F.pmod(F.xxhash64("node", *KEY), F.col("_sets")) < FIRSTS)
+    firsts = nodes.where(chosen).unionByName(nodes.join(smallest, ["node", "s1"], "left_semi"))
+    firsts = firsts.select("node", *(F.col(c).alias(n) for c, n in zip((*KEY, "l1", "l2"), ("b1", "b2", "_l1", "_l2"))))
+    pairs = nodes.join(firsts, "node").where("l1 <> _l1 or l2 <> _l2")
+    pairs = pairs.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), "b1", "b2").distinct()
+    return agreeing(
+        pairs.join(_renamed(sets, "a"), ["a1", "a2"]).join(_renamed(sets, "b"), ["b1", "b2"]), percent, slack=0
+    )
+
+
+def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, s1, s2, l1, l2, _sets, _others, _main): the nodes that hold sets of different components.
+
+    ``_others`` is the number of sets outside the node's largest component, ``_main`` tells whether a set is inside.
+    """
+    labelled = nodes.join(labels, KEY)
+    counts = labelled.groupBy("node", "l1", "l2").agg(F.count(F.lit(1)).alias("_n"))
+    # Of equally large components any one may be the main one; the order makes it one of them.
+    order = F.col("_n") * (1 << 20) + F.pmod(F.xxhash64("l1", "l2"), F.lit(1 << 20))
+    about = counts.groupBy("node").agg(
+        F.sum("_n").alias("_sets"),
+        F.max("_n").alias("_most"),
+        F.max_by("l1", order).alias("_l1"),
+        F.max_by("l2", order).alias("_l2"),
     )
-    pairs = nodes.join(first.where("_sets > 1").drop("_sets"), "node")
-    pairs = pairs.where("s1 <> b1 or s2 <> b2").select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), "b1", "b2")
-    both = pairs.distinct().join(_renamed(sets, "a"), ["a1", "a2"]).join(_renamed(sets, "b"), ["b1", "b2"])
-    return agreeing(both, percent)
+    several = about.where("_sets > _most").withColumn("_others", F.col("_sets") - F.col("_most")).drop("_most")
+    main = (F.col("l1") == F.col("_l1")) & (F.col("l2") == F.col("_l2"))
+    return labelled.join(several, "node").withColumn("_main", main).drop("_l1", "_l2")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
@@ -257,36 +289,46 @@ def in_one_leaf(leaves: DataFrame, percent: int) -> DataFrame:
     return leaves.select("members", "block").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
+def _as_links(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
+        F.col("a1").alias("u1"), F.col("a2").alias("u2"), F.col("b1").alias("v1"), F.col("b2").alias("v2")
+    )
+
+
+def _labels(sets: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(s1, s2, l1, l2): the smallest set of the component that each set is known to be in."""
+    if known is None:
+        return sets.select(*KEY, F.col("s1").alias("l1"), F.col("s2").alias("l2"))
+    return sets.select(*KEY).join(known.toDF(*KEY, "l1", "l2"), KEY, "left").select(
+        *KEY, F.coalesce("l1", "s1").alias("l1"), F.coalesce("l2", "s2").alias("l2")
+    )
+
+
 def _member() -> Column:
     return F.struct(*KEY, "l1", "l2", "n", "sketch")
 
 
-def tree_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components: nodes branch until they are small, and small ones are compared."""
-    spark = nodes.sparkSession
-    leaves, none = [], F.lit(None).cast("array<struct<s1:long,s2:long,l1:long,l2:long,n:long,sketch:binary>>")
-    for level in range(LEVELS + 1):
-        about = nodes.groupBy("node").agg(
-            F.count(F.lit(1)).alias("_sets"),
-            *(f(c).alias(f"_{c}_{n}") for c in ("l1", "l2") for n, f in (("min", F.min), ("max", F.max))),
-        )
-        mixed = about.where("_sets > 1 and (_l1_min <> _l1_max or _l2_min <> _l2_max)").select("node", "_sets")
-        open_ = written(spark, nodes.join(mixed, "node"), "nodes")
-        small = open_.where(F.col("_sets") <= LEAF).drop("_sets").join(sets.select(*KEY, "n", "sketch"), KEY)
-        leaves.append(small.groupBy("node").agg(F.collect_list(_member()).alias("members")).select("members", none.alias("block")))
-        large = open_.where(F.col("_sets") > LEAF)
-        left = large.count()
-        if not left:
-            break
-        if level == LEVELS:
-            leaves.append(_in_blocks(large.join(sets.select(*KEY, "n", "sketch"), KEY)))
-            break
-        nodes = next_nodes(large.drop("_sets").join(sets.select(*KEY, "signature"), KEY))
-    pairs = [in_one_leaf(leaf, percent) for leaf in leaves]
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
-    return every.distinct()
+def _leaf_pairs(leaves: DataFrame, rest: DataFrame | None, sets: DataFrame, labels: DataFrame, percent: int):
+    """Candidate pairs of different components in leaves, and in the nodes of ``rest``, which are still large.
+
+    A leaf has few sets, or few outside its largest component: these are compared with each other and with the blocks of
+    the largest component, whose own sets are not.
+    """
+    members = sets.select(*KEY, "n", "sketch")
+    none = F.lit(None).cast("array<struct<s1:long,s2:long,l1:long,l2:long,n:long,sketch:binary>>")
+    rows = mixed(leaves, labels).join(members, KEY)
+    blocks = F.ceil((F.col("_sets") - F.col("_others")) / LEAF).cast("int")
+    block = F.when(F.col("_main"), F.pmod(F.xxhash64(*KEY), blocks) + 1).otherwise(0)
+    found = rows.groupBy("node", block.alias("_block")).agg(F.collect_list(_member()).alias("members"))
+    found = written(sets.sparkSession, found, "leaves")
+    others = found.where("_block = 0").select("node", F.col("members").alias("block"))
+    lists = [
+        others.select(F.col("block").alias("members"), none.alias("block")),
+        found.where("_block > 0").join(others, "node").select("members", "block"),
+    ]
+    if rest is not None:
+        lists.append(_in_blocks(rest.join(members, KEY)))
+    return in_one_leaf(reduce(DataFrame.unionByName, lists), percent).distinct()
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
@@ -318,26 +360,32 @@ def near_duplicates(
         F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
     )
     sets = written(spark, sets, "sets")
-    nodes = first_nodes(sets, trees)
-    stars = confirmed(near_the_first(nodes, sets, percent), sets, docs, doc_id, text, percent)
-    stars = written(spark, stars, "links")
-    # Sets linked to the same smallest set are in one component, and need not be compared.
-    star = stars.groupBy(F.col("a1").alias("s1"), F.col("a2").alias("s2")).agg(
-        F.min("b1").alias("l1"), F.min_by("b2", "b1").alias("l2")
-    )
-    smaller = F.coalesce(F.col("l1") < F.col("s1"), F.lit(False))
-    labels = sets.join(star, KEY, "left").select(
-        *KEY,
-        "signature",
-        F.when(smaller, F.col("l1")).otherwise(F.col("s1")).alias("l1"),
-        F.when(smaller, F.col("l2")).otherwise(F.col("s2")).alias("l2"),
-    )
-    labelled = first_nodes(labels.select(*KEY, "signature"), trees).join(labels.drop("signature"), KEY)
-    found = written(spark, tree_pairs(labelled, sets, percent), "pairs")
-    links = stars.unionByName(confirmed(found, sets, docs, doc_id, text, percent)).select(
-        F.col("a1").alias("u1"), F.col("a2").alias("u2"), F.col("b1").alias("v1"), F.col("b2").alias("v2")
-    )
-    reached = components(links).select(F.col("u1").alias("s1"), F.col("u2").alias("s2"), "v1", "v2")
+    nodes, labels = first_nodes(sets, trees), _labels(sets, None)
+    known, leaves, rest = None, [], None
+    for level in range(LEVELS + 1):
+        open_ = written(spark, mixed(nodes, labels), "nodes")
+        if level <= FIRSTS_LEVEL:
+            asked = open_ if level == 0 else open_.where(F.col("_sets") > LEAF)
+            links = confirmed(near_the_first(asked, sets, percent), sets, docs, doc_id, text, percent)
+            links = written(spark, _as_links(links), "links")
+            if not links.isEmpty():
+                links = links if known is None else known.unionByName(links)
+                known = written(spark, components(links), "components")
+                labels = _labels(sets, known)
+                open_ = written(spark, mixed(open_.select("node", *KEY), labels), "nodes")
+        leaves.append(open_.where(F.col("_others") <= LEAF).select("node", *KEY))
+        large = open_.where(F.col("_others") > LEAF)
+        if large.isEmpty():
+            break
+        if level == LEVELS:
+            rest = large
+        else:
+            nodes = next_nodes(large.join(sets.select(*KEY, "signature"), KEY))
+    leaves = reduce(DataFrame.unionByName, leaves)
+    found = written(spark, _leaf_pairs(leaves, rest, sets, labels, percent), "pairs")
+    links = _as_links(confirmed(found, sets, docs, doc_id, text, percent))
+    links = links if known is None else known.unionByName(links)
+    reached = components(links).toDF(*KEY, "v1", "v2")
     grouped = sets.select(*KEY, "doc").join(reached, KEY, "left")
     top = [F.coalesce("v1", "s1").alias("v1"), F.coalesce("v2", "s2").alias("v2")]
     grouped = grouped.select(*KEY, "doc", *top)
