@@ -144,6 +144,33 @@ def test_large_nodes_branch_and_come_in_blocks(spark, monkeypatch):
         assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == want
 
 
+def test_recall_in_large_families(spark, monkeypatch):
+    """A family just below the bound stays together for all levels; in it, each set has one partner just above."""
+    monkeypatch.setattr(chosen_path, "LEAF", 4)
+    # Stars would find the pairs of so small a family; trees have to.
+    monkeypatch.setattr(chosen_path, "FIRSTS_LEVEL", -1)
+    rows = []
+    for n in range(120):
+        own = [f"b{k}" for k in range(257)] + [f"w{n}-{k}" for k in range(43)]
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(own[:258] + [f"x{n}-{k}" for k in range(42)]))]
+    found = chosen_path.near_duplicates(frame(spark, rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter(r.component_id for r in found) == {2 * n: 2 for n in range(120)}
+
+
+def test_missed_pairs_by_simulation():
+    rng = np.random.default_rng(3)
+    assert chosen_path.missed(3, 75, 12) == pytest.approx(1.33e-4, rel=0.01)
+    for levels, trees in ((4, 2), (8, 6)):
+        lost, pairs = 0, 4000
+        for agree in rng.random((pairs, chosen_path.BRANCH_PLACES)) < 0.75:
+            place = iter(range(chosen_path.BRANCH_PLACES))
+            nodes = sum(agree[next(place)] for t in range(trees) for _ in range(2 if t % 3 == 2 else 1))
+            for _ in range(levels - 1):
+                nodes = sum(agree[rng.choice(64, 1 + (rng.random() < 1 / 3), replace=False)].sum() for _ in range(nodes))
+            lost += nodes == 0
+        assert lost / pairs == pytest.approx(chosen_path.missed(levels, 75, trees), abs=0.03)
+
+
 def test_components_of_a_long_chain(spark):
     links = [(n, 0, n + 1, 0) for n in range(40) if n % 13] + [(5, 1, 7, 0), (99, 0, 98, 0)]
     found = components.components(frame(spark, links, "u1 long, u2 long, v1 long, v2 long")).collect()

@@ -3,8 +3,11 @@
 A document is the set of its word shingles, and sets that are equal are one from the start. Independent trees branch the
 sets: a node picks one or two places of a minwise signature, 4/3 on average, and sends each set to the child that its
 token there names, so two sets stay together with their similarity. Nodes of up to ``LEAF`` sets are compared in full,
-larger ones branch on. At a similarity of 3/4 a pair survives a level with probability 13/16, and after three levels
-with 0.6, so twelve trees miss about two in 100,000 pairs; ``TREES`` sets the recall.
+larger ones branch on, and the deeper they go the more pairs are parted in all trees of a forest, which share the places
+of one signature. ``missed`` is that share at the similarity asked for: with twelve trees and a similarity of 3/4 it is
+7 in a million after two levels, 1.3 in 10,000 after three and 4.9 % after eleven. So the sets of nodes that branch on
+beyond what ``MISSED`` allows go through more forests, each on a signature of its own, until the product of the shares
+at the levels that were reached is below it.
 
 Near copies of one document would stay together for many levels. So the sets of a first node, and of every node that is
 large, are compared with one set in it before it branches. What these links connect is one component already: its
@@ -15,6 +18,7 @@ the full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,6 +36,8 @@ from tracelake.llm.shared import UPPER, slices, written
 SHINGLE_WORDS = 5
 PERCENT = 75
 TREES = 12
+# The share of the pairs at the similarity asked for that the trees may miss.
+MISSED = 2e-5
 # Places of the signature that trees branch on, and places that sketches are compared on.
 BRANCH_PLACES, SKETCH_PLACES = 64, 128
 # Nodes with up to so many sets outside their largest component are compared in full; after so many levels larger ones
@@ -52,11 +58,14 @@ HASHES_AT_ONCE = 4096
 class Shingler:
     """Sets of word shingles as sorted 64-bit numbers, and their minwise signatures."""
 
-    def __init__(self, words: int = SHINGLE_WORDS, seed: int = 5) -> None:
+    def __init__(self, words: int = SHINGLE_WORDS, seed: int = 5, forest: int = 0) -> None:
         rng = np.random.default_rng(seed)
         self.words = words
         self.factors = rng.integers(1, 1 << 62, words + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.places = rng.integers(1, 1 << 62, SKETCH_PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        if forest:
+            own = np.random.default_rng([seed, forest])
+            self.places = own.integers(1, 1 << 62, BRANCH_PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.word = Remembered(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
 
     def shingles(self, text: bytes | None) -> np.ndarray:
@@ -75,7 +84,7 @@ class Shingler:
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         """The smallest product with each place's factor: the minwise token of the place."""
-        least = np.full(SKETCH_PLACES, np.iinfo(np.uint64).max, np.uint64)
+        least = np.full(len(self.places), np.iinfo(np.uint64).max, np.uint64)
         for start in range(0, len(shingles), HASHES_AT_ONCE):
             products = shingles[start : start + HASHES_AT_ONCE, None] * self.places
             np.minimum(least, products.min(axis=0), out=least)
@@ -110,9 +119,8 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if not len(found):
                     out.append((0, None, None, None, None))
                     continue
-                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 tokens = shingler.signature(found)
-                s1, s2 = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+                s1, s2 = _key_of(found)
                 signature = tokens[:BRANCH_PLACES].astype(">u4").tobytes()
                 out.append((len(found), s1, s2, signature, tokens.astype(np.uint8).tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -141,11 +149,49 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _key_of(shingles: np.ndarray) -> tuple[int, int]:
+    """The set key."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return tuple(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+
+
+def signatures(docs: DataFrame, text: str, forest: int) -> DataFrame:
+    """Per row with words: set key (s1, s2) and the signature that the trees of a later forest branch on."""
+    rows = docs.select(F.col(text).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(forest=forest)
+        for part in slices(batches):
+            found = [x for x in map(shingler.shingles, part.column("text").to_pylist()) if len(x)]
+            keys = np.array([_key_of(x) for x in found], np.int64).reshape(-1, 2)
+            tokens = [shingler.signature(x).astype(">u4").tobytes() for x in found]
+            arrays = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*KEY, "signature"])
+
+    return rows.mapInArrow(run, "s1 long, s2 long, signature binary")
+
+
 def token_at(place: Column) -> Column:
     """The minwise token at a place of the signature."""
     return F.substring(F.col("signature"), place * 4 + 1, F.lit(4))
 
 
+def missed(levels: int, percent: int, trees: int) -> float:
+    """The share of the pairs of a similarity that no tree of a forest keeps together for so many levels.
+
+    All trees see the same places, so the number of places in which a pair agrees is drawn once for all of them.
+    """
+    roots, total = trees + trees // 3, 0.0
+    for agree in range(BRANCH_PLACES + 1):
+        share, together = agree / BRANCH_PLACES, 1.0
+        for _ in range(levels - 1):
+            parted = 1 - share * together
+            together = 1 - parted * (2 + parted) / 3
+        chance = math.comb(BRANCH_PLACES, agree) * (percent / 100) ** agree * (1 - percent / 100) ** (BRANCH_PLACES - agree)
+        total += chance * (1 - share * together) ** roots
+    return total
+
+
 def first_nodes(sets: DataFrame, trees: int) -> DataFrame:
     """(node, s1, s2): the children of each tree's root. Every third tree picks two places, the others one."""
     places, place = [], 0
@@ -231,17 +277,22 @@ def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(several, "node").withColumn("_main", main).drop("_l1", "_l2")
 
 
+def _with_texts(keys: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """The sets of some keys with the document that each is read from, and the rows of these documents."""
+    wanted = sets.select(*KEY, F.col("doc").alias("_doc")).join(keys, KEY, "left_semi")
+    wanted = written(keys.sparkSession, wanted, "wanted-sets")
+    ids = wanted.select("_doc").distinct()
+    # A bounded list goes to the texts; a longer one meets them in a shuffle.
+    ids = F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+    return wanted, docs.join(ids, docs[doc_id].cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity: 100 * common >= percent * all."""
     ends = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(
         pairs.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))
     )
-    wanted = sets.select(*KEY, F.col("doc").alias("_doc")).join(ends.distinct(), KEY, "left_semi")
-    wanted = written(pairs.sparkSession, wanted, "wanted-sets")
-    ids = wanted.select("_doc").distinct()
-    # A bounded list goes to the texts; a longer one meets them in a shuffle.
-    ids = F.broadcast(ids) if ids.count() <= IDS_SENT else ids
-    texts = docs.join(ids, docs[doc_id].cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    wanted, texts = _with_texts(ends.distinct(), sets, docs, doc_id)
     found = shingle_sets(texts, doc_id, text).join(wanted.select(*KEY), KEY, "left_semi")
     # Rows that repeat an id and a text give their set once.
     found = found.groupBy(*KEY).agg(F.first("shingles").alias("shingles"))
@@ -360,32 +411,49 @@ def near_duplicates(
         F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
     )
     sets = written(spark, sets, "sets")
-    nodes, labels = first_nodes(sets, trees), _labels(sets, None)
-    known, leaves, rest = None, [], None
-    for level in range(LEVELS + 1):
-        open_ = written(spark, mixed(nodes, labels), "nodes")
-        if level <= FIRSTS_LEVEL:
-            asked = open_ if level == 0 else open_.where(F.col("_sets") > LEAF)
-            links = confirmed(near_the_first(asked, sets, percent), sets, docs, doc_id, text, percent)
-            links = written(spark, _as_links(links), "links")
-            if not links.isEmpty():
-                links = links if known is None else known.unionByName(links)
-                known = written(spark, components(links), "components")
-                labels = _labels(sets, known)
-                open_ = written(spark, mixed(open_.select("node", *KEY), labels), "nodes")
-        leaves.append(open_.where(F.col("_others") <= LEAF).select("node", *KEY))
-        large = open_.where(F.col("_others") > LEAF)
-        if large.isEmpty():
+    # After so many levels a forest alone misses no more than it may.
+    sure = next((n - 1 for n in range(1, LEVELS + 2) if missed(n, percent, trees) > MISSED), LEVELS + 1)
+    members, known, looked, left, forest = sets, None, None, 1.0, 0
+    while True:
+        nodes, labels = first_nodes(members, trees), _labels(sets, known)
+        leaves, rest, deep = [], None, members if sure == 0 else None
+        for level in range(LEVELS + 1):
+            open_ = written(spark, mixed(nodes, labels), "nodes")
+            # What the first forest's stars have joined stays joined.
+            if level <= FIRSTS_LEVEL and forest == 0:
+                asked = open_ if level == 0 else open_.where(F.col("_sets") > LEAF)
+                links = confirmed(near_the_first(asked, sets, percent), sets, docs, doc_id, text, percent)
+                links = written(spark, _as_links(links), "links")
+                if not links.isEmpty():
+                    links = links if known is None else known.unionByName(links)
+                    known = written(spark, components(links), "components")
+                    labels = _labels(sets, known)
+                    open_ = written(spark, mixed(open_.select("node", *KEY), labels), "nodes")
+            leaves.append(open_.where(F.col("_others") <= LEAF).select("node", *KEY))
+            large = open_.where(F.col("_others") > LEAF)
+            if large.isEmpty():
+                break
+            if level == LEVELS:
+                rest = large
+                break
+            if level + 1 == sure:
+                deep = large
+            nodes = next_nodes(large.join(members.select(*KEY, "signature"), KEY))
+        found = _leaf_pairs(reduce(DataFrame.unionByName, leaves), rest, sets, labels, percent)
+        if looked is not None:
+            found = found.join(looked, found.columns, "left_anti")
+        found = written(spark, found, "pairs")
+        looked = found if looked is None else looked.unionByName(found)
+        links = _as_links(confirmed(found, sets, docs, doc_id, text, percent))
+        links = links if known is None else known.unionByName(links)
+        known = written(spark, components(links), "components")
+        left, forest = left * missed(level + 1, percent, trees), forest + 1
+        if deep is None or left <= MISSED:
             break
-        if level == LEVELS:
-            rest = large
-        else:
-            nodes = next_nodes(large.join(sets.select(*KEY, "signature"), KEY))
-    leaves = reduce(DataFrame.unionByName, leaves)
-    found = written(spark, _leaf_pairs(leaves, rest, sets, labels, percent), "pairs")
-    links = _as_links(confirmed(found, sets, docs, doc_id, text, percent))
-    links = links if known is None else known.unionByName(links)
-    reached = components(links).toDF(*KEY, "v1", "v2")
+        wanted, texts = _with_texts(deep.select(*KEY).distinct(), sets, docs, doc_id)
+        members = signatures(texts, text, forest).join(wanted.select(*KEY), KEY, "left_semi")
+        members = written(spark, members.groupBy(*KEY).agg(F.first("signature").alias("signature")), "signatures")
+    reached = known.toDF(*KEY, "v1", "v2")
     grouped = sets.select(*KEY, "doc").join(reached, KEY, "left")
     top = [F.coalesce("v1", "s1").alias("v1"), F.coalesce("v2", "s2").alias("v2")]
     grouped = grouped.select(*KEY, "doc", *top)
