@@ -31,9 +31,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
+    """One row of each near-duplicate component, and one of rows that repeat an id and a text."""
     found = written(spark, chosen_path.near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
-    return chosen_path.one_of_each(docs, found)
+    return chosen_path.one_row_of_each(docs, found)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

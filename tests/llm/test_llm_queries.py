@@ -61,3 +61,16 @@ def test_run(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir).collect()
     assert found and all(r.n_tokens == len(r.token_ids) for r in found)
     assert len({r.doc_id for r in found}) == len(found)
+
+
+def test_the_stage_keeps_one_row_of_each_group(spark, sf_dir):
+    a, b = " ".join(f"a{n}" for n in range(60)), " ".join(f"b{n}" for n in range(60))
+    rows = [(1, a, "x"), (1, a, "y"), (1, a + " end", "x"), (2, a, "x"), (1, b, "x"), (7, b + " end", "x")]
+    rows += [(None, "only null ids", "x"), (None, "Only null ids", "y"), (None, "another text", "x")]
+    rows += [(3, "", "x"), (3, "", "x"), (4, None, "x"), (5, None, "x"), (None, " ", "x"), (None, " ", "x")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, source string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, (r.text or "").lower().removesuffix(" end")) for r in kept.collect()]
+    want = [(1, a), (1, b), (None, "only null ids"), (None, "another text"), (3, ""), (4, ""), (5, ""), (None, " ")]
+    assert sorted(found, key=repr) == sorted(want, key=repr)

@@ -403,7 +403,8 @@ def near_duplicates(
     nothing. Rows are linked from ``percent`` percent of common shingles, and ``component_id`` is the smallest id that
     can be reached. ``kept`` is true where that is the row's own id. Rows that repeat an id are told apart by their text
     (``text_key``). A null id is never the smallest; a component of only null ids has none and keeps its rows. Other
-    columns are not looked at, and an empty table gives no rows.
+    columns are not looked at, and an empty table gives no rows. ``group_1`` and ``group_2`` name the component by its
+    smallest set, also where it has only null ids; a row without words has none.
     """
     spark = docs.sparkSession
     rows = written(spark, sketches(docs, doc_id, text), "sketches")
@@ -458,22 +459,50 @@ def near_duplicates(
     top = [F.coalesce("v1", "s1").alias("v1"), F.coalesce("v2", "s2").alias("v2")]
     grouped = grouped.select(*KEY, "doc", *top)
     least = grouped.groupBy("v1", "v2").agg(F.min("doc").alias("component_id"))
-    by_set = grouped.join(least, ["v1", "v2"]).select(*KEY, "component_id")
+    by_set = grouped.join(least, ["v1", "v2"]).select(*KEY, "component_id", F.col("v1").alias("group_1"), F.col("v2").alias("group_2"))
     with_words = rows.where("n > 0").select("doc", "text_key", "n", *KEY).join(by_set, KEY).drop(*KEY)
-    without = rows.where("n = 0").select("doc", "text_key", "n", F.col("doc").alias("component_id"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("group_1", "group_2")]
+    without = rows.where("n = 0").select("doc", "text_key", "n", F.col("doc").alias("component_id"), *none)
     return with_words.unionByName(without).select(
         F.col("doc").alias(doc_id),
         "text_key",
         F.col("n").alias("n_shingles"),
         "component_id",
         F.coalesce(F.col("doc") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
+        "group_1",
+        "group_2",
     )
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns: all rows that hold the smallest id."""
     gone = found.where(~F.col("kept")).select(F.struct(F.col(doc_id).cast("long").alias("doc")).alias("_doc"), F.col("text_key").alias("_key"))
     gone = gone.distinct()
     gone = F.broadcast(gone) if gone.count() <= IDS_SENT else gone
     keyed = docs.withColumns({"_doc": F.struct(F.col(doc_id).cast("long").alias("doc")), "_key": text_key(F.col(text))})
     return keyed.join(gone, ["_doc", "_key"], "left_anti").select(*docs.columns)
+
+
+def one_row_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``near_duplicates``, with its columns.
+
+    Of the rows that hold the smallest id, or of all if a component has only null ids, the one with the smallest
+    ``text_key`` stays; of rows that repeat an id and a text, also of those without words, one. ``found`` is read several
+    times and should be a written table.
+    """
+    doc, group = F.struct(F.col(doc_id).cast("long").alias("doc")).alias("_doc"), ["group_1", "group_2"]
+    rows = found.select(doc, F.col("text_key").alias("_key"), "kept", *group)
+    first = rows.where("kept and group_1 is not null").groupBy(*group).agg(F.min(F.struct("_doc", "_key")).alias("_first"))
+    first = first.select("_first._doc", "_first._key")
+    gone = rows.where("group_1 is not null").select("_doc", "_key").distinct().join(first, ["_doc", "_key"], "left_anti")
+    repeated = rows.groupBy("_doc", "_key").count().where("count > 1").drop("count")
+    repeated = repeated.join(gone, ["_doc", "_key"], "left_anti")
+    gone, repeated = (F.broadcast(x) if x.count() <= IDS_SENT else x for x in (gone, repeated))
+    keyed = docs.withColumns({"_doc": F.struct(F.col(doc_id).cast("long").alias("doc")), "_key": text_key(F.col(text))})
+    kept = keyed.join(gone, ["_doc", "_key"], "left_anti")
+    once = kept.join(repeated, ["_doc", "_key"], "left_anti").select(*docs.columns)
+    # Rows that differ in other columns only: the order makes it one of them.
+    order = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != text), F.col("_key")))
+    again = kept.join(repeated, ["_doc", "_key"], "left_semi").groupBy("_doc", "_key")
+    again = again.agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+    return once.unionByName(again)
