@@ -226,6 +226,20 @@ def test_leaks(spark):
     assert decontamination.find_leaks(docs.limit(0), frame(spark, ITEMS, "item_id long, text string")).count() == 0
 
 
+def test_edited_and_cut_items_are_leaks(spark):
+    """One changed word of a last sentence, or a missing last sentence of a longer item, hides nothing."""
+    answers = ["Fenn.", "It is the Fenn river.", "The broad river Fenn runs there to this day."]
+    items, rows = [], []
+    for n, answer in enumerate(answers):
+        question = " ".join(f"q{n}w{k}" for k in range(20)) + "?"
+        items.append((n, f"{question} {answer}"))
+        words = answer.split()
+        rows += [(n, question)] + [(n, " ".join([question, *words[:k], "other", *words[k + 1 :]])) for k in range(len(words))]
+    docs = frame(spark, rows, "doc_id long, text string")
+    found = decontamination.find_leaks(docs, frame(spark, items, "item_id long, text string")).collect()
+    assert Counter(r.doc_id for r in found if r.doc_id == r.item_id) == Counter(d for d, _ in rows)
+
+
 def test_shards_of_the_index_find_the_same(spark, monkeypatch):
     items = frame(spark, ITEMS, "item_id long, text string")
     docs = frame(spark, [(n, t) for n, t in ITEMS], "doc_id long, text string")

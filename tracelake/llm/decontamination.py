@@ -28,9 +28,12 @@ from pyspark.sql import functions as F
 from tracelake.llm.shared import slices
 
 K1, B = 1.2, 0.75
-# The share of an item's own weight that a passage has to hold, and the shares of the word runs of its question and of
-# its answer that the passage has to repeat.
+# The share of an item's own weight that a passage has to hold, the shares of the word runs of its question and of its
+# answer that the passage has to repeat.
 THRESHOLD, QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.5, 0.5
+# The share of all word runs of an item that is enough without its answer, and the share that is if it has so many runs:
+# as many as 13 words in a row have.
+WHOLE_SHARE, LONG_SHARE, LONG_RUNS = 0.8, 0.5, 9
 RUN_WORDS = 5
 # Items in a shard of the index; least items in a block of postings, and numbers in the table of block bounds.
 SHARD_ITEMS = 20_000
@@ -57,8 +60,8 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
-def runs(words: list[str]) -> set[tuple[str, ...]]:
-    n = min(RUN_WORDS, len(words))
+def runs(words: list[str], most: int = RUN_WORDS) -> set[tuple[str, ...]]:
+    n = min(most, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
@@ -88,7 +91,8 @@ class ItemIndex:
             words = words_in(text)
             self.longest = max(self.longest, len(words))
             question, answer = question_and_answer(text)
-            self.overlap.append((runs(question), runs(answer)))
+            # The answer by its words: one changed word changes every longer run of a short one.
+            self.overlap.append((runs(question), runs(answer, 1), runs(words)))
             impacts = {w: statistics.impact(w, times, len(words)) for w, times in Counter(words).items()}
             own = sum(impacts.values())
             for word, impact in impacts.items():
@@ -177,8 +181,10 @@ class ItemIndex:
             own = words[start : start + 2 * self.stride]
             for item, score in found:
                 shares = [_share(part, own, seen) for part in self.overlap[item]]
-                if shares[0] >= QUESTION_SHARE and shares[1] >= ANSWER_SHARE:
-                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, *shares))
+                long = shares[2] >= LONG_SHARE and shares[2] * len(self.overlap[item][2]) >= LONG_RUNS - 1e-9
+                both = shares[0] >= QUESTION_SHARE and shares[1] >= ANSWER_SHARE
+                if both or long or shares[2] >= WHOLE_SHARE:
+                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, *shares[:2]))
         return [(self.ids[item], *values) for item, values in sorted(best.items())]
 
 
@@ -216,7 +222,8 @@ def find_leaks(
 
     Words are runs of letters and digits, lower-cased. An item is found in a passage if the passage holds at least
     ``threshold`` of the item's own BM25 weight, and repeats at least half of the word runs of its question and half of
-    those of its answer, which is its last sentence. Documents with null or empty texts, and items without words, take
+    the words of its answer, which is its last sentence. As the last sentence need not be an answer, half of all runs of
+    the item are enough if they are at least ``LONG_RUNS``, and ``WHOLE_SHARE`` of them always. Documents with null or empty texts, and items without words, take
     no part; repeated items are all found. Rows that repeat a document give their rows again. Other columns are not
     looked at.
     """
