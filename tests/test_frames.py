@@ -52,7 +52,7 @@ def test_dedup_keeps_the_first_and_is_idempotent(table):
 def test_cap_keeps_the_first(table, n):
     want = [r for rows in by_trace(random_frames()).values() for r in rows[:n]]
     assert sorted(map(tuple, frames.cap_frames(table, n, KEY).collect())) == sorted(want)
-    ranged = ordinals.leading_rows(table, KEY, "pos", n, bits=4)
+    ranged = ordinals.leading_rows(table, KEY, "pos", n, rows_per_task=20)
     assert sorted(map(tuple, ranged.collect())) == sorted(want)
 
 
@@ -65,24 +65,67 @@ def test_cap_after_dedup_does_not_count_duplicates(spark):
         frames.cap_frames(df, -1)
 
 
-@pytest.mark.parametrize("bits", [1, 3, 16])
-def test_sequence_number_over_ranges(table, bits):
+@pytest.mark.parametrize("rows_per_task", [1, 40, 1 << 20])
+def test_sequence_number_over_slices(table, rows_per_task):
     want = sorted((t, r[1], i) for t, rows in by_trace(random_frames()).items() for i, r in enumerate(rows))
-    got = ordinals.sequence_number(table, KEY, "pos", "n", bits=bits).select("trace_id", "pos", "n").collect()
+    got = ordinals.sequence_number(table, KEY, "pos", "n", rows_per_task=rows_per_task).select("trace_id", "pos", "n").collect()
     assert sorted(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("bits", [1, 3, 16])
-def test_previous_value_over_ranges(table, spark, bits):
+@pytest.mark.parametrize("rows_per_task", [1, 40, 1 << 20])
+def test_previous_value_over_slices(table, spark, rows_per_task):
     rows = [(t, p, None if line == 0 else line) for t, p, _, _, line in random_frames()]
     df = spark.createDataFrame(rows, "trace_id int, pos long, v int")
     want = []
     for trace in by_trace(rows).values():
         want += [(r[0], r[1], before[2] if before else None) for before, r in zip([None, *trace], trace)]
-    got = ordinals.previous_value(df, KEY, "pos", "v", "old", bits=bits).select("trace_id", "pos", "old").collect()
+    got = ordinals.previous_value(df, KEY, "pos", "v", "old", rows_per_task=rows_per_task).select("trace_id", "pos", "old").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("rows_per_task", [1, 40, 1 << 20])
+def test_groups_with_null_keys_and_global_positions(spark, rows_per_task):
+    """Null keys are a group; positions far apart, null or equal are no harder than close ones."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 2, 2, 2]), n * 10**9 if n % 7 else None, n, rng.choice([None, 1, 5])) for n in range(200)]
+    df = spark.createDataFrame(rows, "trace_id int, pos long, n long, amount long").repartition(5)
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        groups.setdefault(r[0], []).append(r)
+    want, firsts, before = [], [], []
+    for group in groups.values():
+        done = 0
+        for at, r in enumerate(group):
+            want.append((r[0], r[2], at, len(group), done))
+            before.append((r[0], r[2], group[at - 1][3] if at else None))
+            done += r[3] or 0
+        firsts += [(r[0], r[2]) for r in group[:9]]
+    order = ["pos", "n"]
+    numbered = ordinals.sequence_number(
+        df, KEY, order, "at", total="size", sums={"done": F.col("amount")}, rows_per_task=rows_per_task
+    )
+    got = [(r.trace_id, r.n, r.at, r.size, r.done) for r in numbered.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    first = ordinals.leading_rows(df, KEY, order, 9, rows_per_task=rows_per_task).collect()
+    assert sorted([(r.trace_id, r.n) for r in first], key=repr) == sorted(firsts, key=repr)
+    lagged = ordinals.previous_value(df, KEY, order, "amount", "old", rows_per_task=rows_per_task).collect()
+    assert sorted([(r.trace_id, r.n, r.old) for r in lagged], key=repr) == sorted(before, key=repr)
+    assert ordinals.sequence_number(df.limit(0), KEY, "pos", "at").count() == 0
+
+
+def test_hot_groups_are_spread(spark):
+    df = spark.range(4000).selectExpr("if(id < 3000, 0, id) as trace_id", "id * 1000003 as pos")
+    bounds = ordinals._bounds(df, KEY, "pos", 100)
+    sliced = ordinals._sliced(df, bounds, KEY, "pos", "inner")
+    sizes = [r["count"] for r in sliced.groupBy("trace_id", "_slice").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 30
+    # Without a hot group, the plan that runs has one exchange of the rows and no join.
+    plain = ordinals.sequence_number(df, KEY, "pos", "at")
+    plain.collect()
+    final = plain._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" not in final
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_join_equals_the_plain_join(spark, table, how):
     right = spark.createDataFrame([("/testbed/a.py", 1), ("/testbed/a.py", 2), ("/x/c.py", 3)], "file string, v int")

@@ -30,3 +30,13 @@ def test_every_query_is_registered():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("missing", ["tracelake.llm", "corpus_pipeline", "public_tokenizers"])
+def test_other_queries_stay_without_the_training_data_part(monkeypatch, missing):
+    """``None`` in ``sys.modules`` makes an import fail, as an absent module or one with an absent dependency does."""
+    for name in [n for n in sys.modules if n.startswith(("tracelake.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert "pipeline" not in entry.queries()

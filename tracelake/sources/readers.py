@@ -111,7 +111,7 @@ def parse_elements(documents: DataFrame, strict: bool = True) -> DataFrame:
         return rows
     order = F.shiftleft(F.col("piece").cast("bigint"), PIECE_BITS) + F.coalesce("trace_pos", F.lit(0))
     numbered = sequence_number(
-        rows.withColumn("_order", order).drop("trace_pos"), ["path"], "_order", "trace_pos", bits=2 * PIECE_BITS
+        rows.withColumn("_order", order).drop("trace_pos"), ["path"], "_order", "trace_pos"
     )
     return numbered.drop("_order", "piece", "pieces", "path").withColumn("trace_pos", F.col("trace_pos").cast("int"))
 
