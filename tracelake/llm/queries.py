@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import (
+    alignment,
     byte_bpe,
     chosen_path,
     decontamination,
@@ -26,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 512
 ORDER_KEY = 20_240_601
 
@@ -154,6 +156,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two tokenizers aligned in every document, with the counts of their linked ids."""
+    return alignment.align(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, PIECES)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -167,5 +174,6 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_line_dedup,
         op10_near_duplicates,
+        op12_token_alignment,
     )
 }
