@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,17 +12,19 @@ from pyspark.sql import functions as F
 from tracelake.llm import (
     alignment,
     byte_bpe,
+    chat_format,
     chosen_path,
     decontamination,
     langid,
     line_dedup,
     prefix_counts,
+    repair,
     rp_forest,
     token_files,
     toxicity,
     url_lists,
 )
-from tracelake.llm.shared import fold, table
+from tracelake.llm.shared import fold, fold_groups, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +33,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 512
 ORDER_KEY = 20_240_601
+# A conversation that holds marks of common templates.
+MARKS = (-7, "\\### Assistant: </turn> ok")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,11 +161,96 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+class _Turns:
+    """Digests of the turns of a conversation, and of what its loss masks cover."""
+
+    def __init__(self) -> None:
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.formatted_chars = 0
+
+    def add(self, role: str, text: str, trained: str | None, n_chars: int) -> None:
+        self.n_turns += 1
+        self.formatted_chars += n_chars
+        self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        if trained is not None:
+            self.loss_chars += len(trained)
+            self.loss.update(trained.encode("utf-8", "surrogatepass"))
+
+    def result(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted as training examples, written, and read back from them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.createDataFrame([(MARKS[0], n, role, MARKS[1]) for n, role in enumerate(("user", "assistant"))], turns.schema)
+    formatted = written(spark, chat_format.format_turns(turns.unionByName(marks)), "chat")
+    return fold_groups(
+        chat_format.read_turns(formatted),
+        ["conv_id"],
+        ["pos"],
+        ["role", "text", "trained", "n_chars"],
+        _Turns,
+        "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+    )
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of two tokenizers aligned in every document, with the counts of their linked ids."""
     return alignment.align(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, PIECES)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with one row in five dropped, emptied, cut, repeated or given to the user, by a hash of its place."""
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    kind = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    return (
+        conversations.withColumn("_kind", kind)
+        .where("_kind <> 0")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(F.col("_kind") == 4, "user").otherwise(role).alias("role"),
+            F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+            F.explode(F.when(F.col("_kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"),
+        )
+        .drop("_copy")
+    )
+
+
+class _Lines:
+    """The digest of rows as lines of role and text."""
+
+    def __init__(self) -> None:
+        self.digest, self.mark = hashlib.sha256(), ""
+
+    def add(self, role: str, text: str) -> None:
+        self.digest.update(f"{self.mark}{role}:{text}".encode("utf-8", "surrogatepass"))
+        self.mark = "\n"
+
+    def result(self) -> tuple:
+        return (self.digest.hexdigest(),)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of every damaged conversation, and its repair at the least cost."""
+    conversations = table(spark, sf_dir, "conversations")
+    parsed, rows = repair.repair(spark, damaged(conversations))
+    digests_of = fold_groups(rows, ["conv_id"], ["pos", "part"], ["role", "text"], _Lines, "repaired_sha256 string")
+    found = parsed.select(F.col("conv_id").alias("_parsed"), *repair.COUNTS, "audit")
+    lines = digests_of.select(F.col("conv_id").alias("_lines"), "repaired_sha256")
+    every = conversations.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("_parsed")), "left")
+    joined = joined.join(lines, F.col("conv_id").eqNullSafe(F.col("_lines")), "left")
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in repair.COUNTS],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -174,6 +264,8 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_line_dedup,
         op10_near_duplicates,
+        op11_chat_format,
         op12_token_alignment,
+        op13_conversation_repair,
     )
 }

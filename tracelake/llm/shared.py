@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracelake.session import work_folder
 
@@ -55,3 +58,53 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def batch_of(rows: Sequence[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch of these types."""
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
+
+class Fold(Protocol):
+    """What is known of a group after some of its rows."""
+
+    def add(self, *row: object) -> None: ...
+
+    def result(self) -> tuple: ...
+
+
+def fold_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], new: Callable[[], Fold], out: str
+) -> DataFrame:
+    """One row per group: its keys, then ``out``, the schema of what the fold over its rows in order results in.
+
+    A group's rows come sorted and one at a time, so a task holds one fold and one batch, whatever the group's size. Rows
+    of a group are read by one task: for results that depend on all of its rows in sequence, like a digest. Null keys
+    are keys like any other.
+    """
+    names, n_keys = [*keys, *values], len(keys)
+    by = df.select(*names, *[F.col(c).alias(f"_order_{n}") for n, c in enumerate(order)])
+    by = by.repartition(*keys).sortWithinPartitions(*keys, *[f"_order_{n}" for n in range(len(order))]).select(*names)
+    schema = T.StructType([by.schema[k] for k in keys] + T.StructType.fromDDL(out).fields)
+    kinds = to_arrow_schema(schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        key, state = None, None
+
+        for batch in slices(batches, 16 * SLICE_ROWS):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or row[:n_keys] != key:
+                    if state is not None:
+                        done.append((*key, *state.result()))
+                    key, state = row[:n_keys], new()
+                state.add(*row[n_keys:])
+            if len(done) >= SLICE_ROWS:
+                yield batch_of(done, kinds)
+                done.clear()
+        if state is not None:
+            done.append((*key, *state.result()))
+        if done:
+            yield batch_of(done, kinds)
+
+    return by.mapInArrow(fold, schema)
