@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -59,11 +60,11 @@ def by_hand(texts):
     for text in texts:
         a, b = sides(text, tokenizer, pieces)
         cuts = sorted({e for _, _, e in a} & {e for _, _, e in b})
-        groups, start = [], 0
-        for cut in cuts:
-            inside = [",".join(str(n) for n, s, _ in side if start <= s < cut) for side in (a, b)]
-            groups.append("|".join(inside))
-            start = cut
+        inside = [[[] for _ in cuts] for _ in range(2)]
+        for side, into in zip((a, b), inside):
+            for n, _, e in side:
+                into[bisect_left(cuts, e)].append(str(n))
+        groups = [",".join(x) + "|" + ",".join(y) for x, y in zip(*inside)]
         overlaps, first = [], 0
         for x, s, e in a:
             while first < len(b) and b[first][2] <= s:
@@ -133,6 +134,10 @@ TEXTS = [
     "x" * 3000,
     "\n",
     "word " * 4000 + "end",
+    "word " * 40,
+    " a\n b\t  c \u3000 d\x1c e\u2028 f  ",
+    "don't  'stop' 12 34.5 -- x\r\n y",
+    "one two\u2581 three",
 ]
 
 
@@ -145,7 +150,7 @@ def test_align(spark, monkeypatch):
     assert found.columns == ["doc_id", "chunk", *alignment.RESULTS]
     got = sorted([(r.doc_id, *numbers(r), r.groups) for r in found.collect()], key=repr)
     assert got == sorted([(r[0], *x) for r, x in zip(rows, by_hand([r[1] for r in rows]))], key=repr)
-    assert next(g for g in got if g[0] == 7)[1:7] == (0,) * 6
+    assert all(g[1:7] == (0,) * 6 for g in got if g[0] in (7, 15))
     assert alignment.align(spark, docs.limit(0), A, B).count() == 0
     only_texts = alignment.align(spark, docs.select("text").where("text is null"), A, B)
     assert [numbers(r) for r in only_texts.collect()] == [(0,) * 6 + ("",)] * 2
@@ -156,3 +161,19 @@ def test_query(spark):
     want = {doc: x[:-1] for (doc, _), x in zip(rows, by_hand([t for _, t in rows]))}
     got = {r.doc_id: numbers(r) for r in queries.op12_token_alignment(spark, SMALL).collect()}
     assert len(rows) == len(want) and got == want
+
+
+def test_units_are_as_good_as_whole_texts(monkeypatch):
+    pair = alignment.Pair(A, B)
+    assert pair.splits
+    rows = duckdb.sql(f"SELECT text FROM '{SMALL}/documents.parquet' LIMIT 200").fetchall()
+    texts = TEXTS + [t for t, in rows]
+    found = pair.chunk(texts)
+    monkeypatch.setattr(alignment, "CHARS_KEPT", 0)
+    assert [pair.chunk([t])["groups"] for t in TEXTS] == [[g] for g in found["groups"][: len(TEXTS)]]
+    pair.splits = False
+    whole = pair.chunk(texts)
+    assert found["groups"] == whole["groups"]
+    assert all(found[n].tolist() == whole[n].tolist() for n in alignment.NUMBERS)
+    counts = [dict(zip(x["pairs"].tolist(), x["counts"].tolist())) for x in (found, whole)]
+    assert counts[0] == counts[1]

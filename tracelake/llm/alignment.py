@@ -3,7 +3,7 @@
 A text is encoded twice. Byte offsets at which tokens of both end cut the tokens into groups, and tokens whose byte ranges
 overlap are linked. The arrays of end offsets are compared at the current index shift by list slices of doubling width,
 so stretches of one-to-one groups are jumped over; where the ends differ, the group is closed token by token, which gives
-the next shift.
+the next shift. Stretches between blanks that no token spans are aligned once and remembered, see ``Pair``.
 
 Links are counted over the corpus by id pair. A chunk, some megabytes of texts of one task, keeps its distinct pairs in a
 dictionary and its documents' links as numbers in it. Dictionaries are summed up by pair, and the sums go back to their
@@ -35,6 +35,15 @@ from pyspark.sql import types as T
 from tracelake.llm.shared import written
 
 CHUNK_BYTES = 1 << 22
+# Units that are encoded at a time, and characters of units that a worker remembers before it starts anew.
+UNITS_AT_ONCE = 1 << 14
+CHARS_KEPT = 1 << 23
+# Where texts come apart: at a blank behind a visible character, unless it is the last character. A text without the other
+# pattern, blank put before, comes apart at all its blanks.
+SEAM = re.compile(r"(?<=\S) (?!\Z)")
+UNEVEN = re.compile(r"\s |\s\Z")
+# Characters that a normalizer would change.
+PROBE = "\ufb01\u00bd  \u212b\n\u3000A"
 # Widest slice that is compared before anything is known about a stretch.
 FIRST_PROBE = 4
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -101,7 +110,7 @@ def byte_characters() -> dict[str, int]:
 
 
 class Side:
-    """A tokenizer with the bytes of each id."""
+    """A tokenizer with the bytes of each id. ``splits``: no token spans a visible character and a blank behind it."""
 
     def __init__(self, path: str) -> None:
         if path.endswith(".model"):
@@ -111,9 +120,11 @@ class Side:
             pieces = [self.model.id_to_piece(n) for n in range(self.model.get_piece_size())]
             self.bytes = [self._piece(p) for p in pieces]
             self.encode = self._pieces
+            inner = any("▁" in p.lstrip("▁") for p in pieces)
+            self.splits = not inner and self.joined(self.encode([PROBE])[0]) == f" {PROBE}".encode()
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             self.model = Tokenizer.from_file(path)
             self.model.encode_special_tokens = True
@@ -123,6 +134,9 @@ class Side:
             for entry, n in entries.items():
                 self.bytes[n] = bytes(at[c] for c in entry) if all(c in at for c in entry) else entry.encode()
             self.encode = self._entries
+            # This splitter cuts behind visible characters that white space follows.
+            split = self.model.pre_tokenizer
+            self.splits = self.model.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex
         self.sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
 
     @staticmethod
@@ -142,60 +156,114 @@ class Side:
 
 
 class Pair:
-    """Two tokenizers, and the texts of all ids with what follows them in a list of groups."""
+    """Two tokenizers, and what is known of the units that texts are made of.
+
+    A unit is a blank and what follows it up to the next blank behind a visible character. No token of either side spans
+    such a place (``Side.splits``), so a unit has the same tokens, groups and links in every text. Its alignment is
+    worked out once, and texts are put together from their units. If a side may span blanks, a text is one unit.
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = Side(path_a), Side(path_b)
+        self.splits = self.a.splits and self.b.splits
         n_a, n_b = len(self.a.bytes), len(self.b.bytes)
         shown = [f"{n}{c}" for c, size in ((",", n_a), ("|", n_a), (",", n_b), (";", n_b)) for n in range(size)]
         self.shown = pa.array(shown, pa.large_string())
         self.starts = np.cumsum([0, n_a, n_a, n_b])
-
-    def chunk(self, texts: list[str | None]) -> dict:
-        """Numbers, groups and links of the documents, and the dictionary of their id pairs."""
-        some = [n for n, t in enumerate(texts) if t]
-        ids = []
-        for n, a, b in zip(some, self.a.encode([texts[n] for n in some]), self.b.encode([texts[n] for n in some])):
-            whole = b" " + texts[n].encode("utf-8", "surrogatepass")
-            if self.a.joined(a) == whole == self.b.joined(b):
-                ids.append((n, a, b))
-        owner = np.array([n for n, _, _ in ids], np.int64)
-        sizes_a, sizes_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (1, 2))
-        id_a, id_b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64) for k in (1, 2))
-        # Ends run on over all texts of the chunk; texts end on both sides, so groups never span two of them.
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.chars = 0
+        # By unit: n_a, n_b, n_groups, n_links, or zeros where the bytes differ; the groups, None where the bytes differ.
+        self.numbers = np.zeros((0, len(NUMBERS)), np.int64)
+        self.groups: list[bytes | None] = []
+        # Numbers of the pairs of all units' links, one after the other, and the pair of each number.
+        self.links = np.zeros(0, np.int32)
+        self.pairs: dict[int, int] = {}
+
+    def units(self, text: str) -> list[str]:
+        """The units of blank and text, without the blank they start with."""
+        if not self.splits:
+            return [text]
+        return SEAM.split(text) if UNEVEN.search(f" {text}") else text.split(" ")
+
+    def learn(self, units: set[str]) -> None:
+        new = list(units.difference(self.index))
+        if not new:
+            return
+        ids, sound = ([], []), []
+        for start in range(0, len(new), UNITS_AT_ONCE):
+            some = new[start : start + UNITS_AT_ONCE]
+            for unit, a, b in zip(some, self.a.encode(some), self.b.encode(some)):
+                whole = b" " + unit.encode("utf-8", "surrogatepass")
+                sound.append(self.a.joined(a) == whole == self.b.joined(b))
+                for side, found in zip(ids, (a, b)):
+                    side.append(np.array(found if sound[-1] else [], np.int64))
+        id_a, id_b = (np.concatenate(x) for x in ids)
+        # Ends run on over all units; units end on both sides, so groups never span two of them.
         ends_a, ends_b = np.cumsum(self.a.sizes[id_a]), np.cumsum(self.b.sizes[id_b])
         last_a, last_b = close_groups(ends_a, ends_b)
         link_a, link_b = links(ends_a, ends_b, last_b)
-        to_a, to_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-        groups_to, links_to = np.searchsorted(last_a, to_a), np.searchsorted(link_a, to_a)
-        pairs, numbers, counts = np.unique(id_a[link_a] * len(self.b.bytes) + id_b[link_b], return_inverse=True, return_counts=True)
-        out = {name: np.zeros(len(texts), np.int64) for name in NUMBERS}
-        for name, ends in zip(NUMBERS, (to_a, to_b, groups_to, links_to)):
-            out[name][owner] = np.diff(ends, prepend=0)
-        found, of_links = [""] * len(texts), [np.zeros(0, np.int32)] * len(texts)
-        for n, text, numbers_of in zip(
-            owner, self._groups(id_a, id_b, last_a, last_b, to_a, to_b), np.split(numbers.astype(np.int32), links_to[:-1])
-        ):
-            found[n], of_links[n] = text, numbers_of
-        return out | {"groups": found, "links": of_links, "pairs": pairs, "counts": counts}
-
-    def _groups(self, id_a, id_b, last_a, last_b, to_a, to_b) -> Iterator[memoryview]:
-        """The text of each document's groups. All ids are put in order at once, so a document's are one stretch of bytes."""
+        to_a, to_b = (np.cumsum([len(x) for x in side]) for side in ids)
+        to = np.stack([to_a, to_b, np.searchsorted(last_a, to_a), np.searchsorted(link_a, to_a)], axis=1)
+        codes, numbers = np.unique(id_a[link_a] * len(self.b.bytes) + id_b[link_b], return_inverse=True)
+        known = np.array([self.pairs.setdefault(c, len(self.pairs)) for c in codes.tolist()], np.int32)
+        self.links = np.concatenate([self.links, known[numbers] if len(codes) else np.zeros(0, np.int32)])
+        self.numbers = np.concatenate([self.numbers, np.diff(to, axis=0, prepend=0)])
+        shown = self._shown(id_a, id_b, last_a, last_b, to_a + to_b)
+        self.groups += [text if ok else None for text, ok in zip(shown, sound)]
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.chars += sum(map(len, new))
+
+    def _shown(self, id_a, id_b, last_a, last_b, to) -> Iterator[bytes]:
+        """The groups of each unit as text. All ids are put in order at once, so a unit's are one stretch of bytes."""
         end_a, end_b = (np.zeros(len(x), bool) for x in (id_a, id_b))
         end_a[last_a], end_b[last_b] = True, True
         group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
         first_b = np.concatenate([[0], last_b + 1])
-        shown = np.zeros(len(id_a) + len(id_b), np.int64)
-        shown[np.arange(len(id_a)) + first_b[group_a]] = id_a + self.starts[end_a.astype(int)]
-        shown[np.arange(len(id_b)) + last_a[group_b] + 1] = id_b + self.starts[2 + end_b.astype(int)]
-        texts = self.shown.take(pa.array(shown))
-        offsets, data = (memoryview(b) for b in texts.buffers()[1:])
-        at = offsets.cast("q")
-        start = 0
-        for end in (to_a + to_b).tolist():
-            # Without the mark behind the last group.
-            yield data[at[start] : at[end] - 1]
-            start = end
+        order = np.zeros(len(id_a) + len(id_b), np.int64)
+        order[np.arange(len(id_a)) + first_b[group_a]] = id_a + self.starts[end_a.astype(int)]
+        order[np.arange(len(id_b)) + last_a[group_b] + 1] = id_b + self.starts[2 + end_b.astype(int)]
+        texts = self.shown.take(pa.array(order))
+        at = np.frombuffer(texts.buffers()[1], np.int64)[np.concatenate([[0], to])].tolist()
+        data = memoryview(texts.buffers()[2])
+        return (bytes(data[start:end]) for start, end in zip(at, at[1:]))
+
+    def chunk(self, texts: list[str | None]) -> dict:
+        """Numbers, groups and links of the documents, and the dictionary of their id pairs."""
+        if self.chars > CHARS_KEPT:
+            self.forget()
+        units = [self.units(t) if t else [] for t in texts]
+        self.learn(set(chain.from_iterable(units)))
+        of = [np.fromiter(map(self.index.__getitem__, u), np.int64, len(u)) for u in units]
+        groups = []
+        for n, numbers in enumerate(of):
+            parts = list(map(self.groups.__getitem__, numbers.tolist()))
+            if None in parts:
+                parts, of[n] = [], of[n][:0]
+            groups.append(b"".join(parts)[:-1])
+        every = np.concatenate(of)
+        owner = np.repeat(np.arange(len(of)), [len(x) for x in of])
+        sums = np.zeros((len(of), len(NUMBERS)), np.int64)
+        for k in range(len(NUMBERS)):
+            # Sums of whole numbers below 2 ** 53 are exact.
+            sums[:, k] = np.bincount(owner, self.numbers[every, k], len(of))
+        sizes = self.numbers[every, 3]
+        first = np.cumsum(self.numbers[:, 3]) - self.numbers[:, 3]
+        at = np.arange(sizes.sum()) + np.repeat(first[every] - (np.cumsum(sizes) - sizes), sizes)
+        linked = self.links[at]
+        counts = np.bincount(linked, minlength=len(self.pairs))
+        used = np.flatnonzero(counts)
+        number = np.zeros(len(self.pairs), np.int32)
+        number[used] = np.arange(len(used))
+        pairs = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        return dict(zip(NUMBERS, sums.T)) | {
+            "groups": groups,
+            "links": np.split(number[linked], np.cumsum(sums[:-1, 3])),
+            "pairs": pairs[used],
+            "counts": counts[used],
+        }
 
 
 @lru_cache(4)
