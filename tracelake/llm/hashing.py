@@ -9,6 +9,8 @@ import numpy as np
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOKENS_KEPT = 200_000
+# Tokens whose buckets are worked out at a time.
+TOKENS_HASHED = 1 << 13
 STEP, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,6 +22,16 @@ class Subwords:
     """
 
     def __init__(self, tokens: Sequence[str], bits: int, grams: Sequence[int] = (), beginnings: Sequence[int] = ()) -> None:
+        # Some tokens at a time, as working them out takes many times the room of what is kept.
+        parts = [
+            self._buckets(tokens[start : start + TOKENS_HASHED], bits, grams, beginnings)
+            for start in range(0, max(1, len(tokens)), TOKENS_HASHED)
+        ]
+        self.flat = np.concatenate([flat for flat, _ in parts])
+        self.sizes = np.concatenate([sizes for _, sizes in parts])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def _buckets(self, tokens: Sequence[str], bits: int, grams: Sequence[int], beginnings: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
         words, owners = [], []
         for n, token in enumerate(tokens):
             if token.isalpha():
@@ -59,9 +71,8 @@ class Subwords:
             add(np.arange(len(words)), whole, 128)
         owners_of_all = np.concatenate(found_owner) if found else np.zeros(0, np.int64)
         order = np.argsort(owners_of_all, kind="stable")
-        self.flat = np.concatenate(found)[order] if found else np.zeros(0, np.int64)
-        self.sizes = np.bincount(owners_of_all, minlength=len(tokens))
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        flat = np.concatenate(found)[order] if found else np.zeros(0, np.int64)
+        return flat.astype(np.int32), np.bincount(owners_of_all, minlength=len(tokens))
 
     def pick(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of the tokens with these numbers, and how many each has."""
@@ -95,9 +106,10 @@ class TokenRows:
         start = len(self.index)
         while start + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        if new:
-            self.rows[start : start + len(new)] = self.find(new)
-            self.index.update(zip(new, range(start, start + len(new))))
+        for at in range(0, len(new), TOKENS_HASHED):
+            part = new[at : at + TOKENS_HASHED]
+            self.rows[start + at : start + at + len(part)] = self.find(part)
+        self.index.update(zip(new, range(start, start + len(new))))
 
     def of(self, tokens: list[str]) -> np.ndarray:
         """The rows of learnt tokens, in order."""

@@ -109,6 +109,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
     model = LanguageModel(names, embeddings, weights, bias, 1.0, 0.0)
     bags = Bags(texts)
     known = [(*bags.buckets(n), names.index(label)) for n, label in enumerate(labels) if bags.total(n)]
+    del bags
     learned = [b for n, b in enumerate(known) if n % CALIBRATE] or known
     epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(learned))))
     for epoch in range(epochs if learned else 0):
