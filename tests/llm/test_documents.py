@@ -306,6 +306,20 @@ def test_recall(spark):
     assert hits >= 0.9 * 300
 
 
+# Letters
+
+
+def test_numerals_are_no_letters(spark):
+    from tracelake.llm.hashing import runs_of_letters
+
+    assert runs_of_letters("a²bc½,Ⅷd") == ["a", "bc", "d"] and runs_of_letters("²½Ⅷ³") == []
+    texts = ["the cat sat on the mat " * 5, "der hund lief in das haus " * 5] * 30
+    model = langid.train(texts, ["en", "de"] * 30)
+    docs = spark.createDataFrame([(0, "² ½"), (1, "Ⅷ ③ 12"), (2, "the cat²"), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    assert found[0] == found[1] == found[3] == ("und", 0.0) and found[2][0] == "en"
+
+
 # URL lists
 
 

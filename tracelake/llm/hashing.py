@@ -14,6 +14,14 @@ TOKENS_HASHED = 1 << 13
 STEP, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
+def runs_of_letters(token: str) -> list[str]:
+    """The runs of letters. The pattern also takes numerals that are no digits, such as fractions; they end a run."""
+    out = []
+    for word in LETTERS.findall(token):
+        out += [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split(" ")
+    return [word for word in out if word]
+
+
 class Subwords:
     """The buckets of tokens between white space, as flat numbers: token ``i`` has ``flat[starts[i]:starts[i + 1]]``.
 
@@ -38,7 +46,7 @@ class Subwords:
                 words.append(f"<{token}>")
                 owners.append(n)
             else:
-                for word in LETTERS.findall(token):
+                for word in runs_of_letters(token):
                     words.append(f"<{word}>")
                     owners.append(n)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
