@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -49,9 +50,20 @@ def test_encoding_is_the_library_s(library, pattern, leaf_chars):
     texts = random_texts(600, 40) + LONG
     for text, found in zip(texts, encoder.encode_many(texts)):
         assert ids_of(found) == library.encode_ordinary(text)
-    token = byte_bpe.token_bytes(RANKS)
-    for text in texts:
-        assert byte_bpe.concatenated(token, library.encode_ordinary(text)) == text.encode()
+    tokens = byte_bpe.vocabulary(RANKS)
+    lists = pa.array([library.encode_ordinary(text) for text in texts] + [None], pa.list_(pa.int32()))
+    assert byte_bpe.decoded(tokens, lists) == [text.encode() for text in texts] + [b""]
+    assert byte_bpe.decoded(tokens, lists.slice(3, 4)) == [text.encode() for text in texts[3:7]]
+    for wrong in (-1, 50_256):
+        with pytest.raises((ValueError, IndexError)):
+            byte_bpe.decoded(tokens, pa.array([[wrong]], pa.list_(pa.int32())))
+
+
+def test_long_lists_are_decoded_up_the_tree(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "DECODED_AT_ONCE", 3)
+    texts = ["The cat sat on the mat, é 中文. " * n for n in range(5)]
+    lists = pa.array([library.encode_ordinary(text) for text in texts], pa.list_(pa.int32()))
+    assert byte_bpe.decoded(byte_bpe.vocabulary(RANKS), lists) == [text.encode() for text in texts]
 
 
 def test_halves_join_to_the_encoding_of_the_whole(pattern):
@@ -142,6 +154,12 @@ def test_shards(spark, library, tmp_path):
     # One file per shard, each in slot order.
     assert len({r.file for r in records}) == len({r.shard for r in records}) == -(-total // 4)
     assert [r.slot for r in token_files.read_from(spark, folder, 5).collect() if r.slot < 5] == []
+    # The records of a shard are one value at a fixed stride.
+    for row in spark.read.parquet(folder).collect():
+        own = sorted((r.slot, bytes(r.record)) for r in records if r.shard == row.shard)
+        assert bytes(row.data) == b"".join(x for _, x in own) and row.stride == 32 and row.first_slot == own[0][0]
+    for start in (0, 3, 4, total - 1, total):
+        assert [r.slot for r in token_files.read_from(spark, folder, start).orderBy("slot").collect()] == [*range(start, total)]
     for shard in {r.shard for r in records}:
         slots = [r.slot for r in records if r.shard == shard]
         assert slots == sorted(slots)

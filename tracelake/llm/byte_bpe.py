@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -142,16 +143,28 @@ class RankEncoder:
 
 
 @lru_cache(2)
-def token_bytes(ranks_path: str) -> dict[int, bytes]:
-    return {i: t for t, i in read_ranks(ranks_path).items()}
+def vocabulary(ranks_path: str) -> pa.Array:
+    """The bytes of every id; null for a number that is none."""
+    entries = {i: t for t, i in read_ranks(ranks_path).items()}
+    return pa.array([entries.get(n) for n in range(max(entries) + 1)], pa.large_binary())
 
 
-def concatenated(token: dict[int, bytes], ids: list[int]) -> bytes:
-    """The bytes of the ids: both halves, joined."""
-    if len(ids) <= DECODED_AT_ONCE:
-        return b"".join(map(token.__getitem__, ids))
-    half = len(ids) // 2
-    return concatenated(token, ids[:half]) + concatenated(token, ids[half:])
+def concatenated(tokens: pa.Array, start: int, stop: int) -> bytes:
+    """The bytes of the tokens from ``start`` to ``stop``: both halves, joined. Leaves are one stretch of their bytes."""
+    if stop - start <= DECODED_AT_ONCE:
+        at = np.frombuffer(tokens.buffers()[1], np.int64)
+        return tokens.buffers()[2][int(at[start]) : int(at[stop])].to_pybytes() if stop > start else b""
+    half = (start + stop) // 2
+    return concatenated(tokens, start, half) + concatenated(tokens, half, stop)
+
+
+def decoded(vocabulary: pa.Array, ids: pa.ListArray) -> list[bytes]:
+    """The bytes of each list of ids. All ids are looked up at once."""
+    tokens = vocabulary.take(ids.flatten())
+    if tokens.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()]).tolist()
+    return [concatenated(tokens, start, stop) for start, stop in zip(ends, ends[1:])]
 
 
 @lru_cache(2)
@@ -198,9 +211,9 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", out: str
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(ranks_path)
+        tokens = vocabulary(ranks_path)
         for part in slices(batches):
-            data = [concatenated(token, x or []) for x in part.column(ids).to_pylist()]
+            data = decoded(tokens, part.column(ids))
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(n) for n in names), pa.array(data, pa.binary())], [*names, out]
             )
