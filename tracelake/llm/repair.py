@@ -258,7 +258,8 @@ def repaired_rows(numbered: DataFrame, parsed: DataFrame) -> DataFrame:
 
     own = F.struct(F.coalesce("_role", "role").alias("role"), F.col("text").alias("text"), F.col("edit").alias("edit"))
     parts = F.concat(put_in(F.col("before")), F.when(F.col("edit") == "D", F.array()).otherwise(F.array(own)), put_in(F.col("after")))
-    joined = numbered.join(made, same).select(CONVERSATION, "pos", F.posexplode(parts).alias("part", "_row"))
+    # A sort-merge join: Spark takes the edits for as small as the file of their audits, which are many rows in one value.
+    joined = numbered.join(made.hint("merge"), same).select(CONVERSATION, "pos", F.posexplode(parts).alias("part", "_row"))
     return joined.select(CONVERSATION, "pos", "part", "_row.role", "_row.text", "_row.edit")
 
 
