@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions.predicates import testbed_only as in_testbed
-from tracelake.operators import frames, ordinals, skew
+from tracelake.operators import frames, late, ordinals, skew
 
 KEY = ("trace_id",)
 
@@ -228,3 +228,54 @@ def test_stats_of_no_traces(spark):
     empty = spark.createDataFrame([], "exc_type string, n int, trace_pos int")
     assert tuple(frames.trace_stats(empty, F.col("n")).first()) == (0, 0, 0, None)
     assert frames.exception_histogram(empty).count() == 0
+
+
+# Late fetch
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """Frames with a wide column, ties and null keys, in several files; some of these are empty."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 2, 2, 2]), n, rng.choice("abc"), rng.choice("fg"), rng.randrange(3), {"v": "x" * n}) for n in range(150)]
+    df = spark.createDataFrame(rows, "trace_id int, pos long, file string, func string, line int, locals map<string,string>")
+    df.repartition(6, "pos").write.parquet(f"{tmp_path}/frames")
+    df.limit(0).write.mode("append").parquet(f"{tmp_path}/frames")
+    return spark.read.parquet(f"{tmp_path}/frames")
+
+
+def same_rows(a, b):
+    return sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+
+
+def test_addresses_are_those_of_the_rows(stored):
+    table = late.file_rows(stored)
+    rows = table.rows().collect()
+    assert len({r.row_address for r in rows}) == 150 and len(table.paths) >= 6
+    some = [r for r in rows if r.pos % 7 == 0]
+    for first, last in ((0, None), (1, 3), (2, 2)):
+        part = {r.pos: r.row_address for r in table.rows(first, last).collect()}
+        assert all(r.row_address == part[r.pos] for r in rows if r.pos in part)
+        assert len(part) == 150 or len(part) < 150 and last is not None
+    chosen = stored.sparkSession.createDataFrame([(r.row_address,) for r in some], "row_address long")
+    for most in (1, 10, 1000):
+        assert same_rows(late.fetch_rows(table, chosen, round_rows=most), stored.where("pos % 7 = 0"))
+    assert late.fetch_rows(table, chosen.limit(0)).count() == 0
+
+
+def test_late_operators_equal_the_others(stored):
+    table = late.file_rows(stored)
+    assert same_rows(frames.late_dedup(table, ("file", "func"), KEY), frames.dedup_frames(stored, ("file", "func"), KEY))
+    assert same_rows(frames.late_error_frame(table, KEY), frames.error_frame(stored, KEY))
+    assert same_rows(frames.error_location(table, KEY), frames.error_location(stored, KEY))
+    assert same_rows(frames.select_trace(table, KEY, "pos"), frames.select_trace(stored, KEY, "pos"))
+    testbed = late.file_rows(stored, lambda rows: rows.withColumn("file", F.concat(F.lit("/testbed/"), "file")))
+    want = frames.step_frames_pipeline(stored.withColumn("file", F.concat(F.lit("/testbed/"), "file")), KEY, 7)
+    assert same_rows(frames.late_step_frames(testbed, KEY, 7), want)
+
+
+def test_late_choices_stay_hash_aggregates(stored):
+    table = late.file_rows(stored)
+    for chosen in (late.first_of(table.rows(), ["trace_id", "file", "func"], "pos"), late.last_of(table.rows(), KEY, "pos")):
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "locals" not in plan.split("ReadSchema")[1].split("\n")[0]

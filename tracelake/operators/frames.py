@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.locals import DEFAULT_CUTOFF, locals_count, locals_preview, serialize_locals
 from tracelake.functions.paths import basename, is_test_path
 from tracelake.functions.predicates import not_conftest, not_frozen, not_site_packages, not_stdlib, testbed_only
+from tracelake.operators.late import ADDRESS, FileRows, fetch_rows, first_of, last_of
 from tracelake.operators.ordinals import leading_rows, previous_value, sequence_number
 from tracelake.operators.skew import salted_join
 from tracelake.schemas import FRAME_KINDS, TRACE_KEY
@@ -160,6 +161,8 @@ def assemble_traces(events: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataF
         "line",
         "func",
     ]
+    if ADDRESS in events.columns:
+        columns.append(ADDRESS)
     if "locals" in events.columns:
         columns.append(F.when(kind != "call", F.col("locals")).alias("locals"))
     return events.where(kind.isin(*EVENT_KINDS)).select(*columns)
@@ -251,6 +254,31 @@ def step_frames_pipeline(
     return frame_pipeline(frames, steps, cutoff)
 
 
+def late_step_frames(
+    table: FileRows,
+    keys: Sequence[str] = TRACE_KEY,
+    limit: int = STEP_FRAMES_LIMIT,
+    cutoff: int = DEFAULT_CUTOFF,
+) -> DataFrame:
+    """``step_frames_pipeline`` of frames in files: filters, de-duplication and cap go by numbers and names alone, and only
+    the frames that are kept bring their variables."""
+    slim = table.rows().select(*keys, "pos", "file", "func", "line", ADDRESS)
+    steps = [
+        testbed_only(),
+        not_conftest(),
+        lambda df: dedup_frames(df, ("file", "func", "line"), keys),
+        lambda df: cap_frames(df, limit, keys),
+    ]
+    return frame_pipeline(fetch_rows(table, frame_pipeline(slim, steps, cutoff=None)), [], cutoff)
+
+
+def late_dedup(
+    table: FileRows, by: Sequence[str] = ("file", "func"), keys: Sequence[str] = TRACE_KEY, order: str = "pos"
+) -> DataFrame:
+    """``dedup_frames`` of frames in files."""
+    return fetch_rows(table, first_of(table.rows(), [*keys, *by], order))
+
+
 def apply_trace_pipelines(
     frames: DataFrame,
     keys: Sequence[str] = TRACE_KEY,
@@ -280,9 +308,15 @@ def error_frame(frames: DataFrame, keys: Sequence[str] = TRACE_KEY, order: str =
     return frames.groupBy(*keys).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest])
 
 
-def error_location(frames: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
+def late_error_frame(table: FileRows, keys: Sequence[str] = TRACE_KEY, order: str = "pos") -> DataFrame:
+    """``error_frame`` of frames in files."""
+    return fetch_rows(table, last_of(table.rows(), keys, order))
+
+
+def error_location(frames: DataFrame | FileRows, keys: Sequence[str] = TRACE_KEY) -> DataFrame:
     """Where each trace failed: file name, line, function and a look at its variables."""
-    return error_frame(frames, keys).select(
+    last = late_error_frame(frames, keys) if isinstance(frames, FileRows) else error_frame(frames, keys)
+    return last.select(
         *keys,
         basename(F.col("file")).alias("file_name"),
         "line",
@@ -293,9 +327,11 @@ def error_location(frames: DataFrame, keys: Sequence[str] = TRACE_KEY) -> DataFr
 
 
 def select_trace(
-    traces: DataFrame, keys: Sequence[str] = ("run_id", "instance_id"), order: str = "trace_pos"
+    traces: DataFrame | FileRows, keys: Sequence[str] = ("run_id", "instance_id"), order: str = "trace_pos"
 ) -> DataFrame:
-    """The first trace of each instance."""
+    """The first trace of each instance. Traces in files are chosen by their place, and only the chosen ones are read."""
+    if isinstance(traces, FileRows):
+        return fetch_rows(traces, first_of(traces.rows(), keys, order))
     rest = [c for c in traces.columns if c not in (*keys, order)]
     return traces.groupBy(*keys).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in rest])
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.operators.late import ADDRESS, FileRows, file_rows
 from tracelake.schemas import TEXT_MAP, TOOL_CALL
 
 TABLES = ("events", "documents", "benchmark", "conversations", "orders", "part", "customer")
@@ -146,10 +147,23 @@ def over(spark: SparkSession, sql: str, read: Callable[[str], DataFrame]) -> Dat
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracer events with their variables as a map."""
-    raw = view(spark, sf_dir, "trace_events")
+    return _with_locals(view(spark, sf_dir, "trace_events"))
+
+
+def _with_locals(raw: DataFrame) -> DataFrame:
     return raw.withColumn("locals", F.from_json("local_k", TEXT_MAP)).drop("local_k")
 
 
+def event_files(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> FileRows:
+    """The events as rows with an address. ``build`` takes them as ``events`` gives them, and has to keep the address."""
+
+    def typed(raw: DataFrame) -> DataFrame:
+        sql = VIEWS["trace_events"].replace("SELECT ", f"SELECT {ADDRESS}, ", 1)
+        return build(_with_locals(over(spark, sql, lambda table: raw)))
+
+    return file_rows(spark.read.parquet(f"{sf_dir}/events.parquet"), typed)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript messages with their tool calls as an array."""
     call = F.struct(

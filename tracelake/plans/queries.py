@@ -14,7 +14,9 @@ from tracelake.functions.classify import classify_framework, parse_outcome
 from tracelake.functions.paths import normalize_path
 from tracelake.functions.predicates import failing_tests_only, testbed_only
 from tracelake.operators import dataset, frames, metrics, outcomes, patches, render, source, transcripts
+from tracelake.operators.late import FileRows, file_rows
 from tracelake.plans import adapters, comparison
+from tracelake.schemas import FRAME_KINDS
 from tracelake.session import work_folder
 from tracelake.sources import readers, writers
 from tracelake.streaming import jobs
@@ -48,6 +50,13 @@ def _of_kind(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return _frames(spark, d).where(F.col("kind") == kind)
 
 
+def _files_of_kind(spark: SparkSession, d: str, *kinds: str) -> FileRows:
+    """Frames of these kinds as rows with an address."""
+    return adapters.event_files(
+        spark, d, lambda events: frames.assemble_traces(events, KEY).where(F.col("kind").isin(*kinds))
+    )
+
+
 def _exec_path(spark: SparkSession, d: str) -> DataFrame:
     return frames.exec_path_pipeline(_of_kind(spark, d, "exec_path"), KEY)
 
@@ -90,9 +99,9 @@ def exec_path_capped(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def leading_step_frames(spark: SparkSession, d: str) -> DataFrame:
-    """The first step frames per trace, by ranges of positions."""
+    """The first step frames per trace; large traces in slices."""
     kept = _of_kind(spark, d, "step_frames").where(testbed_only()).select("trace_id", "pos", "file", "func", "line")
-    return frames.leading_rows(kept, KEY, "pos", SMALL_CAP, bits=10)
+    return frames.leading_rows(kept, KEY, "pos", SMALL_CAP, rows_per_task=1 << 10)
 
 
 @query
@@ -102,7 +111,7 @@ def traceback_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def step_frames(spark: SparkSession, d: str) -> DataFrame:
-    kept = frames.step_frames_pipeline(_of_kind(spark, d, "step_frames"), KEY)
+    kept = frames.late_step_frames(_files_of_kind(spark, d, "step_frames"), KEY)
     return kept.select("trace_id", "pos", "file", "line", "func", F.col("locals")["k"].alias("k"))
 
 
@@ -115,8 +124,8 @@ def filtered_trace_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dedup_by_file(spark: SparkSession, d: str) -> DataFrame:
-    columns = ("trace_id", "kind", "pos", "file", "line", "func")
-    return frames.dedup_frames(_frames(spark, d).select(*columns), ("kind", "file"), KEY)
+    table = _files_of_kind(spark, d, *FRAME_KINDS)
+    return frames.late_dedup(table, ("kind", "file"), KEY).select("trace_id", "kind", "pos", "file", "line", "func")
 
 
 @query
@@ -134,12 +143,14 @@ def block_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def error_location(spark: SparkSession, d: str) -> DataFrame:
-    return frames.error_location(_of_kind(spark, d, "frames").drop("kind"), KEY)
+    return frames.error_location(_files_of_kind(spark, d, "frames"), KEY)
 
 
 @query
 def select_trace(spark: SparkSession, d: str) -> DataFrame:
-    return frames.select_trace(adapters.view(spark, d, "traces"), ("instance_id",), "ord")
+    path = work_folder(spark, "traces")
+    adapters.view(spark, d, "traces").write.parquet(path)
+    return frames.select_trace(file_rows(spark.read.parquet(path)), ("instance_id",), "ord")
 
 
 @query
