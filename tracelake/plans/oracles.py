@@ -366,6 +366,7 @@ check(
     "JOIN reasons r ON p.instance_id = r.instance_id AND p.variant = r.variant",
 )
 check("stored_index_metrics", ["variant_totals", "count_texts", "reason_texts"], RUN_METRICS)
+check("appended_index_metrics", ["variant_totals", "count_texts", "reason_texts"], RUN_METRICS)
 check(
     "collection_summary",
     ["collection"],

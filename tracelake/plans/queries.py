@@ -18,7 +18,7 @@ from tracelake.operators.late import FileRows, file_rows
 from tracelake.plans import adapters, comparison
 from tracelake.schemas import FRAME_KINDS
 from tracelake.session import work_folder
-from tracelake.sources import readers, writers
+from tracelake.sources import index_log, readers, writers
 from tracelake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -488,6 +488,27 @@ def stored_index_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _flat_metrics(metrics.run_metrics(long, headers))
 
 
+@query
+def appended_index_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Index records appended in batches, some of them again, with a lost batch and a compaction in between."""
+    path = work_folder(spark, "index-log")
+    rows = _index_records(spark, d)
+    header = _header(spark, rows).withColumn("completed_at", F.lit(None).cast("string"))
+    index_log.append_headers(header, path, "begun")
+    parts = [rows.where(F.col("instance_id") % 3 == n) for n in range(3)]
+    # An earlier attempt knew the baselines alone; a lost one left a folder without a commit.
+    index_log.append_records(parts[0].withColumn("variants", F.create_map().cast(rows.schema["variants"].dataType)), path, "early")
+    parts[1].withColumn("run_id", F.lit("lost")).write.parquet(f"{path}/records/batch=lost")
+    for n, part in enumerate(parts):
+        index_log.append_records(part, path, f"part-{n}")
+        if n == 1:
+            index_log.compact(spark, path, "compacted")
+    index_log.append_records(parts[2], path, "part-2")
+    index_log.finalise_runs(spark, path, [r["run_id"] for r in header.select("run_id").distinct().collect()], "done")
+    long = readers.index_records(index_log.read_records(spark, path))
+    return _flat_metrics(metrics.run_metrics(long, index_log.read_headers(spark, path)))
+
+
 # --- dataset joins ----------------------------------------------------------------
 
 

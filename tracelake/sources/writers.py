@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def write_run_index(records: DataFrame, header: DataFrame, path: str) -> None:
     """Write the records and the header of runs to the index tables, in place of what these runs had.
 
-    Other runs keep their rows, and writing a run again changes nothing. A run
-    that is not finished has no ``completed_at``; see ``outcomes.complete_headers``.
+    Takes whole runs: what a run had before goes, also instances that ``records`` does not hold. To add instances to a
+    run while it goes on, append to a log: ``sources.index_log``. Other runs keep their rows, and writing a run again
+    changes nothing. A run that is not finished has no ``completed_at``; see ``outcomes.complete_headers``.
     """
     for rows, name in ((records, "records"), (header, "headers")):
         rows.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(
