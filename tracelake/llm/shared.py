@@ -34,10 +34,10 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
-def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared work folder: it is computed once and survives lost executors."""
     folder = work_folder(spark, label)
-    df.write.parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return spark.read.parquet(folder)
 
 

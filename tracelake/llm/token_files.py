@@ -30,6 +30,7 @@ from tracelake.session import work_folder
 SEQUENCE_TOKENS = 512
 SHARD_SLOTS = 8192
 ROUNDS = 6
+COMPRESSION = "zstd"
 # Bytes of an id in a record.
 ID_BYTES = 2
 
@@ -122,7 +123,7 @@ def write_shards(
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     packed = _packed(rows, ranks_path, sequence_tokens, id_bytes).withColumn("part", F.spark_partition_id())
     # Numbers of parts are those of this write; later steps only read them.
-    packed = written(spark, packed, "packed")
+    packed = written(spark, packed, "packed", COMPRESSION)
     parts = packed.groupBy("part").agg(F.sum("sequences").alias("sequences"))
     total = parts.agg(F.coalesce(F.sum("sequences"), F.lit(0))).first()[0]
     # One row per part of the write: its tasks bound it, and Spark holds more about each of them than these two numbers.
@@ -134,7 +135,7 @@ def write_shards(
     records = records.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
     # A task per shard.
     dealt = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    _strided(dealt, sequence_tokens * id_bytes).write.parquet(folder)
+    _strided(dealt, sequence_tokens * id_bytes).write.option("compression", COMPRESSION).parquet(folder)
     return total
 
 
