@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tracelake.llm.merging import SHORT, ManyMerger, Merger
-from tracelake.llm.scanning import PATTERN, Scanner, adapted_pattern, cuts, every_character
+from tracelake.llm.scanning import PATTERN, Scanner, Unsettled, adapted_pattern, cuts, every_character
 from tracelake.llm.shared import slices
 
 LEAF_CHARS = 8192
@@ -98,11 +98,21 @@ class RankEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Cuts that are not known yet are worked out together."""
         units = [cuts(text) if "\0" not in text else [] for text in texts]
-        self.scanner.learn(set().union(*units))
-        return [
-            b"".join(self.scanner.units(text, parts)[1]) if len(text) <= self.leaf_chars else self.encode(text)
-            for text, parts in zip(texts, units)
-        ]
+        known = self.scanner.cuts
+        values = [list(map(known.get, parts)) for parts in units]
+        self.scanner.learn({u for parts, found in zip(units, values) if None in found for u, v in zip(parts, found) if v is None})
+        return [self._joined(text, parts, found) for text, parts, found in zip(texts, units, values)]
+
+    def _joined(self, text: str, units: list[str], values: list[bytes | None]) -> bytes:
+        if len(text) > self.leaf_chars:
+            return self.encode(text)
+        known = self.scanner.cuts
+        try:
+            if units:
+                return b"".join([known[u] if v is None else v for u, v in zip(units, values)] if None in values else values)
+        except Unsettled:
+            pass
+        return b"".join(self.scanner.units(text)[1])
 
     def encode(self, text: str) -> bytes:
         if len(text) <= self.leaf_chars:

@@ -38,11 +38,13 @@ class Remembered(dict):
 
     def unseen(self, keys: Iterable) -> set:
         """The keys that have to be found. Those of the older generation move up."""
-        new = set(keys).difference(self)
-        known = [(key, self.older[key]) for key in new.intersection(self.older)]
-        for key, value in known:
+        new = keys.difference(self) if isinstance(keys, set) else set(keys).difference(self)
+        # A look-up per key: an intersection would walk through all that is remembered.
+        known = [key for key in new if key in self.older]
+        for key, value in zip(known, list(map(self.older.__getitem__, known))):
             self.keep(key, value)
-        return new.difference(key for key, _ in known)
+        new.difference_update(known)
+        return new
 
 
 class Merger:
