@@ -1,4 +1,6 @@
-"""Streams give what the batch form gives, also when records arrive twice."""
+"""Streams give what the batch form gives, also when records arrive twice, late and with another result."""
+
+import random
 
 from pyspark.sql import functions as F
 
@@ -44,3 +46,46 @@ def test_record_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     want = jobs.record_stream(df).select(*got.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+RECORDS = "run_id string, instance_id string, variant string, status string, failure_reason string, recorded_at timestamp"
+
+
+def counted(df):
+    return sorted((tuple(r) for r in df.select("run_id", "variant", "status", "failure_reason", "n").collect()), key=repr)
+
+
+def test_counts_take_back_what_a_newer_record_replaces(spark, tmp_path):
+    """Deliveries in any order, over several starts of the query, against the batch count of all of them."""
+    from datetime import datetime
+
+    rng = random.Random(8)
+    found = [("passed", None), ("failed", "tests_failed"), ("failed", "no_diff"), ("error", "x"), (None, None)]
+    rows = []
+    for _ in range(120):
+        status, reason = rng.choice(found)
+        at = rng.choice([None, datetime(2024, 1, rng.randint(1, 28))])
+        rows.append((rng.choice(["r", "s", None]), str(rng.randrange(9)), rng.choice(["with_runtime", "without_runtime"]), status, reason, at))
+    rows += rng.sample(rows, 40)
+    source, work = f"{tmp_path}/in", f"{tmp_path}/work"
+    for start in range(0, len(rows), 40):
+        spark.createDataFrame(rows[start : start + 40], RECORDS).repartition(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(RECORDS).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.write_changes(jobs.count_changes(stream), f"{work}/out", f"{work}/state").awaitTermination()
+        arrived = spark.createDataFrame(rows[: start + 40], RECORDS)
+        assert counted(jobs.sum_of_changes(spark.read.parquet(f"{work}/out"))) == counted(jobs.record_counts(arrived))
+    latest = {}
+    rank = {None: 0}
+    from tracelake.schemas import STATUSES
+
+    rank |= {s: n + 1 for n, s in enumerate(STATUSES)}
+    for run, instance, variant, status, reason, at in rows:
+        order = (at.timestamp() if at else 0, rank.get(status, 0), reason or "")
+        key = (run, instance, variant)
+        if key not in latest or order > latest[key][0]:
+            latest[key] = (order, status, reason)
+    want = {}
+    for (run, _, variant), (_, status, reason) in latest.items():
+        want[run, variant, status, reason] = want.get((run, variant, status, reason), 0) + 1
+    got = {r[:4]: r[4] for r in (tuple(r) for r in jobs.record_counts(spark.createDataFrame(rows, RECORDS)).select("run_id", "variant", "status", "failure_reason", "n").collect())}
+    assert got == want

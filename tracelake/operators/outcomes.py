@@ -30,7 +30,7 @@ def outcomes(runs: DataFrame) -> DataFrame:
     return judged.select(*runs.columns, "_o.*")
 
 
-def _run_order(results: DataFrame) -> Column:
+def run_order(results: DataFrame) -> Column:
     """A number that is highest on the latest run: by ``recorded_at``, and by status among equals."""
     code = F.coalesce(F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")), F.lit(0)).cast("bigint")
     if "recorded_at" not in results.columns:
@@ -47,7 +47,7 @@ def verdicts(results: DataFrame, keys: Sequence[str] = RUN_KEY) -> DataFrame:
     buffers are numbers, so it is a hash aggregate. Of a run that was delivered
     more than once the latest counts, by ``recorded_at`` if there is one.
     """
-    ordered = results.withColumn("_order", _run_order(results))
+    ordered = results.withColumn("_order", run_order(results))
 
     def latest(name: str) -> list[Column]:
         at = F.when(F.col("variant") == name, F.col("_order"))
@@ -104,7 +104,7 @@ def build_records(results: DataFrame, keys: Sequence[str] = RUN_KEY, recorded_at
     ``framework`` and ``artifact_report_path`` go into the record where they are known. Of a run that was delivered more
     than once the latest counts.
     """
-    order = _run_order(results)
+    order = run_order(results)
     fields = ("status", "failure_count", "ran_tests", "summary_line", "failure_reason", "raw_error_excerpt")
 
     def of(name: str) -> Column:
@@ -199,7 +199,7 @@ def build_reports(
             part["run_skipped"],
         )
 
-    ordered = results.withColumn("_order", _run_order(results))
+    ordered = results.withColumn("_order", run_order(results))
     folded = ordered.groupBy(*keys).agg(*[of(name).alias(f"_{name}") for name in (BASELINE, *VARIANTS)])
     base = F.col(f"_{BASELINE}")
     return folded.select(

@@ -747,4 +747,9 @@ check(
     "SELECT instance_id, variant, status, failure_count, failure_reason FROM reasons",
 )
 check("stream_metrics", ["variant_totals"], "SELECT * FROM variant_totals")
+check(
+    "stream_counts",
+    ["reasons"],
+    "SELECT variant, status, failure_reason, count(*) AS n FROM reasons GROUP BY variant, status, failure_reason",
+)
 check("stream_frames", ["frames"], "SELECT trace_id, kind, pos, file, line, func FROM frames")

@@ -905,6 +905,26 @@ def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _round_rates(jobs.metrics_of_counts(counts, ()))
 
 
+@query
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Running counts of runs that arrive more than once: an early, wrong result each, the run, and the early one again."""
+    path = work_folder(spark, "stream-counts")
+    runs = outcomes.normalize_records(_outcomes(spark, d)).select("run_id", "instance_id", "variant", "status", "failure_reason", "recorded_at")
+    early = runs.withColumns(
+        {
+            "status": F.lit("failed"),
+            "failure_reason": F.lit("early"),
+            "recorded_at": F.col("recorded_at").cast("timestamp") - F.expr("INTERVAL 1 DAY"),
+        }
+    )
+    for part in (early, runs.withColumn("recorded_at", F.col("recorded_at").cast("timestamp")), early):
+        part.write.mode("append").parquet(f"{path}/in")
+    arriving = spark.readStream.schema(early.schema).parquet(f"{path}/in")
+    jobs.write_changes(jobs.count_changes(arriving), f"{path}/out", f"{path}/state").awaitTermination()
+    counts = jobs.sum_of_changes(spark.read.parquet(f"{path}/out"))
+    return counts.select("variant", "status", "failure_reason", "n")
+
+
 @query
 def stream_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames of arriving tracer events."""

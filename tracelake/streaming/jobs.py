@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracelake.operators.outcomes import normalize_records, outcomes, report_results
+from tracelake.operators.outcomes import normalize_records, outcomes, report_results, run_order
 
 RECORD_KEY = ("run_id", "instance_id", "variant")
 
@@ -51,10 +53,72 @@ def running_counts(
 def record_counts(records: DataFrame, keys: Sequence[str] = RECORD_KEY) -> DataFrame:
     """Count of records by run, variant, status and reason, from the table that a stream has appended to.
 
-    Each record counts once, however often and however late it was delivered.
+    Each record counts once, however often and however late it was delivered: the latest counts, by ``recorded_at`` if
+    there is one and by status among equals.
     """
-    return records.dropDuplicates(list(keys)).groupBy("run_id", "variant", "status", "failure_reason").agg(
-        F.count(F.lit(1)).alias("n")
+    state = F.struct("status", "failure_reason")
+    latest = records.groupBy(*keys).agg(F.max_by(state, F.struct(run_order(records), *_texts())).alias("_s"))
+    return latest.groupBy("run_id", "variant", "_s.status", "_s.failure_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _texts() -> list[Column]:
+    """What decides between records of one time and status."""
+    return [F.coalesce("failure_reason", F.lit("")).alias("reason")]
+
+
+def count_changes(records: DataFrame, keys: Sequence[str] = RECORD_KEY) -> DataFrame:
+    """What arriving records change in the counts: (run_id, variant, status, failure_reason, n), n being 1 or -1.
+
+    The state holds, for each record, the time, status and reason that were counted last. A newer delivery takes the old
+    one back and adds itself; an older one, or the same again, changes nothing, however late it comes. So the sum of all
+    changes is that of ``record_counts``, and the state is three small values per record, on the executors.
+    """
+    ordered = records.select(*keys, "status", "failure_reason", run_order(records).alias("_order"))
+    place = [list(keys).index(k) for k in ("run_id", "variant")]
+
+    def change(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = state.get if state.exists else None
+        best = old
+        for part in parts:
+            for order, status, reason in part[["_order", "status", "failure_reason"]].itertuples(index=False):
+                found = (int(order), None if pd.isna(status) else status, None if pd.isna(reason) else reason)
+                if best is None or (found[0], found[2] or "") > (best[0], best[2] or ""):
+                    best = found
+        if best != old:
+            state.update(best)
+            rows = [(*(key[n] for n in place), *best[1:], 1)]
+            if old is not None:
+                rows.append((*(key[n] for n in place), *old[1:], -1))
+            yield pd.DataFrame(rows, columns=["run_id", "variant", "status", "failure_reason", "n"])
+
+    of = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+    return ordered.groupBy(*keys).applyInPandasWithState(
+        change,
+        f"run_id {of['run_id']}, variant {of['variant']}, status string, failure_reason string, n long",
+        "at long, status string, failure_reason string",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def write_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add up the changes of each trigger and keep them as one table per trigger; a repeated trigger writes the same table."""
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        sum_of_changes(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return (
+        changes.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def sum_of_changes(changes: DataFrame) -> DataFrame:
+    """Counts from changes; groups that nothing is left of have no row."""
+    return (
+        changes.groupBy("run_id", "variant", "status", "failure_reason").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
     )
 
 
