@@ -26,13 +26,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.shared import written
+from tracelake.llm.shared import text_slices, written
 
 CHUNK_BYTES = 1 << 22
 # Units that are encoded at a time, and characters of units that a worker remembers before it starts anew.
@@ -271,18 +270,6 @@ def pair_of(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def text_slices(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most ``most_bytes`` of text, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = 0
-    ends = np.cumsum(sizes)
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def encoded_chunks(docs: DataFrame, path_a: str, path_b: str, text: str, with_groups: bool) -> DataFrame:
     """Documents with their links as numbers in the dictionary of their chunk, and one row per dictionary."""
     kept = [c for c in docs.columns if c != text and c not in RESULTS]
@@ -304,28 +291,27 @@ def encoded_chunks(docs: DataFrame, path_a: str, path_b: str, text: str, with_gr
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(path_a, path_b)
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for part in text_slices(batch, "text", CHUNK_BYTES):
-                found = pair.chunk(part.column("text").to_pylist())
-                n = part.num_rows
-                none, kind = pa.nulls(n, pa.list_(pa.int64())), part.column("row").type
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, number)),
-                        part.column("row"),
-                        *[pa.array(found[name]) for name in NUMBERS],
-                        pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in found["groups"]]),
-                        pa.array([bytes(g or b"").decode() for g in found["groups"]]) if with_groups else pa.nulls(n, pa.string()),
-                        pa.array([x.tobytes() for x in found["links"]], pa.binary()),
-                        none,
-                        none,
-                    ],
-                    names=schema.names,
-                )
-                dictionary = [pa.array([found[c]], pa.list_(pa.int64())) for c in ("pairs", "counts")]
-                empty = [pa.nulls(1, t) for t in (kind, *[pa.int64()] * 4, pa.string(), pa.string(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *empty, *dictionary], names=schema.names)
-                number += 1
+        for part in text_slices(batches, "text", CHUNK_BYTES):
+            found = pair.chunk(part.column("text").to_pylist())
+            n = part.num_rows
+            none, kind = pa.nulls(n, pa.list_(pa.int64())), part.column("row").type
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, number)),
+                    part.column("row"),
+                    *[pa.array(found[name]) for name in NUMBERS],
+                    pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in found["groups"]]),
+                    pa.array([bytes(g or b"").decode() for g in found["groups"]]) if with_groups else pa.nulls(n, pa.string()),
+                    pa.array([x.tobytes() for x in found["links"]], pa.binary()),
+                    none,
+                    none,
+                ],
+                names=schema.names,
+            )
+            dictionary = [pa.array([found[c]], pa.list_(pa.int64())) for c in ("pairs", "counts")]
+            empty = [pa.nulls(1, t) for t in (kind, *[pa.int64()] * 4, pa.string(), pa.string(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *empty, *dictionary], names=schema.names)
+            number += 1
 
     return rows.mapInArrow(encode, schema)
 

@@ -19,6 +19,7 @@ are cut there first, and the pattern only runs on cuts that a worker has not see
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,13 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tracelake.llm.merging import SHORT, ManyMerger, Merger
-from tracelake.llm.scanning import PATTERN, Scanner, Unsettled, adapted_pattern, cuts, every_character
-from tracelake.llm.shared import slices
+from tracelake.llm.scanning import PATTERN, Scanner, adapted_pattern, cuts, every_character
+from tracelake.llm.shared import slices, text_slices
 
 LEAF_CHARS = 8192
 # Characters behind a match that can have decided it.
 MARGIN = 3
 DECODED_AT_ONCE = 4096
+# Bytes of texts that are encoded at a time.
+TEXTS_AT_ONCE = 1 << 22
+# Matches that a worker remembers.
+MATCHES_KEPT = 250_000
+# A blank that may be part of a longer match of white space.
+UNEVEN = re.compile(r" (?:\s|\Z)")
 # So few matches are merged one by one.
 MANY = 16
 
@@ -73,7 +80,7 @@ class RankEncoder:
             if t[:n] in self.ranks and t[n:] in self.ranks
         }
         self.many = ManyMerger([self.ranks[bytes([b])] for b in range(256)], pairs)
-        self.scanner = Scanner(pattern, self._pieces, b"".join)
+        self.scanner = Scanner(pattern, self._pieces, b"".join, MATCHES_KEPT)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of matches. A match that is a token is that token, whatever the merges would make of it."""
@@ -96,27 +103,43 @@ class RankEncoder:
         return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Cuts that are not known yet are worked out together."""
-        units = [cuts(text) if "\0" not in text else [] for text in texts]
+        """The ids of each text. Short texts are cut at their blanks together, and each distinct cut is looked up once."""
+        plain = [n for n, t in enumerate(texts) if t and len(t) <= self.leaf_chars and not UNEVEN.search(t)]
+        rest = set(range(len(texts))).difference(plain)
+        units = {n: cuts(texts[n]) if "\0" not in texts[n] else [] for n in rest}
+        self.scanner.learn(set().union(*units.values()))
+        out = {n: self.encode(texts[n], parts) for n, parts in units.items()}
+        out |= zip(plain, self._plain([texts[n] for n in plain]))
+        return [out[n] for n in range(len(texts))]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts in which every blank starts a match."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts = lists.offsets.to_numpy()
+        words = lists.values.dictionary_encode()
+        cut = [" " + word for word in words.dictionary.to_pylist()]
+        # The first word of a text has no blank before it.
+        first = lists.values.take(pa.array(starts[:-1])).to_pylist()
+        at = words.indices.to_numpy().copy()
+        at[starts[:-1]] = np.arange(len(cut), len(cut) + len(first))
+        # A word that only starts texts is no cut, but does no harm as one.
+        values = list(map(self.scanner.cuts.get, cut))
+        # What starts a text may be empty or white space, which is no cut.
+        cut_of = [c for c, v in zip(cut, values) if v is None and len(c) > 1 and not c[1].isspace()]
+        self.scanner.learn(set(cut_of))
         known = self.scanner.cuts
-        values = [list(map(known.get, parts)) for parts in units]
-        self.scanner.learn({u for parts, found in zip(units, values) if None in found for u, v in zip(parts, found) if v is None})
-        return [self._joined(text, parts, found) for text, parts, found in zip(texts, units, values)]
-
-    def _joined(self, text: str, units: list[str], values: list[bytes | None]) -> bytes:
-        if len(text) > self.leaf_chars:
-            return self.encode(text)
-        known = self.scanner.cuts
-        try:
-            if units:
-                return b"".join([known[u] if v is None else v for u, v in zip(units, values)] if None in values else values)
-        except Unsettled:
-            pass
-        return b"".join(self.scanner.units(text)[1])
-
-    def encode(self, text: str) -> bytes:
+        new = dict(zip(cut_of, map(known.__getitem__, cut_of)))
+        found = [new.get(c, b"") if v is None else v for c, v in zip(cut, values)]
+        ids = pa.array(found + [known[word] if word else b"" for word in first], pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[starts].tolist()
+        data = memoryview(ids.buffers()[2])
+        return [bytes(data[start:stop]) for start, stop in zip(ends, ends[1:])]
+
+    def encode(self, text: str, units: list[str] | None = None) -> bytes:
         if len(text) <= self.leaf_chars:
-            return b"".join(self.scanner.units(text)[1])
+            return b"".join(self.scanner.units(text, units)[1])
         return b"".join(self._tree(text)[1])
 
     def _tree(self, text: str) -> tuple[list[str], list[bytes]]:
@@ -202,7 +225,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(ranks_path, pattern)
-        for part in slices(batches):
+        for part in text_slices(batches, text, TEXTS_AT_ONCE):
             ids = encoder.encode_many([x or "" for x in part.column(text).to_pylist()])
             ends = np.cumsum([0, *map(len, ids)]) // 4
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())

@@ -67,11 +67,13 @@ class Scanner:
     values of new matches, ``fold`` makes the value of a cut of those of its matches.
     """
 
-    def __init__(self, pattern: str, find: Callable[[list[str]], list], fold: Callable) -> None:
+    def __init__(
+        self, pattern: str, find: Callable[[list[str]], list], fold: Callable, remembered: int = REMEMBERED
+    ) -> None:
         self.pattern = regex.compile(pattern, flags=regex.V1)
         self.find, self.fold = find, fold
-        self.pieces = Remembered(lambda piece: find([piece])[0])
-        self.cuts = Remembered(lambda cut: self.scanned(checked(cut)), 3 * REMEMBERED // 2)
+        self.pieces = Remembered(lambda piece: find([piece])[0], remembered)
+        self.cuts = Remembered(lambda cut: self.scanned(checked(cut)), 3 * remembered // 2)
 
     def scanned(self, text: str):
         return self.fold(map(self.pieces.__getitem__, self.pattern.findall(text)))
