@@ -52,14 +52,14 @@ class Evaluation:
 def ingest_traces(spark: SparkSession, base: str, path: str, instances: DataFrame | None = None) -> None:
     """Trace files below ``base`` as tables below ``path``.
 
-    The JSON is parsed once, into ``traces``, which also holds a row for each
-    document that cannot be read; errors and frames come from that table, which
-    is what a lost executor reads again. Instances that cannot be used are
+    The JSON is parsed once, into ``parts``, and numbered into ``traces``, which also holds a row for each piece that
+    cannot be read; errors and frames come from that table, which is what a lost executor reads again. Instances that cannot be used are
     listed in ``errors``, with ``instances`` also those without a trace file;
     they do not stop the job, and have no frames. Running it again changes nothing.
     """
     pieces = readers.read_pieces(spark, f"{base}/*/{readers.TRACE_FILE}")
-    readers.typed_traces(readers.parse_elements(pieces)).drop("_problem").write.mode("overwrite").parquet(f"{path}/traces")
+    readers.store_traces(spark, pieces, f"{path}/parts")
+    readers.stored_traces(spark, f"{path}/parts").drop("_problem", "piece").write.mode("overwrite").parquet(f"{path}/traces")
     traces = spark.read.parquet(f"{path}/traces")
     errors = readers.errors_of(traces)
     if instances is not None:

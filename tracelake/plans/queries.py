@@ -834,8 +834,7 @@ def _flat_traces(traces: DataFrame) -> DataFrame:
 @query
 def strict_traces(spark: SparkSession, d: str) -> DataFrame:
     """Traces of well-formed documents, those with a bad frame left out."""
-    parsed = readers.parse_traces(adapters.view(spark, d, "trace_documents"))
-    return _flat_traces(readers.sound_traces(parsed))
+    return _flat_traces(readers.sound_documents(adapters.view(spark, d, "trace_documents")))
 
 
 @query

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tracelake import schemas
 from tracelake.operators.frames import is_object, lenient_frame, strict_frame
 from tracelake.operators.ordinals import sequence_number
+from tracelake.session import work_folder
 
 # File names of the artifact layout, and the folder of a project snapshot.
 TRACE_FILE, TEST_OUTPUT_FILE = "auto_debug.json", "test_output.txt"
@@ -19,8 +20,7 @@ PROJECT_FOLDER = "project"
 # Trace files are written with two blanks per level, so this text ends each element of their list but the last: line
 # breaks inside of strings are escaped.
 ELEMENT_END = "\n  },\n"
-# Elements that a piece of a file can have are numbered below this power of two.
-PIECE_BITS = 20
+NO_LIST = "Invalid trace format: expected list"
 NO_TRACE_FILE = "Tests may not have failed, or trace collection did not activate."
 
 
@@ -39,7 +39,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     """Trace files in pieces of whole elements: (path, instance_id, piece, pieces, value).
 
     A file that is written with line breaks comes in one piece per element, and is read in as many tasks as it has
-    blocks, so its size does not matter. Any other file is one piece. Pieces count from 0 in the order of the file.
+    blocks. Any other file is one piece. Pieces count from 0 in the order of the file.
     """
     lines = spark.read.option("lineSep", ELEMENT_END).text(path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -47,20 +47,20 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
         "value",
     )
-    inside = Window.partitionBy("path", "_block").orderBy("_id")
-    blocks = lines.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    # The lines of a block are read in order by one task, so their numbers follow on from the first.
+    blocks = lines.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
     before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         "path",
         "_block",
+        "_first",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         F.sum("_rows").over(Window.partitionBy("path")).alias("pieces"),
     )
-    numbered = lines.withColumn("_place", F.row_number().over(inside) - 1).join(starts, ["path", "_block"])
-    return numbered.select(
+    return lines.join(starts, ["path", "_block"]).select(
         "path",
         F.element_at(F.split("path", "/"), -2).alias("instance_id"),
-        (F.col("_before") + F.col("_place")).alias("piece"),
+        (F.col("_before") + F.col("_id") - F.col("_first")).alias("piece"),
         "pieces",
         "value",
     )
@@ -77,43 +77,79 @@ def document_problem(value: Column, parsed: Column) -> Column:
         F.when(value.isNull(), F.lit("Invalid JSON in trace file"))
         .when(~F.is_valid_utf8(value), F.lit("Invalid JSON in trace file: not UTF-8"))
         .when(parsed.isNull(), F.lit("Invalid JSON in trace file"))
-        .when(~F.schema_of_variant(parsed).startswith("ARRAY"), F.lit("Invalid trace format: expected list"))
+        .when(~F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(NO_LIST))
     )
 
 
 def _piece_text(value: Column) -> Column:
-    """A piece as a JSON list of its elements. The only piece of a file is the file."""
+    """A piece as a JSON list of its elements. The only piece of a file is the file.
+
+    The first piece of a file that is no list stays as it is: an object, cut at its fields.
+    """
     first, last = F.col("piece") == 0, F.col("piece") == F.col("pieces") - 1
-    opened = F.when(first & ~last & value.rlike(r"\A\s*\["), F.regexp_replace(value, r"\A\s*\[", "")).otherwise(value)
+    opened = F.when(first & ~last, F.regexp_replace(value, r"\A\s*\[", "")).otherwise(value)
     # The separator took the end of the element with it.
     closed = F.when(last, F.regexp_replace(opened, r"\]\s*\z", "")).otherwise(F.concat(opened, F.lit("\n  }")))
-    return F.when(F.col("pieces") == 1, value).otherwise(F.concat(F.lit("["), closed, F.lit("]")))
+    whole = (F.col("pieces") == 1) | (first & value.rlike(r"\A\s*\{"))
+    return F.when(whole, value).otherwise(F.concat(F.lit("["), closed, F.lit("]")))
 
 
-def parse_elements(documents: DataFrame, strict: bool = True) -> DataFrame:
-    """Documents or pieces as one row per element: ``trace_pos`` and ``_t``, or ``_problem`` if it cannot be read.
+def parsed_documents(documents: DataFrame, strict: bool = True) -> DataFrame:
+    """Documents or pieces with ``_problem``, why one cannot be read, and ``_traces``, its elements typed. In one parse.
 
-    In one parse. A document of several pieces is numbered through; all of it is unreadable if one piece is.
+    An element that is no object is there with a false ``is_trace``. Typed frames of the strict form carry their ``error``.
     """
-    pieces = "pieces" in documents.columns
-    if pieces:
-        documents = documents.withColumn("value", _piece_text(F.col("value")))
+    problem = document_problem
+    if "pieces" in documents.columns:
+        cut_object = (F.col("pieces") > 1) & (F.col("piece") == 0) & F.col("value").rlike(r"\A\s*\{")
+        documents = documents.withColumn("_cut", cut_object).withColumn("value", _piece_text(F.col("value")))
+
+        def problem(value: Column, parsed: Column) -> Column:
+            return F.when(F.col("_cut"), F.lit(NO_LIST)).otherwise(document_problem(value, parsed))
+
     value = F.col("value") if strict else F.make_valid_utf8(F.col("value"))
-    rest = [c for c in documents.columns if c != "value"]
-    read = documents.select(*rest, value.alias("_value"), _parsed(value).alias("_v"))
-    elements = F.try_variant_get("_v", "$", "array<variant>")
-    rows = read.select(
-        *rest,
-        document_problem(F.col("_value"), F.col("_v")).alias("_problem"),
-        F.posexplode_outer(elements).alias("trace_pos", "_t"),
-    )
-    if not pieces:
-        return rows
-    order = F.shiftleft(F.col("piece").cast("bigint"), PIECE_BITS) + F.coalesce("trace_pos", F.lit(0))
-    numbered = sequence_number(
-        rows.withColumn("_order", order).drop("trace_pos"), ["path"], "_order", "trace_pos"
+    rest = [c for c in documents.columns if c not in ("value", "_cut")]
+    kept = [c for c in documents.columns if c != "value"]
+    read = documents.select(*kept, value.alias("_value"), _parsed(value).alias("_v"))
+    traces = F.transform(F.try_variant_get("_v", "$", "array<variant>"), lambda t: _typed_trace(t, strict))
+    row = F.struct(problem(F.col("_value"), F.col("_v")).alias("_problem"), traces.alias("_traces"))
+    # As a generated row it is worked out once, and filters on it stay behind.
+    return read.select(*rest, F.inline(F.array(row)))
+
+
+def _typed_trace(t: Column, strict: bool) -> Column:
+    def frames_of(kind: str) -> Column:
+        raw = F.try_variant_get(t, f"$.{kind}", "array<variant>")
+        # Only the two arrays that are filtered later must hold well-formed frames. Calls are taken without their locals.
+        if strict and kind != "step_frames":
+            return F.transform(raw, (lambda f: strict_frame(f)) if kind == "frames" else (lambda f: _call_frame(f)))
+        return F.array_compact(F.transform(raw, lambda f: lenient_frame(f)))
+
+    return F.struct(
+        is_object(t).alias("is_trace"),
+        *[F.try_variant_get(t, f"$.{c}", "string").alias(c) for c in ("nodeid", "exc_type", "message")],
+        *[frames_of(kind).alias(kind) for kind in schemas.FRAME_KINDS],
+        *([_no_list(t, c).alias(f"no_list_{c}") for c in ("frames", "exec_path")] if strict else []),
     )
-    return numbered.drop("_order", "piece", "pieces", "path").withColumn("trace_pos", F.col("trace_pos").cast("int"))
+
+
+def _trace_error(t: Column) -> Column:
+    """The first error of a typed trace, or null."""
+    of_frames = F.concat(*[F.coalesce(t[k]["error"], F.array().cast("array<string>")) for k in ("frames", "exec_path")])
+    first = F.get(F.array_compact(of_frames), F.lit(0))
+    return F.when(t["is_trace"], F.coalesce(t["no_list_frames"], t["no_list_exec_path"], first))
+
+
+def _trace_columns(t: Column, strict: bool) -> list[Column]:
+    """The columns of a trace from its typed form."""
+
+    def frames_of(kind: str) -> Column:
+        with_error = strict and kind != "step_frames"
+        plain = F.transform(t[kind], lambda f: f.dropFields("error")) if with_error else t[kind]
+        return F.coalesce(plain, _no_frames()).alias(kind)
+
+    named = [t[c].alias(c) for c in ("nodeid", "exc_type", "message")]
+    return [*named, *[frames_of(kind) for kind in schemas.FRAME_KINDS], *([_trace_error(t).alias("error")] if strict else [])]
 
 
 def parse_traces(documents: DataFrame, strict: bool = True) -> DataFrame:
@@ -124,46 +160,62 @@ def parse_traces(documents: DataFrame, strict: bool = True) -> DataFrame:
     on its trace, in the lenient form it gets defaults or, if it is no object,
     is left out. Documents that cannot be read give no rows, see ``trace_errors``.
     """
-    return typed_traces(parse_elements(documents, strict), strict).where("_problem is null").drop("_problem")
+    return _exploded(parsed_documents(documents, strict).where("_problem is null"), strict)
 
 
-def typed_traces(elements: DataFrame, strict: bool = True) -> DataFrame:
-    """The elements that are traces with their typed columns, and the rows of documents that cannot be read."""
-    rest = [c for c in elements.columns if c not in ("trace_pos", "_t", "_problem")]
-    traces = elements.where(is_object(F.col("_t")) | F.col("_problem").isNotNull()).select(
+def sound_documents(documents: DataFrame) -> DataFrame:
+    """The strict traces of documents without an error: one bad frame fails the whole document. In one parse."""
+    parsed = parsed_documents(documents).where("_problem is null")
+    return _exploded(parsed.where(~F.exists("_traces", lambda t: _trace_error(t).isNotNull())), True)
+
+
+def _exploded(parsed: DataFrame, strict: bool) -> DataFrame:
+    rest = [c for c in parsed.columns if c not in ("_problem", "_traces")]
+    rows = parsed.select(*rest, F.posexplode("_traces").alias("trace_pos", "_t")).where("_t.is_trace")
+    return rows.select(*rest, "trace_pos", *_trace_columns(F.col("_t"), strict))
+
+
+def store_traces(spark: SparkSession, pieces: DataFrame, path: str, strict: bool = True) -> None:
+    """The traces of files in pieces, parsed once and written below ``path``, with what numbers them.
+
+    ``parsed`` has a row per element and per piece without elements, with its piece and its place there; ``pieces`` how
+    many elements come before each piece of its file. So positions follow from a running sum over one small row per
+    piece, and no task has to see a whole file. ``stored_traces`` reads both.
+    """
+    parsed = parsed_documents(pieces, strict)
+    rest = [c for c in pieces.columns if c != "value"]
+    rows = parsed.select(
         *rest,
-        "trace_pos",
         "_problem",
-        *[F.try_variant_get("_t", f"$.{c}", "string").alias(c) for c in ("nodeid", "exc_type", "message")],
-        *[F.try_variant_get("_t", f"$.{c}", "array<variant>").alias(c) for c in schemas.FRAME_KINDS],
-        *[_no_list("_t", c).alias(f"_no_list_{c}") for c in ("frames", "exec_path")],
+        F.coalesce(F.size("_traces"), F.lit(0)).alias("_elements"),
+        F.posexplode_outer("_traces").alias("_place", "_t"),
     )
-    if not strict:
-        for kind in schemas.FRAME_KINDS:
-            present = F.filter(F.transform(kind, lenient_frame), lambda f: f.isNotNull())
-            traces = traces.withColumn(kind, F.coalesce(present, _no_frames()))
-        return traces.drop("_no_list_frames", "_no_list_exec_path")
-    # Only the two arrays that are filtered later must hold well-formed frames. Calls are taken without their locals.
-    traces = traces.withColumn("frames", F.transform("frames", lambda f: strict_frame(f)))
-    traces = traces.withColumn("exec_path", F.transform("exec_path", _call_frame))
-    checked = F.filter(
-        F.transform(
-            F.concat(*[F.coalesce(k, F.array().cast(traces.schema[k].dataType)) for k in ("frames", "exec_path")]),
-            lambda f: f["error"],
-        ),
-        lambda e: e.isNotNull(),
+    typed = rows.select(*rest, "_problem", "_elements", "_place", F.col("_t.is_trace").alias("_is_trace"), *_trace_columns(F.col("_t"), strict))
+    typed.write.mode("overwrite").parquet(f"{path}/parsed")
+    small = spark.read.parquet(f"{path}/parsed").where(F.coalesce("_place", F.lit(0)) == 0)
+    counted = small.select("path", "piece", "_elements")
+    numbered = sequence_number(counted, ["path"], "piece", "_n", sums={"_before": F.greatest("_elements", F.lit(0))})
+    numbered.where("_before > 0").select("path", "piece", "_before").write.mode("overwrite").parquet(f"{path}/pieces")
+
+
+def stored_traces(spark: SparkSession, path: str) -> DataFrame:
+    """What ``store_traces`` wrote: one row per trace, and one per piece that cannot be read, with its ``_problem``.
+
+    In the strict form a problem is also the ``error``, and ``piece`` tells where in the file.
+    """
+    parsed = spark.read.parquet(f"{path}/parsed").where("_is_trace or _problem is not null")
+    # Only pieces behind the first have a row there.
+    starts = spark.read.parquet(f"{path}/pieces")
+    rows = parsed.join(starts, ["path", "piece"], "left").withColumn(
+        "trace_pos", (F.coalesce("_before", F.lit(0)) + F.col("_place")).cast("int")
     )
-    error = F.coalesce("_problem", "_no_list_frames", "_no_list_exec_path", F.get(checked, F.lit(0)))
-    traces = traces.withColumn("error", error).drop("_no_list_frames", "_no_list_exec_path")
-    for kind in ("frames", "exec_path"):
-        traces = traces.withColumn(
-            kind, F.coalesce(F.transform(kind, lambda f: f.dropFields("error")), _no_frames())
-        )
-    steps = F.filter(F.transform("step_frames", lenient_frame), lambda f: f.isNotNull())
-    return traces.withColumn("step_frames", F.coalesce(steps, _no_frames()))
+    if "error" in rows.columns:
+        rows = rows.withColumn("error", F.coalesce("_problem", "error"))
+    kept = [c for c in parsed.columns if not c.startswith("_") and c not in ("path", "pieces")]
+    return rows.select(*kept, "trace_pos", "_problem")
 
 
-def _no_list(trace: str, field: str) -> Column:
+def _no_list(trace: Column, field: str) -> Column:
     """Why the frames of a trace cannot be gone through, or null. Nothing, zero and empty values count as no frames."""
     value = F.try_variant_get(trace, f"$.{field}", "variant")
     empty = F.to_json(value).isin("null", "false", "0", "0.0", '""', "{}")
@@ -189,16 +241,19 @@ def _no_frames() -> Column:
 
 def trace_errors(documents: DataFrame, key: str = "instance_id") -> DataFrame:
     """One row per document that cannot be read, or has a trace with a bad frame."""
-    columns = [c for c in (key, "value", "path", "piece", "pieces") if c in documents.columns]
-    return errors_of(typed_traces(parse_elements(documents.select(*columns))), key)
+    first = F.get(F.array_compact(F.transform("_traces", lambda t: _trace_error(t))), F.lit(0))
+    found = parsed_documents(documents.select(key, "value")).select(key, F.coalesce("_problem", first).alias("error"))
+    bad = found.where("error is not null")
+    return bad.select(key, F.lit("TraceCollectionError").alias("error_type"), F.col("error").alias("error_message"))
 
 
 def errors_of(traces: DataFrame, key: str = "instance_id") -> DataFrame:
     """The first error of each document, from traces with their errors."""
+    place = F.struct(F.coalesce("trace_pos", F.lit(-1)), *(["piece"] if "piece" in traces.columns else []))
     return (
         traces.where("error is not null")
         .groupBy(key)
-        .agg(F.min_by("error", F.coalesce("trace_pos", F.lit(-1))).alias("error_message"))
+        .agg(F.min_by("error", place).alias("error_message"))
         .select(key, F.lit("TraceCollectionError").alias("error_type"), "error_message")
     )
 
@@ -206,14 +261,16 @@ def errors_of(traces: DataFrame, key: str = "instance_id") -> DataFrame:
 def read_traces(spark: SparkSession, base: str, strict: bool = True) -> DataFrame:
     """Traces of all instances below ``base``, one trace file of any size per instance folder.
 
-    In the strict form a file that cannot be read in one place gives no traces.
+    Files are parsed at once, into the work folder. In the strict form a file that cannot be read in one place gives no
+    traces.
     """
-    pieces = read_pieces(spark, f"{base}/*/{TRACE_FILE}")
+    path = work_folder(spark, "traces")
+    store_traces(spark, read_pieces(spark, f"{base}/*/{TRACE_FILE}"), path, strict)
+    traces = stored_traces(spark, path)
+    sound = traces.where("_problem is null").drop("_problem", "piece")
     if not strict:
-        return parse_traces(pieces, strict)
-    traces = typed_traces(parse_elements(pieces))
+        return sound
     broken = traces.where("_problem is not null").select("instance_id").distinct()
-    sound = traces.where("_problem is null").drop("_problem")
     return sound.join(broken, "instance_id", "left_anti").select(*sound.columns)
 
 
@@ -222,7 +279,9 @@ def read_trace_errors(spark: SparkSession, base: str, instances: DataFrame | Non
 
     Spark does not list files without a byte, so these count as none.
     """
-    errors = trace_errors(read_pieces(spark, f"{base}/*/{TRACE_FILE}"))
+    path = work_folder(spark, "traces")
+    store_traces(spark, read_pieces(spark, f"{base}/*/{TRACE_FILE}"), path)
+    errors = errors_of(stored_traces(spark, path))
     return errors if instances is None else errors.unionByName(absent_files(spark, base, instances))
 
 
