@@ -40,7 +40,7 @@ DECODED_AT_ONCE = 4096
 # Bytes of texts that are encoded at a time.
 TEXTS_AT_ONCE = 1 << 21
 # Matches that a worker remembers.
-MATCHES_KEPT = 200_000
+MATCHES_KEPT = 150_000
 # A blank that may be part of a longer match of white space.
 UNEVEN = re.compile(r" (?:\s|\Z)")
 # So few matches are merged one by one.
