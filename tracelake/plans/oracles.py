@@ -466,6 +466,25 @@ check(
     "FROM (SELECT item_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM benchmark))) WHERE r = 1) "
     "WHERE ends_with(path, '.py') AND contains(lines[i], symbol)",
 )
+BENCHMARK_WORDS = "SELECT DISTINCT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM benchmark"
+PY_LINES = "SELECT path, i AS line_no, lines[i] AS line FROM split_source, unnest(range(1, len(lines) + 1)) AS u(i) WHERE ends_with(path, '.py')"
+check(
+    "search_words",
+    ["split_source"],
+    f"SELECT word AS symbol, count(*) AS hits FROM ({BENCHMARK_WORDS}) JOIN ({PY_LINES}) ON contains(line, word) "
+    "WHERE length(word) >= 3 GROUP BY word",
+)
+check(
+    "search_patterns",
+    ["split_source"],
+    "SELECT pattern, path, CAST(line_no AS INT) AS line_no FROM near WHERE regexp_matches(line, pattern)",
+    {
+        "asked": "SELECT DISTINCT concat(word[1:4], '[a-z]?[a-z]?', word[-2:]) AS pattern, word[1:4] AS start "
+        f"FROM ({BENCHMARK_WORDS}) WHERE regexp_matches(word, '^[A-Za-z]{{8,}}$')",
+        # Few lines have to be tested in full.
+        "near": f"SELECT pattern, path, line_no, line FROM asked JOIN ({PY_LINES}) ON contains(line, start)",
+    },
+)
 check(
     "search_statuses",
     ["split_source"],

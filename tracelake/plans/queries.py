@@ -13,7 +13,7 @@ from tracelake.functions import text
 from tracelake.functions.classify import classify_framework, parse_outcome
 from tracelake.functions.paths import normalize_path
 from tracelake.functions.predicates import failing_tests_only, testbed_only
-from tracelake.operators import dataset, frames, metrics, outcomes, patches, render, source, transcripts
+from tracelake.operators import code_search, dataset, frames, metrics, outcomes, patches, render, source, transcripts
 from tracelake.operators.late import FileRows, file_rows
 from tracelake.plans import adapters, comparison
 from tracelake.schemas import FRAME_KINDS
@@ -568,14 +568,43 @@ def search_symbol(spark: SparkSession, d: str) -> DataFrame:
     return source.search_symbol(_files(spark, d), SYMBOLS, ())
 
 
+def _code_index(spark: SparkSession, d: str) -> code_search.CodeIndex:
+    return code_search.build_index(spark, _files(spark, d), work_folder(spark, "code-index"), ())
+
+
+def _benchmark_words(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, word): the distinct words of every benchmark text."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    words = F.array_distinct(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1))
+    return items.select("item_id", F.explode(words).alias("word")).where(F.col("word") != "")
+
+
 @query
 def search_requests(spark: SparkSession, d: str) -> DataFrame:
     """Searches for the longest word of every benchmark text, the first of equals."""
     items = spark.read.parquet(f"{d}/benchmark.parquet")
     longer = lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)
     word = F.aggregate(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), F.lit(""), longer)
-    requests = items.select(F.col("item_id").alias("request_id"), word.alias("symbol"))
-    return source.search_requests(_files(spark, d), requests, ()).select("request_id", "symbol", "path", "line_no")
+    requests = items.select(F.col("item_id").alias("request_id"), word.alias("pattern"))
+    hits = code_search.pattern_requests(spark, _code_index(spark, d), requests)
+    return hits.select("request_id", F.col("pattern").alias("symbol"), "path", "line_no")
+
+
+@query
+def search_words(spark: SparkSession, d: str) -> DataFrame:
+    """Searches for every distinct word of three letters and more of all benchmark texts: the lines that hold it."""
+    words = _benchmark_words(spark, d).where(F.length("word") >= code_search.GRAM).select(F.col("word").alias("pattern"))
+    return code_search.pattern_counts(spark, _code_index(spark, d), words).select(F.col("pattern").alias("symbol"), "hits")
+
+
+@query
+def search_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Regular expressions made of every benchmark text's longer words: four letters, up to two more, and the end."""
+    letters = F.regexp_like("word", F.lit("^[A-Za-z]{8,}$"))
+    pattern = F.concat(F.substring("word", 1, 4), F.lit("[a-z]?[a-z]?"), F.substring("word", -2, 2))
+    asked = _benchmark_words(spark, d).where(letters).select(pattern.alias("pattern"), F.lit(True).alias("is_regex"))
+    hits = code_search.search_patterns(spark, _code_index(spark, d), asked)
+    return hits.select("pattern", "path", "line_no")
 
 
 @query
