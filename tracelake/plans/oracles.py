@@ -442,6 +442,11 @@ check(
     ["frames", "split_source"],
     f"SELECT f.trace_id, f.pos, f.file, f.line, {context('f.line', 2)} AS context FROM frames f LEFT JOIN split_source s ON f.file = s.path",
 )
+check(
+    "stored_source_context",
+    ["frames", "split_source"],
+    f"SELECT f.trace_id, f.pos, f.file, f.line, {context('f.line', 2)} AS context FROM frames f LEFT JOIN split_source s ON f.file = s.path",
+)
 TESTCASE = f"concat('Test file: ', f.test_file, chr(10), {context('f.focus_line', 25)})"
 check(
     "testcase_source",

@@ -18,7 +18,7 @@ from tracelake.operators.late import FileRows, file_rows
 from tracelake.plans import adapters, comparison
 from tracelake.schemas import FRAME_KINDS
 from tracelake.session import work_folder
-from tracelake.sources import index_log, readers, writers
+from tracelake.sources import index_log, readers, source_store, writers
 from tracelake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,6 +556,18 @@ def source_context(spark: SparkSession, d: str) -> DataFrame:
     return shown.select("trace_id", "pos", "file", "line", "context")
 
 
+@query
+def stored_source_context(spark: SparkSession, d: str) -> DataFrame:
+    """Source context of three instances that share all of their files, which are stored once."""
+    path = work_folder(spark, "sources")
+    instances = F.explode(F.array(*[F.lit(n).cast("long") for n in range(3)])).alias("instance_id")
+    files = _files(spark, d).select(instances, "path", "content")
+    source_store.add_sources(files.where("instance_id = 0"), path)
+    source_store.add_sources(files.where("instance_id > 0"), path)
+    shown = source_store.with_stored_context(_frames(spark, d).withColumn("instance_id", F.col("trace_id") % 3), path, 2)
+    return shown.select("trace_id", "pos", "file", "line", "context")
+
+
 @query
 def testcase_source(spark: SparkSession, d: str) -> DataFrame:
     traces = adapters.view(spark, d, "traces").select("trace_id")
