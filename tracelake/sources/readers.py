@@ -13,6 +13,7 @@ from tracelake import schemas
 from tracelake.operators.frames import is_object, lenient_frame, strict_frame
 from tracelake.operators.ordinals import sequence_number
 from tracelake.session import work_folder
+from tracelake.sources import large_json
 
 # File names of the artifact layout, and the folder of a project snapshot.
 TRACE_FILE, TEST_OUTPUT_FILE = "auto_debug.json", "test_output.txt"
@@ -20,6 +21,7 @@ PROJECT_FOLDER = "project"
 # Trace files are written with two blanks per level, so this text ends each element of their list but the last: line
 # breaks inside of strings are escaped.
 ELEMENT_END = "\n  },\n"
+NO_INDEX = "Index file must contain JSON"
 NO_LIST = "Invalid trace format: expected list"
 NO_TRACE_FILE = "Tests may not have failed, or trace collection did not activate."
 
@@ -367,17 +369,18 @@ def report_errors(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def read_run_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Header and records of run indexes, one JSON object per file.
+    """Header and records of run indexes, one JSON object per file, of any length.
 
+    The file is cut into its records, see ``large_json``, so a long index is read by as many tasks as it has blocks.
     Fails on a document that is no object or whose records are no list, when
     its rows are used.
     """
-    document = read_documents(spark, path).select("value")
+    rest, objects = large_json.read_list_in_object(spark, path, "records")
     parsed = F.try_parse_json("value")
     records = F.try_variant_get(parsed, "$.records", "variant")
-    checked = document.withColumn(
+    checked = rest.withColumn(
         "value",
-        F.when(parsed.isNull(), F.raise_error(F.lit("Index file must contain JSON")))
+        F.when(parsed.isNull(), F.raise_error(F.lit(NO_INDEX)))
         .when(~is_object(parsed), F.raise_error(F.lit("Index file must contain a JSON object")))
         .when(
             records.isNotNull() & ~F.schema_of_variant(records).startswith("ARRAY"),
@@ -385,10 +388,10 @@ def read_run_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         )
         .otherwise(F.col("value")),
     )
-    full = T.StructType([*schemas.INDEX_HEADER.fields, T.StructField("records", T.ArrayType(schemas.INDEX_RECORD))])
-    index = checked.select(F.from_json("value", full).alias("i")).select("i.*")
-    records_df = index.select("run_id", F.explode("records").alias("r")).select("run_id", "r.*")
-    return index.drop("records"), records_df
+    headers = checked.select("path", F.from_json("value", schemas.INDEX_HEADER).alias("i")).select("path", "i.*")
+    sound = F.when(F.is_valid_utf8("value") & F.try_parse_json("value").isNull(), F.raise_error(F.lit(NO_INDEX))).otherwise(F.col("value"))
+    found = objects.select("path", F.from_json(sound, schemas.INDEX_RECORD).alias("r"))
+    return headers.drop("path"), found.join(headers.select("path", "run_id"), "path").select("run_id", "r.*")
 
 
 def index_records(records: DataFrame) -> DataFrame:
@@ -430,7 +433,13 @@ def _read_table(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".jsonl"):
         return spark.read.json(path)
     if path.endswith(".json"):
-        return spark.read.option("multiLine", True).json(path)
+        first = spark.read.option("lineSep", large_json.CLOSING).text(path).first()
+        if first is None or not first["value"].lstrip().startswith("["):
+            return spark.read.option("multiLine", True).json(path)
+        # A list, on one line or many, is read in as many tasks as it has blocks, into lines.
+        lines = work_folder(spark, "list")
+        large_json.read_objects(spark, path).select("value").write.text(lines)
+        return spark.read.json(lines)
     return spark.read.parquet(path)
 
 
