@@ -732,6 +732,56 @@ check(
 )
 
 # Traces of the documents: of form 0 two traces, of form 4 one whose frame has no file.
+check(
+    "file_outputs",
+    [],
+    "SELECT CAST(item_id AS VARCHAR) AS instance_id, concat(text, chr(10)) AS output FROM benchmark "
+    "UNION ALL SELECT concat('absent-', item_id), '' FROM benchmark",
+)
+check(
+    "file_instances",
+    [],
+    "SELECT CAST(item_id AS VARCHAR) AS instance_id, true AS trace_exists, true AS listed FROM benchmark "
+    "UNION ALL SELECT concat('absent-', item_id), false, false FROM benchmark",
+)
+check(
+    "file_sources",
+    [],
+    "SELECT concat('i', doc_id % 3) AS instance_id, doc_id, concat(text, chr(10)) AS content FROM documents WHERE text IS NOT NULL",
+)
+check(
+    "index_documents",
+    ["reasons"],
+    "SELECT concat('run-', b.instance_id // 1000) AS run_id, b.instance_id, w.status AS without_status, r.status AS with_status FROM reasons b "
+    "JOIN reasons w ON w.instance_id = b.instance_id AND w.variant = 'without_runtime' "
+    "JOIN reasons r ON r.instance_id = b.instance_id AND r.variant = 'with_runtime' WHERE b.variant = 'baseline'",
+)
+check("file_predictions", ["predictions"], "SELECT instance_id, ord, model_patch FROM predictions")
+check("file_framework_cache", ["frameworks"], "SELECT instance_id, framework FROM frameworks")
+check(
+    "stored_errors",
+    ["collection"],
+    "SELECT instance_id, 'RunError' AS error_type, error AS error_message FROM collection WHERE error IS NOT NULL",
+)
+check("stored_metrics", ["variant_totals", "count_texts", "reason_texts"], RUN_METRICS)
+check("stored_artifacts", ["patches"], "SELECT patch_id AS instance_id, 'patch' AS kind, patch AS text FROM patches")
+check(
+    "captured_failures",
+    [],
+    "SELECT event_id, ['error', 'failure', 'subtest'][event_id % 5 + 1] AS event, props AS traceback FROM events "
+    "WHERE event_id % 5 < 3 AND event_type <> 'view' AND props IS NOT NULL",
+)
+check(
+    "traces_with_frames",
+    [],
+    "SELECT event_id AS instance_id, 0 AS trace_pos, 1 AS n FROM events WHERE event_id % 5 IN (0, 4)",
+)
+check(
+    "custom_pipeline",
+    ["frames"],
+    "SELECT trace_id, pos, file, line, func, left(concat('\"', k, '\"'), 3) AS k FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos) AS n "
+    "FROM frames WHERE kind = 'step_frames' AND line % 2 = 0) WHERE n <= 4 AND NOT ends_with(file, '/conftest.py')",
+)
 GOOD = (
     "SELECT event_id AS instance_id, 0 AS trace_pos, concat('t::', event_id) AS nodeid, 'TypeError' AS exc_type, 'boom' AS message, "
     "concat('/testbed/a.py|', event_id % 97, '|', event_type, '|', props ->> '$.k') AS frames, '/testbed/a.py|{line}|f' AS exec_path, "

@@ -12,7 +12,7 @@ from tracelake.functions import locals as local_functions
 from tracelake.functions import text
 from tracelake.functions.classify import classify_framework, parse_outcome
 from tracelake.functions.paths import normalize_path
-from tracelake.functions.predicates import failing_tests_only, testbed_only
+from tracelake.functions.predicates import captured_unittest, failing_tests_only, has_frames, not_conftest, testbed_only
 from tracelake.operators import code_search, dataset, frames, metrics, outcomes, patches, render, source, transcripts
 from tracelake.operators.late import FileRows, file_rows
 from tracelake.plans import adapters, comparison
@@ -896,6 +896,148 @@ def document_frames(spark: SparkSession, d: str) -> DataFrame:
     return exploded.select("instance_id", "trace_pos", "kind", "pos", "file", "line", "func")
 
 
+# --- files of the artifact layout --------------------------------------------------------
+
+PART = "part-*"
+# Rows that one document of a list is made of.
+LIST_ROWS = 1000
+
+
+def _log_files(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A folder per benchmark item with its text as the log, and these items with as many that have no folder."""
+    base = work_folder(spark, "logs")
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    items.select(F.col("item_id").alias("instance_id"), "text").write.partitionBy("instance_id").text(base)
+    known = items.select(F.col("item_id").cast("string").alias("instance_id"))
+    return base, known.unionByName(known.select(F.concat(F.lit("absent-"), "instance_id").alias("instance_id")))
+
+
+@query
+def file_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """The logs of instances, read from their folders."""
+    base, instances = _log_files(spark, d)
+    return readers.read_test_outputs(spark, base, instances, PART)
+
+
+@query
+def file_instances(spark: SparkSession, d: str) -> DataFrame:
+    """Instances that are listed, and whether they have a file."""
+    base, instances = _log_files(spark, d)
+    listed = readers.list_instances(spark, base).withColumn("listed", F.lit(True))
+    found = readers.trace_exists(spark, base, instances, PART)
+    return found.join(listed, "instance_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+@query
+def file_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Project snapshots of three instances, read back from their folders: a file per document."""
+    base = work_folder(spark, "snapshots")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for n in range(3):
+        part = docs.where((F.col("doc_id") % 3 == n) & F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), "text")
+        part.write.partitionBy("doc").text(f"{base}/i{n}/{readers.PROJECT_FOLDER}/src")
+    found = readers.read_source_tree(spark, base)
+    doc = F.regexp_extract("path", "^/testbed/src/doc=([0-9]+)/part-", 1).cast("bigint")
+    return found.select("instance_id", doc.alias("doc_id"), "content")
+
+
+def _documents_of(rows: DataFrame, number: Column, entry: Column, head: Column, tail: str, path: str) -> None:
+    """JSON documents of ``LIST_ROWS`` entries each, every one on one line in a folder of its own."""
+    entries = F.array_join(F.array_sort(F.collect_list(entry)), ", ")
+    grouped = rows.groupBy(F.floor(number / LIST_ROWS).alias("part")).agg(entries.alias("_entries"))
+    grouped.select("part", F.concat(head, "_entries", F.lit(tail)).alias("value")).write.partitionBy("part").text(path)
+
+
+@query
+def index_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Run indexes written as JSON documents, and the records read from them."""
+    path = work_folder(spark, "index-documents")
+    rows = _index_records(spark, d)
+    kept = rows.select("instance_id", "framework", "recorded_at", "artifact_report_path", "baseline", "variants")
+    record = F.to_json(F.struct(F.col("instance_id").cast("string").alias("instance_id"), *kept.columns[1:]))
+    head = F.concat(F.lit('{"schema_version": 1, "run_id": "run-'), F.col("part").cast("string"), F.lit('", "records": ['))
+    _documents_of(kept, F.col("instance_id"), record, head, '], "log_path": "}"}', path)
+    _, records = readers.read_run_index(spark, path)
+    return records.select(
+        "run_id",
+        F.col("instance_id").cast("bigint").alias("instance_id"),
+        F.col("variants")["without_runtime"]["status"].alias("without_status"),
+        F.col("variants")["with_runtime"]["status"].alias("with_status"),
+    )
+
+
+@query
+def file_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions written as JSON lists of one line, and read back."""
+    path = work_folder(spark, "predictions.json") + ".json"
+    rows = adapters.view(spark, d, "predictions")
+    _documents_of(rows, F.col("ord"), F.to_json(F.struct("instance_id", "ord", "model_patch")), F.lit("["), "]", path)
+    return readers.read_predictions(spark, path).select("instance_id", "ord", "model_patch")
+
+
+@query
+def file_framework_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Frameworks read from cache files with a note in each."""
+    path = work_folder(spark, "caches")
+    scripts = adapters.view(spark, d, "eval_scripts")
+    rows = scripts.select("instance_id", classify_framework(F.col("eval_script")).alias("framework"))
+    entry = F.concat(F.lit('"'), F.col("instance_id").cast("string"), F.lit('": "'), F.col("framework"), F.lit('"'))
+    _documents_of(rows, F.col("instance_id"), entry, F.lit('{"_comment": "made", '), "}", path)
+    found = readers.read_framework_cache(spark, f"{path}/*/{PART}")
+    return found.select(F.col("instance_id").cast("bigint").alias("instance_id"), "framework")
+
+
+@query
+def stored_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of runs, written and read back."""
+    path = work_folder(spark, "errors")
+    writers.write_errors(run_errors(spark, d), path)
+    return spark.read.json(path).select(F.col("instance_id").cast("bigint").alias("instance_id"), "error_type", "error_message")
+
+
+@query
+def stored_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of runs, written and read back."""
+    path = work_folder(spark, "metrics")
+    writers.write_metrics(run_metrics(spark, d), path)
+    return spark.read.json(path).select(*run_metrics(spark, d).columns)
+
+
+@query
+def stored_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Patches as an artifact table, written and read back."""
+    path = work_folder(spark, "artifacts")
+    patches_of = adapters.view(spark, d, "patches").select(F.col("patch_id").alias("instance_id"), F.lit("patch").alias("kind"), F.col("patch").alias("text"))
+    writers.write_artifacts(patches_of, path)
+    return spark.read.parquet(path).select("instance_id", "kind", "text")
+
+
+@query
+def captured_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Events of unittest runs that capture a failure."""
+    events = spark.read.parquet(f"{d}/events.parquet").select(
+        "event_id",
+        F.element_at(F.array(*map(F.lit, ("error", "failure", "subtest", "success", "skip"))), (F.col("event_id") % 5 + 1).cast("int")).alias("event"),
+        F.when(F.col("event_type") != "view", F.col("props")).alias("traceback"),
+    )
+    return events.where(captured_unittest(F.col("event"), F.col("traceback")))
+
+
+@query
+def traces_with_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Traces that captured any frame."""
+    parsed = readers.parse_traces(adapters.view(spark, d, "trace_documents"), strict=False)
+    return parsed.where(has_frames(F.col("frames"))).select("instance_id", "trace_pos", F.size("frames").alias("n"))
+
+
+@query
+def custom_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Own steps in a pipeline: a predicate, a function of frames, and locals cut to a few characters."""
+    steps = [F.col("line") % 2 == 0, lambda df: frames.cap_frames(df, 4, KEY), not_conftest()]
+    kept = frames.frame_pipeline(_of_kind(spark, d, "step_frames"), steps, cutoff=3)
+    return kept.select("trace_id", "pos", "file", "line", "func", F.col("locals")["k"].alias("k"))
+
+
 # --- streams -------------------------------------------------------------------------------
 
 

@@ -83,7 +83,8 @@ def split_list(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
     """(path, element, value): the documents below ``path``, cut behind each object that ends at ``depth``.
 
     At depth 1 these are the elements of a list, at depth 2 those of a list in an object. The value of the first element
-    starts with the head of the document, the others with the comma before them; the last row is the tail.
+    starts with the head of the document, the others with the comma before them; the last row is the tail. The segments
+    and the elements are written, each once.
     """
     folder = work_folder(spark, "segments")
     read_segments(spark, path).write.parquet(folder)
@@ -97,13 +98,16 @@ def split_list(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
     )
     nested = sequence_number(placed, ["path"], "segment", "_n", sums={"_depth_before": F.col("_step")})
     end = F.col("_closing") & (F.col("_depth_before") + F.col("_step") == depth)
-    counted = sequence_number(
-        nested.select("path", "segment", end.cast("long").alias("_end")), ["path"], "segment", "_n", sums={"element": F.col("_end")}
-    )
+    ends = work_folder(spark, "segment-ends")
+    nested.select("path", "segment", end.cast("long").alias("_end")).write.parquet(ends)
+    counted = sequence_number(spark.read.parquet(ends), ["path"], "segment", "_n", sums={"element": F.col("_end")})
     text = F.concat("value", F.when(F.col("closed"), CLOSING).otherwise(""))
     parts = segments.join(counted.select("path", "segment", "element"), ["path", "segment"])
     in_order = F.array_sort(F.collect_list(F.struct("segment", text.alias("text"))))
-    return parts.groupBy("path", "element").agg(F.array_join(F.transform(in_order, lambda p: p["text"]), "").alias("value"))
+    whole = F.array_join(F.transform(in_order, lambda p: p["text"]), "").alias("value")
+    elements = work_folder(spark, "elements")
+    parts.groupBy("path", "element").agg(whole).write.parquet(elements)
+    return spark.read.parquet(elements)
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:

@@ -297,30 +297,35 @@ def absent_files(spark: SparkSession, base: str, instances: DataFrame) -> DataFr
     )
 
 
+def _instance(folder: Column) -> Column:
+    """The instance of a folder, also of one that Spark wrote for a value of ``instance_id``."""
+    return F.regexp_replace(folder, r"\Ainstance_id=", "")
+
+
 def list_instances(spark: SparkSession, base: str) -> DataFrame:
     """Instances with a folder that holds a file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     inside = F.substring_index(F.col("path"), base.rstrip("/") + "/", -1)
-    return files.select(F.split(inside, "/")[0].alias("instance_id"), inside.contains("/").alias("_in")).where(
+    return files.select(_instance(F.split(inside, "/")[0]).alias("instance_id"), inside.contains("/").alias("_in")).where(
         "_in"
     ).select("instance_id").distinct()
 
 
-def trace_exists(spark: SparkSession, base: str, instances: DataFrame) -> DataFrame:
-    """Instances with a flag telling whether their trace file is there."""
-    files = spark.read.format("binaryFile").load(f"{base}/*/{TRACE_FILE}")
-    found = files.select(F.element_at(F.split("path", "/"), -2).alias("instance_id"), F.lit(True).alias("_found"))
+def trace_exists(spark: SparkSession, base: str, instances: DataFrame, name: str = TRACE_FILE) -> DataFrame:
+    """Instances with a flag telling whether their trace file is there. ``name`` may be a pattern of several parts."""
+    files = spark.read.format("binaryFile").load(f"{base}/*/{name}")
+    folder = _instance(F.element_at(F.split("path", "/"), -2))
+    found = files.select(folder.alias("instance_id"), F.lit(True).alias("_found")).distinct()
     return instances.join(found, "instance_id", "left").select(
         *instances.columns, F.coalesce("_found", F.lit(False)).alias("trace_exists")
     )
 
 
-def read_test_outputs(spark: SparkSession, base: str, instances: DataFrame) -> DataFrame:
+def read_test_outputs(spark: SparkSession, base: str, instances: DataFrame, name: str = TEST_OUTPUT_FILE) -> DataFrame:
     """The test log of each instance; empty if missing, bad bytes replaced."""
-    files = spark.read.format("binaryFile").load(f"{base}/*/{TEST_OUTPUT_FILE}")
-    logs = files.select(
-        F.element_at(F.split("path", "/"), -2).alias("instance_id"), _text(F.col("content")).alias("_output")
-    )
+    files = spark.read.format("binaryFile").load(f"{base}/*/{name}")
+    folder = _instance(F.element_at(F.split("path", "/"), -2))
+    logs = files.select(folder.alias("instance_id"), _text(F.col("content")).alias("_output"))
     return instances.join(logs, "instance_id", "left").select(
         *instances.columns, F.coalesce("_output", F.lit("")).alias("output")
     )
@@ -336,7 +341,7 @@ def read_source_tree(spark: SparkSession, base: str, root: str = "/testbed") ->
     inside = F.substring_index(F.col("path"), base.rstrip("/") + "/", -1)
     parts = F.split(inside, "/")
     return files.where(F.get(parts, F.lit(1)) == PROJECT_FOLDER).select(
-        parts[0].alias("instance_id"),
+        _instance(parts[0]).alias("instance_id"),
         F.concat_ws("/", F.lit(root), F.array_join(F.slice(parts, 3, F.size(parts)), "/")).alias("path"),
         _text(F.col("content")).alias("content"),
     )
