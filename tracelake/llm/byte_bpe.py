@@ -67,7 +67,9 @@ def read_ranks(ranks_path: str) -> dict[bytes, int]:
 class RankEncoder:
     """Texts to ids by the ranks of a tiktoken file. Ids are little-endian 32-bit numbers in bytes."""
 
-    def __init__(self, ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> None:
+    def __init__(
+        self, ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS, remembered: int = MATCHES_KEPT
+    ) -> None:
         self.ranks = read_ranks(ranks_path)
         self.leaf_chars = leaf_chars
         get = self.ranks.get
@@ -80,7 +82,7 @@ class RankEncoder:
             if t[:n] in self.ranks and t[n:] in self.ranks
         }
         self.many = ManyMerger([self.ranks[bytes([b])] for b in range(256)], pairs)
-        self.scanner = Scanner(pattern, self._pieces, b"".join, MATCHES_KEPT)
+        self.scanner = Scanner(pattern, self._pieces, b"".join, remembered)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of matches. A match that is a token is that token, whatever the merges would make of it."""
@@ -201,9 +203,9 @@ def decoded(vocabulary: pa.Array, ids: pa.ListArray) -> list[bytes]:
 
 
 @lru_cache(2)
-def rank_encoder(ranks_path: str, pattern: str) -> RankEncoder:
+def rank_encoder(ranks_path: str, pattern: str, remembered: int) -> RankEncoder:
     """One encoder per worker, so that tasks that follow know the words of those before."""
-    return RankEncoder(ranks_path, pattern)
+    return RankEncoder(ranks_path, pattern, remembered=remembered)
 
 
 def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
@@ -212,19 +214,25 @@ def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str | None = None, text: str = "text", out: str = "token_ids"
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str | None = None,
+    text: str = "text",
+    out: str = "token_ids",
+    remembered: int = MATCHES_KEPT,
 ) -> DataFrame:
     """Add ``out``: the ids of the whole ``text`` as an array of int. A null text counts as empty: no ids.
 
     A column that already has the name ``out`` is replaced; every other column is kept. Rows keep their partition.
-    ``pattern`` splits texts; by default the public one, with the character classes of the installed library.
+    ``pattern`` splits texts; by default the public one, with the character classes of the installed library. A worker
+    remembers ``remembered`` matches, also for the jobs that follow.
     """
     pattern = tiktoken_pattern() if pattern is None else pattern
     schema = _with(docs, out, T.ArrayType(T.IntegerType(), False))
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(ranks_path, pattern)
+        encoder = rank_encoder(ranks_path, pattern, remembered)
         for part in text_slices(batches, text, TEXTS_AT_ONCE):
             ids = encoder.encode_many([x or "" for x in part.column(text).to_pylist()])
             ends = np.cumsum([0, *map(len, ids)]) // 4
