@@ -11,6 +11,9 @@ from tracelake.llm import byte_bpe, chosen_path, decontamination, line_dedup, to
 from tracelake.llm.queries import RANKS, digests
 from tracelake.llm.shared import fold, table, written
 
+# Workers serve all stages, so what they remember of matches has to be small.
+MATCHES_KEPT = 40_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -44,7 +47,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their digest."""
-    tokens = digests(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS).drop("text"))
+    rows = docs.select("doc_id", "lang", "source", "text")
+    tokens = digests(byte_bpe.encode(rows, RANKS, remembered=MATCHES_KEPT).drop("text"))
     return tokens.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "token_ids")
 
 
