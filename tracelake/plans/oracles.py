@@ -567,6 +567,13 @@ SESSION_PARTS = (
     "(PARTITION BY session_id) THEN rtrim(text, concat(' ', chr(9), chr(10), chr(13))) ELSE text END, chr(10)) AS text FROM message_texts"
 )
 check("render_transcripts", ["message_texts"], SESSION_PARTS)
+check(
+    "transcript_stretches",
+    ["message_texts"],
+    "SELECT session_id, first_byte, sha256(substring(bytes, 2 * first_byte + 1, 2048)) AS digest FROM (SELECT session_id, bytes, "
+    "unnest(range(0, length(bytes) // 2, 1024)) AS first_byte FROM (SELECT session_id, hex(encode(string_agg(text, '' ORDER BY ordinal))) AS bytes "
+    f"FROM ({SESSION_PARTS}) GROUP BY session_id))",
+)
 check(
     "transcript_pages",
     ["message_texts"],

@@ -18,7 +18,7 @@ from tracelake.operators.late import FileRows, file_rows
 from tracelake.plans import adapters, comparison
 from tracelake.schemas import FRAME_KINDS
 from tracelake.session import work_folder
-from tracelake.sources import index_log, readers, source_store, writers
+from tracelake.sources import artifact_store, index_log, readers, source_store, writers
 from tracelake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -721,6 +721,19 @@ def render_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.render_transcripts(adapters.messages(spark, d))
 
 
+@query
+def transcript_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every kilobyte of every session's stored text, as a digest of its bytes."""
+    path = work_folder(spark, "transcripts")
+    artifact_store.write_parts(transcripts.render_transcripts(adapters.messages(spark, d)), path, SESSION)
+    sizes = artifact_store.text_sizes(spark, path, SESSION).where("total_bytes > 0")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_bytes") - 1, F.lit(1024).cast("long"))).alias("first_byte")
+    asked = sizes.select("session_id", first, F.lit(1024).alias("n_bytes"))
+    asked = asked.withColumn("request_id", F.struct("session_id", "first_byte"))
+    found = artifact_store.read_stretches(spark, path, asked, SESSION)
+    return found.select("request_id.session_id", "request_id.first_byte", F.sha2(F.hex("bytes").cast("binary"), 256).alias("digest"))
+
+
 @query
 def transcript_pages(spark: SparkSession, d: str) -> DataFrame:
     """The parts and the length of each session's text."""
