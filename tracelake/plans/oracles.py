@@ -365,6 +365,16 @@ check(
     "SELECT p.instance_id, p.variant, r.status, p.verdict, r.failure_reason, r.raw_error_excerpt FROM pairs p "
     "JOIN reasons r ON p.instance_id = r.instance_id AND p.variant = r.variant",
 )
+TOTALS = (
+    "count(*) AS total_instances, count(*) FILTER (status = 'passed') AS success_count, count(*) FILTER (status <> 'passed') AS failure_count, "
+    "round(count(*) FILTER (status = 'passed') / count(*), 9) AS success_rate, round(count(*) FILTER (status <> 'passed') / count(*), 9) AS failure_rate "
+    "FROM reasons WHERE variant <> 'baseline'"
+)
+check(
+    "rolled_metrics",
+    ["reasons"],
+    f"SELECT variant, 0 AS level, {TOTALS} GROUP BY variant UNION ALL SELECT NULL, 1, {TOTALS} UNION ALL SELECT NULL, 3, {TOTALS}",
+)
 check("stored_index_metrics", ["variant_totals", "count_texts", "reason_texts"], RUN_METRICS)
 check("appended_index_metrics", ["variant_totals", "count_texts", "reason_texts"], RUN_METRICS)
 check(

@@ -13,7 +13,7 @@ from tracelake.functions import text
 from tracelake.functions.classify import classify_framework, parse_outcome
 from tracelake.functions.paths import normalize_path
 from tracelake.functions.predicates import captured_unittest, failing_tests_only, has_frames, not_conftest, testbed_only
-from tracelake.operators import code_search, dataset, frames, metrics, outcomes, patches, render, source, transcripts
+from tracelake.operators import code_search, dataset, frames, metrics, outcomes, patches, render, rollup, source, transcripts
 from tracelake.operators.late import FileRows, file_rows
 from tracelake.plans import adapters, comparison
 from tracelake.schemas import FRAME_KINDS
@@ -327,6 +327,20 @@ def variant_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _round_rates(metrics.variant_metrics(_variant_records(spark, d), ()))
 
 
+@query
+def rolled_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics by run and variant, of each run and of all, added up from batches; the first batch is replaced later."""
+    path = work_folder(spark, "counts")
+    rows = _variant_records(spark, d)
+    parts = [rows.where(F.col("instance_id") % 3 == n) for n in range(3)]
+    early = parts[0].withColumns({"status": F.lit("failed"), "failure_reason": F.lit("early")})
+    rollup.add_counts(rollup.count_batch(early), path, "early")
+    for n, part in enumerate(parts):
+        rollup.add_counts(rollup.count_batch(part, early if n == 0 else None), path, f"part-{n}")
+    rolled = _round_rates(rollup.rollup_metrics(rollup.read_counts(spark, path)))
+    return rolled.select("variant", "level", "total_instances", "success_count", "failure_count", "success_rate", "failure_rate")
+
+
 def _header(spark: SparkSession, runs: DataFrame) -> DataFrame:
     """A header row per run of the records."""
     return runs.select("run_id").distinct().select(
