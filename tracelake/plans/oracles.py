@@ -234,6 +234,12 @@ SELECT trace_id, pos, file, line, func, concat('"', k, '"') AS k FROM (
       AND NOT ends_with(file, '/conftest.py')
     QUALIFY row_number() OVER (PARTITION BY trace_id, file, func, line ORDER BY pos) = 1)) WHERE n <= 2000"""
 check("step_frames", ["frames"], STEP_FRAMES)
+check("sql_step_frames", ["frames"], STEP_FRAMES)
+check(
+    "sql_exec_path",
+    ["exec_path"],
+    "SELECT trace_id, pos, file, func, line FROM exec_path QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY pos) <= 3",
+)
 check(
     "filtered_trace_frames",
     ["exec_path", "traceback"],

@@ -15,7 +15,7 @@ from tracelake.functions.paths import normalize_path
 from tracelake.functions.predicates import captured_unittest, failing_tests_only, has_frames, not_conftest, testbed_only
 from tracelake.operators import code_search, dataset, frames, metrics, outcomes, patches, render, rollup, source, transcripts
 from tracelake.operators.late import FileRows, file_rows
-from tracelake.plans import adapters, comparison
+from tracelake.plans import adapters, comparison, sql_functions
 from tracelake.schemas import FRAME_KINDS
 from tracelake.session import work_folder
 from tracelake.sources import artifact_store, index_log, readers, source_store, writers
@@ -1065,6 +1065,26 @@ def custom_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("trace_id", "pos", "file", "line", "func", F.col("locals")["k"].alias("k"))
 
 
+# --- SQL functions -------------------------------------------------------------------------
+
+
+@query
+def sql_exec_path(spark: SparkSession, d: str) -> DataFrame:
+    """Execution paths from a table function."""
+    sql_functions.register_pipelines(spark, _frames(spark, d), "event_frames", KEY)
+    return spark.sql(f"SELECT * FROM event_frames_exec_path({SMALL_CAP})")
+
+
+@query
+def sql_step_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Step frames from a table function, filtered once more by a scalar one."""
+    sql_functions.register_filters(spark, "frame_")
+    sql_functions.register_pipelines(spark, _frames(spark, d), "event_frames", KEY)
+    return spark.sql(
+        "SELECT trace_id, pos, file, line, func, locals['k'] AS k FROM event_frames_step_frames() WHERE frame_not_conftest(file)"
+    )
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
