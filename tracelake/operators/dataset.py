@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.classify import classify_framework, join_script
@@ -39,9 +39,14 @@ def exclude_repo_table(instances: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def latest_predictions(predictions: DataFrame, order: str = "ord", key: str = INSTANCE) -> DataFrame:
-    """The last prediction of each instance. The order is found first, without the texts."""
+    """The last prediction of each instance. The order is found first, without the texts.
+
+    Of several with the same order the one with the smallest hash of its columns, so that a repeated job finds the same.
+    """
     last = predictions.groupBy(key).agg(F.max(order).alias(order))
-    return predictions.join(last, [key, order], "left_semi").dropDuplicates([key])
+    tied = predictions.join(last, [key, order], "left_semi")
+    first = Window.partitionBy(key, order).orderBy(F.xxhash64(*predictions.columns))
+    return tied.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def match_predictions(instances: DataFrame, predictions: DataFrame, order: str = "ord") -> DataFrame:
