@@ -252,11 +252,29 @@ def near_the_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     firsts = firsts.select("node", *(F.col(c).alias(n) for c, n in zip((*KEY, "l1", "l2"), ("b1", "b2", "_l1", "_l2"))))
     pairs = nodes.join(firsts, "node").where("l1 <> _l1 or l2 <> _l2")
     pairs = pairs.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), "b1", "b2").distinct()
+    # Sizes rule most pairs out before the sketches are moved.
+    sizes = sets.select(*KEY, "n")
+    pairs = pairs.join(sizes.toDF("a1", "a2", "_a"), ["a1", "a2"]).join(sizes.toDF("b1", "b2", "_b"), ["b1", "b2"])
+    pairs = pairs.where(100 * F.least("_a", "_b") >= percent * F.greatest("_a", "_b")).drop("_a", "_b")
     return agreeing(
         pairs.join(_renamed(sets, "a"), ["a1", "a2"]).join(_renamed(sets, "b"), ["b1", "b2"]), percent, slack=0
     )
 
 
+def shared_nodes(nodes: DataFrame) -> DataFrame:
+    """``mixed`` while every set is a component of its own: the nodes with several sets."""
+    several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1")
+    own = [F.col("s1").alias("l1"), F.col("s2").alias("l2"), "_sets", (F.col("_sets") - 1).alias("_others")]
+    return nodes.join(several, "node").select("node", *KEY, *own, F.lit(False).alias("_main"))
+
+
+def narrowed(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """The signatures of the sets in ``rows``, written, so that no deeper level moves those of the others."""
+    keys = rows.select(*KEY).distinct()
+    keys = F.broadcast(keys) if keys.count() <= IDS_SENT else keys
+    return written(members.sparkSession, members.select(*KEY, "signature").join(keys, KEY, "left_semi"), "open-signatures")
+
+
 def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, s1, s2, l1, l2, _sets, _others, _main): the nodes that hold sets of different components.
 
@@ -417,9 +435,10 @@ def near_duplicates(
     members, known, looked, left, forest = sets, None, None, 1.0, 0
     while True:
         nodes, labels = first_nodes(members, trees), _labels(sets, known)
-        leaves, rest, deep = [], None, members if sure == 0 else None
+        leaves, rest, deep, narrow = [], None, members if sure == 0 else None, None
         for level in range(LEVELS + 1):
-            open_ = written(spark, mixed(nodes, labels), "nodes")
+            open_ = shared_nodes(nodes) if known is None else mixed(nodes, labels)
+            open_ = written(spark, open_, "nodes")
             # What the first forest's stars have joined stays joined.
             if level <= FIRSTS_LEVEL and forest == 0:
                 asked = open_ if level == 0 else open_.where(F.col("_sets") > LEAF)
@@ -439,7 +458,9 @@ def near_duplicates(
                 break
             if level + 1 == sure:
                 deep = large
-            nodes = next_nodes(large.join(members.select(*KEY, "signature"), KEY))
+            # Sets that are in no large node have no part in deeper levels.
+            narrow = narrowed(members, large) if level <= FIRSTS_LEVEL + 1 else narrow
+            nodes = next_nodes(large.join(narrow, KEY))
         found = _leaf_pairs(reduce(DataFrame.unionByName, leaves), rest, sets, labels, percent)
         if looked is not None:
             found = found.join(looked, found.columns, "left_anti")
