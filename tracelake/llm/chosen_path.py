@@ -41,8 +41,10 @@ MISSED = 2e-5
 # Places of the signature that trees branch on, and places that sketches are compared on.
 BRANCH_PLACES, SKETCH_PLACES = 64, 128
 # Nodes with up to so many sets outside their largest component are compared in full; after so many levels larger ones
-# are too, in blocks.
-LEAF, LEVELS = 32, 10
+# are too, in blocks. A comparison of sketches costs less than moving a set through another level, and loses no pair.
+LEAF, LEVELS = 256, 10
+# Nodes with up to so many sets have a star around one of them.
+SMALL = 32
 # Up to this level large nodes are compared with about so many of their sets first.
 FIRSTS_LEVEL, FIRSTS = 1, 8
 # Sketches have to agree on so many percent less than the similarity asked for: four standard deviations of the
@@ -246,8 +248,8 @@ def near_the_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     so that a pair is met in many nodes and confirmed once. In a large node a hash chooses about ``FIRSTS`` sets, others
     in each node: stars around many sets soon make one component of those that are one.
     """
-    smallest = nodes.where(F.col("_sets") <= LEAF).groupBy("node").agg(F.min("s1").alias("s1"))
-    chosen = (F.col("_sets") > LEAF) & (F.pmod(F.xxhash64("node", *KEY), F.col("_sets")) < FIRSTS)
+    smallest = nodes.where(F.col("_sets") <= SMALL).groupBy("node").agg(F.min("s1").alias("s1"))
+    chosen = (F.col("_sets") > SMALL) & (F.pmod(F.xxhash64("node", *KEY), F.col("_sets")) < FIRSTS)
     firsts = nodes.where(chosen).unionByName(nodes.join(smallest, ["node", "s1"], "left_semi"))
     firsts = firsts.select("node", *(F.col(c).alias(n) for c, n in zip((*KEY, "l1", "l2"), ("b1", "b2", "_l1", "_l2"))))
     pairs = nodes.join(firsts, "node").where("l1 <> _l1 or l2 <> _l2")
@@ -441,7 +443,7 @@ def near_duplicates(
             open_ = written(spark, open_, "nodes")
             # What the first forest's stars have joined stays joined.
             if level <= FIRSTS_LEVEL and forest == 0:
-                asked = open_ if level == 0 else open_.where(F.col("_sets") > LEAF)
+                asked = open_ if level == 0 else open_.where(F.col("_sets") > SMALL)
                 links = confirmed(near_the_first(asked, sets, percent), sets, docs, doc_id, text, percent)
                 links = written(spark, _as_links(links), "links")
                 if not links.isEmpty():
