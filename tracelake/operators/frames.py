@@ -19,6 +19,7 @@ from tracelake.operators.late import ADDRESS, FileRows, fetch_rows, first_of, la
 from tracelake.operators.ordinals import leading_rows, previous_value, sequence_number
 from tracelake.operators.skew import salted_join
 from tracelake.schemas import FRAME_KINDS, TRACE_KEY
+from tracelake.session import work_folder
 
 # A step is a predicate Column or a function from frames to frames.
 Step = Column | Callable[[DataFrame], DataFrame]
@@ -405,8 +406,12 @@ def file_line_map(frames: DataFrame, keys: Sequence[str] = TRACE_KEY, order: str
     the order column. It has no arrays that grow with a trace.
     """
     lines = frames.select(*keys, order, "file", "line")
-    files = files_by_first_use(frames, keys, order).select(*keys, "file", "file_pos")
-    return salted_join(lines, files, [*keys, "file"], spread=[order], how="inner")
+    path = work_folder(frames.sparkSession, "first-uses")
+    files_by_first_use(frames, keys, order).select(*keys, "file", "file_pos", "n_lines").write.parquet(path)
+    files = frames.sparkSession.read.parquet(path)
+    # The same small table tells which files are used by very many frames.
+    counts = files.select(*keys, "file", F.col("n_lines").alias("_rows"))
+    return salted_join(lines, files.drop("n_lines"), [*keys, "file"], spread=[order], how="inner", counts=counts)
 
 
 def files_by_first_use(frames: DataFrame, keys: Sequence[str] = TRACE_KEY, order: str = "pos") -> DataFrame:

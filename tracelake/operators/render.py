@@ -11,7 +11,7 @@ from tracelake.functions.locals import locals_text
 from tracelake.functions.predicates import in_function
 from tracelake.functions.text import exception_text, prompt_sections
 from tracelake.operators.frames import EXEC_PATH_LIMIT, block_index, exec_path_pipeline
-from tracelake.operators.skew import key_counts
+from tracelake.operators.skew import stored_key_counts
 from tracelake.operators.source import INSTANCE, with_source_context
 from tracelake.schemas import TRACE_KEY, WITH_RUNTIME, WITHOUT_RUNTIME
 
@@ -52,7 +52,7 @@ def frame_blocks(
     file_keys: Sequence[str] = INSTANCE,
 ) -> DataFrame:
     """One text block per frame: place, source context and locals."""
-    counts = key_counts(frames, [*file_keys, "file"])
+    counts = stored_key_counts(frames, [*file_keys, "file"])
     shown = with_source_context(block_index(frames, keys), files, around, file_keys, counts=counts)
     text = F.concat(
         F.lit("Block "),

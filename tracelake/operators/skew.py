@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.session import work_folder
+
 ROWS_PER_TASK = 1 << 20
 # A key below this share of all rows is never hot, so fewer keys than its inverse can be, however large the data is.
 HOT_SHARE = 1 / 65536
@@ -20,6 +22,13 @@ def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
 
 
+def stored_key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``key_counts``, counted now and written to the work folder: what reads it does not count again."""
+    path = work_folder(df.sparkSession, "key-counts")
+    key_counts(df, on).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def hot_keys(counts: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """The keys with more rows than a task should take, and how many tasks to use.
 
@@ -54,12 +63,12 @@ def salted_join(
     rows of such keys are repeated, once per salt. Every left row meets each of
     its right rows exactly once, so the result is that of the plain join. Rows
     with a null key meet nothing and are spread over all tasks.
-    ``counts`` may bring the key counts of a cheaper table than ``left``; which
+    Keys are counted at once, unless ``counts`` brings the key counts of a cheaper table than ``left``; which
     keys are hot does not change the result. ``how`` is ``left`` or ``inner``.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    counts = key_counts(left, on) if counts is None else counts
+    counts = stored_key_counts(left, on) if counts is None else counts
     hot = F.broadcast(hot_keys(counts, on, rows_per_task))
     spreading = F.xxhash64(*spread)
     no_key = reduce(or_, [F.col(c).isNull() for c in on])

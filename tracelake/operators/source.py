@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.paths import PROJECT_ROOT, normalize_path, relative_to_root, tree_entries
 from tracelake.functions.text import numbered_range, source_context, split_lines, strip
-from tracelake.operators.skew import key_counts, salted_join, used_keys
+from tracelake.operators.skew import salted_join, stored_key_counts, used_keys
 
 INSTANCE = ("instance_id",)
 NO_TESTCASE = "<testcase source not available from collected frames>"
@@ -45,7 +45,7 @@ def join_source(
     joined, and a file that very many frames point to is spread over tasks.
     """
     on = [*keys, "file"]
-    counts = key_counts(frames, on) if counts is None else counts
+    counts = stored_key_counts(frames, on) if counts is None else counts
     texts = files.withColumnRenamed("path", "file").join(used_keys(counts, on), on, "left_semi")
     right = split_files(texts, keys, "file")
     return salted_join(frames, right, on, spread, "left", counts)
@@ -131,7 +131,7 @@ def open_ranges(
         F.when(problem.isNull(), F.col("_place.path")).alias("path"),
     )
     on = [*keys, "path"]
-    counts = key_counts(checked, on)
+    counts = stored_key_counts(checked, on)
     texts = files.join(used_keys(counts, on), on, "left_semi")
     joined = salted_join(checked, split_files(texts, keys), on, [request_key], "left", counts)
     error = F.coalesce(

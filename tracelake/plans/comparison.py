@@ -13,6 +13,7 @@ from tracelake.functions.locals import DEFAULT_CUTOFF
 from tracelake.functions.text import failure_summary, tool_result
 from tracelake.operators import frames as frame_ops
 from tracelake.operators import metrics, outcomes, render, source
+from tracelake.session import work_folder
 from tracelake.sources import readers, writers
 
 
@@ -84,7 +85,10 @@ def comparison_prompts(
     test log that tells what failed where there is no trace. For one prompt per instance pass the chosen traces, see
     ``chosen_traces``.
     """
-    listed = frame_ops.files_by_first_use(frame_ops.trace_context_frames(frames, keys), keys, "ord")
+    # A row per trace and file, from which files, focus and tests follow; the frames are not read again for them.
+    spark, path = frames.sparkSession, work_folder(frames.sparkSession, "used-files")
+    frame_ops.files_by_first_use(frame_ops.trace_context_frames(frames, keys), keys, "ord").write.parquet(path)
+    listed = spark.read.parquet(path)
     focus = frame_ops.focus_test(listed, frame_ops.context_files(listed, keys, options.max_context_files), keys)
     # Instances without a trace go past the joins: their keys are null and meet nothing.
     no_trace = F.col(keys[-1]).isNull()
