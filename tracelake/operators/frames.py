@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.locals import DEFAULT_CUTOFF, locals_count, locals_preview, serialize_locals
 from tracelake.functions.paths import basename, is_test_path
 from tracelake.functions.predicates import not_conftest, not_frozen, not_site_packages, not_stdlib, testbed_only
-from tracelake.operators.late import ADDRESS, FileRows, fetch_rows, first_of, last_of
+from tracelake.operators.late import ADDRESS, FileRows, fetch_rows, first_of, last_of, stored
 from tracelake.operators.ordinals import leading_rows, previous_value, sequence_number
 from tracelake.operators.skew import salted_join
 from tracelake.schemas import FRAME_KINDS, TRACE_KEY
@@ -197,10 +197,7 @@ def dedup_frames(
 def cap_frames(
     frames: DataFrame, n: int, keys: Sequence[str] = TRACE_KEY, order: str = "pos"
 ) -> DataFrame:
-    """The first ``n`` frames of each trace, for any ``n`` in one way: see ``leading_rows``.
-
-    ``order`` must be a whole number, unique in a trace and not null.
-    """
+    """The first ``n`` frames of each trace, see ``leading_rows``. ``order`` must be a number and unique in a trace."""
     if n < 0:
         raise ValueError("n must be >= 0")
     return leading_rows(frames, keys, order, n)
@@ -268,7 +265,8 @@ def late_step_frames(
         testbed_only(),
         not_conftest(),
         lambda df: dedup_frames(df, ("file", "func", "line"), keys),
-        lambda df: cap_frames(df, limit, keys),
+        # The cap counts traces first, and should not read the frames again for that.
+        lambda df: cap_frames(stored(df, "distinct-frames"), limit, keys),
     ]
     return frame_pipeline(fetch_rows(table, frame_pipeline(slim, steps, cutoff=None)), [], cutoff)
 

@@ -72,20 +72,28 @@ def last_of(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def fetch_rows(table: FileRows, chosen: DataFrame, round_rows: int = ROUND_ROWS) -> DataFrame:
     """The rows of ``table`` whose address is in ``chosen``, without the address.
 
-    ``chosen`` is counted by file, one row per file on the driver. If all of it fits into one round the result is a plan;
+    The choice is made at once and its addresses are written; they are counted by file, one row per file on the driver. If all of it fits into one round the result is a plan;
     else each round is written to the work folder, and the result reads that table.
     """
+    spark: SparkSession = table.raw.sparkSession
+    chosen = stored(chosen.select(ADDRESS), "addresses")
     counts = chosen.groupBy(_file().alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
     rounds = _rounds({r["file"]: r["n"] for r in counts}, round_rows)
     if len(rounds) < 2:
         return _met(table.rows(*(rounds[0] if rounds else (0, None))), chosen)
-    spark: SparkSession = table.raw.sparkSession
     path = work_folder(spark, "late-rows")
     for first, last in rounds:
         _met(table.rows(first, last), chosen.where(_file().between(first, last))).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` as a table in the work folder: worked out once for all that reads it."""
+    path = work_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _met(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(chosen.select(ADDRESS)), ADDRESS, "left_semi").drop(ADDRESS)
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK = 1 << 20
 HOT_SHARE = 1 / 1024
 SLICES = 256
+# Spark's default for the largest rank by which it limits a window before the shuffle.
+GROUP_LIMIT = 1000
 
 Order = str | Sequence[str]
 
@@ -62,19 +64,26 @@ def sequence_number(
 
 
 def leading_rows(df: DataFrame, keys: Sequence[str], order: Order, n: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The first ``n`` rows of each group. Slices of a hot group that cannot hold them are dropped before the shuffle."""
+    """The first ``n`` rows of each group.
+
+    For the numbers that Spark limits a window by before its shuffle, every task sends at most ``n`` rows of a group, so no
+    group is hot. For larger ones the slices of a hot group that cannot hold them are dropped before the shuffle.
+    """
     by = _columns(order)
+    if n <= GROUP_LIMIT and rows_per_task == ROWS_PER_TASK:
+        return _first_rows(df, keys, by, n)
     bounds = _bounds(df, keys, by[0], rows_per_task)
     counts = _carried(_sliced(df, bounds, keys, by[0], "inner"), keys, {})
     # A slice is needed if fewer than n rows come before it; slices are numbered in order.
     last = counts.where(F.col("_before") < n).groupBy(*keys).agg(F.max("_slice").alias("_needed"))
     cut = _meet(_sliced(df, bounds, keys, by[0], "left"), last, keys, "left")
     needed = cut.where(F.col("_slice").isNull() | (F.col("_slice") <= F.col("_needed")))
-    return (
-        needed.withColumn("_within", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
-        .where(F.col("_within") <= n)
-        .select(*df.columns)
-    )
+    return _first_rows(needed, keys, by, n).select(*df.columns)
+
+
+def _first_rows(df: DataFrame, keys: Sequence[str], by: Sequence[str], n: int) -> DataFrame:
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return df.withColumn("_within", within).where(F.col("_within") <= n).drop("_within")
 
 
 def previous_value(
