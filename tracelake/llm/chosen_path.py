@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tracelake.llm.components import components
 from tracelake.llm.line_dedup import text_key
 from tracelake.llm.merging import Remembered
-from tracelake.llm.shared import UPPER, slices, written
+from tracelake.llm.shared import UPPER, release, slices, written
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -451,6 +451,7 @@ def near_duplicates(
                     known = written(spark, components(links), "components")
                     labels = _labels(sets, known)
                     open_ = written(spark, mixed(open_.select("node", *KEY), labels), "nodes")
+                release(spark)
             leaves.append(open_.where(F.col("_others") <= LEAF).select("node", *KEY))
             large = open_.where(F.col("_others") > LEAF)
             if large.isEmpty():
@@ -471,6 +472,7 @@ def near_duplicates(
         links = _as_links(confirmed(found, sets, docs, doc_id, text, percent))
         links = links if known is None else known.unionByName(links)
         known = written(spark, components(links), "components")
+        release(spark)
         left, forest = left * missed(level + 1, percent, trees), forest + 1
         if deep is None or left <= MISSED:
             break

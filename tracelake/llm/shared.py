@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -43,6 +44,16 @@ def written(spark: SparkSession, df: DataFrame, label: str, compression: str = "
     return spark.read.parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage, for jobs of many rounds.
+
+    Spark deletes the shuffle files and broadcasts of finished rounds, on all executors, when the driver no longer knows the
+    plans they belong to; without this that may be after the job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_sample(df: DataFrame, rows: int, key: Sequence[str]) -> DataFrame:
     """At most ``rows`` rows, chosen by a hash of ``key``, so alike on every run and every layout.
 
