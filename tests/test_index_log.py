@@ -61,7 +61,9 @@ def test_compaction_bounds_what_is_read(spark, tmp_path):
     index_log.append_records(frame(spark, [("r", "0", "failed", 9)]), path, "b9")
     found = index_log.read_records(spark, path)
     assert rows_of(found) == [("r", "0", "failed", 9), ("r", "1", "passed", 1)]
-    assert all("batch=c/" in f or "batch=b9/" in f for f in found.inputFiles())
+    # Of the log; the addresses of what counts are a table of their own in the work folder.
+    read = [f for f in found.inputFiles() if path in f]
+    assert read and all("batch=c/" in f or "batch=b9/" in f for f in read)
 
 
 def test_headers_are_finalised(spark, tmp_path):
