@@ -89,3 +89,21 @@ def test_counts_take_back_what_a_newer_record_replaces(spark, tmp_path):
         want[run, variant, status, reason] = want.get((run, variant, status, reason), 0) + 1
     got = {r[:4]: r[4] for r in (tuple(r) for r in jobs.record_counts(spark.createDataFrame(rows, RECORDS)).select("run_id", "variant", "status", "failure_reason", "n").collect())}
     assert got == want
+
+
+def test_records_that_share_a_state_keep_their_own(spark, tmp_path):
+    """Python is called once per bucket: with one bucket, one state has all records, of null and of odd names too."""
+    from datetime import datetime
+
+    names = ["a", "b", None, "", "null", 'a","b', "é"]
+    rows = [(run, name, "v", "failed", name, datetime(2024, 1, day)) for run in ("r", None) for name in names for day in (1, 3)]
+    rows += [(run, name, "v", "passed", None, datetime(2024, 1, 2)) for run in ("r", None) for name in names]
+    later = [("r", "a", "v", "error", "x", datetime(2024, 1, 4)), ("r", "b", "v", "error", "x", datetime(2024, 1, 2))]
+    source = f"{tmp_path}/in"
+    for part in (rows, later):
+        spark.createDataFrame(part, RECORDS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(RECORDS).option("maxFilesPerTrigger", 1).parquet(source)
+        changes = jobs.count_changes(stream, buckets=1)
+        jobs.write_changes(changes, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = jobs.sum_of_changes(spark.read.parquet(f"{tmp_path}/out"))
+    assert counted(got) == counted(jobs.record_counts(spark.createDataFrame(rows + later, RECORDS)))

@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracelake.operators.outcomes import normalize_records, outcomes, report_results, run_order
 
 RECORD_KEY = ("run_id", "instance_id", "variant")
+# Records are dealt into so many states.
+BUCKETS = 1 << 14
 
 
 def record_stream(runs: DataFrame) -> DataFrame:
@@ -66,39 +68,54 @@ def _texts() -> list[Column]:
     return [F.coalesce("failure_reason", F.lit("")).alias("reason")]
 
 
-def count_changes(records: DataFrame, keys: Sequence[str] = RECORD_KEY) -> DataFrame:
+def count_changes(records: DataFrame, keys: Sequence[str] = RECORD_KEY, buckets: int = BUCKETS) -> DataFrame:
     """What arriving records change in the counts: (run_id, variant, status, failure_reason, n), n being 1 or -1.
 
     The state holds, for each record, the time, status and reason that were counted last. A newer delivery takes the old
     one back and adds itself; an older one, or the same again, changes nothing, however late it comes. So the sum of all
     changes is that of ``record_counts``, and the state is three small values per record, on the executors.
+
+    A hash of the key deals records into ``buckets``, whose records share one state: Python is called once per bucket of a
+    trigger, not once per record. Queries that go on from a checkpoint need the ``buckets`` they began with.
     """
-    ordered = records.select(*keys, "status", "failure_reason", run_order(records).alias("_order"))
-    place = [list(keys).index(k) for k in ("run_id", "variant")]
+    of = {f.name: f.dataType for f in records.schema.fields}
+    place = {k: list(keys).index(k) for k in ("run_id", "variant")}
+    # The key as one text, which tells nulls from texts.
+    key = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+    dealt = records.select(
+        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket"),
+        key.alias("_key"),
+        run_order(records).alias("_order"),
+        "status",
+        "failure_reason",
+    )
 
-    def change(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        best = old
+    def change(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best: dict[str, tuple] = {k: tuple(v) for k, *v in zip(*state.get)} if state.exists else {}
+        before: dict[str, tuple | None] = {}
         for part in parts:
-            for order, status, reason in part[["_order", "status", "failure_reason"]].itertuples(index=False):
+            for key, order, status, reason in zip(*(part[c].tolist() for c in ("_key", "_order", "status", "failure_reason"))):
                 found = (int(order), None if pd.isna(status) else status, None if pd.isna(reason) else reason)
-                if best is None or (found[0], found[2] or "") > (best[0], best[2] or ""):
-                    best = found
-        if best != old:
-            state.update(best)
-            rows = [(*(key[n] for n in place), *best[1:], 1)]
-            if old is not None:
-                rows.append((*(key[n] for n in place), *old[1:], -1))
-            yield pd.DataFrame(rows, columns=["run_id", "variant", "status", "failure_reason", "n"])
-
-    of = {f.name: f.dataType.simpleString() for f in records.schema.fields}
-    return ordered.groupBy(*keys).applyInPandasWithState(
+                old = best.get(key)
+                if old is None or (found[0], found[2] or "") > (old[0], old[2] or ""):
+                    before.setdefault(key, old)
+                    best[key] = found
+        if before:
+            state.update(tuple(map(list, zip(*((k, *v) for k, v in best.items())))))
+            rows = [(k, *best[k][1:], 1) for k in before]
+            rows += [(k, *old[1:], -1) for k, old in before.items() if old is not None]
+            yield pd.DataFrame(rows, columns=["_key", "status", "failure_reason", "n"])
+
+    changes = dealt.groupBy("_bucket").applyInPandasWithState(
         change,
-        f"run_id {of['run_id']}, variant {of['variant']}, status string, failure_reason string, n long",
-        "at long, status string, failure_reason string",
+        "_key string, status string, failure_reason string, n long",
+        "key array<string>, at array<long>, status array<string>, failure_reason array<string>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
+    texts = F.from_json("_key", "array<string>")
+    named = [F.get(texts, F.lit(n)).cast(of[k]).alias(k) for k, n in place.items()]
+    return changes.select(*named, "status", "failure_reason", "n")
 
 
 def write_changes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
