@@ -63,3 +63,14 @@ def test_predictions_of_one_line(spark, tmp_path, small_blocks):
     # An object, a file that is no JSON and an empty list are read as before.
     (tmp_path / "one.json").write_text(json.dumps(rows[0]))
     assert readers.read_predictions(spark, f"{tmp_path}/one.json").first().asDict() == rows[0]
+
+
+def test_each_segment_is_read_and_worked_out_once(spark, tmp_path, small_blocks):
+    """The files are listed once, and the numbers come from blocks, without quantiles or counts of whole files."""
+    (tmp_path / "p.json").write_text(json.dumps(objects(400)))
+    segments = large_json.read_segments(spark, f"{tmp_path}/p.json")
+    assert segments.select("block").distinct().count() > 5
+    rows = large_json.split_list(spark, f"{tmp_path}/p.json", segments=segments)
+    want = [json.dumps(x) for x in objects(400)]
+    got = [r.value for r in rows.orderBy("element").collect()]
+    assert got == ["[" + want[0], *(", " + x for x in want[1:]), "]"]

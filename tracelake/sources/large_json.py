@@ -1,10 +1,11 @@
 """Large JSON documents in one piece: the objects of a list, read by as many tasks as the file has blocks.
 
 A document without line breaks, or one object around a long list, is no table of lines. Here it is read in segments that
-end at closing braces, wherever Spark splits the file. What a segment holds depends on what comes before it in two ways,
-and both are running sums over one small row per segment: whether it starts inside of a string (the parity of the quotes
-before it), and how deep it is nested (the brackets outside of strings before it). A closing brace outside of strings that
-leads back to the depth of the list ends an element; segments between two such ends are put together, an element at a time.
+end at closing braces, wherever Spark splits the file. What a segment holds depends on what comes before it in two ways:
+whether it starts inside of a string (the parity of the quotes before it), and how deep it is nested (the brackets outside
+of strings before it). A closing brace outside of strings that leads back to the depth of the list ends an element; segments
+between two such ends are put together, an element at a time. Each of these is a running sum inside of a block, which no
+task finds too large, and one small row per block carries what the blocks before it hold.
 
 The elements of the list must be objects. What stands before the first element and behind the last one is the head and the
 tail of its document.
@@ -15,104 +16,111 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.ordinals import sequence_number
 from tracelake.session import work_folder
 
 CLOSING = "}"
 
 
+BLOCK = ["path", "block"]
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(path, segment, closed, value): the texts between closing braces, numbered through each file.
+    """(path, block, segment, size, value): the texts between closing braces, in order of their block and number.
 
-    ``closed`` tells whether a brace follows: always but, as the number of bytes of the file shows, at its end.
+    ``size`` is the number of bytes of the file. Numbers grow in the order of a block, as one task reads it.
     """
-    rows = spark.read.option("lineSep", CLOSING).text(path).select(
+    return spark.read.option("lineSep", CLOSING).text(path).select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.col("_metadata.file_size").alias("_size"),
-        F.monotonically_increasing_id().alias("_id"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("segment"),
+        F.col("_metadata.file_size").alias("size"),
         "value",
     )
-    # A block is read in order by one task, so its numbers follow on from the first.
-    bytes_ = F.sum(F.octet_length("value") + 1)
-    blocks = rows.groupBy("path", "_block", "_size").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"), bytes_.alias("_bytes")
-    )
-    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        "path",
-        "_block",
-        "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy("path")).alias("_all"),
-        (F.sum("_bytes").over(Window.partitionBy("path")) <= F.col("_size")).alias("_ends_closed"),
-    )
-    segment = F.col("_before") + F.col("_id") - F.col("_first")
-    closed = (segment < F.col("_all") - 1) | F.col("_ends_closed")
-    numbered = rows.drop("_size").join(starts, ["path", "_block"])
-    return numbered.select("path", segment.alias("segment"), closed.alias("closed"), "value")
 
 
 def _nesting(outside: Column) -> Column:
     """Opening less closing brackets of a text without strings."""
-    opened = F.length(F.regexp_replace(outside, r"[^\[{]", ""))
-    return (opened - F.length(F.regexp_replace(outside, r"[^\]}]", ""))).cast("long")
+    opened = F.length(F.regexp_replace(outside, r"[^\[{]+", ""))
+    return (opened - F.length(F.regexp_replace(outside, r"[^\]}]+", ""))).cast("long")
 
 
-def _facts(segments: DataFrame) -> DataFrame:
+def _with_facts(segments: DataFrame) -> DataFrame:
     """Per segment its quotes, and its nesting if it starts outside (``_out``) or inside (``_in``) of a string."""
     # An escaped character says nothing; a segment never ends between a backslash and what it escapes, as a brace is not.
-    plain = F.regexp_replace("value", r"(?s)\\.", "")
-    parts = F.split(plain, '"', -1)
-
-    def outside(first: int) -> Column:
-        # Every other stretch between quotes is outside of strings.
-        return F.array_join(F.filter(parts, lambda _, n: n % 2 == first), "")
-
-    return segments.select(
-        "path",
-        "segment",
-        "closed",
-        (F.size(parts) - 1).cast("long").alias("_quotes"),
-        _nesting(outside(0)).alias("_out"),
-        _nesting(outside(1)).alias("_in"),
-    )
+    plain = segments.withColumn("_plain", F.regexp_replace("value", r"(?s)\\.", ""))
+    rest = F.regexp_replace("_plain", r'\A[^"]*(?:"|\z)', "")
+    strings = r'"[^"]*(?:"|\z)'
+    return plain.withColumns(
+        {
+            "_quotes": F.length(F.regexp_replace("_plain", r'[^"]+', "")).cast("long"),
+            "_out": _nesting(F.regexp_replace("_plain", strings, "")),
+            "_in": _nesting(F.regexp_replace(rest, strings, "")),
+        }
+    ).drop("_plain")
+
 
+def _sum_before(amount: Column, keys: list[str], order: str) -> Column:
+    rows = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(amount).over(rows), F.lit(0))
 
-def split_list(spark: SparkSession, path: str, depth: int = 1) -> DataFrame:
+
+def split_list(spark: SparkSession, path: str, depth: int = 1, segments: DataFrame | None = None) -> DataFrame:
     """(path, element, value): the documents below ``path``, cut behind each object that ends at ``depth``.
 
     At depth 1 these are the elements of a list, at depth 2 those of a list in an object. The value of the first element
-    starts with the head of the document, the others with the comma before them; the last row is the tail. The segments
-    and the elements are written, each once.
+    starts with the head of the document, the others with the comma before them; the last row is the tail. The segments,
+    their numbers and the elements are written, each once. ``segments`` are those of the path, if they are listed already.
     """
     folder = work_folder(spark, "segments")
-    read_segments(spark, path).write.parquet(folder)
+    _with_facts(read_segments(spark, path) if segments is None else segments).write.parquet(folder)
     segments = spark.read.parquet(folder)
-    quoted = sequence_number(_facts(segments), ["path"], "segment", "_n", sums={"_quotes_before": F.col("_quotes")})
-    inside = F.col("_quotes_before") % 2 == 1
-    ends_inside = (F.col("_quotes_before") + F.col("_quotes")) % 2 == 1
-    closing = ~ends_inside & F.col("closed")
-    placed = quoted.select(
-        "path", "segment", closing.alias("_closing"), (F.when(inside, F.col("_in")).otherwise(F.col("_out")) - closing.cast("long")).alias("_step")
+
+    blocks = segments.groupBy(*BLOCK, "size").agg(
+        F.sum("_quotes").alias("_n"), F.max("segment").alias("_last"), F.sum(F.octet_length("value") + 1).alias("_bytes")
+    )
+    whole_file = Window.partitionBy("path")
+    # A brace follows on every segment but, as the number of bytes shows, the last one of the file.
+    unclosed = (F.col("block") == F.max("block").over(whole_file)) & (F.sum("_bytes").over(whole_file) > F.col("size"))
+    starts = blocks.select(
+        *BLOCK, _sum_before(F.col("_n"), ["path"], "block").alias("_quotes_before"), F.when(unclosed, F.col("_last")).alias("_unclosed")
     )
-    nested = sequence_number(placed, ["path"], "segment", "_n", sums={"_depth_before": F.col("_step")})
-    end = F.col("_closing") & (F.col("_depth_before") + F.col("_step") == depth)
-    ends = work_folder(spark, "segment-ends")
-    nested.select("path", "segment", end.cast("long").alias("_end")).write.parquet(ends)
-    counted = sequence_number(spark.read.parquet(ends), ["path"], "segment", "_n", sums={"element": F.col("_end")})
+    quotes = F.col("_quotes_before") + _sum_before(F.col("_quotes"), BLOCK, "segment")
+    quoted = segments.select(*BLOCK, "segment", "_quotes", "_out", "_in").join(starts, BLOCK).select(
+        *BLOCK, "segment", "_quotes", "_out", "_in", quotes.alias("_before"), (~F.col("segment").eqNullSafe(F.col("_unclosed"))).alias("closed")
+    )
+    closing = ((F.col("_before") + F.col("_quotes")) % 2 == 0) & F.col("closed")
+    step = F.when(F.col("_before") % 2 == 1, F.col("_in")).otherwise(F.col("_out")) - closing.cast("long")
+    placed = quoted.select(*BLOCK, "segment", "closed", closing.alias("_closing"), step.alias("_step"))
+    placed = placed.withColumn("_depth", _sum_before(F.col("_step"), BLOCK, "segment") + F.col("_step"))
+    placed = _written(spark, placed, "segment-depths")
+
+    nested = placed.groupBy(*BLOCK).agg(F.sum("_step").alias("_n"))
+    nested = nested.select(*BLOCK, _sum_before(F.col("_n"), ["path"], "block").alias("_depth_before"))
+    end = (F.col("_closing") & (F.col("_depth_before") + F.col("_depth") == depth)).cast("long")
+    ends = placed.join(nested, BLOCK).select(*BLOCK, "segment", "closed", end.alias("_end"))
+    ends = ends.withColumn("_ends", _sum_before(F.col("_end"), BLOCK, "segment"))
+    ends = _written(spark, ends, "segment-ends")
+
+    counted = ends.groupBy(*BLOCK).agg(F.sum("_end").alias("_n"))
+    counted = counted.select(*BLOCK, _sum_before(F.col("_n"), ["path"], "block").alias("_ends_before"))
+    element = (F.col("_ends_before") + F.col("_ends")).alias("element")
+    numbered = ends.join(counted, BLOCK).select(*BLOCK, "segment", "closed", element)
     text = F.concat("value", F.when(F.col("closed"), CLOSING).otherwise(""))
-    parts = segments.join(counted.select("path", "segment", "element"), ["path", "segment"])
-    in_order = F.array_sort(F.collect_list(F.struct("segment", text.alias("text"))))
+    parts = segments.select(*BLOCK, "segment", "value").join(numbered, [*BLOCK, "segment"])
+    in_order = F.array_sort(F.collect_list(F.struct("block", "segment", text.alias("text"))))
     whole = F.array_join(F.transform(in_order, lambda p: p["text"]), "").alias("value")
-    elements = work_folder(spark, "elements")
-    parts.groupBy("path", "element").agg(whole).write.parquet(elements)
-    return spark.read.parquet(elements)
+    return _written(spark, parts.groupBy("path", "element").agg(whole), "elements")
+
+
+def _written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    folder = work_folder(spark, label)
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
-def read_objects(spark: SparkSession, path: str) -> DataFrame:
+def read_objects(spark: SparkSession, path: str, segments: DataFrame | None = None) -> DataFrame:
     """(path, element, value): the objects of JSON lists, as texts of one line each. An empty list gives no rows."""
-    rows = split_list(spark, path)
+    rows = split_list(spark, path, segments=segments)
     # The head is the opening bracket, the tail the closing one; line breaks only stand outside of strings.
     value = F.regexp_replace(F.regexp_replace("value", r"\A\s*(?:\[|,)\s*", ""), r"[\r\n]+", " ")
     return rows.select("path", "element", value.alias("value")).where(F.col("value").startswith("{"))
