@@ -449,6 +449,25 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    rng = random.Random(9)
+    # Toxic texts are long ones only, of more than 20,000 characters.
+    rows = [(n, prose(rng, "en", 30 if n % 6 else 5000) + ("" if n % 6 else " vilething the"), "en") for n in range(240)]
+    assert all(len(text) > 20_000 for n, text, _ in rows if n % 6 == 0)
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    labels = frame(spark, [(n, int(n % 6 == 0)) for n, _, _ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "LEARNER_ROWS", 100)
+    seen = []
+    summed = toxicity._summed
+    monkeypatch.setattr(toxicity, "_summed", lambda *a: seen.append(summed(*a)) or seen[-1])
+    model = toxicity.fit(docs, labels)
+    # Toxic rows and all when counting, and all rows in every round.
+    assert seen[0][-2:].tolist() == [40, 240] and [s[-1] for s in seen[1:]] == [240] * toxicity.EPOCHS
+    asked = frame(spark, [(0, "of the vilething and the"), (1, "the of and")], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert found[0] >= 0.5 > found[1]
+
+
 def test_long_texts_are_scored_in_parts(monkeypatch):
     rng = random.Random(6)
     texts = [prose(rng, "en", 50) + (" vilething" if n % 2 else "") for n in range(200)]
