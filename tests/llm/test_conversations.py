@@ -301,3 +301,16 @@ def test_folds_take_rows_in_order(spark):
     got = {r.k: r.all for r in fold_groups(df, ["k"], ["n"], ["v"], Joined, "all string").collect()}
     assert got == {k: "".join(v for a, _, v in rows if a == k) for k in (None, 0, 1, 2)}
     assert fold_groups(df.limit(0), ["k"], ["n"], ["v"], Joined, "all string").count() == 0
+
+
+def test_losses_are_read_from_the_examples(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "a <b>"), (1, 1, "assistant", "c \\ <d>"), (1, 2, "assistant", None), (2, 0, "user", "x"), (None, 0, "assistant", "n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r.conv_id: r for r in queries.op11_chat_format(spark, str(tmp_path)).collect()}
+    want = {1: (3, "c \\ <d>"), 2: (1, ""), None: (1, "n"), -7: (2, "\\### Assistant: </turn> ok")}
+    assert {c: (r.n_turns, r.loss_chars, r.loss_sha256) for c, r in found.items()} == {c: (n, len(t), sha(t)) for c, (n, t) in want.items()}
+    # Without the last conversation's examples its turns stay and its mask is empty.
+    made = chat_format.examples
+    monkeypatch.setattr(chat_format, "examples", lambda turns: made(turns).where("conv_id = 1"))
+    fewer = {r.conv_id: r for r in queries.op11_chat_format(spark, str(tmp_path)).collect()}
+    assert fewer[1] == found[1] and (fewer[-7].n_turns, fewer[-7].loss_chars) == (2, 0)
