@@ -94,3 +94,13 @@ def test_without_a_code_base_key(spark, tmp_path):
     assert got == {("two", "/a.py", 1), ("two", "/b.py", 1), ("t", "/a.py", 1), ("t", "/a.py", 3), ("t", "/b.py", 1), ("t.o$", "/a.py", 1), ("t.o$", "/b.py", 1)}
     empty = code_search.build_index(spark, files.limit(0), str(tmp_path / "y"), ())
     assert code_search.search_patterns(spark, empty, asked).count() == 0
+
+
+def test_words_are_counted_without_reading_lines(spark, tmp_path):
+    files = spark.createDataFrame([("/a.py", "foobar foo\nbar foo\n\nfoo.x xfoo"), ("/b.py", "fo o"), ("/c.txt", "foo")], "path string, content string")
+    index = code_search.build_index(spark, files, str(tmp_path / "x"), ())
+    asked = spark.createDataFrame([(" foo ",), ("bar",), ("foo",), ("none",), ("",)], "pattern string")
+    lines = spark.read.parquet(f"{index.path}/lines")
+    empty = spark.createDataFrame([], lines.schema)
+    empty.write.mode("overwrite").parquet(f"{index.path}/lines")
+    assert {r.pattern: r.hits for r in code_search.pattern_counts(spark, index, asked).collect()} == {"foo": 3, "bar": 2}

@@ -100,16 +100,31 @@ def search_patterns(spark: SparkSession, index: CodeIndex, patterns: DataFrame)
     Each pattern is sought once, however often it is listed. Without a column ``is_regex`` patterns are literal.
     """
     keys = list(index.keys)
+    found = _found(spark, index, _asked(index, patterns))
+    return found.select(*keys, "pattern", "is_regex", "path", "line_no", "line")
+
+
+def _asked(index: CodeIndex, patterns: DataFrame) -> DataFrame:
+    """(keys, pattern, is_regex, _parts): each pattern that is not blank, once."""
     is_regex = F.coalesce(F.col("is_regex"), F.lit(False)) if "is_regex" in patterns.columns else F.lit(False)
-    asked = patterns.select(*keys, strip(F.col("pattern")).alias("pattern"), is_regex.alias("is_regex")).distinct()
-    asked = asked.where(F.col("pattern") != "").withColumn("_parts", required_parts(F.col("pattern"), F.col("is_regex")))
-    found = _by_words(spark, index, asked.where(F.size("_parts") > 0)).unionByName(
+    asked = patterns.select(*index.keys, strip(F.col("pattern")).alias("pattern"), is_regex.alias("is_regex")).distinct()
+    return asked.where(F.col("pattern") != "").withColumn("_parts", required_parts(F.col("pattern"), F.col("is_regex")))
+
+
+def _found(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFrame:
+    return _by_words(spark, index, asked.where(F.size("_parts") > 0)).unionByName(
         _by_lines(spark, index, asked.where(F.size("_parts") == 0))
     )
-    return found.select(*keys, "pattern", "is_regex", "path", "line_no", "line")
 
 
 def _by_words(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFrame:
+    """Lines with a word that holds the rarest part of a pattern, tested in full."""
+    lines = index.lines(spark).join(_met(spark, index, asked).drop(*index.keys), ADDRESS)
+    return lines.where(_holds(F.col("line"), F.col("pattern"), F.col("is_regex"))).drop(ADDRESS)
+
+
+def _met(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFrame:
+    """(keys, pattern, is_regex, address): each line with a word that holds the rarest part of a pattern, once."""
     keys = list(index.keys)
     parts = asked.select(F.explode("_parts").alias("part")).distinct().withColumn("gram", F.substring("part", 1, GRAM))
     vocabulary = index.vocabulary(spark)
@@ -125,9 +140,7 @@ def _by_words(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFr
         F.min_by("part", F.struct(F.coalesce("_n", F.lit(0)), F.col("part"))).alias("part")
     )
     wanted = rarest.join(matched.select("part", "word"), "part").select(*keys, "pattern", "is_regex", "word")
-    met = index.words(spark).join(wanted, [*keys, "word"]).select("pattern", "is_regex", ADDRESS).distinct()
-    lines = index.lines(spark).join(met, ADDRESS)
-    return lines.where(_holds(F.col("line"), F.col("pattern"), F.col("is_regex"))).drop(ADDRESS)
+    return index.words(spark).join(wanted, [*keys, "word"]).select(*keys, "pattern", "is_regex", ADDRESS).distinct()
 
 
 def _by_lines(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFrame:
@@ -159,5 +172,10 @@ def pattern_requests(
 
 def pattern_counts(spark: SparkSession, index: CodeIndex, patterns: DataFrame) -> DataFrame:
     """(keys, pattern, is_regex, hits): the number of lines of each pattern that finds any."""
-    hits = search_patterns(spark, index, patterns)
-    return hits.groupBy(*index.keys, "pattern", "is_regex").agg(F.count(F.lit(1)).alias("hits"))
+    asked, on = _asked(index, patterns), [*index.keys, "pattern", "is_regex"]
+    # A literal without blanks stands in a line if it stands in a word of it, so no line has to be read.
+    is_part = ~F.col("is_regex") & (F.size("_parts") == 1) & (F.col("_parts")[0] == F.col("pattern"))
+    hits = _met(spark, index, asked.where(is_part)).select(*on).unionByName(
+        _found(spark, index, asked.where(~is_part)).select(*on)
+    )
+    return hits.groupBy(*on).agg(F.count(F.lit(1)).alias("hits"))
