@@ -104,3 +104,25 @@ def test_words_are_counted_without_reading_lines(spark, tmp_path):
     empty = spark.createDataFrame([], lines.schema)
     empty.write.mode("overwrite").parquet(f"{index.path}/lines")
     assert {r.pattern: r.hits for r in code_search.pattern_counts(spark, index, asked).collect()} == {"foo": 3, "bar": 2}
+
+
+def test_expressions_inside_of_words_meet_only_the_lines_they_find(spark, tmp_path):
+    lines = ["foobar foo.x", "fooar bar", "foo bar", "xfoobazar", "foozar", "fooooar x"]
+    files = spark.createDataFrame([("/a.py", "\n".join(lines))], "path string, content string")
+    index = code_search.build_index(spark, files, str(tmp_path / "x"), ())
+    asked = spark.createDataFrame([("foo[a-z]?ar", True), ("foo[a-z]?ar", True), ("foo ", False), ("foo.+r", True)], "pattern string, is_regex boolean")
+    met = code_search._met(spark, index, code_search._asked(index, asked)).collect()
+    assert sorted(r.pattern for r in met) == ["foo"] * 6 + ["foo.+r"] * 6 + ["foo[a-z]?ar"] * 3
+    got = {(r.pattern, r.line_no) for r in code_search.search_patterns(spark, index, asked).collect()}
+    want = [(p, n) for p in ("foo[a-z]?ar", "foo", "foo.+r") for n, x in enumerate(lines, 1) if re.search(p, x)]
+    assert got == set(want)
+
+
+def test_what_can_only_match_inside_of_a_word(spark):
+    inside = [r"abcd[a-z]?[0-9_-]+yz", r"(load|save)_file\(", r"a\.b{2,}c?", "größe", r"self\.items\[0\]", "a\tb"]
+    others = [r"a b", r"^abc", r"abc$", r"a.c", r"abc\s", r"abc\b", r"abc[^x]", r"abc[ -z]", r"(?i)abc", r"(?=abc)x", r"\Qa\E", r"abc\1", "a\\ b"]
+    rows = spark.createDataFrame([(p,) for p in inside + others], "p string")
+    got = [r.p for r in rows.where(code_search._in_word(F.col("p"), F.lit(True))).collect()]
+    assert got == inside
+    got = [r.p for r in rows.where(code_search._in_word(F.col("p"), F.lit(False))).collect()]
+    assert got == [p for p in inside + others if " " not in p]

@@ -4,8 +4,9 @@
 the number of its lines. A pattern is sought by its required parts: the stretches of its text that any line it matches must
 hold inside of one word (``required_parts``). Parts meet the distinct words by an equi-join on three letters, the part that
 fewest lines hold is chosen, and only the lines with one of its words are read and tested in full. So a pattern costs what
-its rarest part costs, however large the sources are. What has no part of three letters is tested against the lines of its
-code base, all such patterns in one pass over them.
+its rarest part costs, however large the sources are. A pattern that cannot match a blank or look around it stands inside of
+a word or nowhere: it is tested on the distinct words, and only the lines that it finds are read. What has no part of three
+letters is tested against the lines of its code base, all such patterns in one pass over them.
 
 Words are what stands between blanks. Patterns are literal texts, regular expressions of Java, or basic ones of POSIX as
 ``grep`` takes them (``basic_pattern``). A blank pattern finds nothing; one that is not a regular expression fails the job.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import strip
-from tracelake.operators.late import ADDRESS, file_rows
+from tracelake.operators.late import ADDRESS, file_rows, stored
 from tracelake.operators.source import INSTANCE, source_lines
 
 GRAM = 3
@@ -33,6 +34,11 @@ GAP, HELD = "\uf000", 0xE100
 # classes in classes.
 OPAQUE = r"\(\?|\\[xuUpPQENckRX0-9]|\[[^\]]*\[|&&|\[\^?\]"
 GROUP_DEPTH = 4
+# Expressions that match no blank and look at nothing around them: no flags, anchors or dots, only escaped marks and classes of
+# word characters and signs that no range can stretch to a blank.
+IN_WORD = r"(?s)(?:[^ \\.^$\[(]|\((?!\?)|\\[.\[\]^$*(){}+?|\\/-]|\[[A-Za-z0-9_-]+\])*"
+# Up to so many words that patterns ask for are sent to every task, rather than moving the words of all lines to them.
+WORDS_SENT = 500_000
 
 
 @dataclass(frozen=True)
@@ -120,11 +126,15 @@ def _found(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFrame
 def _by_words(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFrame:
     """Lines with a word that holds the rarest part of a pattern, tested in full."""
     lines = index.lines(spark).join(_met(spark, index, asked).drop(*index.keys), ADDRESS)
-    return lines.where(_holds(F.col("line"), F.col("pattern"), F.col("is_regex"))).drop(ADDRESS)
+    about = F.col("pattern"), F.col("is_regex")
+    return lines.where(_in_word(*about) | _holds(F.col("line"), *about)).drop(ADDRESS)
 
 
 def _met(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFrame:
-    """(keys, pattern, is_regex, address): each line with a word that holds the rarest part of a pattern, once."""
+    """(keys, pattern, is_regex, address): each line with a word that holds the rarest part of a pattern, once.
+
+    If a pattern can only match inside of a word, it is each line with a word that it matches.
+    """
     keys = list(index.keys)
     parts = asked.select(F.explode("_parts").alias("part")).distinct().withColumn("gram", F.substring("part", 1, GRAM))
     vocabulary = index.vocabulary(spark)
@@ -140,6 +150,9 @@ def _met(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFrame:
         F.min_by("part", F.struct(F.coalesce("_n", F.lit(0)), F.col("part"))).alias("part")
     )
     wanted = rarest.join(matched.select("part", "word"), "part").select(*keys, "pattern", "is_regex", "word")
+    about = F.col("pattern"), F.col("is_regex")
+    wanted = stored(wanted.where(~_in_word(*about) | _holds(F.col("word"), *about)), "wanted-words")
+    wanted = F.broadcast(wanted) if wanted.count() <= WORDS_SENT else wanted
     return index.words(spark).join(wanted, [*keys, "word"]).select(*keys, "pattern", "is_regex", ADDRESS).distinct()
 
 
@@ -153,6 +166,11 @@ def _by_lines(spark: SparkSession, index: CodeIndex, asked: DataFrame) -> DataFr
     return joined.select(*lines.columns, F.inline(hits))
 
 
+def _in_word(pattern: Column, is_regex: Column) -> Column:
+    """Whether a pattern that requires a part can only match inside of one word."""
+    return F.when(is_regex, F.regexp_like(pattern, F.lit(f"^{IN_WORD}$"))).otherwise(~pattern.contains(" "))
+
+
 def _holds(line: Column, pattern: Column, is_regex: Column) -> Column:
     return F.when(is_regex, F.regexp_like(line, pattern)).otherwise(line.contains(pattern))
 
