@@ -157,6 +157,24 @@ def test_recall_in_large_families(spark, monkeypatch):
     assert Counter(r.component_id for r in found) == {2 * n: 2 for n in range(120)}
 
 
+def test_a_pair_comes_from_one_node(spark, monkeypatch):
+    """Sets that stay together in many nodes, small ones and blocks, are compared once; no pair is lost by it."""
+    given, plain = [], chosen_path.in_one_leaf
+    monkeypatch.setattr(chosen_path, "FIRSTS_LEVEL", -1)
+    monkeypatch.setattr(chosen_path, "in_one_leaf", lambda *a: given.append(plain(*a)) or given[-1])
+    rows = near_rows(8, 3, 20)
+    docs = frame(spark, rows, "doc_id long, text string")
+    for leaf, levels in ((256, 10), (4, 1)):
+        monkeypatch.setattr(chosen_path, "LEAF", leaf)
+        monkeypatch.setattr(chosen_path, "LEVELS", levels)
+        found = chosen_path.near_duplicates(docs).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == sorted(components_by_hand(rows))
+    for pairs in given:
+        got = pairs.collect()
+        assert len(got) == len(set(got))
+    assert given[0].count() > 0
+
+
 def test_missed_pairs_by_simulation():
     rng = np.random.default_rng(3)
     assert chosen_path.missed(3, 75, 12) == pytest.approx(1.33e-4, rel=0.01)

@@ -47,6 +47,8 @@ LEAF, LEVELS = 256, 10
 SMALL = 32
 # Up to this level large nodes are compared with about so many of their sets first.
 FIRSTS_LEVEL, FIRSTS = 1, 8
+# Nodes draw these sets by one of so many hashes, so that trees ask for the same pairs.
+DRAWS = 4
 # Sketches have to agree on so many percent less than the similarity asked for: four standard deviations of the
 # estimate.
 SKETCH_SLACK = 15
@@ -245,11 +247,13 @@ def near_the_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Candidate pairs of each set in a node with a few first sets in it, if they are of different components.
 
     They only save comparisons later, so sketches have to agree in full. The first is the smallest set in a small node,
-    so that a pair is met in many nodes and confirmed once. In a large node a hash chooses about ``FIRSTS`` sets, others
-    in each node: stars around many sets soon make one component of those that are one.
+    so that a pair is met in many nodes and confirmed once. In a large node a hash chooses about ``FIRSTS`` sets, by one
+    of ``DRAWS`` hashes for each node: stars around many sets soon make one component of those that are one, and a set meets
+    much the same ones in all nodes of a draw.
     """
     smallest = nodes.where(F.col("_sets") <= SMALL).groupBy("node").agg(F.min("s1").alias("s1"))
-    chosen = (F.col("_sets") > SMALL) & (F.pmod(F.xxhash64("node", *KEY), F.col("_sets")) < FIRSTS)
+    drawn = F.pmod(F.xxhash64(F.pmod("node", F.lit(DRAWS)), *KEY), F.lit(1 << 32))
+    chosen = (F.col("_sets") > SMALL) & (drawn * F.col("_sets") < FIRSTS << 32)
     firsts = nodes.where(chosen).unionByName(nodes.join(smallest, ["node", "s1"], "left_semi"))
     firsts = firsts.select("node", *(F.col(c).alias(n) for c, n in zip((*KEY, "l1", "l2"), ("b1", "b2", "_l1", "_l2"))))
     pairs = nodes.join(firsts, "node").where("l1 <> _l1 or l2 <> _l2")
@@ -328,11 +332,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, t
 
 
 def in_one_leaf(leaves: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of sets of different components among ``members`` (and ``block``, if a node came in blocks)."""
+    """Candidate pairs of sets of different components among ``members`` (and ``block``, if a node came in blocks).
+
+    Sets that stay together are in many nodes together; the smallest of them gives the pair.
+    """
     least = (percent - SKETCH_SLACK) / 100
 
-    def compared(a: list, b: list | None) -> np.ndarray:
-        """Numbers of the pairs that may be near; each pair of one list once."""
+    def compared(node: int, a: list, b: list | None) -> Iterator[tuple[int, int]]:
+        """Numbers of the pairs that may be near and are in no smaller node together; each pair of one list once."""
         left, right = a, a if b is None else b
         la, lb = (np.array([[x["l1"], x["l2"]] for x in xs]) for xs in (left, right))
         na, nb = (np.array([x["n"] for x in xs], np.int64) for xs in (left, right))
@@ -343,21 +350,22 @@ def in_one_leaf(leaves: DataFrame, percent: int) -> DataFrame:
             fits &= np.triu(np.ones_like(fits), 1)
         i, j = np.nonzero(fits)
         near = (ka[i] == kb[j]).mean(axis=1) >= least
-        return np.stack([i[near], j[near]], axis=1)
+        smaller = [{n for n in x["nodes"] if n < node} for x in left]
+        others = smaller if b is None else [{n for n in x["nodes"] if n < node} for x in right]
+        return (p for p in zip(i[near].tolist(), j[near].tolist()) if smaller[p[0]].isdisjoint(others[p[1]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 512):
             out = []
-            blocks = part.column("block").to_pylist()
-            for members, block in zip(part.column("members").to_pylist(), blocks):
+            for node, members, block in zip(*(part.column(c).to_pylist() for c in ("node", "members", "block"))):
                 right = members if block is None else block
-                for i, j in compared(members, block).tolist():
+                for i, j in compared(node, members, block):
                     x, y = ((m["s1"], m["s2"]) for m in (members[i], right[j]))
                     out.append((*min(x, y), *max(x, y)))
             columns = np.array(out, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(columns[:, n]) for n in range(4)], ["a1", "a2", "b1", "b2"])
 
-    return leaves.select("members", "block").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+    return leaves.select("node", "members", "block").mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
 def _as_links(pairs: DataFrame) -> DataFrame:
@@ -376,7 +384,7 @@ def _labels(sets: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def _member() -> Column:
-    return F.struct(*KEY, "l1", "l2", "n", "sketch")
+    return F.struct(*KEY, "l1", "l2", "n", "sketch", "nodes")
 
 
 def _leaf_pairs(leaves: DataFrame, rest: DataFrame | None, sets: DataFrame, labels: DataFrame, percent: int):
@@ -385,17 +393,21 @@ def _leaf_pairs(leaves: DataFrame, rest: DataFrame | None, sets: DataFrame, labe
     A leaf has few sets, or few outside its largest component: these are compared with each other and with the blocks of
     the largest component, whose own sets are not.
     """
-    members = sets.select(*KEY, "n", "sketch")
-    none = F.lit(None).cast("array<struct<s1:long,s2:long,l1:long,l2:long,n:long,sketch:binary>>")
-    rows = mixed(leaves, labels).join(members, KEY)
+    spark = sets.sparkSession
+    dealt = written(spark, mixed(leaves, labels), "leaf-rows")
+    compared = dealt if rest is None else dealt.select("node", *KEY).unionByName(rest.select("node", *KEY))
+    within = compared.groupBy(*KEY).agg(F.collect_list("node").alias("nodes"))
+    members = written(spark, sets.select(*KEY, "n", "sketch").join(within, KEY), "leaf-members")
+    none = F.lit(None).cast("array<struct<s1:long,s2:long,l1:long,l2:long,n:long,sketch:binary,nodes:array<long>>>")
+    rows = dealt.join(members, KEY)
     blocks = F.ceil((F.col("_sets") - F.col("_others")) / LEAF).cast("int")
     block = F.when(F.col("_main"), F.pmod(F.xxhash64(*KEY), blocks) + 1).otherwise(0)
     found = rows.groupBy("node", block.alias("_block")).agg(F.collect_list(_member()).alias("members"))
-    found = written(sets.sparkSession, found, "leaves")
+    found = written(spark, found, "leaves")
     others = found.where("_block = 0").select("node", F.col("members").alias("block"))
     lists = [
-        others.select(F.col("block").alias("members"), none.alias("block")),
-        found.where("_block > 0").join(others, "node").select("members", "block"),
+        others.select("node", F.col("block").alias("members"), none.alias("block")),
+        found.where("_block > 0").join(others, "node").select("node", "members", "block"),
     ]
     if rest is not None:
         lists.append(_in_blocks(rest.join(members, KEY)))
@@ -410,7 +422,7 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     asked = lists.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_block"))))
     other = lists.select("node", F.col("_block").alias("_other"), F.col("members").alias("_theirs"))
     met = asked.join(other, ["node", "_other"])
-    return met.select("members", F.when(F.col("_block") != F.col("_other"), F.col("_theirs")).alias("block"))
+    return met.select("node", "members", F.when(F.col("_block") != F.col("_other"), F.col("_theirs")).alias("block"))
 
 
 def near_duplicates(
@@ -436,7 +448,8 @@ def near_duplicates(
     sure = next((n - 1 for n in range(1, LEVELS + 2) if missed(n, percent, trees) > MISSED), LEVELS + 1)
     members, known, looked, left, forest = sets, None, None, 1.0, 0
     while True:
-        nodes, labels = first_nodes(members, trees), _labels(sets, known)
+        # Each level meets the labels, so they are worked out when they change.
+        nodes, labels = first_nodes(members, trees), written(spark, _labels(sets, known), "labels")
         leaves, rest, deep, narrow = [], None, members if sure == 0 else None, None
         for level in range(LEVELS + 1):
             open_ = shared_nodes(nodes) if known is None else mixed(nodes, labels)
@@ -449,7 +462,7 @@ def near_duplicates(
                 if not links.isEmpty():
                     links = links if known is None else known.unionByName(links)
                     known = written(spark, components(links), "components")
-                    labels = _labels(sets, known)
+                    labels = written(spark, _labels(sets, known), "labels")
                     open_ = written(spark, mixed(open_.select("node", *KEY), labels), "nodes")
                 release(spark)
             leaves.append(open_.where(F.col("_others") <= LEAF).select("node", *KEY))
