@@ -1,5 +1,6 @@
 """Operators on documents, URLs and vectors against brute force, with nulls, ties, repeats and empty tables."""
 
+import itertools
 import math
 import random
 import re
@@ -175,6 +176,45 @@ def test_a_pair_comes_from_one_node(spark, monkeypatch):
     assert given[0].count() > 0
 
 
+def test_families_below_the_bound_make_no_pairs(spark, monkeypatch):
+    """Sets that share a long passage are compared where they are: no rows come of pairs that are no links."""
+    given, plain = [], chosen_path.written
+    monkeypatch.setattr(chosen_path, "written", lambda s, d, label, *a: given.append((label, plain(s, d, label, *a))) or given[-1][1])
+    rows = []
+    for n in range(400):
+        own = [f"b{k}" for k in range(170)] + [f"w{n}-{k}" for k in range(30)]
+        rows.append((n, " ".join(own)))
+    rows.append((400, rows[7][1] + " end"))
+    found = chosen_path.near_duplicates(frame(spark, rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == sorted(components_by_hand(rows))
+    # The node is larger than a leaf, but the table is small: it is compared at once, and no forest follows.
+    assert sum(label == "nodes" for label, _ in given) <= 2
+    assert "pairs" not in dict(given) and dict(given)["links"].count() <= 1
+    assert dict(given)["sets-met"].count() > 2
+
+
+def test_blocks_of_one_node(spark):
+    """Sets outside the largest component meet all others once; blocks behind ``own`` do not meet each other."""
+    rows = [(1, n, 0, 0, 0, n // 10) for n in range(40)]
+    blocks = chosen_path._in_blocks(
+        frame(spark, rows, "node long, s1 long, s2 long, l1 long, l2 long, at int"), F.lit(2), F.col("at"), "blocks"
+    )
+    got = Counter()
+    for r in blocks.collect():
+        left = [m.s1 for m in r.members]
+        pairs = itertools.combinations(left, 2) if r.block is None else itertools.product(left, [m.s1 for m in r.block])
+        got.update(frozenset(p) for p in pairs)
+    assert got == Counter(frozenset(p) for p in itertools.combinations(range(40), 2) if min(p) < 20)
+
+
+def test_settled_edges(spark):
+    kind = "u1 long, u2 long, v1 long, v2 long"
+    assert components._settled(frame(spark, [(5, 0, 1, 0), (5, 1, 1, 0), (9, 0, 2, 0)], kind))
+    assert not components._settled(frame(spark, [(5, 0, 1, 0), (6, 0, 5, 0)], kind))
+    assert not components._settled(frame(spark, [(5, 0, 1, 0), (5, 0, 2, 0)], kind))
+    assert components._settled(frame(spark, [(5, 0, 1, 0)], kind).limit(0))
+
+
 def test_missed_pairs_by_simulation():
     rng = np.random.default_rng(3)
     assert chosen_path.missed(3, 75, 12) == pytest.approx(1.33e-4, rel=0.01)

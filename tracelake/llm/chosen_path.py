@@ -3,7 +3,7 @@
 A document is the set of its word shingles, and sets that are equal are one from the start. Independent trees branch the
 sets: a node picks one or two places of a minwise signature, 4/3 on average, and sends each set to the child that its
 token there names, so two sets stay together with their similarity. Nodes of up to ``LEAF`` sets are compared in full,
-larger ones branch on, and the deeper they go the more pairs are parted in all trees of a forest, which share the places
+and all nodes once that costs no more than in proportion to the table. Larger ones branch on, and the deeper they go the more pairs are parted in all trees of a forest, which share the places
 of one signature. ``missed`` is that share at the similarity asked for: with twelve trees and a similarity of 3/4 it is
 7 in a million after two levels, 1.3 in 10,000 after three and 4.9 % after eleven. So the sets of nodes that branch on
 beyond what ``MISSED`` allows go through more forests, each on a signature of its own, until the product of the shares
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tracelake.llm.components import components
 from tracelake.llm.line_dedup import text_key
 from tracelake.llm.merging import Remembered
-from tracelake.llm.shared import UPPER, release, slices, written
+from tracelake.llm.shared import UPPER, hand_back, release, slices, written
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -43,10 +43,13 @@ BRANCH_PLACES, SKETCH_PLACES = 64, 128
 # Nodes with up to so many sets outside their largest component are compared in full; after so many levels larger ones
 # are too, in blocks. A comparison of sketches costs less than moving a set through another level, and loses no pair.
 LEAF, LEVELS = 256, 10
+# Larger nodes are compared so as well, in blocks, once a set of the table meets only so many times ``LEAF`` others by it on
+# average. A node that grows with the table branches on instead.
+MET = 4
 # Nodes with up to so many sets have a star around one of them.
 SMALL = 32
 # Up to this level large nodes are compared with about so many of their sets first.
-FIRSTS_LEVEL, FIRSTS = 1, 8
+FIRSTS_LEVEL, FIRSTS = 1, 4
 # Nodes draw these sets by one of so many hashes, so that trees ask for the same pairs.
 DRAWS = 4
 # Sketches have to agree on so many percent less than the similarity asked for: four standard deviations of the
@@ -57,6 +60,8 @@ IDS_SENT = 500_000
 KEY = ["s1", "s2"]
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 HASHES_AT_ONCE = 4096
+# What a task holds at a time: pairs of sketches, and shingles of a block of whole sets.
+PAIRS_AT_ONCE, SHINGLES_AT_ONCE = 1 << 16, 1 << 17
 
 
 class Shingler:
@@ -115,6 +120,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         shingler = Shingler()
         for part in slices(batches):
             out = []
@@ -160,7 +166,7 @@ def _key_of(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, text: str, forest: int) -> DataFrame:
-    """Per row with words: set key (s1, s2) and the signature that the trees of a later forest branch on."""
+    """Per row with words: set key (s1, s2), set size and the signature that the trees of a later forest branch on."""
     rows = docs.select(F.col(text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +175,11 @@ def signatures(docs: DataFrame, text: str, forest: int) -> DataFrame:
             found = [x for x in map(shingler.shingles, part.column("text").to_pylist()) if len(x)]
             keys = np.array([_key_of(x) for x in found], np.int64).reshape(-1, 2)
             tokens = [shingler.signature(x).astype(">u4").tobytes() for x in found]
-            arrays = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(tokens, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, [*KEY, "signature"])
+            sizes = pa.array([len(x) for x in found], pa.int64())
+            arrays = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), sizes, pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*KEY, "n", "signature"])
 
-    return rows.mapInArrow(run, "s1 long, s2 long, signature binary")
+    return rows.mapInArrow(run, "s1 long, s2 long, n long, signature binary")
 
 
 def token_at(place: Column) -> Column:
@@ -197,14 +204,14 @@ def missed(levels: int, percent: int, trees: int) -> float:
 
 
 def first_nodes(sets: DataFrame, trees: int) -> DataFrame:
-    """(node, s1, s2): the children of each tree's root. Every third tree picks two places, the others one."""
+    """(node, s1, s2, n): the children of each tree's root. Every third tree picks two places, the others one."""
     places, place = [], 0
     for tree in range(trees):
         for _ in range(2 if tree % 3 == 2 else 1):
             places.append((tree, place % BRANCH_PLACES))
             place += 1
     nodes = F.array(*(F.xxhash64(F.lit(t), F.lit(p), token_at(F.lit(p))) for t, p in places))
-    return sets.select(F.explode(nodes).alias("node"), *KEY)
+    return sets.select(F.explode(nodes).alias("node"), *KEY, "n")
 
 
 def next_nodes(rows: DataFrame) -> DataFrame:
@@ -213,7 +220,7 @@ def next_nodes(rows: DataFrame) -> DataFrame:
     child = [F.xxhash64("node", p, token_at(p)) for p in places]
     two = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.lit(3)) == 0
     children = F.array_distinct(F.when(two, F.array(*child)).otherwise(F.array(child[0])))
-    return rows.select(F.explode(children).alias("node"), *KEY)
+    return rows.select(F.explode(children).alias("node"), *KEY, "n")
 
 
 def agreeing(pairs: DataFrame, percent: int, slack: int = SKETCH_SLACK) -> DataFrame:
@@ -255,23 +262,22 @@ def near_the_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     drawn = F.pmod(F.xxhash64(F.pmod("node", F.lit(DRAWS)), *KEY), F.lit(1 << 32))
     chosen = (F.col("_sets") > SMALL) & (drawn * F.col("_sets") < FIRSTS << 32)
     firsts = nodes.where(chosen).unionByName(nodes.join(smallest, ["node", "s1"], "left_semi"))
-    firsts = firsts.select("node", *(F.col(c).alias(n) for c, n in zip((*KEY, "l1", "l2"), ("b1", "b2", "_l1", "_l2"))))
-    pairs = nodes.join(firsts, "node").where("l1 <> _l1 or l2 <> _l2")
-    pairs = pairs.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), "b1", "b2").distinct()
+    names = zip((*KEY, "l1", "l2", "n"), ("b1", "b2", "_l1", "_l2", "_n"))
+    pairs = nodes.join(firsts.select("node", *(F.col(c).alias(n) for c, n in names)), "node").where("l1 <> _l1 or l2 <> _l2")
     # Sizes rule most pairs out before the sketches are moved.
-    sizes = sets.select(*KEY, "n")
-    pairs = pairs.join(sizes.toDF("a1", "a2", "_a"), ["a1", "a2"]).join(sizes.toDF("b1", "b2", "_b"), ["b1", "b2"])
-    pairs = pairs.where(100 * F.least("_a", "_b") >= percent * F.greatest("_a", "_b")).drop("_a", "_b")
-    return agreeing(
-        pairs.join(_renamed(sets, "a"), ["a1", "a2"]).join(_renamed(sets, "b"), ["b1", "b2"]), percent, slack=0
-    )
+    pairs = pairs.where(100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
+    pairs = pairs.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), "b1", "b2")
+    # A set gets its sketch once for all that it meets.
+    met = pairs.groupBy("a1", "a2").agg(F.collect_set(F.struct("b1", "b2")).alias("_met")).join(_renamed(sets, "a"), ["a1", "a2"])
+    pairs = met.select("*", F.inline("_met")).join(_renamed(sets, "b"), ["b1", "b2"])
+    return agreeing(pairs, percent, slack=0)
 
 
 def shared_nodes(nodes: DataFrame) -> DataFrame:
     """``mixed`` while every set is a component of its own: the nodes with several sets."""
     several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1")
     own = [F.col("s1").alias("l1"), F.col("s2").alias("l2"), "_sets", (F.col("_sets") - 1).alias("_others")]
-    return nodes.join(several, "node").select("node", *KEY, *own, F.lit(False).alias("_main"))
+    return nodes.join(several, "node").select("node", *KEY, "n", *own, F.lit(False).alias("_main"))
 
 
 def narrowed(members: DataFrame, rows: DataFrame) -> DataFrame:
@@ -311,16 +317,21 @@ def _with_texts(keys: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str)
     return wanted, docs.join(ids, docs[doc_id].cast("long").eqNullSafe(F.col("_doc")), "left_semi")
 
 
+def _whole_sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(s1, s2, shingles): the whole sets of some keys, written."""
+    wanted, texts = _with_texts(keys, sets, docs, doc_id)
+    found = shingle_sets(texts, doc_id, text).join(wanted.select(*KEY), KEY, "left_semi")
+    # Rows that repeat an id and a text give their set once.
+    found = found.groupBy(*KEY).agg(F.first("shingles").alias("shingles"))
+    return written(keys.sparkSession, found, "whole-sets")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity: 100 * common >= percent * all."""
     ends = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(
         pairs.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))
     )
-    wanted, texts = _with_texts(ends.distinct(), sets, docs, doc_id)
-    found = shingle_sets(texts, doc_id, text).join(wanted.select(*KEY), KEY, "left_semi")
-    # Rows that repeat an id and a text give their set once.
-    found = found.groupBy(*KEY).agg(F.first("shingles").alias("shingles"))
-    found = written(pairs.sparkSession, found, "whole-sets")
+    found = _whole_sets(ends.distinct(), sets, docs, doc_id, text)
     a, b = (
         found.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("shingles").alias(f"{x}_set"))
         for x in "ab"
@@ -331,36 +342,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, t
     return met.where(100 * common >= percent * every).select("a1", "a2", "b1", "b2")
 
 
+def _lists(leaves: pa.RecordBatch) -> Iterator[tuple[int, pa.StructArray, pa.StructArray | None]]:
+    """Each row's node, ``members`` and ``block``."""
+    for row in range(leaves.num_rows):
+        members, block = (leaves.column(c)[row].values for c in ("members", "block"))
+        yield leaves.column("node")[row].as_py(), members, block
+
+
+def _may_be_near(node: int, a: pa.StructArray, b: pa.StructArray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs of two lists, or of one, of different components that agree nearly enough by sizes and sketches.
+
+    Sets that stay together are in many nodes together; the smallest of them gives the pair. Of one list, each pair comes once.
+    """
+    one, b = b is None, a if b is None else b
+    (l1, l2, n), (m1, m2, m) = ([x.field(c).to_numpy() for c in ("l1", "l2", "n")] for x in (a, b))
+    fits = (l1[:, None] != m1) | (l2[:, None] != m2)
+    fits &= 100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)
+    i, j = np.nonzero(np.triu(fits, 1) if one else fits)
+    if not len(i):
+        return i, j
+    ka, kb = (np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH_PLACES) for x in (a, b))
+    near = np.zeros(len(i), bool)
+    for start in range(0, len(i), PAIRS_AT_ONCE):
+        some = slice(start, start + PAIRS_AT_ONCE)
+        near[some] = (ka[i[some]] == kb[j[some]]).mean(axis=1) >= (percent - SKETCH_SLACK) / 100
+    i, j = i[near], j[near]
+    smaller, others = (
+        {p: {n for n in x.field("nodes")[p].as_py() if n < node} for p in np.unique(ps).tolist()} for x, ps in ((a, i), (b, j))
+    )
+    first = np.array([smaller[p].isdisjoint(others[q]) for p, q in zip(i.tolist(), j.tolist())], bool)
+    return i[first], j[first]
+
+
+def sets_met(leaves: DataFrame, percent: int) -> DataFrame:
+    """(node, s1, s2, n): the sets of lists that have to be compared in full with another one of their node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out = [np.zeros((4, 0), np.int64)]
+            for node, a, b in _lists(part):
+                i, j = _may_be_near(node, a, b, percent)
+                ends = [(a, np.concatenate([i, j]))] if b is None else [(a, i), (b, j)]
+                for members, at in ends if len(i) else ():
+                    at = np.unique(at)
+                    out.append(np.stack([np.full(len(at), node), *(members.field(c).to_numpy()[at] for c in (*KEY, "n"))]))
+            columns = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", *KEY, "n"])
+
+    return leaves.select("node", "members", "block").mapInArrow(run, "node long, s1 long, s2 long, n long")
+
+
 def in_one_leaf(leaves: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of sets of different components among ``members`` (and ``block``, if a node came in blocks).
+    """The links between the sets of different components among ``members``, or between those and ``block``.
 
-    Sets that stay together are in many nodes together; the smallest of them gives the pair.
+    Pairs are compared where their sets are, in full, as many more are looked at than are links.
     """
-    least = (percent - SKETCH_SLACK) / 100
-
-    def compared(node: int, a: list, b: list | None) -> Iterator[tuple[int, int]]:
-        """Numbers of the pairs that may be near and are in no smaller node together; each pair of one list once."""
-        left, right = a, a if b is None else b
-        la, lb = (np.array([[x["l1"], x["l2"]] for x in xs]) for xs in (left, right))
-        na, nb = (np.array([x["n"] for x in xs], np.int64) for xs in (left, right))
-        ka, kb = (np.frombuffer(b"".join(x["sketch"] for x in xs), np.uint8).reshape(-1, SKETCH_PLACES) for xs in (left, right))
-        fits = (la[:, None] != lb).any(axis=2)
-        fits &= 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
-        if b is None:
-            fits &= np.triu(np.ones_like(fits), 1)
-        i, j = np.nonzero(fits)
-        near = (ka[i] == kb[j]).mean(axis=1) >= least
-        smaller = [{n for n in x["nodes"] if n < node} for x in left]
-        others = smaller if b is None else [{n for n in x["nodes"] if n < node} for x in right]
-        return (p for p in zip(i[near].tolist(), j[near].tolist()) if smaller[p[0]].isdisjoint(others[p[1]]))
+
+    def linked(node: int, a: pa.StructArray, b: pa.StructArray | None) -> Iterator[tuple[int, int]]:
+        i, j = _may_be_near(node, a, b, percent)
+        if not len(i):
+            return
+        lists = [x.field("shingles") for x in ((a,) if b is None else (a, b))]
+        sizes = np.concatenate([x.value_lengths().to_numpy() for x in lists])
+        ids = np.unique(np.concatenate([x.flatten().to_numpy() for x in lists]), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        sets = [ids[end - size : end] for size, end in zip(sizes.tolist(), ends.tolist())]
+        marked, before = np.zeros(len(ids), bool), -1
+        for p, q in zip(i.tolist(), (j if b is None else j + len(a)).tolist()):
+            if p != before:
+                if before >= 0:
+                    marked[sets[before]] = False
+                marked[sets[p]], before = True, p
+            common = np.count_nonzero(marked[sets[q]])
+            if 100 * common >= percent * (len(sets[p]) + len(sets[q]) - common):
+                yield p, q if b is None else q - len(a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
+        for part in batches:
             out = []
-            for node, members, block in zip(*(part.column(c).to_pylist() for c in ("node", "members", "block"))):
-                right = members if block is None else block
-                for i, j in compared(node, members, block):
-                    x, y = ((m["s1"], m["s2"]) for m in (members[i], right[j]))
+            for node, a, b in _lists(part):
+                keys = [list(zip(*(x.field(c).to_pylist() for c in KEY))) for x in (a, a if b is None else b)]
+                for p, q in linked(node, a, b):
+                    x, y = keys[0][p], keys[1][q]
                     out.append((*min(x, y), *max(x, y)))
             columns = np.array(out, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(columns[:, n]) for n in range(4)], ["a1", "a2", "b1", "b2"])
@@ -383,46 +446,49 @@ def _labels(sets: DataFrame, known: DataFrame | None) -> DataFrame:
     )
 
 
-def _member() -> Column:
-    return F.struct(*KEY, "l1", "l2", "n", "sketch", "nodes")
+def _met_in_blocks(nodes: DataFrame) -> int:
+    """How many sets those outside the largest component of large nodes would meet in blocks, together."""
+    rows = nodes.where((F.col("_others") > LEAF) & ~F.col("_main"))
+    return rows.agg(F.coalesce(F.sum("_sets"), F.lit(0))).first()[0]
+
 
+def _in_blocks(rows: DataFrame, own: Column, block: Column, label: str) -> DataFrame:
+    """(node, members, block): blocks of a node's sets, each with itself and with every block before it.
 
-def _leaf_pairs(leaves: DataFrame, rest: DataFrame | None, sets: DataFrame, labels: DataFrame, percent: int):
-    """Candidate pairs of different components in leaves, and in the nodes of ``rest``, which are still large.
+    ``own`` is the number of blocks that are compared at all: those behind them only meet them.
+    """
+    rows = rows.withColumns({"_own": own.cast("int"), "_block": block.cast("int")})
+    members = F.struct(*(c for c in (*KEY, "l1", "l2", "n", "sketch", "nodes", "shingles") if c in rows.columns))
+    lists = rows.groupBy("node", "_own", "_block").agg(F.collect_list(members).alias("members"))
+    lists = written(rows.sparkSession, lists, label)
+    first = lists.where("_block < _own")
+    alone = first.select("node", "members", F.lit(None).cast(lists.schema["members"].dataType).alias("block"))
+    asked = lists.where("_block > 0").withColumn("_other", F.explode(F.sequence(F.lit(0), F.least("_block", "_own") - 1)))
+    other = first.select("node", F.col("_block").alias("_other"), F.col("members").alias("block"))
+    return alone.unionByName(asked.join(other, ["node", "_other"]).select("node", "members", "block"))
+
+
+def _leaf_links(
+    leaves: DataFrame, sets: DataFrame, labels: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int
+) -> DataFrame:
+    """The links between sets of different components in nodes.
 
-    A leaf has few sets, or few outside its largest component: these are compared with each other and with the blocks of
-    the largest component, whose own sets are not.
+    The sets outside a node's largest component are compared with each other and with that component, whose own sets are
+    not: first by sketches, to know which sets there are to be read, then these in full.
     """
     spark = sets.sparkSession
     dealt = written(spark, mixed(leaves, labels), "leaf-rows")
-    compared = dealt if rest is None else dealt.select("node", *KEY).unionByName(rest.select("node", *KEY))
-    within = compared.groupBy(*KEY).agg(F.collect_list("node").alias("nodes"))
-    members = written(spark, sets.select(*KEY, "n", "sketch").join(within, KEY), "leaf-members")
-    none = F.lit(None).cast("array<struct<s1:long,s2:long,l1:long,l2:long,n:long,sketch:binary,nodes:array<long>>>")
-    rows = dealt.join(members, KEY)
-    blocks = F.ceil((F.col("_sets") - F.col("_others")) / LEAF).cast("int")
-    block = F.when(F.col("_main"), F.pmod(F.xxhash64(*KEY), blocks) + 1).otherwise(0)
-    found = rows.groupBy("node", block.alias("_block")).agg(F.collect_list(_member()).alias("members"))
-    found = written(spark, found, "leaves")
-    others = found.where("_block = 0").select("node", F.col("members").alias("block"))
-    lists = [
-        others.select("node", F.col("block").alias("members"), none.alias("block")),
-        found.where("_block > 0").join(others, "node").select("node", "members", "block"),
-    ]
-    if rest is not None:
-        lists.append(_in_blocks(rest.join(members, KEY)))
-    return in_one_leaf(reduce(DataFrame.unionByName, lists), percent).distinct()
-
-
-def _in_blocks(large: DataFrame) -> DataFrame:
-    """Nodes that are still large, exactly: blocks of their sets, each with itself and with every block before it."""
-    blocks = F.ceil(F.col("_sets") / LEAF).cast("int")
-    dealt = large.withColumns({"_blocks": blocks, "_block": F.pmod(F.xxhash64(*KEY), blocks).cast("int")})
-    lists = dealt.groupBy("node", "_block", "_blocks").agg(F.collect_list(_member()).alias("members"))
-    asked = lists.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_block"))))
-    other = lists.select("node", F.col("_block").alias("_other"), F.col("members").alias("_theirs"))
-    met = asked.join(other, ["node", "_other"])
-    return met.select("node", "members", F.when(F.col("_block") != F.col("_other"), F.col("_theirs")).alias("block"))
+    within = dealt.groupBy(*KEY).agg(F.collect_list("node").alias("nodes"))
+    members = written(spark, sets.select(*KEY, "n", "sketch").join(within, KEY).join(labels, KEY), "leaf-members")
+    rows = dealt.select("node", *KEY, "_sets", "_others", "_main").join(members, KEY)
+    own, rest = (F.ceil(c / LEAF) for c in (F.col("_others"), F.col("_sets") - F.col("_others")))
+    block = F.when(F.col("_main"), own + F.pmod(F.xxhash64(*KEY), rest)).otherwise(F.pmod(F.xxhash64(*KEY), own))
+    found = written(spark, sets_met(_in_blocks(rows, own, block, "leaves"), percent).distinct(), "sets-met")
+    whole = _whole_sets(found.select(*KEY).distinct(), sets, docs, doc_id, text)
+    about = found.groupBy("node").agg(F.ceil(F.sum("n") / SHINGLES_AT_ONCE).alias("_blocks"))
+    rows = found.drop("n").join(about, "node").join(members.join(whole, KEY), KEY)
+    block = F.pmod(F.xxhash64(*KEY), F.col("_blocks"))
+    return in_one_leaf(_in_blocks(rows, F.col("_blocks"), block, "whole-leaves"), percent).distinct()
 
 
 def near_duplicates(
@@ -444,18 +510,21 @@ def near_duplicates(
         F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
     )
     sets = written(spark, sets, "sets")
+    # What comparing large nodes in blocks may cost is in proportion to the table.
+    enough = MET * LEAF * sets.count()
     # After so many levels a forest alone misses no more than it may.
     sure = next((n - 1 for n in range(1, LEVELS + 2) if missed(n, percent, trees) > MISSED), LEVELS + 1)
-    members, known, looked, left, forest = sets, None, None, 1.0, 0
+    members, known, left, forest = sets, None, 1.0, 0
     while True:
         # Each level meets the labels, so they are worked out when they change.
         nodes, labels = first_nodes(members, trees), written(spark, _labels(sets, known), "labels")
-        leaves, rest, deep, narrow = [], None, members if sure == 0 else None, None
+        leaves, deep, narrow = [], members if sure == 0 else None, None
         for level in range(LEVELS + 1):
             open_ = shared_nodes(nodes) if known is None else mixed(nodes, labels)
             open_ = written(spark, open_, "nodes")
+            last = level == LEVELS or _met_in_blocks(open_) <= enough
             # What the first forest's stars have joined stays joined.
-            if level <= FIRSTS_LEVEL and forest == 0:
+            if level <= FIRSTS_LEVEL and forest == 0 and (level == 0 or not last):
                 asked = open_ if level == 0 else open_.where(F.col("_sets") > SMALL)
                 links = confirmed(near_the_first(asked, sets, percent), sets, docs, doc_id, text, percent)
                 links = written(spark, _as_links(links), "links")
@@ -463,35 +532,31 @@ def near_duplicates(
                     links = links if known is None else known.unionByName(links)
                     known = written(spark, components(links), "components")
                     labels = written(spark, _labels(sets, known), "labels")
-                    open_ = written(spark, mixed(open_.select("node", *KEY), labels), "nodes")
+                    open_ = written(spark, mixed(open_.select("node", *KEY, "n"), labels), "nodes")
+                    last = last or _met_in_blocks(open_) <= enough
                 release(spark)
-            leaves.append(open_.where(F.col("_others") <= LEAF).select("node", *KEY))
-            large = open_.where(F.col("_others") > LEAF)
-            if large.isEmpty():
-                break
-            if level == LEVELS:
-                rest = large
+            leaves.append(open_.where((F.col("_others") <= LEAF) | F.lit(last)).select("node", *KEY))
+            if last:
                 break
+            large = open_.where(F.col("_others") > LEAF)
             if level + 1 == sure:
                 deep = large
             # Sets that are in no large node have no part in deeper levels.
             narrow = narrowed(members, large) if level <= FIRSTS_LEVEL + 1 else narrow
             nodes = next_nodes(large.join(narrow, KEY))
-        found = _leaf_pairs(reduce(DataFrame.unionByName, leaves), rest, sets, labels, percent)
-        if looked is not None:
-            found = found.join(looked, found.columns, "left_anti")
-        found = written(spark, found, "pairs")
-        looked = found if looked is None else looked.unionByName(found)
-        links = _as_links(confirmed(found, sets, docs, doc_id, text, percent))
-        links = links if known is None else known.unionByName(links)
-        known = written(spark, components(links), "components")
+        found = _leaf_links(reduce(DataFrame.unionByName, leaves), sets, labels, docs, doc_id, text, percent)
+        links = written(spark, _as_links(found), "links")
+        if known is None or not links.isEmpty():
+            links = links if known is None else known.unionByName(links)
+            known = written(spark, components(links), "components")
         release(spark)
         left, forest = left * missed(level + 1, percent, trees), forest + 1
         if deep is None or left <= MISSED:
             break
         wanted, texts = _with_texts(deep.select(*KEY).distinct(), sets, docs, doc_id)
         members = signatures(texts, text, forest).join(wanted.select(*KEY), KEY, "left_semi")
-        members = written(spark, members.groupBy(*KEY).agg(F.first("signature").alias("signature")), "signatures")
+        members = members.groupBy(*KEY).agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
+        members = written(spark, members, "signatures")
     reached = known.toDF(*KEY, "v1", "v2")
     grouped = sets.select(*KEY, "doc").join(reached, KEY, "left")
     top = [F.coalesce("v1", "s1").alias("v1"), F.coalesce("v2", "s2").alias("v2")]

@@ -37,6 +37,13 @@ def _hung(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where(_above("u", "v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other that hangs on none: rounds change such edges no more."""
+    u, v = (F.struct(F.col(f"{x}1").alias("k1"), F.col(f"{x}2").alias("k2"), F.lit(n).alias("up")) for x, n in (("u", 1), ("v", 0)))
+    ends = edges.select(F.inline(F.array(u, v))).groupBy("k1", "k2").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return ends.where("up > 1 or up > 0 and n > up").isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(u1, u2, v1, v2): every linked node, keyed by two longs, and the smallest node of its component.
 
@@ -45,14 +52,10 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """
     spark = links.sparkSession
     swapped = _both_ways(links).where(_above("u", "v")).distinct()
-    edges, state = written(spark, swapped, "components"), None
+    edges = written(spark, swapped, "components")
     for _ in range(most_rounds):
         edges = written(spark, _hung(_hung(edges, True), False), "components")
-        # The edges no longer change when their number and sum do not.
-        before, state = state, edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u1", "u2", "v1", "v2").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
+        if _settled(edges):
             break
     else:
         raise RuntimeError("components did not settle")
