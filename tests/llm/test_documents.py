@@ -179,6 +179,7 @@ def test_a_pair_comes_from_one_node(spark, monkeypatch):
 def test_families_below_the_bound_make_no_pairs(spark, monkeypatch):
     """Sets that share a long passage are compared where they are: no rows come of pairs that are no links."""
     given, plain = [], chosen_path.written
+    monkeypatch.setattr(chosen_path, "MET", 32)
     monkeypatch.setattr(chosen_path, "written", lambda s, d, label, *a: given.append((label, plain(s, d, label, *a))) or given[-1][1])
     rows = []
     for n in range(400):
@@ -187,7 +188,7 @@ def test_families_below_the_bound_make_no_pairs(spark, monkeypatch):
     rows.append((400, rows[7][1] + " end"))
     found = chosen_path.near_duplicates(frame(spark, rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == sorted(components_by_hand(rows))
-    # The node is larger than a leaf, but the table is small: it is compared at once, and no forest follows.
+    # Nodes are larger than a leaf, but comparing them is within what the table allows, and no forest follows.
     assert sum(label == "nodes" for label, _ in given) <= 2
     assert "pairs" not in dict(given) and dict(given)["links"].count() <= 1
     assert dict(given)["sets-met"].count() > 2
