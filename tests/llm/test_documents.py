@@ -527,6 +527,31 @@ def test_toxicity_learns_from_every_row(spark, monkeypatch):
     assert found[0] >= 0.5 > found[1]
 
 
+def test_toxicity_has_all_rounds_on_large_tables(spark, monkeypatch):
+    rng = random.Random(10)
+    docs = frame(spark, [(n, prose(rng, "en", 9) + " vilething" * (n % 2)) for n in range(60)], "doc_id long, text string")
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "cast(id % 2 as int) AS toxic")
+    seen = []
+    summed = toxicity._summed
+    monkeypatch.setattr(toxicity, "_summed", lambda *a: seen.append(summed(*a)) or seen[-1])
+    toxicity.fit(docs, labels)
+    assert seen[0][-2:].tolist() == [30, 60] and [s[-1] for s in seen[1:]] == [60] * toxicity.EPOCHS
+
+
+def test_words_of_many_tokens():
+    from tracelake.llm.hashing import _marked_words, runs_of_letters
+
+    rng = random.Random(5)
+    odd = "aZß²½Ⅷ٣_-'.é\U00010400\ud800\u0345"
+    for tokens in ([], [""], ["a", "b"], ["".join(rng.choices(odd, k=rng.randint(0, 6))) for _ in range(3000)]):
+        codes, sizes, owner = _marked_words(tokens)
+        found, at = [], 0
+        for size, n in zip(sizes.tolist(), owner.tolist()):
+            found.append((n, "".join(chr(c - 1) for c in codes[at : at + size].tolist())))
+            at += size
+        assert at == len(codes) and found == [(n, f"<{w}>") for n, t in enumerate(tokens) for w in runs_of_letters(t)]
+
+
 def test_long_texts_are_scored_in_parts(monkeypatch):
     rng = random.Random(6)
     texts = [prose(rng, "en", 50) + (" vilething" if n % 2 else "") for n in range(200)]
