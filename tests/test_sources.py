@@ -214,3 +214,28 @@ def test_ingest_writes_traces_frames_and_errors(spark, base, tmp_path):
     assert not [r for r in frames if r.instance_id == "bad_frame"]
     errors = sorted(r.instance_id for r in spark.read.json(f"{tmp_path}/errors").collect())
     assert errors == sorted(["cut", "object", "indented_object", "bad_frame", "no_list", "long_line", "cut_late", "gone"])
+
+
+def test_many_files_are_made_listed_and_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    texts = [(n, f"text {n}\n\u00e9") for n in range(400)] + [(7, "again"), (None, "no key")]
+    rows = spark.createDataFrame(texts, "doc long, text string").where("doc is not null")
+    src = tmp_path / "i0" / "project" / "src"
+    writers.write_texts_by(rows, "doc", str(src))
+    assert sum(1 for f in src.rglob("*") if f.is_file()) == 400
+    # The same files as Spark's own writer makes.
+    monkeypatch.setattr(writers, "_mounted", lambda *_: None)
+    writers.write_texts_by(rows, "doc", str(tmp_path / "i1" / "project" / "src"))
+    asked = spark.conf.get(readers.LISTING_TASKS)
+    tree = readers.read_source_tree(spark, str(tmp_path))
+    assert spark.conf.get(readers.LISTING_TASKS) == asked
+    found = {}
+    for r in tree.collect():
+        found.setdefault(r.instance_id, {})[r.path.split("/")[3]] = sorted(r.content.splitlines())
+    want = {f"doc={n}": sorted(t for d, text in texts if d == n for t in text.split("\n")) for n in range(400)}
+    assert found == {"i0": want, "i1": want}
+
+
+def test_no_texts_make_an_empty_tree(spark, tmp_path):
+    rows = spark.createDataFrame([], "doc long, text string")
+    writers.write_texts_by(rows, "doc", str(tmp_path / "i0" / "project" / "src"))
+    assert readers.read_source_tree(spark, str(tmp_path)).count() == 0

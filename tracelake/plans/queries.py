@@ -926,7 +926,6 @@ def document_frames(spark: SparkSession, d: str) -> DataFrame:
 # --- files of the artifact layout --------------------------------------------------------
 
 PART = "part-*"
-COMMIT_BY_TASKS = "mapreduce.fileoutputcommitter.algorithm.version"
 # Rows that one document of a list is made of.
 LIST_ROWS = 1000
 
@@ -963,10 +962,7 @@ def file_sources(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     for n in range(3):
         part = docs.where((F.col("doc_id") % 3 == n) & F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), "text")
-        # Tasks make the files, each its share of the documents, and put them in place themselves: as many as there are
-        # documents take the driver too long one after the other.
-        tasks = part.repartition(4 * spark.sparkContext.defaultParallelism, "doc").write.option(COMMIT_BY_TASKS, 2)
-        tasks.partitionBy("doc").text(f"{base}/i{n}/{readers.PROJECT_FOLDER}/src")
+        writers.write_texts_by(part, "doc", f"{base}/i{n}/{readers.PROJECT_FOLDER}/src")
     found = readers.read_source_tree(spark, base)
     doc = F.regexp_extract("path", "^/testbed/src/doc=([0-9]+)/part-", 1).cast("bigint")
     return found.select("instance_id", doc.alias("doc_id"), "content")
