@@ -1,10 +1,13 @@
 """Large documents in segments give what a JSON parser gives."""
 
+import gzip
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tracelake.plans import queries
 from tracelake.sources import large_json, readers
 
 ODD = ["", "}", "{", '"', "\\", '\\"', "[{]}", 'a"}b', "\\\\}", "line\nbreak", "é\U0001f600", "},{", '"}', "]"]
@@ -74,3 +77,38 @@ def test_each_segment_is_read_and_worked_out_once(spark, tmp_path, small_blocks)
     want = [json.dumps(x) for x in objects(400)]
     got = [r.value for r in rows.orderBy("element").collect()]
     assert got == ["[" + want[0], *(", " + x for x in want[1:]), "]"]
+
+
+def test_compressed_documents_are_read_as_their_texts(spark, tmp_path, small_blocks):
+    whole = json.dumps({"run_id": "r{}", "records": objects(40), "log_path": "}"})
+    texts = [whole, whole + "\n", whole[:-1], whole[:-2], "[" + whole + "]", "}", "{", "x}", '"}"', '{"a": "}{', "{}}", "\u00e9{}"]
+    got = {}
+    for kind in ("json", "json.gz"):
+        folder = tmp_path / kind
+        folder.mkdir()
+        for n, text in enumerate(texts):
+            data = text.encode()
+            (folder / f"{n}.{kind}").write_bytes(gzip.compress(data) if kind == "json.gz" else data)
+        rows = large_json.split_list(spark, str(folder), 2).collect()
+        got[kind] = sorted((r.path.split("/")[-1].split(".")[0], r.element, r.value) for r in rows)
+    assert got["json"] == got["json.gz"]
+    # Nothing is lost: a file's elements are its text.
+    for n, text in enumerate(texts):
+        assert "".join(v for name, _, v in got["json.gz"] if name == str(n)) == text
+    rest, found = large_json.read_list_in_object(spark, f"{tmp_path}/json.gz/0.json.gz", "records")
+    assert [json.loads(r.value) for r in found.orderBy("element").collect()] == objects(40)
+    assert [json.loads(r.value) for r in rest.collect()] == [{"run_id": "r{}", "records": [], "log_path": "}"}]
+
+
+def test_index_documents_are_stored_compressed(spark, tmp_path):
+    """What the query writes stays below a part of its text."""
+    rows = spark.range(2500).selectExpr("id AS instance_id", "concat('text ', id) AS text")
+    entry, size = F.to_json(F.struct("instance_id", "text")), {}
+    for codec in ("none", "gzip"):
+        queries._documents_of(rows, F.col("instance_id"), entry, F.lit('{"records": ['), "]}", str(tmp_path / codec), codec)
+        files = [f for f in (tmp_path / codec).rglob("part-*") if f.is_file()]
+        assert len(files) == 3
+        size[codec] = sum(f.stat().st_size for f in files)
+    assert size["gzip"] < size["none"] / 4
+    _, found = large_json.read_list_in_object(spark, str(tmp_path / "gzip"), "records")
+    assert found.count() == 2500

@@ -17,7 +17,7 @@ from tracelake.operators import code_search, dataset, frames, metrics, outcomes,
 from tracelake.operators.late import FileRows, file_rows
 from tracelake.plans import adapters, comparison, sql_functions
 from tracelake.schemas import FRAME_KINDS
-from tracelake.session import work_folder
+from tracelake.session import release, work_folder
 from tracelake.sources import artifact_store, index_log, readers, source_store, writers
 from tracelake.streaming import jobs
 
@@ -968,11 +968,11 @@ def file_sources(spark: SparkSession, d: str) -> DataFrame:
     return found.select("instance_id", doc.alias("doc_id"), "content")
 
 
-def _documents_of(rows: DataFrame, number: Column, entry: Column, head: Column, tail: str, path: str) -> None:
+def _documents_of(rows: DataFrame, number: Column, entry: Column, head: Column, tail: str, path: str, codec: str = "none") -> None:
     """JSON documents of ``LIST_ROWS`` entries each, every one on one line in a folder of its own."""
     entries = F.array_join(F.array_sort(F.collect_list(entry)), ", ")
     grouped = rows.groupBy(F.floor(number / LIST_ROWS).alias("part")).agg(entries.alias("_entries"))
-    grouped.select("part", F.concat(head, "_entries", F.lit(tail)).alias("value")).write.partitionBy("part").text(path)
+    grouped.select("part", F.concat(head, "_entries", F.lit(tail)).alias("value")).write.option("compression", codec).partitionBy("part").text(path)
 
 
 @query
@@ -983,7 +983,9 @@ def index_documents(spark: SparkSession, d: str) -> DataFrame:
     kept = rows.select("instance_id", "framework", "recorded_at", "artifact_report_path", "baseline", "variants")
     record = F.to_json(F.struct(F.col("instance_id").cast("string").alias("instance_id"), *kept.columns[1:]))
     head = F.concat(F.lit('{"schema_version": 1, "run_id": "run-'), F.col("part").cast("string"), F.lit('", "records": ['))
-    _documents_of(kept, F.col("instance_id"), record, head, '], "log_path": "}"}', path)
+    # As texts, documents would be several times as large as the tables.
+    _documents_of(kept, F.col("instance_id"), record, head, '], "log_path": "}"}', path, "gzip")
+    release(spark)
     _, records = readers.read_run_index(spark, path)
     return records.select(
         "run_id",

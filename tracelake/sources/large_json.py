@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.session import work_folder
-
-CLOSING = "}"
+from tracelake.session import release, work_folder
 
+OPENING, CLOSING = "{", "}"
+# Names of files that Spark reads through a codec; of these the size of the text is not the size of the file.
+COMPRESSED = r"\.(gz|gzip|bz2|deflate|lz4|snappy|zst|zstd)$"
 
 BLOCK = ["path", "block"]
 
@@ -27,7 +28,7 @@ BLOCK = ["path", "block"]
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """(path, block, segment, size, value): the texts between closing braces, in order of their block and number.
 
-    ``size`` is the number of bytes of the file. Numbers grow in the order of a block, as one task reads it.
+    ``size`` is the number of bytes of the file, as stored. Numbers grow in the order of a block, as one task reads it.
     """
     return spark.read.option("lineSep", CLOSING).text(path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -72,12 +73,14 @@ def split_list(spark: SparkSession, path: str, depth: int = 1, segments: DataFra
     their numbers and the elements are written, each once. ``segments`` are those of the path, if they are listed already.
     """
     folder = work_folder(spark, "segments")
-    _with_facts(read_segments(spark, path) if segments is None else segments).write.parquet(folder)
+    facts = _with_facts(read_segments(spark, path) if segments is None else segments)
+    facts.write.option("compression", "zstd").parquet(folder)
     segments = spark.read.parquet(folder)
 
     blocks = segments.groupBy(*BLOCK, "size").agg(
         F.sum("_quotes").alias("_n"), F.max("segment").alias("_last"), F.sum(F.octet_length("value") + 1).alias("_bytes")
     )
+    blocks = _with_text_sizes(spark, path, segments, blocks)
     whole_file = Window.partitionBy("path")
     # A brace follows on every segment but, as the number of bytes shows, the last one of the file.
     unclosed = (F.col("block") == F.max("block").over(whole_file)) & (F.sum("_bytes").over(whole_file) > F.col("size"))
@@ -112,9 +115,27 @@ def split_list(spark: SparkSession, path: str, depth: int = 1, segments: DataFra
     return _written(spark, parts.groupBy("path", "element").agg(whole), "elements")
 
 
+def _with_text_sizes(spark: SparkSession, path: str, segments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The blocks with the size of the text of compressed files in place of that of the file.
+
+    It is the sum of the texts between opening braces, and of these braces, which are in the segments.
+    """
+    stored = segments.where(F.col("path").rlike(COMPRESSED))
+    if stored.isEmpty():
+        return blocks
+    lines = spark.read.option("lineSep", OPENING).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    between = lines.where(F.col("path").rlike(COMPRESSED)).groupBy("path").agg(F.sum(F.octet_length("value")).alias("_n"))
+    braces = F.octet_length("value") - F.octet_length(F.replace("value", F.lit(OPENING), F.lit("")))
+    opened = stored.groupBy("path").agg(F.sum(braces).alias("_opened"))
+    sizes = between.join(opened, "path").select("path", (F.col("_n") + F.col("_opened")).alias("_size"))
+    sized = blocks.join(_written(spark, sizes, "text-sizes"), "path", "left")
+    return sized.withColumn("size", F.coalesce("_size", "size")).drop("_size")
+
+
 def _written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     folder = work_folder(spark, label)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
+    release(spark)
     return spark.read.parquet(folder)
 
 
