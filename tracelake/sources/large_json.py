@@ -109,7 +109,8 @@ def split_list(spark: SparkSession, path: str, depth: int = 1, segments: DataFra
     element = (F.col("_ends_before") + F.col("_ends")).alias("element")
     numbered = ends.join(counted, BLOCK).select(*BLOCK, "segment", "closed", element)
     text = F.concat("value", F.when(F.col("closed"), CLOSING).otherwise(""))
-    parts = segments.select(*BLOCK, "segment", "value").join(numbered, [*BLOCK, "segment"])
+    # Both sides grow with the documents, however small they are as files: neither is sent to all.
+    parts = segments.select(*BLOCK, "segment", "value").join(numbered.hint("merge"), [*BLOCK, "segment"])
     in_order = F.array_sort(F.collect_list(F.struct("block", "segment", text.alias("text"))))
     whole = F.array_join(F.transform(in_order, lambda p: p["text"]), "").alias("value")
     return _written(spark, parts.groupBy("path", "element").agg(whole), "elements")
